@@ -1,11 +1,13 @@
 """Queries of this subpackage, and the SQL that their results are held against."""
 
-from . import decontaminate
+from . import decontaminate, ngram_join
 
 QUERIES = {
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL = {
+    "op4_ngram_join": ngram_join.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
