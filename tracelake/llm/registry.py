@@ -1,13 +1,15 @@
 """Queries of this subpackage, and the SQL that their results are held against."""
 
-from . import decontaminate, ngram_join
+from . import decontaminate, line_dedup, ngram_join
 
 QUERIES = {
     "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL = {
     "op4_ngram_join": ngram_join.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
