@@ -1,10 +1,13 @@
 """Queries of this subpackage, and the SQL that their results are held against."""
 
-from . import decontaminate, line_dedup, ngram_join
+from . import decontaminate, line_dedup, merge_dropout, ngram_join, permutation_index, token_files
 
 QUERIES = {
+    "op1_permutation_index": permutation_index.op1_permutation_index,
+    "op2_token_counts": token_files.op2_token_counts,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_merge_dropout": merge_dropout.op7_merge_dropout,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
