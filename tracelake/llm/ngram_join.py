@@ -14,8 +14,8 @@ With d = 1 - Jaccard, two documents link when d <= 1 - threshold =: e.
    comparison. Every other pair (x, y) of a region can link only within the triangle
    window |d(x) - d(y)| <= e, so core members are replicated to the remaining join only
    if they lie within e of an outer member.
-5. Those remaining members are joined exactly, in blocks of bounded size: a large region
-   is split into blocks and each pair of blocks is one task group.
+5. Those remaining members are joined exactly, in cells of alike set sizes and in blocks of
+   bounded size: a large cell is split into blocks and each pair of blocks is one task group.
 6. Components are found over the links of class representatives and given to all copies.
 
 Defined cases: null or empty text, or text without words, has an empty set, n_shingles
@@ -144,10 +144,10 @@ def with_overlap(pairs: DataFrame) -> DataFrame:
 
 
 def joined_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the members (pivot, doc_id, outer, blocks, shingles) of each region, block pair by block pair."""
+    """Links (a, b) among the members (pivot, cell, doc_id, outer, blocks, shingles) of each cell, block pair by block pair."""
     placed = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = placed.select(
-        "pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "outer", "shingles",
+        "pivot", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "outer", "shingles",
     )
 
     def links(key, table):
@@ -174,15 +174,34 @@ def joined_blocks(members: DataFrame, percent: int) -> DataFrame:
         keep = ids[x] < ids[y]
         return pa.table({"a": pa.array(ids[x[keep]], pa.int64()), "b": pa.array(ids[y[keep]], pa.int64())})
 
-    return placed.groupBy("pivot", "i", "j").applyInArrow(links, "a long, b long")
+    return placed.groupBy("pivot", "cell", "i", "j").applyInArrow(links, "a long, b long")
 
 
 def regions(signed: DataFrame) -> DataFrame:
-    """(pivot, doc_id): the members of each region but its pivot."""
-    reps = signed.where("h1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    need = signed.select("doc_id", "need").join(sized(reps, 16), "doc_id", "left_semi").select("doc_id", F.explode("need").alias("s"))
-    shared = need.groupBy("s").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("s", "pivot")
-    return need.join(shared, "s").where("pivot <> doc_id").select("pivot", "doc_id").distinct()
+    """(pivot, doc_id, m, n): the members of each region but its pivot, with the set sizes of pivot and member."""
+    whole = signed.where("h1 IS NOT NULL AND doc_id IS NOT NULL")
+    reps = staged(whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "reps")
+    need = whole.join(sized(reps, 16), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), F.explode("need").alias("s"))
+    often = staged(need.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"), "shared-shingles")
+    held = staged(need.join(sized(often, 16), "s", "left_semi"), "shared-need")
+    first = held.groupBy("s").agg(F.min(F.struct("doc_id", "n")).alias("p"))
+    return held.join(first, "s").where("p.doc_id <> doc_id").select(F.col("p.doc_id").alias("pivot"), "doc_id", F.col("p.n").alias("m"), "n").distinct()
+
+
+def cells(rest: DataFrame, percent: int) -> DataFrame:
+    """The members of each region that have another member to be compared with: (pivot, cell, doc_id, outer, blocks).
+
+    Linked sets differ in size by a factor of at most 100 / percent. With sizes on a
+    logarithmic scale of that step, a member goes to the cell of its size and to the next.
+    """
+    step = F.log(F.lit(100.0 / percent)) if percent < 100 else F.lit(1.0)
+    level = F.floor(F.log("n") / step + 1e-9)
+    placed = rest.withColumn("level", level).withColumn("cell", F.explode(F.array(F.col("level"), F.col("level") + 1))).withColumn("own", F.col("level") == F.col("cell"))
+    sizes = placed.groupBy("pivot", "cell").agg(
+        F.count("*").alias("k"), F.max("own").alias("own"), F.max("outer").alias("some"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks")
+    )
+    sizes = sizes.where("k > 1 AND own AND some").select("pivot", "cell", "blocks")
+    return placed.join(sized(staged(sizes, "cells"), 40), ["pivot", "cell"]).select("pivot", "cell", "doc_id", "outer", "blocks")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -190,22 +209,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = staged(signatures(docs, n, percent), "signatures")
     pairs = staged(regions(signed), "regions")
-    named = pairs.select("doc_id").union(pairs.select("pivot")).distinct()
+    alike = F.expr(f"100 * n >= {percent} * m AND 100 * m >= {percent} * n")
+    named = pairs.where(alike).select("doc_id").union(pairs.where(alike).select("pivot")).distinct()
     sets = staged(sets_of(docs, staged(named, "named"), n), "sets")
     a = sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("sa"))
     b = sets.select("doc_id", F.col("shingles").alias("sb"))
-    measured = staged(with_overlap(pairs.join(b, "doc_id").join(a, "pivot")), "measured").withColumn("far", 1 - F.col("both") / F.col("either"))
+    measured = staged(with_overlap(pairs.where(alike).select("pivot", "doc_id").join(b, "doc_id").join(a, "pivot")), "measured")
     near = F.expr(f"100 * both >= {percent} * either")
     links = measured.where(near).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
 
-    e = 1 - percent / 100
-    slack = 1e-9
-    outer = measured.where(~near).groupBy("pivot").agg(F.min("far").alias("least"))
-    rest = measured.withColumn("outer", ~near).join(sized(outer, 24), "pivot").where(F.col("outer") | (F.col("far") + e + slack >= F.col("least")))
-    rest = staged(rest.select("pivot", "doc_id", "outer"), "rest")
-    sizes = rest.groupBy("pivot").agg(F.count("*").alias("k"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks")).where("k > 1")
-    members = rest.join(sized(sizes, 32), "pivot").join(sets, "doc_id").select("pivot", "doc_id", "outer", "blocks", "shingles")
-    found = joined_blocks(members, percent)
+    # A member of quite another size than its pivot is an outer one, at a distance of at least 1 - ratio.
+    e, slack = 1 - percent / 100, 1e-9
+    far = measured.select("pivot", "doc_id", (1 - F.col("both") / F.col("either")).alias("far"), (~near).alias("outer"))
+    members = pairs.join(far, ["pivot", "doc_id"], "left").select(
+        "pivot", "doc_id", "n", F.coalesce("outer", F.lit(True)).alias("outer"),
+        F.coalesce("far", 1 - F.least("n", "m") / F.greatest("n", "m")).alias("far"),
+    )
+    members = staged(members, "members")
+    outer = members.where("outer").groupBy("pivot").agg(F.min("far").alias("least"))
+    rest = members.join(sized(staged(outer, "outer"), 32), "pivot").where(F.col("outer") | (F.col("far") + e + slack >= F.col("least")))
+    rest = staged(cells(rest, percent), "rest")
+    more = staged(rest.select("doc_id").distinct().join(named, "doc_id", "left_anti"), "more")
+    sets = sets.unionByName(staged(sets_of(docs, more, n), "more-sets"))
+    found = joined_blocks(rest.join(sets, "doc_id"), percent)
     found = components(links.union(found).distinct())
 
     classes = signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))

@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL that their results are held against."""
 
-from . import decontaminate, line_dedup, merge_dropout, ngram_join, permutation_index, token_files
+from . import backoff_lm, decontaminate, line_dedup, merge_dropout, ngram_join, permutation_index, token_files
 
 QUERIES = {
     "op1_permutation_index": permutation_index.op1_permutation_index,
@@ -8,11 +8,13 @@ QUERIES = {
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_merge_dropout": merge_dropout.op7_merge_dropout,
+    "op8_backoff_lm": backoff_lm.op8_backoff_lm,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL = {
     "op4_ngram_join": ngram_join.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op8_backoff_lm": backoff_lm.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
