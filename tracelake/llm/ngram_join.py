@@ -9,13 +9,14 @@ With d = 1 - Jaccard, two documents link when d <= 1 - threshold =: e.
 3. Of the documents that hold a shingle among those, the smallest doc_id is a pivot; the
    region of a pivot is the pivot with all documents that name it. Every linked pair
    thus lies in one region. Regions are stars, so their total size is linear.
-4. The exact distance of each member from its pivot is computed. Members with
-   d <= e are linked to the pivot: two such members are in one component and need no
+4. The exact distance of each member from its pivot is computed, unless set sizes and the
+   count of necessary shingles in common rule a link out. Members with d <= e are linked to the pivot: two such members are in one component and need no
    comparison. Every other pair (x, y) of a region can link only within the triangle
    window |d(x) - d(y)| <= e, so core members are replicated to the remaining join only
    if they lie within e of an outer member.
-5. Those remaining members are joined exactly, in cells of alike set sizes and in blocks of
-   bounded size: a large cell is split into blocks and each pair of blocks is one task group.
+5. Those remaining members are joined in cells of alike set sizes and in blocks of bounded
+   size: a large cell is split into blocks and each pair of blocks is one task group. Pairs
+   with enough necessary shingles in common are verified on the whole sets.
 6. Components are found over the links of class representatives and given to all copies.
 
 Defined cases: null or empty text, or text without words, has an empty set, n_shingles
@@ -144,52 +145,63 @@ def with_overlap(pairs: DataFrame) -> DataFrame:
 
 
 def joined_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the members (pivot, cell, doc_id, outer, blocks, shingles) of each cell, block pair by block pair."""
+    """Candidates (pivot, doc_id) among the members (pivot, cell, doc_id, n, outer, blocks, need) of each cell, block pair by block pair."""
     placed = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select(
-        "pivot", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "outer", "shingles",
-    )
+    placed = placed.select("pivot", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "outer", "need")
 
-    def links(key, table):
+    def pairs(key, table):
         import pyarrow as pa
 
-        ids = np.array(table.column("doc_id").to_pylist(), np.int64)
-        outer = np.array(table.column("outer").to_pylist(), bool)
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-        size = np.array([len(s) for s in sets])
-        row = np.repeat(np.arange(len(sets)), size)
-        values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = count[at] > 1  # a shingle of one member cannot add to an overlap
-        row, at = row[shared], np.unique(at[shared], return_inverse=True)[1]
-        overlap = np.zeros((len(sets), len(sets)), np.float32)
+        ids, n, outer = (np.array(table.column(c).to_pylist()) for c in ("doc_id", "n", "outer"))
+        need = table.column("need").combine_chunks()
+        row = np.repeat(np.arange(len(ids)), np.diff(need.offsets.to_numpy()))
+        _, at, count = np.unique(need.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        more = count[at] > 1
+        row, at = row[more], np.unique(at[more], return_inverse=True)[1]
         order = np.argsort(at, kind="stable")
         row, at = row[order], at[order]
+        both = np.zeros((len(ids), len(ids)), np.float32)
         for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
             a, b = np.searchsorted(at, (lo, lo + 4096))
-            m = np.zeros((len(sets), 4096), np.float32)
+            m = np.zeros((len(ids), 4096), np.float32)
             m[row[a:b], at[a:b] - lo] = 1
-            overlap += m @ m.T
-        either = size[:, None] + size[None, :] - overlap
-        x, y = np.nonzero((100 * overlap >= percent * either) & (outer[:, None] | outer[None, :]))
+            both += m @ m.T
+        rest = -(-n * percent // 100) - 1
+        can = (both > 0) & ((both + np.maximum(rest[:, None], rest[None, :])) * (100 + percent) >= percent * (n[:, None] + n[None, :]))
+        x, y = np.nonzero(can & (outer[:, None] | outer[None, :]))
         keep = ids[x] < ids[y]
-        return pa.table({"a": pa.array(ids[x[keep]], pa.int64()), "b": pa.array(ids[y[keep]], pa.int64())})
+        return pa.table({"pivot": pa.array(ids[x[keep]], pa.int64()), "doc_id": pa.array(ids[y[keep]], pa.int64())})
 
-    return placed.groupBy("pivot", "cell", "i", "j").applyInArrow(links, "a long, b long")
+    return placed.groupBy("pivot", "cell", "i", "j").applyInArrow(pairs, "pivot long, doc_id long")
 
 
-def regions(signed: DataFrame) -> DataFrame:
-    """(pivot, doc_id, m, n): the members of each region but its pivot, with the set sizes of pivot and member."""
+def shared_need(signed: DataFrame) -> DataFrame:
+    """(doc_id, n, s) of the class representatives: their necessary shingles that another one has too."""
     whole = signed.where("h1 IS NOT NULL AND doc_id IS NOT NULL")
     reps = staged(whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "reps")
     need = whole.join(sized(reps, 16), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), F.explode("need").alias("s"))
     often = staged(need.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"), "shared-shingles")
-    held = staged(need.join(sized(often, 16), "s", "left_semi"), "shared-need")
+    return need.join(sized(often, 16), "s", "left_semi").select("doc_id", "n", "s")
+
+
+def regions(held: DataFrame) -> DataFrame:
+    """(pivot, doc_id, m, n): the members of each region but its pivot, with the set sizes of pivot and member."""
     first = held.groupBy("s").agg(F.min(F.struct("doc_id", "n")).alias("p"))
     return held.join(first, "s").where("p.doc_id <> doc_id").select(F.col("p.doc_id").alias("pivot"), "doc_id", F.col("p.n").alias("m"), "n").distinct()
 
 
+def enough(percent: int, both: str, m: str, n: str) -> str:
+    """Whether sets of m and n shingles that have ``both`` necessary shingles in common can still link.
+
+    One of the two sets shows all its necessary shingles up to where the other's end, so no
+    more can be in common beyond those than it has others.
+    """
+    rest = f"greatest(ceil({m} * {percent} / 100), ceil({n} * {percent} / 100)) - 1"
+    return f"({both} + {rest}) * (100 + {percent}) >= {percent} * ({m} + {n})"
+
+
 def cells(rest: DataFrame, percent: int) -> DataFrame:
-    """The members of each region that have another member to be compared with: (pivot, cell, doc_id, outer, blocks).
+    """The members of each region that have another member to be compared with: (pivot, cell, doc_id, n, outer, blocks).
 
     Linked sets differ in size by a factor of at most 100 / percent. With sizes on a
     logarithmic scale of that step, a member goes to the cell of its size and to the next.
@@ -201,38 +213,45 @@ def cells(rest: DataFrame, percent: int) -> DataFrame:
         F.count("*").alias("k"), F.max("own").alias("own"), F.max("outer").alias("some"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks")
     )
     sizes = sizes.where("k > 1 AND own AND some").select("pivot", "cell", "blocks")
-    return placed.join(sized(staged(sizes, "cells"), 40), ["pivot", "cell"]).select("pivot", "cell", "doc_id", "outer", "blocks")
+    return placed.join(sized(staged(sizes, "cells"), 40), ["pivot", "cell"]).select("pivot", "cell", "doc_id", "n", "outer", "blocks")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links of at least ``percent`` reach."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = staged(signatures(docs, n, percent), "signatures")
-    pairs = staged(regions(signed), "regions")
-    alike = F.expr(f"100 * n >= {percent} * m AND 100 * m >= {percent} * n")
-    named = pairs.where(alike).select("doc_id").union(pairs.where(alike).select("pivot")).distinct()
-    sets = staged(sets_of(docs, staged(named, "named"), n), "sets")
-    a = sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("sa"))
-    b = sets.select("doc_id", F.col("shingles").alias("sb"))
-    measured = staged(with_overlap(pairs.where(alike).select("pivot", "doc_id").join(b, "doc_id").join(a, "pivot")), "measured")
+    held = staged(shared_need(signed), "shared-need")
+    lists = staged(held.groupBy("doc_id", "n").agg(F.collect_list("s").alias("need")), "lists")
     near = F.expr(f"100 * both >= {percent} * either")
-    links = measured.where(near).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
 
-    # A member of quite another size than its pivot is an outer one, at a distance of at least 1 - ratio.
+    def measured(pairs: DataFrame, name: str) -> DataFrame:
+        """Sizes of intersection and union of candidate pairs (pivot, doc_id), from the texts of the documents that they name."""
+        pairs = staged(pairs, f"{name}-pairs")
+        named = staged(pairs.select("doc_id").union(pairs.select("pivot")).distinct(), f"{name}-named")
+        sets = staged(sets_of(docs, named, n), f"{name}-sets")
+        a = sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("sa"))
+        b = sets.select("doc_id", F.col("shingles").alias("sb"))
+        return staged(with_overlap(pairs.join(b, "doc_id").join(a, "pivot")), f"{name}-measured")
+
+    region = staged(regions(held), "regions")
+    mine, theirs = lists.select("doc_id", F.col("need").alias("a")), lists.select(F.col("doc_id").alias("pivot"), F.col("need").alias("b"))
+    alike = region.where(f"100 * n >= {percent} * m AND 100 * m >= {percent} * n").join(mine, "doc_id").join(theirs, "pivot")
+    star = measured(alike.withColumn("c", F.size(F.array_intersect("a", "b"))).where(enough(percent, "c", "m", "n")).select("pivot", "doc_id").distinct(), "star")
+
+    # A member whose distance was not needed is an outer one, at a distance of at least 1 - the ratio of sizes.
     e, slack = 1 - percent / 100, 1e-9
-    far = measured.select("pivot", "doc_id", (1 - F.col("both") / F.col("either")).alias("far"), (~near).alias("outer"))
-    members = pairs.join(far, ["pivot", "doc_id"], "left").select(
+    far = star.groupBy("pivot", "doc_id").agg(F.min(1 - F.col("both") / F.col("either")).alias("far"), (~F.max(near)).alias("outer"))
+    members = region.join(far, ["pivot", "doc_id"], "left").select(
         "pivot", "doc_id", "n", F.coalesce("outer", F.lit(True)).alias("outer"),
         F.coalesce("far", 1 - F.least("n", "m") / F.greatest("n", "m")).alias("far"),
     )
     members = staged(members, "members")
     outer = members.where("outer").groupBy("pivot").agg(F.min("far").alias("least"))
     rest = members.join(sized(staged(outer, "outer"), 32), "pivot").where(F.col("outer") | (F.col("far") + e + slack >= F.col("least")))
-    rest = staged(cells(rest, percent), "rest")
-    more = staged(rest.select("doc_id").distinct().join(named, "doc_id", "left_anti"), "more")
-    sets = sets.unionByName(staged(sets_of(docs, more, n), "more-sets"))
-    found = joined_blocks(rest.join(sets, "doc_id"), percent)
-    found = components(links.union(found).distinct())
+    rest = cells(rest, percent).join(lists, ["doc_id", "n"])
+    more = measured(joined_blocks(rest, percent).distinct().join(star, ["pivot", "doc_id"], "left_anti"), "rest")
+    links = star.where(near).union(more.where(near)).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    found = components(links.distinct())
 
     classes = signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))

@@ -1,12 +1,13 @@
 """Queries of this subpackage, and the SQL that their results are held against."""
 
-from . import backoff_lm, decontaminate, language_id, license_scan, line_dedup, merge_dropout, ngram_join, permutation_index, token_files
+from . import backoff_lm, decontaminate, language_id, license_scan, line_dedup, merge_dropout, ngram_join, permutation_index, repeats, token_files
 
 QUERIES = {
     "op1_permutation_index": permutation_index.op1_permutation_index,
     "op2_token_counts": token_files.op2_token_counts,
     "op3_language_id": language_id.op3_language_id,
     "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_repeats": repeats.op5_repeats,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_merge_dropout": merge_dropout.op7_merge_dropout,
     "op8_backoff_lm": backoff_lm.op8_backoff_lm,
