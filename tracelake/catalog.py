@@ -49,10 +49,10 @@ n AS (
             PARTITION BY hostname, dev, sector ORDER BY hrtime, cpu_seqno, CASE event WHEN 'block_rq_insert' THEN 0 WHEN 'block_rq_issue' THEN 1 ELSE 2 END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS req FROM bt),
 g AS (
   SELECT hostname, dev, sector, req,
-         arg_max(hrtime, (hrtime, cpu_seqno)) FILTER (WHERE event = 'block_rq_insert') AS i, arg_max(hrtime, (hrtime, cpu_seqno)) FILTER (WHERE event = 'block_rq_issue') AS s, arg_max(hrtime, (hrtime, cpu_seqno)) FILTER (WHERE event = 'block_rq_complete') AS c,
-         arg_max(pid, (hrtime, cpu_seqno)) FILTER (WHERE event = 'block_rq_insert') AS ip, arg_max(pid, (hrtime, cpu_seqno)) FILTER (WHERE event = 'block_rq_issue') AS sp,
-         arg_max(q, (hrtime, cpu_seqno)) FILTER (WHERE event = 'block_rq_issue') AS qs, arg_max(q, (hrtime, cpu_seqno)) FILTER (WHERE event = 'block_rq_complete') AS qc, arg_max(q, (hrtime, cpu_seqno)) FILTER (WHERE event = 'block_rq_insert') AS qi,
-         arg_max(rw, (hrtime, cpu_seqno)) FILTER (WHERE event = 'block_rq_complete') AS rw, arg_max(cpu_seqno, (hrtime, cpu_seqno)) FILTER (WHERE event = 'block_rq_issue') AS seqno
+         arg_max(hrtime, (hrtime, cpu_seqno, q, pid)) FILTER (WHERE event = 'block_rq_insert') AS i, arg_max(hrtime, (hrtime, cpu_seqno, q, pid)) FILTER (WHERE event = 'block_rq_issue') AS s, arg_max(hrtime, (hrtime, cpu_seqno, q, pid)) FILTER (WHERE event = 'block_rq_complete') AS c,
+         arg_max(pid, (hrtime, cpu_seqno, q, pid)) FILTER (WHERE event = 'block_rq_insert') AS ip, arg_max(pid, (hrtime, cpu_seqno, q, pid)) FILTER (WHERE event = 'block_rq_issue') AS sp,
+         arg_max(q, (hrtime, cpu_seqno, q, pid)) FILTER (WHERE event = 'block_rq_issue') AS qs, arg_max(q, (hrtime, cpu_seqno, q, pid)) FILTER (WHERE event = 'block_rq_complete') AS qc, arg_max(q, (hrtime, cpu_seqno, q, pid)) FILTER (WHERE event = 'block_rq_insert') AS qi,
+         arg_max(rw, (hrtime, cpu_seqno, q, pid)) FILTER (WHERE event = 'block_rq_complete') AS rw, arg_max(cpu_seqno, (hrtime, cpu_seqno, q, pid)) FILTER (WHERE event = 'block_rq_issue') AS seqno
   FROM n GROUP BY hostname, dev, sector, req),
 rq AS (
   SELECT hostname, dev, sector, req, rw, coalesce(qs, qc, qi) AS nr_sectors, coalesce(i, s) AS insert_ts, s AS issue_ts, c AS complete_ts,
@@ -726,3 +726,294 @@ def c7(spark, sf):
 @query("c8_errors", CALLS + "SELECT hostname, CASE WHEN err = 1 THEN -ret END AS errno, count(*) AS n FROM calls2 GROUP BY 1, 2")
 def c8(spark, sf):
     return calls_of(spark, sf).groupBy("hostname", sc.errno(F.col("ret")).alias("errno")).agg(F.count("*").alias("n"))
+
+
+# Second profile, rules, reports, sinks, streams.
+
+
+def win_events(spark, sf):
+    """The events table as events of the second profile; what a column means depends on the kind."""
+    e = ad.flat_events(spark, sf)
+    return e.select(
+        "hostname", "hrtime", "cpu", "cpu_seqno", F.col("usr").alias("pid"), "k", "value", "event_type", F.col("usr").alias("old_tid"), F.expr("usr + 1").alias("new_tid"), F.expr("if(k % 3 = 0, 'Ready', 'Waiting')").alias("old_state"), F.expr("concat('reason', k % 4)").alias("wait_reason"),
+        F.expr("usr").alias("tid"), F.expr("array(bigint(k))").alias("stack"), F.expr("bigint(k % 10)").alias("caller"), F.expr("bigint(k)").alias("spins"), F.expr("bigint(k * 3)").alias("wait_cycles"), F.expr("bigint(k * 5)").alias("held_cycles"), F.expr("k % 4").alias("vector"), F.expr("concat('r', k % 4)").alias("routine"),
+        F.expr("bigint(k * 100)").alias("duration"), F.expr("bigint(k % 6)").alias("dev"), F.expr("bigint(k * 8)").alias("sector"), F.expr("bigint(k * 512 + 512)").alias("bytes"), F.expr("bigint(k + 1)").alias("response_ticks"), F.expr("bigint(k % 9)").alias("file_object"), F.expr("concat('f', k)").alias("file_name"),
+        F.expr("bigint(k * 16 + 3)").alias("pc"), F.expr("k % 2 = 0").alias("user"), F.expr("k % 11 = 0").alias("dpc"), F.expr("concat('10.0.0.', usr % 3)").alias("lip"), F.expr("1000 + k % 4").alias("lport"), F.expr("concat('10.0.1.', k % 5)").alias("rip"), F.expr("80 + k % 2").alias("rport"), F.expr("bigint(k % 50)").alias("address"),
+    )
+
+
+def named(df, **kinds):
+    """Rows of the given event types under the names that an operator of the second profile knows."""
+    name = F.lit(None)
+    for old, new in kinds.items():
+        name = F.when(F.col("event_type") == old, new).otherwise(name)
+    return df.withColumn("event", name).where("event is not null")
+
+
+from .operators import win  # noqa: E402
+
+
+@query("x1_win_states")
+def x1(spark, sf):
+    return win.task_state_intervals(named(win_events(spark, sf), click="cswitch", purchase="ready", view="stack")).groupBy("hostname", "state").agg(F.count("*").alias("n"), F.sum("ns").alias("ns"))
+
+
+@query("x2_wait_reasons")
+def x2(spark, sf):
+    return win.wait_reasons(win.task_state_intervals(named(win_events(spark, sf), click="cswitch", purchase="ready", view="stack")))
+
+
+@query("x3_nested_syscalls")
+def x3(spark, sf):
+    return win.pair_syscalls_nested(named(win_events(spark, sf), signup="sys_enter", error="sys_exit"))
+
+
+@query("x4_spin_stats", f"WITH {EV} SELECT hostname, CAST(k % 10 AS BIGINT) AS caller, count(*) AS cnt, CAST(sum(k) AS BIGINT) AS spins, CAST(sum(k * 3) AS BIGINT) AS wait_cycles, CAST(sum(k * 5) AS BIGINT) AS held_cycles FROM ev WHERE event_type = 'click' GROUP BY 1, 2")
+def x4(spark, sf):
+    return win.spin_stats(named(win_events(spark, sf), click="spinlock"))
+
+
+@query("x5_isr_dpc", f"WITH {EV} SELECT hostname, CASE event_type WHEN 'click' THEN 'hard' ELSE 'soft' END AS kind, k % 4 AS irq, count(*) AS cnt, CAST(sum(k * 100) AS BIGINT) AS time_ns FROM ev WHERE event_type IN ('click', 'view') GROUP BY 1, 2, 3")
+def x5(spark, sf):
+    return win.isr_dpc_stats(named(win_events(spark, sf), click="isr", view="dpc")).select("hostname", "kind", "irq", "cnt", "time_ns")
+
+
+@query("x6_profile", f"WITH {EV}, s AS (SELECT hostname, cpu, CASE WHEN k % 11 = 0 THEN 'INTR' WHEN usr = 0 THEN 'IDLE' WHEN k % 2 = 0 THEN 'USER' ELSE 'SYS' END AS state FROM ev WHERE event_type = 'view') SELECT hostname, cpu, count(*) AS total, count(*) FILTER (WHERE state = 'USER') AS usr, count(*) FILTER (WHERE state = 'SYS') AS sys, count(*) FILTER (WHERE state = 'IDLE') AS idle, count(*) FILTER (WHERE state = 'INTR') AS intr FROM s GROUP BY 1, 2")
+def x6(spark, sf):
+    return stacks.profile_states(win.profile_samples(named(win_events(spark, sf), view="sample"))).select("hostname", "cpu", "total", "usr", "sys", "idle", "intr")
+
+
+@query("x7_disk", f"""WITH {EV}, d AS (SELECT hostname, CAST(k % 6 AS BIGINT) AS dev, unnest([CASE event_type WHEN 'click' THEN 0 ELSE 1 END, NULL]) AS rw, CAST((k + 1) AS BIGINT) * 1000000000 // 1000000 AS serv, k + 1 AS sectors FROM ev WHERE event_type IN ('click', 'view'))
+SELECT hostname, dev, rw, count(*) AS ios, CAST(sum(sectors) AS BIGINT) AS sectors, CAST(sum(serv) AS BIGINT) AS serv_ns, max(serv) AS max_serv_ns FROM d GROUP BY 1, 2, 3""")
+def x7(spark, sf):
+    return win.io_stats(named(win_events(spark, sf), click="disk_read", view="disk_write"), 1_000_000).select("hostname", "dev", "rw", "ios", "sectors", "serv_ns", "max_serv_ns")
+
+
+@query("x8_fileobj", f"WITH {EV}, e AS (SELECT hostname, usr AS pid, CAST(k % 9 AS BIGINT) AS file_object, event_type, k, last_value(CASE WHEN event_type = 'signup' THEN 'f' || k END IGNORE NULLS) OVER (PARTITION BY hostname, k % 9 ORDER BY hrtime, cpu_seqno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS name FROM ev WHERE event_type IN ('click', 'view', 'signup')) SELECT hostname, pid, file_object, name, count(*) FILTER (WHERE event_type = 'click') AS reads, count(*) FILTER (WHERE event_type = 'view') AS writes FROM e WHERE event_type <> 'signup' GROUP BY 1, 2, 3, 4")
+def x8(spark, sf):
+    return win.fileobj_stats(named(win_events(spark, sf), click="file_read", view="file_write", signup="file_name")).select("hostname", "pid", "file_object", "name", "reads", "writes")
+
+
+@query("x9_net", f"WITH {EV} SELECT hostname, '10.0.0.' || (usr % 3) AS lip, count(*) AS n, CAST(sum(k * 512 + 512) AS BIGINT) AS bytes FROM ev WHERE event_type IN ('click', 'view') GROUP BY 1, 2")
+def x9(spark, sf):
+    s = win.net_stats(named(win_events(spark, sf), click="send", view="recv")).where("level = 'lip'")
+    return s.select("hostname", "lip", (F.col("rx") + F.col("tx")).alias("n"), (F.col("rx_bytes") + F.col("tx_bytes")).alias("bytes"))
+
+
+@query("x10_tcp_events", f"WITH {EV} SELECT hostname, '10.0.0.' || (usr % 3) AS lip, 1000 + k % 4 AS lport, '10.0.1.' || (k % 5) AS rip, 80 + k % 2 AS rport, count(*) FILTER (WHERE event_type = 'click') AS connect, count(*) FILTER (WHERE event_type = 'view') AS retransmit FROM ev WHERE event_type IN ('click', 'view') GROUP BY 1, 2, 3, 4, 5")
+def x10(spark, sf):
+    return win.tcp_events(named(win_events(spark, sf), click="connect", view="retransmit")).select("hostname", "lip", "lport", "rip", "rport", "connect", "retransmit")
+
+
+@query("x11_dims", f"WITH {EV} SELECT hostname, usr AS pid, arg_max('f' || k, (hrtime, cpu_seqno)) AS name FROM ev WHERE event_type = 'click' GROUP BY 1, 2")
+def x11(spark, sf):
+    d = named(win_events(spark, sf), click="service").withColumnRenamed("file_name", "name").withColumns({"parent": F.lit(0), "base": F.lit(0), "size": F.lit(0)})
+    return win.win_dims(d)["services"]
+
+
+from .plans import reports, rules  # noqa: E402
+
+
+@query("d1_rules_cpu", CPU + "SELECT hostname, 'cpu_bottleneck' AS code FROM (SELECT hostname, sum(idle_ns) AS i, sum(idle_ns + busy_ns) AS t FROM cpus GROUP BY hostname) WHERE 100.0 * i / t < 60")
+def d1(spark, sf):
+    return rules.rules_cpu(states.global_cpu_time(cpus_of(spark, sf)), None, 60.0, 101.0).select("hostname", "code")
+
+
+@query("d2_rules_runq", LAT + "SELECT hostname, CAST(pid AS VARCHAR) AS evidence FROM lat GROUP BY hostname, pid HAVING max(latency_us) > 100000")
+def d2(spark, sf):
+    return rules.rules_runq(states.runq_stats(latencies_of(spark, sf))).select("hostname", "evidence")
+
+
+@query("d3_rules_disk", REQS + "SELECT hostname, CAST(dev AS VARCHAR) AS evidence FROM st WHERE rw IS NULL AND serv_ns / ios / 1e6 > 95000000")
+def d3(spark, sf):
+    return rules.rules_disk(blockio.io_stats(io_of(spark, sf)), serv_ms=95_000_000.0).where("code = 'disk_service'").select("hostname", "evidence")
+
+
+@query("d4_rules_irq")
+def d4(spark, sf):
+    s = power.irq_stats(irqs_of(spark, sf)).withColumns({"name": F.expr("if(irq % 2 = 0, 'TASKLET', 'BLOCK')"), "cnt": F.expr("cnt * 100000")})
+    return rules.rules_irq(s, 86_400.0)
+
+
+@query("d5_rules_profile", PROF + ", f AS (SELECT hostname, state, p_name AS func, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY hostname) AS pct FROM s JOIN part ON p_partkey = k WHERE state <> 'IDLE' GROUP BY 1, 2, 3) SELECT hostname, func AS evidence FROM f WHERE func LIKE 'small%' AND pct > 1")
+def d5(spark, sf):
+    f = stacks.profile_funcs(stacks.symbolize(stacks.profile_samples(ad.profile_trace(spark, sf)), ad.symbols(spark, sf), "pc"))
+    return rules.rules_profile(f, [("small%", 1.0, 0, "hot_function")]).select("hostname", "evidence")
+
+
+@query("d6_rules_stack")
+def d6(spark, sf):
+    words = ad.table(spark, sf, "conversations").select(F.expr("concat('h', conv_id % 2)").alias("hostname"), F.slice(F.split("text", " "), 1, 8).alias("stack")).groupBy("hostname", "stack").agg(F.count("*").alias("hits"))
+    return rules.rules_stack(words, "hits", [(["the", "of", "de", "la", "der"], 1, "hot_stack")])
+
+
+@query("d7_rules_syscall", CALLS + "SELECT hostname, CAST(sum(err) AS BIGINT)::VARCHAR AS evidence FROM calls2 WHERE syscallno = 5 GROUP BY hostname HAVING sum(err) > 100")
+def d7(spark, sf):
+    return rules.rules_syscall(syscalls.syscall_stats(calls_of(spark, sf), "host"), semget=5).where("code = 'semget_errors'").select("hostname", "evidence")
+
+
+@query("d8_rules_host", "SELECT 'h' || (s_suppkey % 2) AS hostname, s_name AS evidence FROM supplier WHERE s_acctbal < 100")
+def d8(spark, sf):
+    facts = ad.table(spark, sf, "supplier").select(F.expr("concat('h', s_suppkey % 2)").alias("hostname"), F.lit("node_free_mb").alias("kind"), F.col("s_name").alias("key"), F.col("s_acctbal").cast("string").alias("value"))
+    return rules.rules_host(facts).where("code = 'node_free'").select("hostname", "evidence")
+
+
+def all_events(spark, sf):
+    """Every kind of event that the adapters make, as one trace."""
+    parts = [ad.task_trace(spark, sf), ad.block_trace(spark, sf), ad.profile_trace(spark, sf), ad.cpu_trace(spark, sf), ad.memory_trace(spark, sf)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("d9_findings")
+def d9(spark, sf):
+    return reports.host_findings(reports.Shared(all_events(spark, sf), ad.topology(spark)), seconds=86_400.0)
+
+
+def section(name, part):
+    """A registered query for one section of a report."""
+
+    def run(spark, sf):
+        t, top = all_events(spark, sf), ad.topology(spark)
+        found = {"p1": lambda: reports.host_report(t, top, devices=devices(spark, sf)), "p2": lambda: reports.all_reports(t, top), "p3": lambda: reports.task_report(t, top, 20), "p4": lambda: reports.cluster_report(t, top)}[name]()
+        return found[part]
+
+    return run
+
+
+for _name, _part in (("p1", "2.2.2 run-queue statistics"), ("p1", "4.2.1 busiest disks"), ("p2", "disk"), ("p3", "scheduler activity"), ("p4", "tasks by run time")):
+    query(f"{_name}_{_part.split(' ', 1)[-1].replace(' ', '_').replace('-', '_')}")(section(_name, _part))
+
+
+@query("p5_io_scatter", REQS + "SELECT hostname, issue_ts AS time, dev AS device, rw, sector, nr_sectors AS length, insert_pid AS qpid, issue_pid AS spid, qtm AS qtime, svtm AS svctime FROM rq ORDER BY time, hostname, device, sector, length, spid LIMIT 20000")
+def p5(spark, sf):
+    return reports.io_scatter(io_of(spark, sf))
+
+
+@query("p5_futex_scatter")
+def p5b(spark, sf):
+    return reports.futex_scatter(futex_of(spark, sf))
+
+
+@query("p5_task_switches", f"WITH {EV} SELECT hostname, hrtime, cpu, CASE event_type WHEN 'click' THEN 'out' WHEN 'view' THEN 'in' ELSE 'wake' END AS kind FROM ev WHERE usr = 20 AND event_type IN ('click', 'view', 'purchase')")
+def p5c(spark, sf):
+    return reports.task_switches(ad.task_trace(spark, sf), 20).select("hostname", "hrtime", "cpu", "kind")
+
+
+@query("s13_report_csv", REQS + "SELECT hostname, dev, ios, sectors FROM st WHERE rw IS NULL")
+def s13(spark, sf):
+    from .sources.sinks import write_report_csv
+    from .streaming.drive import folder
+
+    path = folder(spark, "report")
+    write_report_csv(blockio.io_stats(io_of(spark, sf)).where("rw is null").select("hostname", "dev", "ios", "sectors"), path)
+    return spark.read.option("header", True).schema("hostname string, dev bigint, ios bigint, sectors bigint").csv(path)
+
+
+@query("s14_pid_json")
+def s14(spark, sf):
+    from .sources.sinks import pid_tree
+
+    return pid_tree(graph.wakeup_edges(woken_of(spark, sf))).select("hostname", "pid", "cnt", "sleep_ns", F.to_json("syscalls").alias("tree"))
+
+
+@query("a20_aio_stats")
+def a20(spark, sf):
+    """Each request of the block trace as an asynchronous operation: submitted when inserted, complete when done."""
+    t = ad.block_trace(spark, sf)
+    iocb = F.expr("blk.dev * 1000000 + blk.sector + cpu_seqno * 100000000000")
+    sub = t.where("event = 'block_rq_insert'").select("hostname", "pid", F.lit(syscalls.IO_SUBMIT).alias("syscallno"), F.array(F.lit(1).cast("long")).alias("args"), F.col("hrtime").alias("enter"), F.col("hrtime").alias("exit"), F.array(F.struct(iocb.alias("iocb"), F.col("blk.cmd_flags").cast("int").alias("op"), F.lit(3).alias("fd"), F.col("blk.sector").alias("offset"), F.col("blk.bytes").alias("nbytes"))).alias("iocbs"))
+    got = t.where("event = 'block_rq_complete'").select("hostname", "pid", F.lit(syscalls.IO_GETEVENTS).alias("syscallno"), F.array(F.lit(1).cast("long")).alias("args"), F.col("hrtime").alias("enter"), F.col("hrtime").alias("exit"), F.array(F.struct(iocb.alias("obj"), F.col("blk.bytes").alias("res"))).alias("io_events"))
+    return syscalls.aio_stats(syscalls.pair_aio(sub.unionByName(got, allowMissingColumns=True)))
+
+
+@query("j6_pair_aio")
+def j6(spark, sf):
+    return a20(spark, sf).select("hostname", "pid", "rd_cnt", "wr_cnt")
+
+
+@query("j12_lineage", f"WITH {EV} SELECT DISTINCT hostname, usr + 100000 AS pid, usr AS ppid FROM ev WHERE event_type = 'signup'")
+def j12(spark, sf):
+    e = ad.flat_events(spark, sf).where("event_type = 'signup'")
+    calls = e.select("hostname", F.col("usr").alias("pid"), F.col("usr").alias("tgid"), F.lit(syscalls.FORK).alias("syscallno"), F.array(F.lit(0).cast("long")).alias("args"), F.expr("usr + 100000").alias("ret"), F.col("hrtime").alias("exit"), F.lit(None).cast("string").alias("filename"))
+    return syscalls.lineage(calls).select("hostname", "pid", "ppid").distinct()
+
+
+def customers_as_tasks(spark, sf):
+    c = ad.table(spark, sf, "customer")
+    return c.select(F.expr("concat('h', c_custkey % 2)").alias("hostname"), F.col("c_custkey").alias("pid"), F.expr("c_custkey - c_custkey % 4").alias("tgid"), F.expr("bigint(floor(abs(c_acctbal)))").alias("run_ns"), F.lit(1).cast("long").alias("runq_ns"), F.lit(2).cast("long").alias("sys_ns"), F.lit(3).cast("long").alias("sleep_ns"), F.expr("bigint(c_nationkey)").alias("rss"), "c_mktsegment")
+
+
+CONT = "WITH t AS (SELECT 'h' || (c_custkey % 2) AS hostname, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment ELSE 'system' END AS container, CAST(floor(abs(c_acctbal)) AS BIGINT) AS r, c_nationkey AS m FROM customer), g AS (SELECT hostname, container, count(*) AS tasks, CAST(sum(r) AS BIGINT) AS run_ns, CAST(sum(m) AS BIGINT) AS rss FROM t GROUP BY 1, 2)\n"
+
+
+def containers_of(spark, sf):
+    t = customers_as_tasks(spark, sf)
+    return dims.container_stats(t.withColumn("tgid", F.col("pid")), t.where("pid % 5 = 0").select("hostname", "pid", F.col("c_mktsegment").alias("name")))
+
+
+@query("a32_container_stats", CONT + "SELECT * FROM g")
+def a32(spark, sf):
+    return containers_of(spark, sf).select("hostname", "container", "tasks", "run_ns", "rss")
+
+
+@query("t9_top_containers", CONT + "SELECT * FROM g ORDER BY run_ns DESC, hostname, container LIMIT 5")
+def t9(spark, sf):
+    return topn.top_containers(containers_of(spark, sf), "run_ns", 5).select("hostname", "container", "tasks", "run_ns", "rss")
+
+
+@query("a34_ora_roles", "SELECT 'h' || (c_custkey % 2) AS hostname, 'db' || (c_custkey % 3) AS sid, CASE c_custkey % 4 WHEN 0 THEN 'lgwr' ELSE 'dbw' END AS role, count(*) AS tasks, CAST(sum(CAST(floor(abs(c_acctbal)) AS BIGINT)) AS BIGINT) AS run_ns FROM customer WHERE c_custkey % 4 < 2 GROUP BY 1, 2, 3")
+def a34(spark, sf):
+    t = customers_as_tasks(spark, sf)
+    p = t.select("hostname", "pid", F.expr("concat(case pid % 4 when 0 then 'ora_lgwr_db' when 1 then 'ora_dbw0_db' else 'bash_x_db' end, pid % 3)").alias("cmd"))
+    return stacks.ora_roles(t, p).select("hostname", "sid", "role", "tasks", "run_ns")
+
+
+def stream_of(spark, sf, trace):
+    """A trace written as files, and read as a stream."""
+    from .streaming import live
+    from .streaming.drive import folder
+
+    path = folder(spark, "stream-in")
+    trace.write.parquet(path)
+    return live.stream_trace(spark, path, "60 days")
+
+
+@query("z2_live_stats", f"WITH {EV}, t AS (SELECT hostname, hrtime // {24 * HOUR} AS d, CASE event_type WHEN 'signup' THEN 'sys_enter' WHEN 'error' THEN 'sys_exit' WHEN 'purchase' THEN 'sched_wakeup' ELSE 'sched_switch' END AS event FROM ev) SELECT hostname, d AS day, event, count(*) AS n FROM t GROUP BY 1, 2, 3")
+def z2(spark, sf):
+    from .streaming import drive, live
+
+    out = drive.drained(live.live_stats(stream_of(spark, sf, ad.task_trace(spark, sf)), "1 day"), "append")
+    rest = live.live_stats(live.with_event_time(ad.task_trace(spark, sf)), "1 day")  # windows that the watermark has not closed
+    return rest.join(out, ["start", "hostname", "event"], "left_anti").select(out.columns).unionByName(out).select("hostname", F.expr("datediff(start, date '1970-01-01')").cast("long").alias("day"), "event", "n")
+
+
+@query("z3_stream_syscalls", CALLS + "SELECT hostname, pid, syscallno, enter, exit, elapsed, ret FROM calls")
+def z3(spark, sf):
+    from .streaming import drive, live
+
+    return drive.drained(live.stream_pair_syscalls(stream_of(spark, sf, ad.task_trace(spark, sf)), 1 << 40))
+
+
+@query("z3_stream_block", REQS + "SELECT hostname, dev, sector, insert_ts, issue_ts, complete_ts, qtm, svtm FROM rq")
+def z3b(spark, sf):
+    from .streaming import drive, live
+
+    return drive.drained(live.stream_pair_block(stream_of(spark, sf, ad.block_trace(spark, sf)), 1 << 40))
+
+
+@query("z4_stream_states")
+def z4(spark, sf):
+    from .streaming import drive, live
+
+    return drive.drained(live.stream_task_states(stream_of(spark, sf, ad.task_trace(spark, sf)), 24 * HOUR)).groupBy("hostname", "pid", "state").agg(F.sum("ns").alias("ns"))
+
+
+@query("z5_live_top", f"WITH {EV} SELECT hostname, k % 8 AS syscallno, count(*) AS n FROM ev WHERE event_type = 'signup' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY hostname ORDER BY count(*) DESC, k % 8) <= 3")
+def z5(spark, sf):
+    from .streaming import live
+
+    rows = live.view_rows(ad.task_trace(spark, sf), "syscall").groupBy("hostname", "syscallno").agg(F.count("*").alias("n"))
+    return topn.top_n_per(rows, ["hostname"], "n", 3, ["syscallno"])

@@ -31,7 +31,7 @@ def pair_block_io(df: DataFrame, resolve: bool = False) -> DataFrame:
     or less insert where there was no issue. With ``resolve`` an issue without an insert of its sector takes one that lies inside of it.
     """
     e = _requests(df)
-    at = lambda name, value: F.max_by(value, F.when(F.col("event") == name, F.struct("hrtime", "cpu_seqno")))
+    at = lambda name, value: F.max_by(value, F.when(F.col("event") == name, F.struct("hrtime", "cpu_seqno", "nr_sectors", "pid")))
     r = e.groupBy(*KEY, "req").agg(
         at("block_rq_insert", F.col("hrtime")).alias("ins"), at("block_rq_issue", F.col("hrtime")).alias("iss"), at("block_rq_complete", F.col("hrtime")).alias("complete_ts"),
         at("block_rq_insert", F.col("pid")).alias("ins_pid"), at("block_rq_issue", F.col("pid")).alias("iss_pid"),

@@ -113,7 +113,8 @@ def format_time(df: DataFrame, mode: str = "rel", anchor_ns: int = 0, name: str
     if mode == "rel":
         return df.join(F.broadcast(bounds(df).select("hostname", "t0")), "hostname").withColumn(name, (F.col("hrtime") - F.col("t0")) / 1e9).drop("t0")
     wall = F.col("hrtime") + anchor_ns
-    value = {"abs": F.col("hrtime"), "epoch": wall / 1e9, "fmt": F.date_format(F.timestamp_micros(F.floor(wall / 1000).cast("long")), "yyyy-MM-dd HH:mm:ss.SSSSSS")}[mode]
+    micros = F.expr(f"(hrtime + {anchor_ns}) div 1000")  # whole numbers: a double cannot hold the nanoseconds of today
+    value = {"abs": F.col("hrtime"), "epoch": wall / 1e9, "fmt": F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd HH:mm:ss.SSSSSS")}[mode]
     return df.withColumn(name, value)
 
 

@@ -90,13 +90,17 @@ def profile_stacks(samples: DataFrame, by: tuple[str, ...] = ("hostname",)) -> D
 DB_WAITS = [("log file sync", "kcrf_commit_force", None), ("buffer busy", "kcbzwb", None), ("latch", "ksl_get_shared_latch", None), ("latch", "kslgetl", None), ("enqueue", "ksqcmi", None), ("db file read", "kcbzib", None), ("sql net", "opitsk", "nttrd"), ("idle", "ksbwait", None), ("post wait", "kskthbwt", None)]
 
 
+def _begins(stack: str, prefix: str) -> Column:
+    return F.exists(stack, lambda x: x.startswith(prefix))
+
+
 def ora_waits(slept: DataFrame, by: tuple[str, ...] = ("hostname", "pid"), stack: str = "stack", rules: list = DB_WAITS) -> DataFrame:
     """Sleeps of database tasks by the first rule that a frame of their symbolised stack fits."""
     kind = F.lit(None).cast("string")
     for name, prefix, earlier in reversed(rules):
-        test = F.exists(stack, lambda x, p=prefix: x.startswith(p))
+        test = _begins(stack, prefix)
         if earlier:
-            test = test & F.exists(stack, lambda x, p=earlier: x.startswith(p))
+            test = test & _begins(stack, earlier)
         kind = F.when(test, name).otherwise(kind)
     return slept.withColumn("wait", kind).where("wait is not null").groupBy(*by, "wait").agg(F.count("*").alias("cnt"), F.expr("sum(ns) div count(*)").alias("avg_ns"), F.max("ns").alias("max_ns"), F.sum("ns").alias("sleep_ns"))
 
