@@ -202,7 +202,7 @@ def exploded(docs: DataFrame, hot, parts: list[int], alpha: float, is_corpus: bo
                 score.append(mine)
                 base += len(count)
             blank = {k: [b""] for k in ("doc", "s", "w2")}
-            yield {"n": [0], "part": [0], "run": [name], "g": [_ids(ids)], "m": [np.concatenate(words).astype("<i8").tobytes()], "w1": [np.concatenate(score).tobytes()]} | blank
+            yield {"n": [0], "part": [TaskContext.get().partitionId()], "run": [name], "g": [_ids(ids)], "m": [np.concatenate(words).astype("<i8").tobytes()], "w1": [np.concatenate(score).tobytes()]} | blank
             for n, entries in ((1, one), (2, two)):
                 yield _pack(n, parts[n - 1], name, *(np.concatenate(x) for x in zip(*entries, strict=True)))
 
@@ -214,14 +214,17 @@ def _ids(ids: list) -> bytes:
     return np.array([x is None for x in ids], bool).tobytes() + np.array([x or 0 for x in ids], "<i8").tobytes()
 
 
-def joined(entries: DataFrame, order: int, parts: list[int], alpha: float, words: int) -> DataFrame:
-    """Sum the counts of each group and join them to its documents' n-grams.
+def joined(entries: DataFrame, orders: tuple[int, ...], parts: list[int], alpha: float, hot) -> DataFrame:
+    """Sum the counts of each group and join them to its documents' n-grams; rows of order 0 go through as they are.
 
     Gives rows of ``ENTRIES``: sums for runs (n = -1: document places in doc, scores in w1), and
-    for bigrams that are not the corpus's own the words to ask for (n = 1).
+    for bigrams that are not the corpus's own the words to ask for (n = 1), unless they are hot.
     """
 
     def work(key, table):
+        order = key[0].as_py()
+        if order == 0:
+            return table
         cat = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         sizes = [len(x) // 8 for x in table.column("g").to_pylist()]
         runs = table.column("run").to_pylist()
@@ -244,9 +247,12 @@ def joined(entries: DataFrame, order: int, parts: list[int], alpha: float, words
             if order == 2 and not own:
                 k = np.concatenate([np.arange(carried[r] - sizes[r], carried[r]) for r in rows])
                 lost = count[i] == 0
-                v = np.where(lost, s[i] * (np.log(alpha) - np.log(max(words, 1))), v)
+                v = np.where(lost, s[i] * (np.log(alpha) - np.log(max(hot.value.words, 1))), v)
                 word, sign = np.where(lost, w2[k], w1[k]), np.where(lost, s[i], -s[i])
-                dd, x, sign = _sum_pairs(d, word, sign)
+                j = place(hot.value.keys[0], word)
+                v = v + sign * np.append(np.log(np.maximum(hot.value.counts[0], 1)), 0.0)[j]
+                rest = j == len(hot.value.keys[0])
+                dd, x, sign = _sum_pairs(d[rest], word[rest], sign[rest])
                 out.append(_pack(1, parts[0], run, dd, x, sign * 0, sign))
             local, at = np.unique(d, return_inverse=True)
             total = np.bincount(at, weights=v, minlength=len(local))
@@ -254,7 +260,7 @@ def joined(entries: DataFrame, order: int, parts: list[int], alpha: float, words
         kinds = {"n": pa.int32(), "part": pa.int32(), "run": pa.string()}
         return pa.table({c: pa.array([x for o in out for x in o[c]], kinds.get(c, pa.binary())) for c in ("n", "part", "run", "doc", "g", "m", "s", "w1", "w2")})
 
-    return entries.where(F.col("n") == order).groupBy("part").applyInArrow(work, ENTRIES)
+    return entries.where(F.col("n").isin(*orders)).groupBy("n", "part").applyInArrow(work, ENTRIES)
 
 
 def summed(sums: DataFrame) -> DataFrame:
@@ -280,13 +286,13 @@ def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, alpha: floa
     known = Hot(corpus or docs, hot)
     parts = [max(1, -(-n // GROUP)) for n in known.entries]
     held = spark.sparkContext.broadcast(known)
-    entries = staged(exploded(docs, held, parts, alpha, corpus is None), "entries", "none")
-    asked = entries if corpus is None else entries.unionByName(counted(corpus, held, parts))
-    two = joined(asked, 2, parts, alpha, known.words)
-    if corpus is not None:
-        two = staged(two, "bigrams")
-        asked = asked.unionByName(two.where("n = 1"))
-    one = joined(asked, 1, parts, alpha, known.words)
+    entries = exploded(docs, held, parts, alpha, corpus is None)
+    if corpus is None:
+        return summed(joined(entries, (0, 1, 2), parts, alpha, held))
+    entries = staged(entries, "entries")
+    asked = entries.unionByName(counted(corpus, held, parts))
+    two = staged(joined(asked, (2,), parts, alpha, held), "bigrams")
+    one = joined(asked.unionByName(two.where("n = 1")), (1,), parts, alpha, held)
     return summed(entries.where("n = 0").unionByName(two.where("n < 0")).unionByName(one.where("n < 0")))
 
 
