@@ -687,7 +687,7 @@ def j18(spark, sf):
 # Column expressions.
 
 
-@query("c1_decode_flags", "SELECT o_orderkey, CASE WHEN o_custkey % 8 = 0 THEN 'RUN' ELSE array_to_string(list_filter([CASE WHEN o_custkey % 2 = 1 THEN 'INTERRUPTIBLE' END, CASE WHEN o_custkey // 2 % 2 = 1 THEN 'UNINTERRUPTIBLE' END, CASE WHEN o_custkey // 4 % 2 = 1 THEN 'STOPPED' END], x -> x IS NOT NULL), '|') END AS state FROM orders")
+@query("c1_decode_flags", "SELECT o_orderkey, CASE WHEN o_custkey % 8 = 0 THEN 'RUN' ELSE array_to_string(list_filter([CASE WHEN o_custkey % 2 = 1 THEN 'INTERRUPTIBLE' END, CASE WHEN o_custkey // 2 % 2 = 1 THEN 'UNINTERRUPTIBLE' END, CASE WHEN o_custkey // 4 % 2 = 1 THEN 'STOPPED' END], lambda x: x IS NOT NULL), '|') END AS state FROM orders")
 def c1(spark, sf):
     return ad.table(spark, sf, "orders").select("o_orderkey", sc.task_state_str(F.expr("o_custkey % 8")).alias("state"))
 

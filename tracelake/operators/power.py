@@ -48,7 +48,7 @@ def power_intervals(df: DataFrame) -> DataFrame:
 def power_stats(df: DataFrame) -> DataFrame:
     """Per CPU and state: time and share; and per CPU the number of events, changes of frequency and its bounds, repeated on each of its rows."""
     r = power_intervals(df).groupBy("hostname", "cpu", "cstate").agg(F.sum("ns").alias("ns"))
-    r = r.withColumn("pct", 100 * F.col("ns") / F.sum("ns").over(Window.partitionBy("hostname", "cpu")))
+    r = r.withColumn("pct", 100.0 * F.col("ns") / F.sum("ns").over(Window.partitionBy("hostname", "cpu")))
     f = df.where("event in ('power_start', 'power_end', 'power_freq')").groupBy("hostname", F.coalesce("pwr.tgt_cpu", "cpu").alias("cpu")).agg(
         F.count_if(F.col("event") != "power_freq").alias("events"), F.count_if(F.col("event") == "power_freq").alias("freq_changes"), F.max(F.when(F.col("event") == "power_freq", F.col("pwr.freq"))).alias("freq_hi"), F.min(F.when(F.col("event") == "power_freq", F.col("pwr.freq"))).alias("freq_lo"))
     return r.join(f, ["hostname", "cpu"])

@@ -71,19 +71,19 @@ def profile_states(samples: DataFrame, by: tuple[str, ...] = ("hostname", "cpu")
     """Samples of each state and their share of the busy and idle total."""
     n = lambda s: F.count_if(F.col("state") == s)
     out = samples.groupBy(*by).agg(F.count("*").alias("total"), n("USER").alias("usr"), n("SYS").alias("sys"), n("IDLE").alias("idle"), n("INTR").alias("intr"))
-    return out.withColumns({f"{c}_pct": 100 * F.col(c) / F.col("total") for c in ("usr", "sys", "idle", "intr")})
+    return out.withColumns({f"{c}_pct": 100.0 * F.col(c) / F.col("total") for c in ("usr", "sys", "idle", "intr")})
 
 
 def profile_funcs(symbolized: DataFrame, by: tuple[str, ...] = ("hostname",)) -> DataFrame:
     """Samples outside of idle by state and function, with the share of all of the host; addresses without a symbol are unknown of their state."""
     busy = symbolized.where("state <> 'IDLE'").withColumn("func", F.coalesce("sym", F.concat(F.lit("UNKNOWN_"), F.col("state"))))
     out = busy.groupBy(*by, "state", "func").agg(F.count("*").alias("hits"))
-    return out.withColumn("pct", 100 * F.col("hits") / F.sum("hits").over(Window.partitionBy("hostname")))
+    return out.withColumn("pct", 100.0 * F.col("hits") / F.sum("hits").over(Window.partitionBy("hostname")))
 
 
 def profile_stacks(samples: DataFrame, by: tuple[str, ...] = ("hostname",)) -> DataFrame:
     out = samples.where("state <> 'IDLE'").groupBy(*by, "state", "stack").agg(F.count("*").alias("hits"))
-    return out.withColumn("pct", 100 * F.col("hits") / F.sum("hits").over(Window.partitionBy("hostname")))
+    return out.withColumn("pct", 100.0 * F.col("hits") / F.sum("hits").over(Window.partitionBy("hostname")))
 
 
 #: Kinds of waits of a database task by the beginning of a frame's name, in order; an entry may need an earlier frame (fixed values).

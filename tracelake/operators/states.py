@@ -161,7 +161,7 @@ _CPU_SUMS = ["total_ns", "busy_ns", "sys_ns", "user_ns", "irq_ns", "idle_ns", "s
 def node_cpu_time(cpus: DataFrame) -> DataFrame:
     """Nodes (ldom), hosts (ldom null) and all hosts (hostname null) as sums of CPUs, with their number and the busy share."""
     out = cpus.rollup("hostname", "ldom").agg(F.count("*").alias("n_cpus"), *[F.sum(c).alias(c) for c in _CPU_SUMS])
-    return out.withColumn("busy_pct", F.when(F.col("total_ns") > 0, 100 * F.col("busy_ns") / F.col("total_ns")))
+    return out.withColumn("busy_pct", F.when(F.col("total_ns") > 0, 100.0 * F.col("busy_ns") / F.col("total_ns")))
 
 
 def global_cpu_time(cpus: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def msr_stats(df: DataFrame, by: str = "pid") -> DataFrame:
     keys = ["hostname", by]
     out = d.groupBy(*keys).agg(*[F.sum(F.col("d")[i]).alias(n) for i, n in enumerate(names)])
     ratio = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b))
-    return out.withColumns({"llc_hit_pct": F.when(F.col("llc_ref") != 0, 100 * (F.col("llc_ref") - F.col("llc_miss")) / F.col("llc_ref")), "cpi": ratio("cycles", "instrs"), "clock_ratio": ratio("act_clk", "ref_clk")})
+    return out.withColumns({"llc_hit_pct": F.when(F.col("llc_ref") != 0, 100.0 * (F.col("llc_ref") - F.col("llc_miss")) / F.col("llc_ref")), "cpi": ratio("cycles", "instrs"), "clock_ratio": ratio("act_clk", "ref_clk")})
 
 
 def wakeup_streaks(df: DataFrame) -> DataFrame:
@@ -323,4 +323,4 @@ def trace_counts(df: DataFrame, by: str = "event") -> DataFrame:
     """Events by type, task, or both, with their share of all events of the host."""
     keys = {"event": ["event"], "pid": ["pid"], "pid_event": ["pid", "event"]}[by]
     out = df.groupBy("hostname", *keys).agg(F.count("*").alias("n"))
-    return out.withColumn("pct", 100 * F.col("n") / F.sum("n").over(Window.partitionBy("hostname")))
+    return out.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("hostname")))

@@ -35,7 +35,7 @@ def timeline(df: DataFrame, intervals: DataFrame, every_ms: int = 100, by: tuple
 def with_pct(df: DataFrame, col: str, group: tuple[str, ...] = ("hostname",), name: str | None = None) -> DataFrame:
     """The share of a column in its group's total."""
     total = F.sum(col).over(Window.partitionBy(*group))
-    return df.withColumn(name or f"{col}_pct", F.when(total != 0, 100 * F.col(col) / total))
+    return df.withColumn(name or f"{col}_pct", F.when(total != 0, 100.0 * F.col(col) / total))
 
 
 def pareto(df: DataFrame, value: str, pct: float = 95.0, group: tuple[str, ...] = ("hostname",), tie: tuple[str, ...] = ()) -> DataFrame:
@@ -43,7 +43,7 @@ def pareto(df: DataFrame, value: str, pct: float = 95.0, group: tuple[str, ...]
     w = Window.partitionBy(*group).orderBy(F.desc(value), *tie)
     total = F.sum(value).over(Window.partitionBy(*group))
     before = F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = df.withColumns({"rank": F.row_number().over(w), "_before": 100 * before / total, "running_pct": 100 * (before + F.col(value)) / total})
+    out = df.withColumns({"rank": F.row_number().over(w), "_before": 100.0 * before / total, "running_pct": 100.0 * (before + F.col(value)) / total})
     return out.where(F.col("_before") < pct).drop("_before")
 
 

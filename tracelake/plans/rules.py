@@ -31,7 +31,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def rules_cpu(hosts: DataFrame, power: DataFrame | None = None, idle_pct: float = 10.0, steal_pct: float = 10.0) -> DataFrame:
     """From CPU times per host (global_cpu_time) and power statistics."""
-    idle, steal = 100 * F.col("idle_ns") / F.col("total_ns"), 100 * F.col("steal_ns") / F.col("total_ns")
+    idle, steal = 100.0 * F.col("idle_ns") / F.col("total_ns"), 100.0 * F.col("steal_ns") / F.col("total_ns")
     parts = [finding(hosts.where(idle < idle_pct), "cpu_bottleneck", F.round(idle, 2)), finding(hosts.where(steal >= steal_pct), "cpu_steal", F.round(steal, 2))]
     if power is not None:
         parts.append(finding(power.where("cstate > 1 and ns > 0"), "power_saving", F.col("cstate")))
