@@ -44,7 +44,8 @@ def task_points(df: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
         .when(ev.isin("irq_handler_exit", "softirq_exit"), F.array(point(F.col("pid"), "irq-")))
         .when((ev == "hardclock") & sample.isNotNull(), F.array(point(F.col("pid"), "sample", mode=sample)))
     )
-    points = df.select("hostname", "hrtime", "cpu", "cpu_seqno", F.explode(rows).alias("p")).select("hostname", "hrtime", "cpu", "cpu_seqno", "p.*").where("pid > 0")
+    head = ["hostname", "hrtime", "cpu", "cpu_seqno", *(["event_time"] if "event_time" in df.columns else [])]
+    points = df.select(*head, F.explode(rows).alias("p")).select(*head, "p.*").where("pid > 0")
     if gaps is None:
         return points
     w = Window.partitionBy("hostname", "pid").orderBy("hrtime", "cpu_seqno")

@@ -195,7 +195,7 @@ def stream_task_states(stream: DataFrame, every_ns: int = 5_000_000_000) -> Data
     """Time of each task in each state and window, in parts: sum them by (hostname, pid, start, state)."""
     from ..operators.states import task_points
 
-    points = task_points(stream).where("kind in ('in', 'out', 'wake', 'enter', 'exit')").withColumn("event_time", F.timestamp_micros(F.expr("hrtime div 1000"))).withWatermark("event_time", "2 seconds")
+    points = task_points(stream).where("kind in ('in', 'out', 'wake', 'enter', 'exit')")
     return points.select("hostname", "pid", "hrtime", "cpu", "cpu_seqno", "kind", "asleep", "event_time").groupBy("hostname", "pid").transformWithStateInPandas(TaskStates(every_ns), STATES, "Append", "EventTime")
 
 
