@@ -36,8 +36,8 @@ from . import textops as tx
 from .common import column, scan, staged, texts_of
 
 HOT = 1 << 16
-RUN_WORDS = 1 << 21
-GROUP = 1 << 21
+RUN_WORDS = 1 << 19
+GROUP = 1 << 20
 ALPHA = 0.4
 
 #: Entries of one run and group: order, group, run, place of the document in the run, hash, occurrences to count, weight in the score,
@@ -57,8 +57,10 @@ def _runs(batches):
     for batch in batches:
         ids = column(batch, "doc_id").to_pylist() if "doc_id" in batch.schema.names else None
         for first, texts in tx.chunks(texts_of(batch)):
-            held.append((ids and ids[first : first + len(texts)], tx.Words(texts, tx.ALNUM)))
-            words += len(held[-1][1].hash)
+            w = tx.Words(texts, tx.ALNUM)
+            w.data = w.buf = w.start = w.end = None  # a run needs the hashes only
+            held.append((ids and ids[first : first + len(texts)], w))
+            words += len(w.hash)
             if words >= RUN_WORDS:
                 yield held
                 held, words = [], 0
@@ -88,8 +90,7 @@ class Hot:
             for run in _runs(batches):
                 for n, g in enumerate(_grams(run), 1):
                     key, count = np.unique(g, return_counts=True)
-                    top = np.argpartition(count, -hot)[-hot:] if len(key) > hot else np.arange(len(key))
-                    top = top[count[top] > 1]
+                    top = np.flatnonzero((count > 1) & (count * hot > len(g)))  # as frequent as a hot one is at least
                     yield {"n": np.full(len(top) + 1, n), "g": np.append(tx.to_signed(key[top]), 0), "c": np.append(count[top], len(g)), "total": np.arange(len(top) + 1) == len(top)}
 
         local = staged(scan(texts, frequent, "n int, g long, c long, total boolean"), "frequent")
