@@ -34,7 +34,7 @@ def read_trace_text(spark: SparkSession, path: str, hostname: str = "localhost")
     v = lambda name, kind="bigint": F.expr(f"try_cast(tail['{name}'] as {kind})")
     list_ = lambda name: F.expr(f"transform(split(tail['{name}'], ','), x -> try_cast(x as bigint))")
     event = part(6)
-    fam = lambda test, name, **values: F.when(test, family(name, **values)).alias(name)
+    fam = lambda test, _fam, **values: F.when(test, family(_fam, **values)).alias(_fam)
     out = e.select(
         F.lit(hostname).alias("hostname"), F.lit("text").alias("capture_id"), F.when(F.col("ok"), part(1).cast("bigint") * 1_000_000_000 + F.rpad(part(2), 9, "0").cast("bigint")).alias("hrtime"),
         F.when(F.col("ok"), event).alias("event"), F.when(F.col("ok"), part(3).cast("int")).alias("cpu"), F.when(F.col("ok"), F.coalesce(v("seqno"), F.monotonically_increasing_id())).alias("cpu_seqno"),
@@ -86,7 +86,7 @@ def read_open_files(spark: SparkSession, path: str) -> DataFrame:
     ends = r"^\[?([0-9a-fA-F.:*]+?)\]?:(\d+|\*)(?:->\[?([0-9a-fA-F.:]+?)\]?:(\d+))?"
     sock = F.col("ftype").isin("IPv4", "IPv6")
     a = lambda k: F.when(sock, F.nullif(F.regexp_extract("fname", ends, k), F.lit("")))
-    major, minor = (F.expr(f"try_cast(split(device, ',')[{k}] as bigint)") for k in (0, 1))
+    major, minor = (F.expr(f"try_cast(get(split(device, ','), {k}) as bigint)") for k in (0, 1))
     return f.select("host", "pid", "fd", "ftype", (F.shiftleft(major, 20) + minor).alias("dev"), F.expr("try_cast(node as bigint)").alias("node"), "fname", a(1).alias("laddr"), a(2).try_cast("int").alias("lport"), a(3).alias("raddr"), a(4).try_cast("int").alias("rport"))
 
 
