@@ -55,7 +55,7 @@ def wait_graph(edges: DataFrame, totals: DataFrame, root: int, depth: int = 2, m
     An edge counts if its sleep is at least ``min_pct`` of the sleeper's total sleep; each task adds its ``top_n`` edges by sleep. Depth is the
     least. Links are all counted edges between nodes. The loop runs over levels, not rows; a cluster cuts its lineage with checkpoint().
     """
-    cuts = bool(edges.sparkSession.conf.get("spark.checkpoint.dir", None)) or edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    cuts = bool(edges.sparkSession.conf.get("spark.checkpoint.dir", None))
     e = edges.where(~F.col("waker").isin(list(skip)) & ~F.col("sleeper").isin(list(skip))).groupBy("hostname", "waker", "sleeper").agg(F.sum("cnt").alias("cnt"), F.sum("sleep_ns").alias("sleep_ns"))
     e = e.join(totals.select("hostname", F.col("pid").alias("sleeper"), "sleep_total"), ["hostname", "sleeper"]).where(100.0 * F.col("sleep_ns") >= min_pct * F.col("sleep_total")).select("hostname", "waker", "sleeper", "cnt", "sleep_ns")
     both = e.select("hostname", F.col("sleeper").alias("at"), F.col("waker").alias("to"), "sleep_ns").union(e.select("hostname", F.col("waker").alias("at"), F.col("sleeper").alias("to"), "sleep_ns"))
