@@ -16,7 +16,8 @@ With d = 1 - Jaccard, two documents link when d <= 1 - threshold =: e.
    if they lie within e of an outer member.
 5. Those remaining members are joined in cells of alike set sizes and in blocks of bounded
    size: a large cell is split into blocks and each pair of blocks is one task group. Pairs
-   with enough necessary shingles in common are verified on the whole sets.
+   with enough necessary shingles in common are verified on the whole sets, unless links to
+   pivots connect them already.
 6. Components are found over the links of class representatives and given to all copies.
 
 Defined cases: null or empty text, or text without words, has an empty set, n_shingles
@@ -39,6 +40,8 @@ SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
 #: Members of a block of the remaining join; a task group holds two blocks.
 BLOCK = 256
+#: Members that are compared with their pivot in one task group.
+MEMBERS = 512
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -113,46 +116,61 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return scan(docs.select("doc_id", "text"), sign, "doc_id long, n_shingles long, h1 long, h2 long, need array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc_id and its set as bytes, for the documents with these (distinct) ids only."""
+def with_overlap(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """Pairs (pivot, doc_id) with the size of the intersection (both) and of the union (either) of their sets.
+
+    The sets are made where the texts are read and go to their pivots once: members of a pivot are dealt over cells of about ``MEMBERS``, and each cell gets the
+    pivot's set too.
+    """
+    pairs = pairs.select("pivot", "doc_id").distinct()
+    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("k"))
+    members = pairs.join(sized(staged(sizes, "pivots"), 40), "pivot").select("doc_id", "pivot", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("part"))
+    pivots = sizes.select(F.col("pivot").alias("doc_id"), "pivot", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
+    goals = staged(members.union(pivots).groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "part")).alias("goals")), "goals")
 
     def work(batches):
         for batch in batches:
-            ids = column(batch, "doc_id")
+            ids, lists = column(batch, "doc_id").to_pylist(), column(batch, "goals")
             for first, texts in tx.chunks(texts_of(batch)):
-                yield {"doc_id": ids.slice(first, len(texts)), "shingles": [s.tobytes() for s in shingle_sets(texts, n)]}
-
-    wanted = docs.select("doc_id", "text").join(sized(ids.select("doc_id"), 16), "doc_id", "left_semi")
-    return scan(wanted, work, "doc_id long, shingles binary")
+                out = {"pivot": [], "part": [], "doc_id": [], "shingles": []}
+                for i, s in enumerate(shingle_sets(texts, n), first):
+                    data = s.tobytes()
+                    for goal in lists[i].as_py():
+                        for name, value in zip(out, (goal["pivot"], goal["part"], ids[i], data), strict=True):
+                            out[name].append(value)
+                yield out
 
+    sent = scan(docs.select("doc_id", "text").join(sized(goals, 128), "doc_id"), work, "pivot long, part int, doc_id long, shingles binary")
 
-def with_overlap(pairs: DataFrame) -> DataFrame:
-    """Replace the two sets of each pair by the size of their intersection and of their union."""
+    def overlap(key, table):
+        import pyarrow as pa
 
-    def work(batches):
-        for batch in batches:
-            both, either = [], []
-            for a, b in zip(column(batch, "sa"), column(batch, "sb"), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                small, large = (a, b) if len(a) < len(b) else (b, a)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                k = int((large[at] == small).sum())
-                both.append(k)
-                either.append(len(a) + len(b) - k)
-            yield {"pivot": column(batch, "pivot"), "doc_id": column(batch, "doc_id"), "both": both, "either": either}
+        pivot = key[0].as_py()
+        ids = table.column("doc_id").to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        out = {"doc_id": [], "both": [], "either": []}
+        for a in (s for i, s in zip(ids, sets, strict=True) if i == pivot):
+            for i, b in zip(ids, sets, strict=True):
+                if i != pivot:
+                    small, large = (a, b) if len(a) < len(b) else (b, a)
+                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                    k = int((large[at] == small).sum())
+                    for name, value in zip(out, (i, k, len(a) + len(b) - k), strict=True):
+                        out[name].append(value)
+        return pa.table({"pivot": pa.array([pivot] * len(out["both"]), pa.int64()), **{c: pa.array(v, pa.int64()) for c, v in out.items()}})
 
-    return scan(pairs.select("pivot", "doc_id", "sa", "sb"), work, "pivot long, doc_id long, both long, either long")
+    return sent.groupBy("pivot", "part").applyInArrow(overlap, "pivot long, doc_id long, both long, either long")
 
 
 def joined_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Candidates (pivot, doc_id) among the members (pivot, cell, doc_id, n, outer, blocks, need) of each cell, block pair by block pair."""
+    """Candidates (pivot, doc_id) among the members (pivot, cell, doc_id, n, label, blocks, need) of each cell with different labels, block pair by block pair."""
     placed = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("pivot", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "outer", "need")
+    placed = placed.select("pivot", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "label", "need")
 
     def pairs(key, table):
         import pyarrow as pa
 
-        ids, n, outer = (np.array(table.column(c).to_pylist()) for c in ("doc_id", "n", "outer"))
+        ids, n, label = (np.array(table.column(c).to_pylist()) for c in ("doc_id", "n", "label"))
         need = table.column("need").combine_chunks()
         row = np.repeat(np.arange(len(ids)), np.diff(need.offsets.to_numpy()))
         _, at, count = np.unique(need.flatten().to_numpy(), return_inverse=True, return_counts=True)
@@ -168,7 +186,7 @@ def joined_blocks(members: DataFrame, percent: int) -> DataFrame:
             both += m @ m.T
         rest = -(-n * percent // 100) - 1
         can = (both > 0) & ((both + np.maximum(rest[:, None], rest[None, :])) * (100 + percent) >= percent * (n[:, None] + n[None, :]))
-        x, y = np.nonzero(can & (outer[:, None] | outer[None, :]))
+        x, y = np.nonzero(can & (label[:, None] != label[None, :]))
         keep = ids[x] < ids[y]
         return pa.table({"pivot": pa.array(ids[x[keep]], pa.int64()), "doc_id": pa.array(ids[y[keep]], pa.int64())})
 
@@ -201,7 +219,7 @@ def enough(percent: int, both: str, m: str, n: str) -> str:
 
 
 def cells(rest: DataFrame, percent: int) -> DataFrame:
-    """The members of each region that have another member to be compared with: (pivot, cell, doc_id, n, outer, blocks).
+    """The members of each region that have another member to be compared with: (pivot, cell, doc_id, n, label, blocks).
 
     Linked sets differ in size by a factor of at most 100 / percent. With sizes on a
     logarithmic scale of that step, a member goes to the cell of its size and to the next.
@@ -210,10 +228,10 @@ def cells(rest: DataFrame, percent: int) -> DataFrame:
     level = F.floor(F.log("n") / step + 1e-9)
     placed = rest.withColumn("level", level).withColumn("cell", F.explode(F.array(F.col("level"), F.col("level") + 1))).withColumn("own", F.col("level") == F.col("cell"))
     sizes = placed.groupBy("pivot", "cell").agg(
-        F.count("*").alias("k"), F.max("own").alias("own"), F.max("outer").alias("some"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks")
+        F.count("*").alias("k"), F.max("own").alias("own"), (F.min("label") != F.max("label")).alias("some"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks")
     )
     sizes = sizes.where("k > 1 AND own AND some").select("pivot", "cell", "blocks")
-    return placed.join(sized(staged(sizes, "cells"), 40), ["pivot", "cell"]).select("pivot", "cell", "doc_id", "n", "outer", "blocks")
+    return placed.join(sized(staged(sizes, "cells"), 40), ["pivot", "cell"]).select("pivot", "cell", "doc_id", "n", "label", "blocks")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -225,13 +243,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     near = F.expr(f"100 * both >= {percent} * either")
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
-        """Sizes of intersection and union of candidate pairs (pivot, doc_id), from the texts of the documents that they name."""
-        pairs = staged(pairs, f"{name}-pairs")
-        named = staged(pairs.select("doc_id").union(pairs.select("pivot")).distinct(), f"{name}-named")
-        sets = staged(sets_of(docs, named, n), f"{name}-sets")
-        a = sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("sa"))
-        b = sets.select("doc_id", F.col("shingles").alias("sb"))
-        return staged(with_overlap(pairs.join(b, "doc_id").join(a, "pivot")), f"{name}-measured")
+        return staged(with_overlap(docs, staged(pairs, f"{name}-pairs"), n), f"{name}-measured")
 
     region = staged(regions(held), "regions")
     mine, theirs = lists.select("doc_id", F.col("need").alias("a")), lists.select(F.col("doc_id").alias("pivot"), F.col("need").alias("b"))
@@ -248,14 +260,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     members = staged(members, "members")
     outer = members.where("outer").groupBy("pivot").agg(F.min("far").alias("least"))
     rest = members.join(sized(staged(outer, "outer"), 32), "pivot").where(F.col("outer") | (F.col("far") + e + slack >= F.col("least")))
-    rest = cells(rest, percent).join(lists, ["doc_id", "n"])
-    more = measured(joined_blocks(rest, percent).distinct().join(star, ["pivot", "doc_id"], "left_anti"), "rest")
-    links = star.where(near).union(more.where(near)).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.distinct())
+    # What the links to pivots connect already needs no comparison.
+    one = components(star.where(near).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
+    labels = one.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    rest = rest.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    rest = cells(staged(rest, "rest"), percent).join(lists, ["doc_id", "n"])
+    more = measured(joined_blocks(rest, percent).distinct().join(star, ["pivot", "doc_id"], "left_anti"), "rest").where(near)
+    ends = more.join(labels.withColumnRenamed("label", "lb"), "doc_id", "left").join(labels.select(F.col("doc_id").alias("pivot"), F.col("label").alias("la")), "pivot", "left")
+    two = components(ends.select(F.coalesce("la", "pivot").alias("a"), F.coalesce("lb", "doc_id").alias("b")).distinct())
+    nodes = one.union(two.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("label"))
+    found = nodes.join(two.select(F.col("node").alias("label"), "component"), "label", "left").select("node", F.coalesce("component", "label").alias("component"))
 
     classes = signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(labelled, ["h1", "h2"], "left")
+    # Written first, so that the join shuffles both sides by itself and a class of many copies can be split.
+    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(staged(labelled, "labelled"), ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
