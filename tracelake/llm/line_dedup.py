@@ -137,16 +137,16 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHAR
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The documents with their text rebuilt from the lines kept, and n_lines and n_removed."""
-    gone = removed_lines(docs, max_edits, min_chars).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("line_no").alias("gone"))
+    """The documents with their text rebuilt from the lines kept, and n_lines and n_removed (which replace columns of those names)."""
+    docs = docs.drop("n_lines", "n_removed")
+    gone = removed_lines(docs, max_edits, min_chars).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_list("line_no").alias("_gone"))
     gone = sized(staged(gone, "removed-lines"), 64)
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left")
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")), "left")
     lines = F.split("text", "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
     return out.select(
         *[F.col(c) if c != "text" else kept.alias("text") for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines") if "n_lines" not in docs.columns else F.lit(0).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed") if "n_removed" not in docs.columns else F.lit(0).cast("long").alias("_n_removed"),
+        F.coalesce(F.array_size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
