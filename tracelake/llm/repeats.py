@@ -10,7 +10,7 @@ ranks are kept only for positions that can still matter, in rounds of growing le
    same anchor at the same place. Anchors are ranked by their string; unique ones are dropped.
 2. An anchor stands for the starts up to ``length - GRAM`` bytes before it. If the string that joins all of
    them is repeated after the same anchor string, all are repeated and the anchor is past the threshold.
-3. The others are split into blocks of ``STEP`` starts. Rank pairs (anchor, string common to all starts
+3. The others are split into blocks of 32 and then 4 starts, of those for which the anchor is the least. Rank pairs (anchor, string common to all starts
    of a block) that are unique are dropped; blocks whose joined string is repeated are done.
 4. The remaining starts are ranked by their whole strings, one by one.
 
@@ -35,15 +35,16 @@ from . import textops as tx
 from .common import column, scan, sized, staged, texts_of
 
 GRAM = 100
-STEP = 32
+#: Starts in a block, round by round; each divides the one before.
+STEPS = (32, 4)
 PLACE_BITS = 24
 
 
-def window_least(h: np.ndarray, width: int) -> np.ndarray:
-    """Places of the least value of each window, the leftmost of equals by the top bits."""
+def window_least(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the least value of each window, the leftmost of equals by the top bits; first and last window that each is the least of)."""
     n = len(h) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     bits = max(PLACE_BITS, int(len(h)).bit_length())
     low = np.uint64((1 << bits) - 1)
     v = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -54,7 +55,8 @@ def window_least(h: np.ndarray, width: int) -> np.ndarray:
     ahead = np.minimum.accumulate(padded, 1).ravel()
     behind = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
     least = np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-    return np.unique(least & low).astype(np.int64)
+    place, first, count = np.unique(least & low, return_index=True, return_counts=True)
+    return place.astype(np.int64), first, first + count - 1
 
 
 def _split(batch, texts_per=tx.CHUNK):
@@ -66,27 +68,29 @@ def _split(batch, texts_per=tx.CHUNK):
 
 
 def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h1, h2, a, g): the anchors of each text and the rank of the string there."""
+    """(h1, h2, a, g, near, far): the anchors of each text, the rank of the string there, and how far before it its own starts begin and end."""
 
     def work(batches):
         for batch in batches:
             h1, h2 = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("h1", "h2"))
             for first, texts, ends, prefix in _split(batch):
-                row, at, rank = [], [], []
+                row, at, rank, near, far = [], [], [], [], []
                 for d, t in enumerate(texts):
                     if len(t) < length:
                         continue
                     s = np.arange(ends[d], ends[d + 1] - gram + 1)
                     g = tx.range_hash(prefix, s, s + gram)
-                    p = window_least(g, length - gram + 1)
+                    p, one, last = window_least(g, length - gram + 1)
                     row.append(np.full(len(p), first + d))
                     at.append(p)
                     rank.append(tx.to_signed(g[p]))
+                    near.append(p - last)
+                    far.append(p - one)
                 if row:
                     i = np.concatenate(row)
-                    yield {"h1": h1[i], "h2": h2[i], "a": np.concatenate(at), "g": np.concatenate(rank)}
+                    yield {"h1": h1[i], "h2": h2[i], "a": np.concatenate(at), "g": np.concatenate(rank), "near": np.concatenate(near), "far": np.concatenate(far)}
 
-    return scan(texts, work, "h1 long, h2 long, a long, g long")
+    return scan(texts, work, "h1 long, h2 long, a int, g long, near int, far int")
 
 
 def per_text(rows: DataFrame, *columns: str) -> DataFrame:
@@ -98,11 +102,11 @@ def with_texts(texts: DataFrame, gathered: DataFrame) -> DataFrame:
     return texts.join(sized(gathered, 256), ["h1", "h2"])
 
 
-def ranked(texts: DataFrame, rows: DataFrame, length: int, gram: int, step: int | None) -> DataFrame:
-    """Ranks of the blocks of each row (g, a, b): ``whole`` of the string that joins all starts of the block, ``core`` of what they have in common.
+def ranked(texts: DataFrame, rows: DataFrame, length: int, gram: int, step: int | None, span: int | None = None) -> DataFrame:
+    """Ranks of the blocks of each row (g, a, near, far, b): ``whole`` of the string that joins all starts of the block, ``core`` of what they have in common.
 
-    Without ``step``, b is ignored and there is one block of all starts; else b is expanded to the blocks of ``step`` starts in block
-    b of the round before (all, or STEP of them). Bytes outside of the text are like nothing else.
+    Without ``step`` there is one block of all starts that an anchor can have. Else the blocks of ``step`` starts that an anchor has of its own, with ``span`` only those
+    within its block b of so many. Bytes outside of the text are like nothing else; blocks without any start in the text are left out.
     """
     reach = length - gram
 
@@ -113,37 +117,39 @@ def ranked(texts: DataFrame, rows: DataFrame, length: int, gram: int, step: int
             for first, texts, ends, prefix in _split(batch):
                 part = lists.slice(first, len(texts))
                 inner = part.flatten()
-                g, a, b = (inner.field(c).to_numpy(zero_copy_only=False) for c in ("g", "a", "b"))
+                g, a, near, far, b = (inner.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("g", "a", "near", "far", "b"))
                 d = np.repeat(np.arange(len(texts)), np.diff(part.offsets.to_numpy()))
                 if step is None:
                     lo, hi = np.zeros(len(a), np.int64), np.full(len(a), reach)
                 else:
-                    span = STEP if step == 1 else -(-(reach + 1) // step) * step
-                    each = span // step
-                    lo = (np.repeat(b * span if step == 1 else np.zeros(len(b), np.int64), each) + np.tile(np.arange(each) * step, len(b))).astype(np.int64)
-                    g, a, d = (np.repeat(x, each) for x in (g, a, d))
-                    keep = lo <= reach
-                    g, a, d, lo = (x[keep] for x in (g, a, d, lo))
+                    each = (span or (reach // step + 1) * step) // step
+                    base = b * span if span else np.zeros(len(b), np.int64)
+                    lo = np.repeat(base, each) + np.tile(np.arange(each) * step, len(b))
+                    g, a, d, near, far = (np.repeat(x, each) for x in (g, a, d, near, far))
+                    keep = (lo <= far) & (lo + step > near)
+                    g, a, d, lo, near, far = (x[keep] for x in (g, a, d, lo, near, far))
                     hi = np.minimum(lo + step - 1, reach)
                 size = np.diff(ends)[d]
-                own = tx.mix(h1[first + d].view(np.uint64) + a.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) ^ h2[first + d].view(np.uint64)
+                own = tx.mix(h1[first + d].view(np.uint64) + (a - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) ^ h2[first + d].view(np.uint64)
 
                 def rank(start, end):
                     inside = (start >= 0) & (end <= size)
                     h = tx.range_hash(prefix, ends[d] + np.clip(start, 0, size), ends[d] + np.clip(end, 0, size), 7)
                     return np.where(inside, h, own), inside
 
-                whole, full = rank(a - hi, a - lo + length)
-                core, some = rank(a - lo, a - hi + length)
-                keep = some  # a string that every start of the block holds does not exist: no start does
-                i = first + d[keep]
-                yield {"h1": h1[i], "h2": h2[i], "g": g[keep], "a": a[keep], "lo": lo[keep], "hi": hi[keep], "whole": tx.to_signed(whole[keep]), "core": tx.to_signed(core[keep])}
+                whole, _ = rank(a - hi, a - lo + length)
+                core, some = rank(a - lo, a - hi + length)  # some: where no start holds the common string there is none
+                i = first + d[some]
+                out = {"h1": h1[i], "h2": h2[i], "g": g[some], "a": a[some], "near": near[some], "far": far[some], "lo": lo[some], "hi": hi[some], "whole": tx.to_signed(whole[some])}
+                yield out if step == 1 else out | {"core": tx.to_signed(core[some])}
 
-    return scan(with_texts(texts, per_text(rows, "g", "a", "b")), work, "h1 long, h2 long, g long, a long, lo long, hi long, whole long, core long")
+    gathered = per_text(rows, "g", "a", "near", "far", "b")
+    return scan(with_texts(texts, gathered), work, "h1 long, h2 long, g long, a int, near int, far int, lo int, hi int, whole long" + ("" if step == 1 else ", core long"))
 
 
 def place():
-    return F.struct("h1", "h2", "a")
+    """A rank for the place of a block: equal strings at one place only are not repeated."""
+    return F.xxhash64("h1", "h2", F.col("a") - F.col("lo"))
 
 
 def repeated(rows: DataFrame, *key: str) -> DataFrame:
@@ -153,33 +159,41 @@ def repeated(rows: DataFrame, *key: str) -> DataFrame:
 
 def decided(rows: DataFrame, name: str) -> DataFrame:
     """Rows with ``done`` (their joined string is repeated) and ``one`` (done rows: the least place of their string)."""
-    found = repeated(rows, "g", "lo", "whole").withColumn("done", F.lit(True))
-    out = rows.join(found, ["g", "lo", "whole"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    return staged(out.withColumn("one", F.col("done") & (F.col("least") == place())).drop("least"), name)
+    rows = staged(rows, name)
+    out = rows.join(repeated(rows, "g", "whole"), ["g", "whole"], "left")
+    return staged(out.withColumn("done", F.col("least").isNotNull()).withColumn("one", F.coalesce(F.col("least") == place(), F.lit(False))).drop("least", "whole"), f"{name}-decided")
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(texts found more than once as h1, h2; spans of repeated bytes of the other texts as h1, h2, start, end)."""
-    texts = docs.select("h1", "h2", "text").where(F.octet_length("text") >= length)
-    copies = staged(texts.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "copies")
+    texts = docs.select("doc_id", "h1", "h2", "text").where(F.octet_length("text") >= length)
+    copies = staged(texts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1"), "copies")
+    # From here on each text once; all strings of the others repeat anyway.
+    texts = texts.join(sized(copies.select("h1", "h2", "first"), 32), ["h1", "h2"], "left").where("first IS NULL OR doc_id = first").select("h1", "h2", "text")
     found = anchors(texts, length, gram)
-    often = staged(found.groupBy("g").agg(F.min(place()).alias("least"), F.max(place()).alias("most")).where("least <> most").select("g"), "anchor-ranks")
-    rows = staged(found.join(sized(often, 16), "g").select("h1", "h2", "a", "g", F.lit(0).alias("b")).distinct(), "anchors")
-
-    one = decided(ranked(texts, rows, length, gram, None).distinct(), "anchors-ranked")
-    open_ = staged(one.where("NOT done").select("g").distinct(), "anchors-open")
-    rows = one.where("NOT done OR one").join(sized(open_, 16), "g").select("h1", "h2", "a", "g", F.lit(0).alias("b"))
-
-    two = decided(ranked(texts, rows, length, gram, STEP).distinct(), "blocks-ranked")
-    common = two.groupBy("g", "lo", "core").agg(F.min(place()).alias("least"), F.max(place()).alias("most"), F.max(~F.col("done")).alias("open")).where("least <> most AND open")
-    common = staged(common.select("g", "lo", "core"), "blocks-open")
-    rows = two.where("NOT done OR one").join(sized(common, 32), ["g", "lo", "core"]).select("h1", "h2", "a", "g", F.floor(F.col("lo") / STEP).cast("int").alias("b"))
-
-    three = staged(ranked(texts, rows, length, gram, 1).distinct(), "starts-ranked")
-    single = three.join(repeated(three, "g", "lo", "whole").select("g", "lo", "whole"), ["g", "lo", "whole"], "left_semi")
-    done = one.where("done").select("h1", "h2", "a", "lo", "hi").union(two.where("done").select("h1", "h2", "a", "lo", "hi")).union(single.select("h1", "h2", "a", "lo", "hi"))
+    rows = staged(found, "anchors")
+    at = F.xxhash64("h1", "h2", "a")
+    often = staged(rows.groupBy("g").agg(F.min(at).alias("least"), F.max(at).alias("most")).where("least <> most").select("g"), "anchor-ranks")
+    rows = rows.join(sized(often, 16), "g").withColumn("b", F.lit(0))
+
+    one = decided(ranked(texts, rows, length, gram, None), "all-starts")
+    open_ = staged(one.where("NOT done").select("g").distinct(), "open-anchors")
+    rows = one.where("NOT done OR one").join(sized(open_, 16), "g").withColumn("b", F.lit(0))
+
+    cols = ["h1", "h2", "a", "lo", "hi"]
+    done, span = one.where("done").select(cols), None
+    for step in STEPS:
+        part = decided(ranked(texts, rows, length, gram, step, span), f"blocks-{step}")
+        common = part.groupBy("g", "core").agg(F.min(place()).alias("least"), F.max(place()).alias("most"), F.max(~F.col("done")).alias("open")).where("least <> most AND open")
+        common = staged(common.select("g", "core"), f"open-{step}")
+        rows = part.where("NOT done OR one").join(sized(common, 24), ["g", "core"]).withColumn("b", F.floor(F.col("lo") / step).cast("int"))
+        done, span = done.union(part.where("done").select(cols)), step
+
+    last = staged(ranked(texts, rows, length, gram, 1, span), "starts")
+    again = staged(repeated(last, "g", "whole").select("g", "whole"), "repeated-starts")
+    done = done.union(last.join(sized(again, 24), ["g", "whole"], "left_semi").select(cols))
     spans = done.select("h1", "h2", (F.col("a") - F.col("hi")).alias("start"), (F.col("a") - F.col("lo") + length).alias("end"))
-    return copies, spans
+    return copies.select("h1", "h2"), spans
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
@@ -188,7 +202,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
         raise ValueError("gram is shorter than length")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
     copies, spans = repeated_spans(docs, length, gram)
-    gathered = spans.distinct().groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    gathered = spans.groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     marks = gathered.join(copies.withColumn("all", F.lit(True)), ["h1", "h2"], "full_outer")
     marks = sized(staged(marks, "spans"), 512)
 
