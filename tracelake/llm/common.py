@@ -35,9 +35,11 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a join side for broadcast if its counted rows fit the limit; otherwise leave it to a shuffled join."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, items: str | None = None, item_bytes: int = 0) -> DataFrame:
+    """Mark a join side for broadcast if its counted rows, and the counted items of an array column, fit the limit; otherwise leave it to a shuffled join."""
+    counts = [F.count("*").alias("rows"), F.coalesce(F.sum(F.array_size(items)), F.lit(0)).alias("items")] if items else [F.count("*").alias("rows"), F.lit(0).alias("items")]
+    found = df.agg(*counts).first()
+    return F.broadcast(df) if found["rows"] * row_bytes + found["items"] * item_bytes <= limit else df
 
 
 def input_partitions(df: DataFrame) -> int:

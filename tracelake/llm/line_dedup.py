@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS)
     """The documents with their text rebuilt from the lines kept, and n_lines and n_removed (which replace columns of those names)."""
     docs = docs.drop("n_lines", "n_removed")
     gone = removed_lines(docs, max_edits, min_chars).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_list("line_no").alias("_gone"))
-    gone = sized(staged(gone, "removed-lines"), 64)
+    gone = sized(staged(gone, "removed-lines"), 64, items="_gone", item_bytes=4)
     out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")), "left")
     lines = F.split("text", "\n")
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))

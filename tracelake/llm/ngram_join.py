@@ -140,7 +140,7 @@ def with_overlap(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
                             out[name].append(value)
                 yield out
 
-    sent = scan(docs.select("doc_id", "text").join(sized(goals, 128), "doc_id"), work, "pivot long, part int, doc_id long, shingles binary")
+    sent = scan(docs.select("doc_id", "text").join(sized(goals, 64, items="goals", item_bytes=24), "doc_id"), work, "pivot long, part int, doc_id long, shingles binary")
 
     def overlap(key, table):
         import pyarrow as pa

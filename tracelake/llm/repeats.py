@@ -99,7 +99,7 @@ def per_text(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def with_texts(texts: DataFrame, gathered: DataFrame) -> DataFrame:
-    return texts.join(sized(gathered, 256), ["h1", "h2"])
+    return texts.join(sized(staged(gathered, "gathered"), 64, items="rows", item_bytes=32), ["h1", "h2"])
 
 
 def ranked(texts: DataFrame, rows: DataFrame, length: int, gram: int, step: int | None, span: int | None = None) -> DataFrame:
@@ -160,7 +160,8 @@ def repeated(rows: DataFrame, *key: str) -> DataFrame:
 def decided(rows: DataFrame, name: str) -> DataFrame:
     """Rows with ``done`` (their joined string is repeated) and ``one`` (done rows: the least place of their string)."""
     rows = staged(rows, name)
-    out = rows.join(repeated(rows, "g", "whole"), ["g", "whole"], "left")
+    # Written first, so that the join shuffles both sides by itself and a string of many places can be split.
+    out = rows.join(staged(repeated(rows, "g", "whole"), f"{name}-repeated"), ["g", "whole"], "left")
     return staged(out.withColumn("done", F.col("least").isNotNull()).withColumn("one", F.coalesce(F.col("least") == place(), F.lit(False))).drop("least", "whole"), f"{name}-decided")
 
 
@@ -174,11 +175,11 @@ def repeated_spans(docs: DataFrame, length: int, gram: int = GRAM) -> tuple[Data
     rows = staged(found, "anchors")
     at = F.xxhash64("h1", "h2", "a")
     often = staged(rows.groupBy("g").agg(F.min(at).alias("least"), F.max(at).alias("most")).where("least <> most").select("g"), "anchor-ranks")
-    rows = rows.join(sized(often, 16), "g").withColumn("b", F.lit(0))
+    rows = rows.join(sized(often, 64), "g").withColumn("b", F.lit(0))
 
     one = decided(ranked(texts, rows, length, gram, None), "all-starts")
     open_ = staged(one.where("NOT done").select("g").distinct(), "open-anchors")
-    rows = one.where("NOT done OR one").join(sized(open_, 16), "g").withColumn("b", F.lit(0))
+    rows = one.where("NOT done OR one").join(sized(open_, 64), "g").withColumn("b", F.lit(0))
 
     cols = ["h1", "h2", "a", "lo", "hi"]
     done, span = one.where("done").select(cols), None
@@ -186,12 +187,12 @@ def repeated_spans(docs: DataFrame, length: int, gram: int = GRAM) -> tuple[Data
         part = decided(ranked(texts, rows, length, gram, step, span), f"blocks-{step}")
         common = part.groupBy("g", "core").agg(F.min(place()).alias("least"), F.max(place()).alias("most"), F.max(~F.col("done")).alias("open")).where("least <> most AND open")
         common = staged(common.select("g", "core"), f"open-{step}")
-        rows = part.where("NOT done OR one").join(sized(common, 24), ["g", "core"]).withColumn("b", F.floor(F.col("lo") / step).cast("int"))
+        rows = part.where("NOT done OR one").join(sized(common, 64), ["g", "core"]).withColumn("b", F.floor(F.col("lo") / step).cast("int"))
         done, span = done.union(part.where("done").select(cols)), step
 
     last = staged(ranked(texts, rows, length, gram, 1, span), "starts")
     again = staged(repeated(last, "g", "whole").select("g", "whole"), "repeated-starts")
-    done = done.union(last.join(sized(again, 24), ["g", "whole"], "left_semi").select(cols))
+    done = done.union(last.join(sized(again, 64), ["g", "whole"], "left_semi").select(cols))
     spans = done.select("h1", "h2", (F.col("a") - F.col("hi")).alias("start"), (F.col("a") - F.col("lo") + length).alias("end"))
     return copies.select("h1", "h2"), spans
 
@@ -204,7 +205,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
     copies, spans = repeated_spans(docs, length, gram)
     gathered = spans.groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     marks = gathered.join(copies.withColumn("all", F.lit(True)), ["h1", "h2"], "full_outer")
-    marks = sized(staged(marks, "spans"), 512)
+    marks = sized(staged(marks, "spans"), 64, items="spans", item_bytes=24)
 
     def work(batches):
         for batch in batches:
