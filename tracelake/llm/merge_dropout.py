@@ -271,7 +271,7 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 1, streams: int =
         for batch in batches:
             ids, texts = column(batch, "doc_id"), column(batch, "text")
             stream = column(batch, "stream").to_numpy(zero_copy_only=False)
-            for first, some in tx.chunks(texts.to_pylist(), 16 * tx.CHUNK):
+            for first, some in tx.chunks(texts.to_pylist(), 2 * tx.CHUNK):
                 found, counts = encode_chunk(m, some, stream[first : first + len(some)], seed, dropout)
                 back = decode_chunk(m, found, counts)
                 ends = np.cumsum(counts)
