@@ -265,6 +265,7 @@ def test_license_scan(spark, rows):
     r = by[(401, "mit")]
     assert r.matched == lcs(split(mit), split(changed)) and r.coverage < 1
     assert {i for i, _ in by} == {400, 401, 402}
+    assert license_scan.scan_licenses(frame(spark, rows)).count() == 0
 
 
 def test_words_and_hashes():

@@ -151,7 +151,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, band
                 # A new candidate begins with another document or template, or a jump along the diagonals.
                 new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (diagonal[1:] - diagonal[:-1] > band)))) if len(p) else []
                 out = {"doc_id": [], "template": [], "matched": [], "coverage": [], "first_word": [], "end_word": []}
-                for a, b in zip(new, [*new[1:], len(p)], strict=True):
+                for a, b in zip(new, [*new[1:], len(p)] if len(new) else [], strict=True):
                     words = t.words[k[a]]
                     start, stop = w.offset[d[a]], w.offset[d[a] + 1]
                     low, high = int(diagonal[a] - start) - band, int(diagonal[b - 1] - start) + band
