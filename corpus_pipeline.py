@@ -18,9 +18,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand earlier, equal or one edit away; those of which nothing else is left go."""
+    """Documents without lines that stand earlier, equal or one edit away; those of which no line that takes part is left go.
+
+    Only lines of ``MIN_CHARS`` characters are removed. A document that loses all of its lines of that length is a copy whatever short
+    lines it has besides: they go with it, as a stub of them would no longer be like the original in the next stage.
+    """
     out = line_dedup.dedup_lines(docs)
-    out = out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    whole = F.exists(F.split("text", "\n"), lambda x: (F.length(x) >= line_dedup.MIN_CHARS) & (F.trim(F.regexp_replace(x, r"\s+", " ")) != ""))
+    out = out.where((F.col("n_removed") == 0) | whole)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
