@@ -4,12 +4,14 @@ Words are lower-cased runs of letters and digits. The fingerprints of a template
 winnowed hashes of its runs of ``GRAM`` words (the least of every ``WINNOW`` neighbours); they form an
 inverted index hash -> (template, place). A document is looked up at every word, so it is
 winnowed implicitly and no fingerprint of a template that stands in it can be missed. Hits of a
-template on nearby diagonals, closer than the template is long, are one candidate. The
-template is then aligned with that part of the document within a band of ``band`` words around
-the diagonals (equal words score, words may be missing on either side), giving the number of
-matched template words, its share of the template (coverage) and the span of document words.
-
-Candidates with a coverage of at least ``least`` are reported. Templates are few and given, so the index
+template that rise in both, with gaps of at most the template's length, are chained into one candidate;
+of the chains through a hit the one with most hits and least change of diagonal is taken. The
+template is then aligned with that part of the document within a band from ``band`` words below to ``band``
+words above the chain's diagonals (equal words score, words may be missing on either side), giving the number of
+matched template words, its share of the template (coverage) and the span of document words. A chain is
+two occurrences where both sides of a jump along the diagonals are enough by themselves.
+
+All occurrences with a coverage of at least ``least`` are reported, those of one template without overlap. Templates are few and given, so the index
 goes to every task; ``MAX_TEMPLATE_BYTES`` is checked.
 
 Defined cases: null or empty text, or a template without words, matches nothing; repeated rows
@@ -20,6 +22,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,6 +137,75 @@ def align(template: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[i
     return int(best[top]), int(begin[top]), int(end[top])
 
 
+def chains(p: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
+    """Hits, given by place in the document, as disjoint chains that rise in both, the best first."""
+    score, before = np.ones(len(p)), np.full(len(p), -1, np.int64)
+    begin = np.searchsorted(p, p - size, "left")
+    end = np.searchsorted(p, p, "left")
+    for i in range(len(p)):
+        j = slice(begin[i], end[i])
+        if begin[i] < end[i]:
+            gain = np.where(at[j] < at[i], score[j] - np.abs((p[i] - p[j]) - (at[i] - at[j])) / size, 0.0)
+            k = len(gain) - 1 - int(np.argmax(gain[::-1]))
+            if gain[k] > 0:
+                score[i], before[i] = 1 + gain[k], begin[i] + k
+    free, out = np.ones(len(p), bool), []
+    for i in np.argsort(-score, kind="stable"):
+        chain = []
+        while i >= 0 and free[i]:
+            free[i] = False
+            chain.append(i)
+            i = before[i]
+        if chain:
+            out.append(np.array(chain[::-1]))
+    return out
+
+
+def occurrences(words: np.ndarray, doc: np.ndarray, p: np.ndarray, at: np.ndarray, band: int, least: float) -> list[tuple[int, int, int]]:
+    """(first, end, matched words) of the occurrences of a template around its hits in a document, without overlap."""
+    size = len(words)
+
+    def enough(some: np.ndarray) -> bool:
+        return np.isin(words, some).sum() >= least * size  # no alignment matches more
+
+    def settle(p, at, lo, hi):
+        jump = np.abs(np.diff(p - at))
+        if len(jump) and jump.max() > band:
+            cut = int(jump.argmax()) + 1
+            left = settle(p[:cut], at[:cut], lo, int(p[cut]))
+            right = settle(p[cut:], at[cut:], left[-1][1], hi) if left else []
+            if right:
+                return left + right
+        diagonal = p - at
+        a, b = max(lo, int(diagonal[0]) - band), min(hi, int(diagonal[-1]) + size + band)
+        if b <= a or not enough(doc[a:b]):
+            return []
+        matched, one, end = align(words, doc[a:b], int(diagonal.min()) - band - a, int(diagonal.max()) + band - a)
+        return [(one + a, end + a, matched)] if matched >= least * size else []
+
+    found: list[tuple[int, int, int]] = []
+    if not enough(doc):
+        return found
+    order = np.lexsort((at, p))
+    p, at = p[order], at[order]
+    waiting = chains(p, at, size)[::-1]
+    while waiting:
+        chain = waiting.pop()
+        # The part of the chain in the first free stretch is settled; the rest, and what a finding elsewhere leaves of it, is tried again.
+        gap = np.array([bisect_right(found, (int(x), len(doc) + 1)) for x in p[chain]])
+        taken = np.array([g > 0 and found[g - 1][1] > x for g, x in zip(gap, p[chain], strict=True)])
+        chain, gap = chain[~taken], gap[~taken]
+        if not len(chain):
+            continue
+        g = int(gap[0])
+        here, rest = chain[gap == g], chain[gap != g]
+        lo, hi = found[g - 1][1] if g else 0, found[g][0] if g < len(found) else len(doc)
+        new = settle(p[here], at[here], lo, hi)
+        found = sorted(found + new)
+        waiting += [x for x in (rest, here if new else rest[:0]) if len(x)]
+    return found
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, band: int = BAND, least: float = LEAST) -> DataFrame:
     """doc_id, template, matched, coverage, first_word and end_word of each finding."""
     held = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))
@@ -145,18 +218,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, band
                 w = tx.Words(texts, tx.ALNUM)
                 p, k, at = t.hits(w)
                 d = w.doc[p]
-                diagonal = p - at
-                order = np.lexsort((diagonal, k, d))
-                p, k, d, diagonal = p[order], k[order], d[order], diagonal[order]
-                # A new candidate begins with another document or template, or a jump along the diagonals.
-                new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (diagonal[1:] - diagonal[:-1] > band)))) if len(p) else []
+                order = np.lexsort((k, d))
+                p, k, at, d = p[order], k[order], at[order], d[order]
+                new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))) if len(p) else []
                 out = {"doc_id": [], "template": [], "matched": [], "coverage": [], "first_word": [], "end_word": []}
                 for a, b in zip(new, [*new[1:], len(p)] if len(new) else [], strict=True):
                     words = t.words[k[a]]
                     start, stop = w.offset[d[a]], w.offset[d[a] + 1]
-                    low, high = int(diagonal[a] - start) - band, int(diagonal[b - 1] - start) + band
-                    matched, one, end = align(words, w.hash[start:stop], low, high)
-                    if matched >= least * len(words):
+                    for one, end, matched in occurrences(words, w.hash[start:stop], p[a:b] - start, at[a:b], band, least):
                         for c, v in zip(out, (ids[first + d[a]], t.names[k[a]], matched, matched / len(words), one, end), strict=True):
                             out[c].append(v)
                 yield out
