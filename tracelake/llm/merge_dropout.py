@@ -3,21 +3,21 @@
 A text becomes symbols, one per character, with white space as U+2581 and one such mark
 in front. Candidates are neighbouring symbols whose concatenation is a piece; they are
 processed best score first, ties leftmost first. Each candidate is skipped for good if a
-hash of (seed, stream, unit, place, length), read as a number in [0, 1), is under
-``dropout``; so a segmentation depends on the key alone, not on the order of processing,
-and can be reproduced on any executor. ``stream`` is a hash of doc_id modulo ``streams``:
-documents of different streams and runs with another seed segment the same words in
-different ways. With dropout 0 the result is that of the public library.
+hash of (seed, doc_id, unit, its place in the document, place in the unit, length), read as a
+number in [0, 1), is under ``dropout``; so a segmentation depends on the key alone, not on the
+order of processing, and can be reproduced on any executor. Every occurrence of a word is
+skipped by itself: within a document, across documents, and by seed. With dropout 0 the result is that of the public library.
 
 No piece holds the mark after another character, so a text falls apart into units that
-begin with a mark. The different units of a chunk of documents are encoded together,
-vectorised: each round merges the best candidate of every unit, which is the agenda order
+begin with a mark. The result of a unit depends on which of its stretches that are pieces are
+skipped, so occurrences of a chunk of documents with the same text and the same of these skipped are
+encoded once. The different ones are encoded together, vectorised: each round merges the best candidate of every unit, which is the agenda order
 within a unit. Units longer than ``LONG`` characters use an agenda (a heap) each.
 Characters that no piece covers, and the mark itself where a text holds it, become the
 byte pieces of their UTF-8 bytes.
 
 Defined cases: null text gives null ids, empty text gives none; repeated rows give repeated
-result rows; a null doc_id is in stream 0; texts of any length are encoded whole; an empty
+result rows; null doc_ids count as one id; texts of any length are encoded whole; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -89,6 +89,12 @@ class Model:
         self.hashed = np.zeros(1 << 22, bool)
         self.hashed[self._slot(keys)] = True
         self.size = size
+        made = [np.array([ord(c) for c in p.replace("▁", " ")], np.uint32) for p in normal if len(p) > 1]
+        self.longest = max(map(len, made), default=0)
+        ends = np.cumsum([len(x) for x in made])
+        self.piece = np.unique(tx.range_hash(tx.prefix_hash(np.concatenate(made)), np.concatenate(([0], ends[:-1])), ends)) if made else np.zeros(0, np.uint64)
+        self.likely = np.zeros(1 << 20, bool)
+        self.likely[self.piece >> np.uint64(44)] = True
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -208,7 +214,45 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def encode_chunk(m: Model, texts: list[bytes], streams: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+def stretches(m: Model, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, place, length) of all that may become a candidate in units of up to LONG characters, in order of units."""
+    unit = np.flatnonzero(end - start <= LONG)
+    at = ranges(start[unit], (end - start)[unit])
+    unit = np.repeat(unit, (end - start)[unit])
+    out = []
+    for n in range(2, min(m.longest, LONG) + 1):
+        room = at + n <= end[unit]
+        at, unit = at[room], unit[room]
+        if not len(at):
+            break
+        h = tx.range_hash(prefix, at, at + n)
+        (i,) = np.nonzero(m.likely[h >> np.uint64(44)])
+        i = i[m.piece[np.minimum(np.searchsorted(m.piece, h[i]), len(m.piece) - 1)] == h[i]]
+        out.append((unit[i], at[i] - start[unit[i]], np.full(len(i), n)))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    u, p, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(u, kind="stable")
+    return u[order], p[order], n[order]
+
+
+def alike(m: Model, prefix: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, key: np.ndarray, dropout: float) -> np.ndarray:
+    """A hash that is equal for units of the same text in which the same stretches are skipped; long units keep their key."""
+    if dropout <= 0:
+        return text
+    _, first, back = np.unique(text, return_index=True, return_inverse=True)
+    u, place, length = stretches(m, prefix, start[first], end[first])
+    per = np.bincount(u, minlength=len(first))
+    count = per[back]
+    which = ranges((np.cumsum(per) - per)[back], count)
+    skip = skipped(np.repeat(key, count), place[which], length[which], dropout)
+    marks = np.zeros(len(which) + 1, np.uint64)
+    np.cumsum(np.where(skip, tx.mix(which.astype(np.uint64) + np.uint64(1)), np.uint64(0)), out=marks[1:])
+    ends = np.cumsum(count)
+    return np.where(end - start <= LONG, tx.mix(text + tx.mix(marks[ends] - marks[ends - count])), key)
+
+
+def encode_chunk(m: Model, texts: list[bytes], keys: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, number of ids of each text)."""
     whole = [t.decode("utf-8", "surrogatepass") for t in texts]
     raw = np.frombuffer("".join(" " + t if t else "" for t in whole).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -223,18 +267,22 @@ def encode_chunk(m: Model, texts: list[bytes], streams: np.ndarray, seed: int, d
     begin = np.concatenate(([True], (space[1:] & ~space[:-1]) | (doc[1:] != doc[:-1])))
     start = np.flatnonzero(begin)
     end = np.concatenate((start[1:], [len(raw)]))
-    h = tx.range_hash(tx.prefix_hash(raw), start, end)
-    h = tx.mix(h + streams[doc[start]].astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(seed & (2**64 - 1)))
-    unique, at, back = np.unique(h, return_index=True, return_inverse=True)
+    prefix = tx.prefix_hash(raw)
+    text = tx.range_hash(prefix, start, end)
+    inside = start - (np.cumsum(size) - size)[doc[start]]
+    key = tx.mix(tx.mix(keys.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))[doc[start]] + inside.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    key = tx.mix(key + text)
+    unique, at, back = np.unique(alike(m, prefix, start, end, text, key, dropout), return_index=True, return_inverse=True)
+    key = key[at]
     count = (end - start)[at]
     parts = []
     short = np.flatnonzero(count <= LONG)
     if len(short):
         i = ranges(start[at[short]], count[short])
         unit = np.repeat(short, count[short])
-        parts.append(encode_units(m, sym[i], unit, i - start[at[unit]], unique, dropout))
+        parts.append(encode_units(m, sym[i], unit, i - start[at[unit]], key, dropout))
     for u in np.flatnonzero(count > LONG):
-        s, p = encode_long(m, sym[start[at[u]] : end[at[u]]], unique[u], dropout)
+        s, p = encode_long(m, sym[start[at[u]] : end[at[u]]], key[u], dropout)
         parts.append((s, np.full(len(s), u), p))
     s, u, p = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(u, kind="stable")
@@ -263,16 +311,16 @@ def decode_chunk(m: Model, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [data[a + 1 : b] if b > a else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 1, streams: int = 4, tokenizer: str = TOKENIZER) -> DataFrame:
+def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 1, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, ids (little-endian 32-bit piece ids), n_pieces, lossless (the ids decode to the very text)."""
 
     def work(batches):
         m = model_of(tokenizer)
         for batch in batches:
             ids, texts = column(batch, "doc_id"), column(batch, "text")
-            stream = column(batch, "stream").to_numpy(zero_copy_only=False)
+            keys = column(batch, "key").to_numpy(zero_copy_only=False)
             for first, some in tx.chunks(texts.to_pylist(), 2 * tx.CHUNK):
-                found, counts = encode_chunk(m, some, stream[first : first + len(some)], seed, dropout)
+                found, counts = encode_chunk(m, some, keys[first : first + len(some)], seed, dropout)
                 back = decode_chunk(m, found, counts)
                 ends = np.cumsum(counts)
                 null = texts.slice(first, len(some)).is_null().to_pylist()
@@ -282,7 +330,7 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 1, streams: int =
                     "n_pieces": counts, "lossless": [a == b for a, b in zip(some, back, strict=True)],
                 }
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(streams)), F.lit(0)).alias("stream"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id").alias("key"))
     return scan(rows, work, "doc_id long, ids binary, n_pieces long, lossless boolean")
 
 
