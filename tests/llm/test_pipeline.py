@@ -24,3 +24,33 @@ def test_no_later_copy_is_encoded(spark):
     ids = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
     later = [i for r in copies for i in r.ids if i != r.first]
     assert len(later) > 500 and not ids & set(later)
+
+
+IDS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_shards_with_null_and_repeated_ids(spark, monkeypatch):
+    from tracelake.llm import decontaminate
+
+    items = [(k, " ".join(f"item{k}word{j}" for j in range(14))) for k in range(4)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(None, "before " + items[0][1]), (None, items[2][1] + " " + items[3][1]), (None, "clean"), (None, None), (7, items[1][1]), (7, items[1][1]), (7, "another text " + items[3][1]), (8, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [sorted(map(str, decontaminate.decontaminate(docs, bench).collect()))]
+    monkeypatch.setattr(decontaminate.shards, "__defaults__", (60,))
+    got.append(sorted(map(str, decontaminate.decontaminate(docs, bench).collect())))
+    assert len(got[0]) == len(rows) and got[0] == got[1] and decontaminate.decontaminate(docs, bench).columns[0] == "doc_id"
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    some = spark.read.parquet(f"{SMALL}/documents.parquet").select(*[x.split()[0] for x in IDS.split(", ")])
+    told = corpus_pipeline.identify_language(spark, some, SMALL)
+    mixed = some.withColumn("doc_id", F.expr("case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then 1 else doc_id end"))
+    again = corpus_pipeline.identify_language(spark, mixed, SMALL)
+    assert sorted(r.text for r in again.select("text").collect()) == sorted(r.text for r in told.select("text").collect())
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 100").first().text
+    docs = spark.createDataFrame([(None, f"x {item}", "en", "s", 1), (None, "clean", "en", "s", 1), (3, "clean too", "en", "s", 1), (3, item, "en", "s", 1)], IDS)
+    assert sorted(r.text for r in corpus_pipeline.drop_contaminated(spark, docs, SMALL).collect()) == ["clean", "clean too"]

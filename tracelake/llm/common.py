@@ -35,6 +35,15 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A row's own key, where doc_id may be null or repeated.
+ROW = "_row"
+
+
+def keyed_rows(df: DataFrame, name: str) -> DataFrame:
+    """The table with a key for each row, written once, so that every later read gives a row the same key."""
+    return staged(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, items: str | None = None, item_bytes: int = 0) -> DataFrame:
     """Mark a join side for broadcast if its counted rows, and the counted items of an array column, fit the limit; otherwise leave it to a shuffled join."""
     counts = [F.count("*").alias("rows"), F.coalesce(F.sum(F.array_size(items)), F.lit(0)).alias("items")] if items else [F.count("*").alias("rows"), F.lit(0).alias("items")]

@@ -9,19 +9,22 @@ remaining candidates are verified word by word.
 
 Defined cases: null or empty text has no words (n_words 0, not contaminated); a
 null item text has no windows; repeated item rows count once per item_id; a
-repeated document row gives a repeated result row; null ids are kept as they are
+repeated document row gives a repeated result row; with several shards of items rows
+are put together by a key of their own, not by doc_id; null ids are kept as they are
 (a null item_id takes no part); an empty table on either side gives results
 without hits; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import column, scan, texts_of
+from .common import ROW, column, keyed_rows, scan, texts_of
 
 #: Items go to executors in shards of at most so many bytes of text; more shards mean more scans, never fewer items.
 SHARD_BYTES = 4 << 20
@@ -152,11 +155,19 @@ def rarity(docs: DataFrame, known: np.ndarray) -> np.ndarray:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Each document with its hits: doc_id, n_words, n_hit, items (item ids, sorted as strings), runs (first word, end) of hit words, contaminated."""
+    """Each document with its hits: doc_id, n_words, n_hit, items (item ids, sorted as strings), runs (first word, end) of hit words, contaminated.
+
+    A row key (``ROW``) of the documents is handed through.
+    """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    given = ROW in docs.columns
+    docs = docs.select("doc_id", "text", *([ROW] if given else []))
+    found = shards(benchmark)
+    ahead = [x for x in (next(found), next(found, None)) if x is not None]
+    if not given:
+        docs = keyed_rows(docs, "documents") if len(ahead) > 1 else docs.withColumn(ROW, F.lit(0).cast("long"))
     parts = []
-    for items in shards(benchmark):
+    for items in chain(ahead, found):
         index = Index(items, window)
         known = index.shingles()
         index.prefixes(known, rarity(docs, known))
@@ -165,7 +176,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         def find(batches, held=held):
             index = held.value
             for batch in batches:
-                ids = column(batch, "doc_id")
+                ids, rows = column(batch, "doc_id"), column(batch, ROW)
                 for first, texts in tx.chunks(texts_of(batch)):
                     w = tx.Words(texts, tx.ALNUM)
                     n = len(w.hash)
@@ -183,22 +194,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
                         edges = np.flatnonzero(np.diff(h))
                         runs[d] = edges.tolist()
                     yield {
-                        "doc_id": ids.slice(first, len(texts)), "n_words": np.diff(w.offset), "n_hit": hits,
+                        ROW: rows.slice(first, len(texts)), "doc_id": ids.slice(first, len(texts)), "n_words": np.diff(w.offset), "n_hit": hits,
                         "items": [sorted(x, key=str) for x in items], "runs": runs,
                     }
 
-        parts.append(scan(docs, find, "doc_id long, n_words long, n_hit long, items array<long>, runs array<long>"))
-    if len(parts) == 1:
-        return parts[0].withColumn("contaminated", F.col("n_hit") > 0)
-    return merged(parts)
+        parts.append(scan(docs, find, f"{ROW} long, doc_id long, n_words long, n_hit long, items array<long>, runs array<long>"))
+    out = (parts[0] if len(parts) == 1 else merged(parts)).withColumn("contaminated", F.col("n_hit") > 0)
+    return out if given else out.drop(ROW)
 
 
 def merged(parts: list[DataFrame]) -> DataFrame:
-    """The hits of several shards of items: one row per document, its hit words united. Needs unique document ids."""
+    """The hits of several shards of items: one row per row of the documents, its hit words united."""
     rows = parts[0]
     for x in parts[1:]:
         rows = rows.unionByName(x)
-    grouped = rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.collect_list("runs").alias("runs"))
+    grouped = rows.groupBy(ROW).agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.collect_list("runs").alias("runs"))
 
     def unite(batches):
         for batch in batches:
@@ -212,9 +222,9 @@ def merged(parts: list[DataFrame]) -> DataFrame:
                 runs.append(np.flatnonzero(np.diff(h)).tolist())
                 hits.append(int(h.sum()))
             items = [sorted(set(x), key=str) for x in column(batch, "items").to_pylist()]
-            yield {"doc_id": column(batch, "doc_id"), "n_words": column(batch, "n_words"), "n_hit": hits, "items": items, "runs": runs}
+            yield {ROW: column(batch, ROW), "doc_id": column(batch, "doc_id"), "n_words": column(batch, "n_words"), "n_hit": hits, "items": items, "runs": runs}
 
-    return scan(grouped, unite, "doc_id long, n_words long, n_hit long, items array<long>, runs array<long>").withColumn("contaminated", F.col("n_hit") > 0)
+    return scan(grouped, unite, f"{ROW} long, doc_id long, n_words long, n_hit long, items array<long>, runs array<long>")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
