@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,6 +36,14 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Write a table in hash buckets of its keys and read it again: later joins on them shuffle the other side only."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_partitions(spark), *keys).option("path", stage_path(spark, name)).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
 #: A row's own key, where doc_id may be null or repeated.
 ROW = "_row"
 
@@ -51,8 +60,17 @@ def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, items: st
     return F.broadcast(df) if found["rows"] * row_bytes + found["items"] * item_bytes <= limit else df
 
 
-def input_partitions(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+def shuffle_partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def release() -> None:
+    """Give the memory that a task has freed back to the system; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
 
 
 def scan(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
@@ -69,6 +87,8 @@ def scan(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict
                 for f, x in ((f, columns[f.name]) for f in arrow)
             ]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+            del arrays, columns
+        release()
 
     return df.mapInArrow(run, schema)
 
