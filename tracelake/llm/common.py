@@ -93,6 +93,20 @@ def scan(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict
     return df.mapInArrow(run, schema)
 
 
+def grouped(groups, work: Callable, schema: str) -> DataFrame:
+    """``applyInArrow`` that gives back the memory of large groups."""
+
+    def run(key, table):
+        out = work(key, table)
+        large = table.nbytes > 1 << 20
+        del table
+        if large:
+            release()
+        return out
+
+    return groups.applyInArrow(run, schema)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list:
     """A string column as UTF-8 bytes, null as None."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
