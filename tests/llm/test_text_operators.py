@@ -160,39 +160,44 @@ def test_repeats_against_brute_force(spark, rows, length, gram):
     assert Counter((a, b, bytes(c)) for a, b, c in got) == want
 
 
-def scores(docs, corpus, alpha=0.4):
+def scores(docs, corpus=None, alpha=0.4):
+    """Under the counts of a corpus, or for each row of all other rows."""
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
-    one, two = Counter(), Counter()
-    for _, t in corpus:
-        w = split(t)
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
-    n = max(sum(one.values()), 1)
+    rows = [split(t) for _, t in (docs if corpus is None else corpus)]
+    all_one, all_two = (Counter(x for w in rows for x in part(w)) for part in (lambda w: w, lambda w: zip(w, w[1:], strict=False)))
     out = []
     for i, t in docs:
-        w, s = split(t), 0.0
+        w, s, off = split(t), 0.0, 0
+        own = corpus is None
+        one, two = Counter(w if own else []), Counter(zip(w, w[1:], strict=False) if own else [])
+        n = max(all_one.total() - one.total(), 1)
         for k, x in enumerate(w):
-            if k and two[(w[k - 1], x)]:
-                s += math.log(two[(w[k - 1], x)] / one[w[k - 1]])
+            both = (w[k - 1], x)
+            if k and all_two[both] > two[both]:
+                s += math.log((all_two[both] - two[both]) / (all_one[w[k - 1]] - one[w[k - 1]]))
             else:
-                s += math.log(max(one[x], 1) / n) + (math.log(alpha) if k else 0)
-        out.append((i, len(w), round(s, 6)))
+                off += k > 0
+                s += math.log(max(all_one[x] - one[x], 1) / n) + (math.log(alpha) if k else 0)
+        out.append((i, len(w), off, round(s, 6)))
     return Counter(out)
 
 
+def scored(df):
+    return Counter((a, b, c, round(d, 6)) for a, b, c, d in df.collect())
+
+
 @pytest.mark.parametrize("hot", [4, 1 << 16])
 def test_backoff_scores(spark, rows, hot):
-    own = backoff_lm.backoff_scores(frame(spark, rows), hot=hot).collect()
-    assert Counter((a, b, round(c, 6)) for a, b, c in own) == scores(rows, rows)
+    want = scores(rows)
+    assert scored(backoff_lm.backoff_scores(frame(spark, rows), hot=hot)) == want
+    assert 0 < sum(r[2] for r in want.elements()) < sum(max(r[1] - 1, 0) for r in want.elements())
     corpus, held_out = rows[:20], rows[15:]
-    other = backoff_lm.backoff_scores(frame(spark, held_out), frame(spark, corpus), hot=hot).collect()
-    assert Counter((a, b, round(c, 6)) for a, b, c in other) == scores(held_out, corpus)
+    assert scored(backoff_lm.backoff_scores(frame(spark, held_out), frame(spark, corpus), hot=hot)) == scores(held_out, corpus)
 
 
 def test_backoff_small_runs_and_groups(spark, rows, monkeypatch):
     monkeypatch.setattr(backoff_lm, "GROUP", 50)
-    own = backoff_lm.backoff_scores(frame(spark, rows), hot=2).collect()
-    assert Counter((a, b, round(c, 6)) for a, b, c in own) == scores(rows, rows)
+    assert scored(backoff_lm.backoff_scores(frame(spark, rows), hot=2)) == scores(rows)
 
 
 def test_token_counts(spark, rows):

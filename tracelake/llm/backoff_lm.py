@@ -3,24 +3,26 @@
 With counts c over a corpus of N words, S(w2 | w1) = c(w1 w2) / c(w1) where the corpus holds
 w1 w2, else ``alpha`` * S(w2); S(w) = max(c(w), 1) / N. A document's score is the sum of the natural
 logarithms over its words (lower-cased runs of ASCII letters, digits and all else outside ASCII);
-its first word is scored by S(w), and n-grams do not cross documents.
+its first word is scored by S(w), and n-grams do not cross documents. Where no other corpus is given, each
+document is scored by all the other rows: its own words and bigrams are left out of c and N, so what occurs
+nowhere else backs off.
 
 The counts are relations of hash and count, never whole in one place:
 
 1. Hot n-grams would make hot keys. Candidates are those frequent in single runs of text (about
    ``RUN_WORDS`` words of one task); the ``hot`` most frequent of them are counted exactly over the
    corpus and go to every executor, a fixed number of pairs. Any choice gives the same scores.
-2. All other n-grams are exploded, summed per document (for a corpus, per run) and shuffled by hash
-   into groups of about ``GROUP`` entries. A group sums the counts of its n-grams and joins them to the
-   documents' n-grams. Bigrams come first; those that the corpus lacks ask for the count of their second
-   word instead of that of their first, in the round of the single words that follows.
+2. All other bigrams are exploded, summed per document (for another corpus, per run) and shuffled by hash
+   into groups of about ``GROUP`` entries. A group sums the counts of its bigrams and joins them to the
+   documents' bigrams. Those found ask for the count of their first word, the others back off and ask for the count of
+   their second; an entry carries both words as places in the hot table, and only words that are not hot are asked for in the
+   round of the single words that follows.
 3. The sums per document of each group come back to the run that the document was read in.
 
-When a corpus scores itself every bigram is found, so the words to ask for are known at once and the
-bigrams travel without them; both rounds are then one shuffle.
+Longer n-grams are not built: a round of trigrams moves some 24 bytes for each word of text, above the disk that this work is held to.
 
 Defined cases: null or empty text has no words and score 0; repeated rows (or a repeated or null
-doc_id) are scored row by row, one result row each; an empty corpus has N = 1 for the purpose of
+doc_id) are scored row by row, one result row each, and count for each other; an empty corpus has N = 1 for the purpose of
 S(w); an empty table of documents gives an empty result; other columns are ignored.
 """
 
@@ -33,16 +35,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import column, scan, staged, texts_of
+from .common import column, grouped, scan, staged, texts_of
 
 HOT = 1 << 16
 RUN_WORDS = 1 << 19
 GROUP = 1 << 20
 ALPHA = 0.4
 
-#: Entries of one run and group: order, group, run, place of the document in the run, hash, occurrences to count, weight in the score,
-#: and for documents that are not the corpus the hashes of both words.
-ENTRIES = "n int, part int, run string, doc binary, g binary, m binary, s binary, w1 binary, w2 binary"
+#: Entries of one run and group. n = 2: place of the document in the run (as differences), hash of the bigram, occurrences, both words (places in the hot
+#: table, or beyond it in ``cold``) and how often the document has them. n = 1, with a run: document, word asked for, weight in the score, occurrences in the document.
+#: Without a run: hash and count. n = 0: one row for each run (ids in g, words in x, score in w1, backed off in w2). n = -1: sums for documents (doc, w1, w2 likewise).
+BODY = ("doc", "g", "x", "w1", "w2", "o1", "o2", "cold")
+ENTRIES = "n int, part int, run string, " + ", ".join(f"{c} binary" for c in BODY)
 
 
 def _bigrams(w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -117,31 +121,56 @@ class Hot:
             self.counts[n - 1][i] = c
 
 
-def _pack(n: int, parts: int, run: str, doc, g, m, s, w1=None, w2=None):
-    """Entries of one order as rows of ``ENTRIES``, a row for each group."""
+def fit(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as hold the largest."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(next(f"<u{k}" for k in (1, 2, 4) if top < 1 << (8 * k))).tobytes()
+
+
+def unfit(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def entry(n: int, part: int, run: str, **body: bytes) -> dict:
+    return {"n": n, "part": part, "run": run} | {c: body.get(c, b"") for c in BODY}
+
+
+def _rows(entries: list[dict]) -> dict:
+    return {c: [e[c] for e in entries] for c in ("n", "part", "run", *BODY)}
+
+
+def _parts(g: np.ndarray, parts: int):
+    """(group, places) of the entries that go to each group, in their order."""
     part = (g % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    part = part[order]
-    cut = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])) if len(part) else [0]
-    out = {"n": [], "part": [], "run": [], "doc": [], "g": [], "m": [], "s": [], "w1": [], "w2": []}
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        i = order[a:b]
-        out["n"].append(n)
-        out["part"].append(int(part[a]))
-        out["run"].append(run)
-        for name, x, kind in (("doc", doc, "<u4"), ("g", g, "<u8"), ("m", m, "<i4"), ("s", s, "<i4"), ("w1", w1, "<u8"), ("w2", w2, "<u8")):
-            out[name].append(b"" if x is None else x[i].astype(kind).tobytes())
+    cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for i in np.split(order, cut[1:]) if len(order) else []:
+        yield int(part[i[0]]), i
+
+
+def _pairs(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of one of each different (document, hash), pair of each place, number of each pair), pairs in order of documents."""
+    order = np.lexsort((h, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back, np.bincount(back, minlength=int(new.sum()))
+
+
+def _asks(run: str, parts: int, doc: np.ndarray, word: np.ndarray, weight: np.ndarray, own: np.ndarray) -> list[dict]:
+    """Words asked for, summed for each document."""
+    first, back, _ = _pairs(doc, word)
+    doc, word, own, weight = doc[first], word[first], own[first], np.bincount(back, weights=weight, minlength=len(first))
+    out = []
+    for part, i in _parts(word, parts):
+        out.append(entry(1, part, run, doc=fit(np.diff(doc[i], prepend=0)), g=word[i].tobytes(), x=weight[i].astype("<i4").tobytes(), o1=fit(own[i])))
     return out
 
 
-def _sum_pairs(doc, g, *weights):
-    """Equal (document, hash) pairs as one, with each weight summed."""
-    order = np.lexsort((g, doc))
-    doc, g = doc[order], g[order]
-    if not len(doc):
-        return doc, g, *weights
-    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (g[1:] != g[:-1]))))
-    return doc[first], g[first], *[np.add.reduceat(w[order], first) for w in weights]
+def _counts(n: int, parts: int, g: np.ndarray) -> list[dict]:
+    key, count = np.unique(g, return_counts=True)
+    return [entry(n, part, "", g=key[i].tobytes(), x=fit(count[i])) for part, i in _parts(key, parts)]
 
 
 def counted(corpus: DataFrame, hot, parts: list[int]) -> DataFrame:
@@ -150,62 +179,64 @@ def counted(corpus: DataFrame, hot, parts: list[int]) -> DataFrame:
     def work(batches):
         for run in _runs(batches):
             for n, g in enumerate(_grams(run), 1):
-                g = g[place(hot.value.keys[n - 1], g) == len(hot.value.keys[n - 1])]
-                key, count = np.unique(g, return_counts=True)
-                yield _pack(n, parts[n - 1], "", np.zeros(len(key)), key, count, np.zeros(len(key)))
+                yield _rows(_counts(n, parts[n - 1], g[place(hot.value.keys[n - 1], g) == len(hot.value.keys[n - 1])]))
 
     return scan(corpus.select("text"), work, ENTRIES)
 
 
-def exploded(docs: DataFrame, hot, parts: list[int], alpha: float, is_corpus: bool) -> DataFrame:
-    """The documents as entries, and as one row of sums for each run (n = 0, in the columns of ``ENTRIES``: ids in g, words in m, score in w1)."""
+def exploded(docs: DataFrame, hot, parts: list[int], alpha: float, own: bool) -> DataFrame:
+    """The documents as entries, and as one row of sums for each run. ``own``: they are the corpus too."""
 
     def work(batches):
         h = hot.value
-        logs = [np.append(np.log(np.maximum(c, 1)), 0.0) for c in h.counts]
-        floor = np.log(max(h.words, 1))
+        size = [len(k) for k in h.keys]
         for k, run in enumerate(_runs(batches)):
             name = f"{TaskContext.get().partitionId()}-{k}"
-            ids, words, score, one, two, base = [], [], [], [], [], 0
+            ids, words, score, lost, base, asks, two = [], [], [], [], 0, [], []
             for keys, w in run:
-                count = np.diff(w.offset)
-                mine = -floor * (count > 0).astype(np.float64)
-                begins = np.zeros(len(w.hash), np.int64)
-                begins[w.offset[:-1][count > 0]] = 1
+                n = np.diff(w.offset)
+                mine, off = np.zeros(len(n)), np.zeros(len(n), np.int64)
+                _, pair, times = _pairs(w.doc, w.hash)
+                has = times[pair]  # how often its document has each word
+                j = place(h.keys[0], w.hash)
                 at, g = _bigrams(w)
-                w1, w2, doc = w.hash[at - 1], w.hash[at], w.doc[at]
+                one, _, x = _pairs(w.doc[at], g)
+                at, g = at[one], g[one]
+                doc = w.doc[at]
                 i = place(h.keys[1], g)
-                c = np.append(h.counts[1], 0)[i]
-                cold = i == len(h.keys[1])
-                found = (c > 0) | (cold & is_corpus)  # of the corpus itself every bigram is found
-                mine += np.bincount(doc, weights=logs[1][i], minlength=len(count))
-                missing = ~found & ~cold
-                mine += np.bincount(doc, weights=missing * (np.log(alpha) - floor), minlength=len(count))
-                # Words to ask for: first words of documents, first words of bigrams found, second words of bigrams known to be missing.
-                ask = [(w.doc, w.hash, begins), (doc[found], w1[found], np.full(found.sum(), -1)), (doc[missing], w2[missing], np.full(missing.sum(), 1))]
-                if is_corpus:  # each word is also counted once
-                    ask = [(d, x, np.zeros(len(x), np.int64), s) for d, x, s in ask] + [(w.doc, w.hash, np.ones(len(w.hash), np.int64), np.zeros(len(w.hash), np.int64))]
-                else:
-                    ask = [(d, x, np.zeros(len(x), np.int64), s) for d, x, s in ask]
-                d, x, m, s = (np.concatenate(y) for y in zip(*ask, strict=True))
-                j = place(h.keys[0], x)
-                mine += np.bincount(d, weights=s * logs[0][j], minlength=len(count))
-                rest = j == len(h.keys[0])
-                one.append(_sum_pairs(d[rest] + base, x[rest], m[rest], s[rest]))
-                if is_corpus:
-                    d, g, m = _sum_pairs(doc[cold] + base, g[cold], np.ones(cold.sum(), np.int64))
-                    two.append((d, g, m, m))
-                else:
-                    d, g, m = doc[cold] + base, g[cold], np.ones(cold.sum(), np.int64)
-                    two.append((d, g, m * 0, m, w1[cold], w2[cold]))
+                warm = i < size[1]
+                c = np.append(h.counts[1], 0)[i] - (x if own else 0)
+                found, gone = warm & (c > 0), warm & (c <= 0)
+                mine += np.bincount(doc, weights=np.where(found, x * np.log(np.maximum(c, 1)), gone * x * np.log(alpha)), minlength=len(n))
+                start = w.offset[:-1][n > 0]  # a first word is scored as if it had backed off, but without alpha
+                off += np.bincount(doc, weights=gone * x, minlength=len(n)).astype(np.int64)
+                ask = np.concatenate((start, at[found] - 1, at[gone]))
+                weight = np.concatenate((np.ones(len(start), np.int64), -x[found], x[gone]))
+                known = j[ask] < size[0]
+                c = np.append(h.counts[0], 0)[j[ask]] - (has[ask] if own else 0)
+                mine += np.bincount(w.doc[ask], weights=known * weight * np.log(np.maximum(c, 1)), minlength=len(n))
+                ask, weight = ask[~known], weight[~known]
+                asks.append((w.doc[ask] + base, w.hash[ask], weight, has[ask]))
+                cold = ~warm
+                two.append((doc[cold] + base, g[cold], x[cold], j[at[cold] - 1], j[at[cold]], w.hash[at[cold] - 1], w.hash[at[cold]], has[at[cold] - 1], has[at[cold]]))
                 ids += keys
-                words.append(count)
+                words.append(n)
                 score.append(mine)
-                base += len(count)
-            blank = {k: [b""] for k in ("doc", "s", "w2")}
-            yield {"n": [0], "part": [TaskContext.get().partitionId()], "run": [name], "g": [_ids(ids)], "m": [np.concatenate(words).astype("<i8").tobytes()], "w1": [np.concatenate(score).tobytes()]} | blank
-            for n, entries in ((1, one), (2, two)):
-                yield _pack(n, parts[n - 1], name, *(np.concatenate(x) for x in zip(*entries, strict=True)))
+                lost.append(off)
+                base += len(n)
+            out = [entry(0, TaskContext.get().partitionId(), name, g=_ids(ids), x=np.concatenate(words).astype("<i8").tobytes(), w1=np.concatenate(score).tobytes(), w2=np.concatenate(lost).astype("<i8").tobytes())]
+            out += _asks(name, parts[0], *(np.concatenate(x) for x in zip(*asks, strict=True)))
+            if own:
+                g = np.concatenate([w.hash for _, w in run])
+                out += _counts(1, parts[0], g[place(h.keys[0], g) == size[0]])
+            yield _rows(out)
+            doc, g, x, j1, j2, w1, w2, o1, o2 = (np.concatenate(x) for x in zip(*two, strict=True))
+            out = []
+            for part, i in _parts(g, parts[1]):
+                cold = np.unique(np.concatenate((w1[i][j1[i] == size[0]], w2[i][j2[i] == size[0]])))
+                a, b = (np.where(j[i] < size[0], j[i], size[0] + place(cold, v[i])) for j, v in ((j1, w1), (j2, w2)))
+                out.append(entry(2, part, name, doc=fit(np.diff(doc[i], prepend=0)), g=g[i].tobytes(), x=fit(x[i]), w1=fit(a), w2=fit(b), o1=fit(o1[i]), o2=fit(o2[i]), cold=cold.tobytes()))
+            yield _rows(out)
 
     return scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, ENTRIES)
 
@@ -215,102 +246,113 @@ def _ids(ids: list) -> bytes:
     return np.array([x is None for x in ids], bool).tobytes() + np.array([x or 0 for x in ids], "<i8").tobytes()
 
 
-def joined(entries: DataFrame, orders: tuple[int, ...], parts: list[int], alpha: float, hot) -> DataFrame:
-    """Sum the counts of each group and join them to its documents' n-grams; rows of order 0 go through as they are.
+def joined(entries: DataFrame, order: int, parts: list[int], alpha: float, hot, own: bool) -> DataFrame:
+    """Sum the counts of each group of an order and join them to its documents' n-grams; rows of lower orders go through as they are.
 
-    Gives rows of ``ENTRIES``: sums for runs (n = -1: document places in doc, scores in w1), and
-    for bigrams that are not the corpus's own the words to ask for (n = 1), unless they are hot.
+    Gives sums for the documents of runs (n = -1) and, for bigrams, the words to ask for (n = 1), unless they are hot.
     """
 
     def work(key, table):
-        order = key[0].as_py()
-        if order == 0:
+        if key[0].as_py() != order:
             return table
-        cat = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        sizes = [len(x) // 8 for x in table.column("g").to_pylist()]
-        runs = table.column("run").to_pylist()
-        g, m, s, doc = cat("g", "<u8"), cat("m", "<i4"), cat("s", "<i4"), cat("doc", "<u4")
-        w1, w2 = cat("w1", "<u8"), cat("w2", "<u8")
+        rows = table.to_pylist()
+        g = np.frombuffer(b"".join(r["g"] for r in rows), "<u8")
+        size = [len(r["g"]) // 8 for r in rows]
+        ends = np.cumsum(size)
         unique, back = np.unique(g, return_inverse=True)
-        count = np.bincount(back, weights=m, minlength=len(unique))[back].astype(np.int64) if len(g) else np.zeros(0, np.int64)
-        value = s * np.log(np.maximum(count, 1))
-        own = len(w1) == 0  # no words travel with the bigrams of a corpus that scores itself
-        starts = np.cumsum(sizes) - sizes
-        carried = np.cumsum([len(x) // 8 for x in table.column("w1").to_pylist()])
-        by_run: dict[str, list[int]] = {}
-        for r, run in enumerate(runs):
-            if run:
-                by_run.setdefault(run, []).append(r)
-        out = []
-        for run, rows in by_run.items():
-            i = np.concatenate([np.arange(starts[r], starts[r] + sizes[r]) for r in rows])
-            d, v = doc[i], value[i]
-            if order == 2 and not own:
-                k = np.concatenate([np.arange(carried[r] - sizes[r], carried[r]) for r in rows])
-                lost = count[i] == 0
-                v = np.where(lost, s[i] * (np.log(alpha) - np.log(max(hot.value.words, 1))), v)
-                word, sign = np.where(lost, w2[k], w1[k]), np.where(lost, s[i], -s[i])
-                j = place(hot.value.keys[0], word)
-                v = v + sign * np.append(np.log(np.maximum(hot.value.counts[0], 1)), 0.0)[j]
-                rest = j == len(hot.value.keys[0])
-                dd, x, sign = _sum_pairs(d[rest], word[rest], sign[rest])
-                out.append(_pack(1, parts[0], run, dd, x, sign * 0, sign))
-            local, at = np.unique(d, return_inverse=True)
-            total = np.bincount(at, weights=v, minlength=len(local))
-            out.append({"n": [-1], "part": [0], "run": [run], "doc": [local.astype("<u4").tobytes()], "w1": [total.tobytes()]} | {c: [b""] for c in ("g", "m", "s", "w2")})
+        count = np.zeros(len(unique), np.int64)
+        for r, n, e in zip(rows, size, ends, strict=True):
+            if not r["run"] or (own and order == 2):  # what a run asks for of single words is counted in rows without a run
+                np.add.at(count, back[e - n : e], unfit(r["x"], n))
+        h, out = hot.value, []
+        words = len(h.keys[0])
+        for r, n, e in zip(rows, size, ends, strict=True):
+            if not r["run"]:
+                continue
+            doc, c = np.cumsum(unfit(r["doc"], n)), count[back[e - n : e]]
+            if order == 1:
+                x = np.frombuffer(r["x"], "<i4")
+                value, off = x * np.log(np.maximum(c - (unfit(r["o1"], n) if own else 0), 1)), np.zeros(n, np.int64)
+            else:
+                x = unfit(r["x"], n)
+                c = c - (x if own else 0)
+                found = c > 0
+                value, off = np.where(found, x * np.log(np.maximum(c, 1)), x * np.log(alpha)), np.where(found, 0, x)
+                word, weight, has = (np.where(found, a, b) for a, b in ((unfit(r["w1"], n), unfit(r["w2"], n)), (-x, x), (unfit(r["o1"], n), unfit(r["o2"], n))))
+                known = word < words
+                c = np.append(h.counts[0], 0)[np.minimum(word, words)] - (has if own else 0)
+                value = value + known * weight * np.log(np.maximum(c, 1))
+                rest = ~known
+                out += _asks(r["run"], parts[0], doc[rest], np.frombuffer(r["cold"], "<u8")[word[rest] - words], weight[rest], has[rest])
+            local, at = np.unique(doc, return_inverse=True)
+            sums = (np.bincount(at, weights=v, minlength=len(local)) for v in (value, off))
+            out.append(entry(-1, 0, r["run"], doc=local.astype("<u4").tobytes(), w1=next(sums).tobytes(), w2=next(sums).astype("<i8").tobytes()))
         kinds = {"n": pa.int32(), "part": pa.int32(), "run": pa.string()}
-        return pa.table({c: pa.array([x for o in out for x in o[c]], kinds.get(c, pa.binary())) for c in ("n", "part", "run", "doc", "g", "m", "s", "w1", "w2")})
+        return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in _rows(out).items()})
 
-    return entries.where(F.col("n").isin(*orders)).groupBy("n", "part").applyInArrow(work, ENTRIES)
+    return grouped(entries.groupBy("n", "part"), work, ENTRIES)
 
 
-def summed(sums: DataFrame) -> DataFrame:
-    """doc_id, n_words and log_score from the rows of sums of each run."""
+def summed(sums: DataFrame, hot, own: bool) -> DataFrame:
+    """doc_id, n_words, n_backed_off and log_score from the rows of sums of each run."""
 
     def work(key, table):
-        rows = table.select(["n", "g", "m", "doc", "w1"]).to_pylist()
+        rows = table.select(["n", "g", "x", "doc", "w1", "w2"]).to_pylist()
         base = next(r for r in rows if r["n"] == 0)
-        score = np.frombuffer(base["w1"], np.float64).copy()
+        score, lost = np.frombuffer(base["w1"], np.float64).copy(), np.frombuffer(base["w2"], "<i8").copy()
+        words = np.frombuffer(base["x"], "<i8")
         null = np.frombuffer(base["g"][: len(score)], bool)
         ids = np.frombuffer(base["g"][len(score) :], "<i8")
         for r in rows:
             if r["n"] < 0:
-                score[np.frombuffer(r["doc"], "<u4")] += np.frombuffer(r["w1"], np.float64)
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), "n_words": np.frombuffer(base["m"], "<i8"), "log_score": score})
+                d = np.frombuffer(r["doc"], "<u4")
+                score[d] += np.frombuffer(r["w1"], np.float64)
+                lost[d] += np.frombuffer(r["w2"], "<i8")
+        score -= (lost + (words > 0)) * np.log(np.maximum(hot.value.words - (words if own else 0), 1))
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), "n_words": words, "n_backed_off": lost, "log_score": score})
 
-    return sums.groupBy("run").applyInArrow(work, "doc_id long, n_words long, log_score double")
+    return grouped(sums.groupBy("run"), work, "doc_id long, n_words long, n_backed_off long, log_score double")
 
 
 def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA, hot: int = HOT) -> DataFrame:
-    """doc_id, n_words and log_score of documents under the counts of a corpus; without one, of the documents themselves."""
-    spark = docs.sparkSession
-    known = Hot(corpus or docs, hot)
+    """doc_id, n_words, n_backed_off (bigrams that the corpus lacks) and log_score of documents under the counts of a corpus; without one, of the other documents."""
+    spark, own = docs.sparkSession, corpus is None
+    known = Hot(docs if own else corpus, hot)
     parts = [max(1, -(-n // GROUP)) for n in known.entries]
     held = spark.sparkContext.broadcast(known)
-    entries = exploded(docs, held, parts, alpha, corpus is None)
-    if corpus is None:
-        return summed(joined(entries, (0, 1, 2), parts, alpha, held))
-    entries = staged(entries, "entries")
-    asked = entries.unionByName(counted(corpus, held, parts))
-    two = staged(joined(asked, (2,), parts, alpha, held), "bigrams")
-    one = joined(asked.unionByName(two.where("n = 1")), (1,), parts, alpha, held)
-    return summed(entries.where("n = 0").unionByName(two.where("n < 0")).unionByName(one.where("n < 0")))
+    entries = exploded(docs, held, parts, alpha, own)
+    if not own:
+        entries = entries.unionByName(counted(corpus, held, parts))
+    two = staged(joined(entries, 2, parts, alpha, held, own), "bigrams")
+    one = joined(two.where("n = 1"), 1, parts, alpha, held, own)
+    return summed(two.where("n < 1").unionByName(one), held, own)
 
 
 def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document under the counts of all others, and the mean of its logarithms by word."""
     found = backoff_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+    mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 4))
+    return found.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 3).alias("log_score"), mean.alias("mean_log_score"))
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS w2, unnest(list_concat([NULL], w[:-2])) AS w1 FROM d WHERE len(w) > 0),
-c1 AS (SELECT w2 AS w, count(*) AS c FROM u GROUP BY w2),
-c2 AS (SELECT w1, w2, count(*) AS c FROM u WHERE w1 IS NOT NULL GROUP BY w1, w2),
-n AS (SELECT count(*) AS n FROM u),
+o1 AS (SELECT doc_id, w2 AS w, count(*) AS c FROM u GROUP BY ALL),
+o2 AS (SELECT doc_id, w1, w2, count(*) AS c FROM u WHERE w1 IS NOT NULL GROUP BY ALL),
+c1 AS (SELECT w, sum(c) AS c FROM o1 GROUP BY w),
+c2 AS (SELECT w1, w2, sum(c) AS c FROM o2 GROUP BY w1, w2),
+x1 AS (SELECT o1.doc_id, w, c1.c - o1.c AS c FROM o1 JOIN c1 USING (w)),
+x2 AS (SELECT o2.doc_id, w1, w2, c2.c - o2.c AS c FROM o2 JOIN c2 USING (w1, w2)),
+n AS (SELECT d.doc_id, greatest((SELECT count(*) FROM u) - len(w), 1) AS n FROM d),
 s AS (
-  SELECT doc_id, sum(CASE WHEN u.w1 IS NULL THEN ln(a.c) - ln(n.n) ELSE ln(c2.c) - ln(b.c) END) AS s
-  FROM u CROSS JOIN n JOIN c1 a ON a.w = u.w2 LEFT JOIN c1 b ON b.w = u.w1 LEFT JOIN c2 ON c2.w1 = u.w1 AND c2.w2 = u.w2 GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(s.s, 0), 3) AS log_score FROM d LEFT JOIN s USING (doc_id)
+  SELECT u.doc_id, count(*) FILTER (WHERE u.w1 IS NOT NULL AND x2.c = 0) AS backed_off,
+         sum(CASE WHEN x2.c > 0 THEN ln(x2.c) - ln(b.c)
+                  ELSE CASE WHEN u.w1 IS NULL THEN 0 ELSE ln(0.4) END + ln(greatest(a.c, 1)) - ln(n.n) END) AS s
+  FROM u JOIN n USING (doc_id) JOIN x1 a ON a.doc_id = u.doc_id AND a.w = u.w2
+  LEFT JOIN x1 b ON b.doc_id = u.doc_id AND b.w = u.w1 LEFT JOIN x2 ON x2.doc_id = u.doc_id AND x2.w1 = u.w1 AND x2.w2 = u.w2 GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(s.backed_off, 0) AS BIGINT) AS n_backed_off, round(coalesce(s.s, 0), 3) AS log_score,
+       round(s.s / len(d.w), 4) AS mean_log_score
+FROM d LEFT JOIN s USING (doc_id)
 """
