@@ -30,17 +30,19 @@ IDS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 SMALL = "/root/testdata/sf0.001"
 
 
-def test_shards_with_null_and_repeated_ids(spark, monkeypatch):
+def test_decontamination_with_null_and_repeated_ids(spark):
     from tracelake.llm import decontaminate
 
     items = [(k, " ".join(f"item{k}word{j}" for j in range(14))) for k in range(4)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     rows = [(None, "before " + items[0][1]), (None, items[2][1] + " " + items[3][1]), (None, "clean"), (None, None), (7, items[1][1]), (7, items[1][1]), (7, "another text " + items[3][1]), (8, "clean")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    got = [sorted(map(str, decontaminate.decontaminate(docs, bench).collect()))]
-    monkeypatch.setattr(decontaminate.shards, "__defaults__", (60,))
-    got.append(sorted(map(str, decontaminate.decontaminate(docs, bench).collect())))
-    assert len(got[0]) == len(rows) and got[0] == got[1] and decontaminate.decontaminate(docs, bench).columns[0] == "doc_id"
+    docs = docs.withColumn("_row", F.lit(5))
+    found = decontaminate.decontaminate(docs, bench)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r.items), tuple(r.runs), r.contaminated) for r in found.collect()), key=str)
+    want = [(None, 15, 14, (0,), (1, 15), True), (None, 28, 28, (2, 3), (0, 28), True), (None, 1, 0, (), (), False), (None, 0, 0, (), (), False)]
+    want += [(7, 14, 14, (1,), (0, 14), True)] * 2 + [(7, 16, 14, (3,), (2, 16), True), (8, 1, 0, (), (), False)]
+    assert got == sorted(want, key=str)
 
 
 def test_stages_with_null_and_repeated_ids(spark):

@@ -48,9 +48,18 @@ def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
 ROW = "_row"
 
 
-def keyed_rows(df: DataFrame, name: str) -> DataFrame:
-    """The table with a key for each row, written once, so that every later read gives a row the same key."""
-    return staged(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed_rows(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table with a key for each row, written once, so that every later read gives a row the same key; and the key's name."""
+    row = free_name(df, ROW)
+    return staged(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, items: str | None = None, item_bytes: int = 0) -> DataFrame:

@@ -1,230 +1,224 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
 A window is ``window`` consecutive words of a benchmark item (a shorter item is
-one window). The shingles of a window are ordered by rarity, counted over all
+one window). The shingles of a window (``SHINGLE`` words, or all of a shorter window) are ordered by rarity, counted over all
 documents; as a window must be contained whole, its necessary prefix is the one
-rarest shingle. Documents are joined on those prefix shingles only, position
-bounds discard windows that would start before or end after the document, and the
-remaining candidates are verified word by word.
+rarest shingle.
+
+1. The shingles of all windows pass a bit filter of fixed size to the documents; what passes is counted and joined to
+   the shingles, and each window takes its rarest one (ties by hash) as its key.
+2. Documents are read a second time: each occurrence of what may be a key goes out with the words around it.
+   Occurrences join the keys, each with the few different places that its windows have it at; position
+   bounds discard windows that would start before or end after the document.
+3. The words left are verified whole: 128 bits of the word sequence against those of the windows of that length.
+
+Items, keys and windows are tables that Spark joins; nothing of the benchmark goes through the driver but the bits, and the documents are
+read twice whatever its size. A full filter lets more occurrences through, never fewer.
 
 Defined cases: null or empty text has no words (n_words 0, not contaminated); a
 null item text has no windows; repeated item rows count once per item_id; a
-repeated document row gives a repeated result row; with several shards of items rows
-are put together by a key of their own, not by doc_id; null ids are kept as they are
+repeated document row gives a repeated result row; null ids are kept as they are
 (a null item_id takes no part); an empty table on either side gives results
 without hits; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import ROW, column, keyed_rows, scan, texts_of
+from .common import ROW, column, scan, staged, texts_of
 
-#: Items go to executors in shards of at most so many bytes of text; more shards mean more scans, never fewer items.
-SHARD_BYTES = 4 << 20
 #: Words in a shingle, or all of a shorter window.
 SHINGLE = 3
+#: The filter has 2 to this power bits.
+FILTER_BITS = 22
+#: Candidates of a document that go out at once.
+SLICE = 1 << 14
+
+
+def sequence_hashes(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each words[start:start + size]."""
+    one, two = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+    for step in range(int(size.max()) if len(size) else 0):
+        inside = size > step
+        w = words[np.minimum(start + step, len(words) - 1)]
+        one = np.where(inside, tx.mix(one * np.uint64(0x9E3779B97F4A7C15) + w), one)
+        two = np.where(inside, tx.mix(two * np.uint64(0xC2B2AE3D27D4EB4F) + (w ^ np.uint64(0x165667B19E3779F9))), two)
+    return tx.to_signed(one), tx.to_signed(two)
 
 
-class Index:
-    """Windows of one shard of items, by their rarest shingle."""
-
-    def __init__(self, items: list[tuple[int, bytes]], window: int):
-        words = tx.Words([t for _, t in items], tx.ALNUM)
-        self.words, self.window = words.hash, window
-        start, length, item = [], [], []
-        for d, (item_id, _) in enumerate(items):
-            lo, hi = words.offset[d], words.offset[d + 1]
-            n = hi - lo
-            if n:
-                size = min(n, window)
-                s = np.arange(lo, hi - size + 1)
-                start.append(s)
-                length.append(np.full(len(s), size))
-                item.append(np.full(len(s), item_id, np.int64))
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        self.start, self.length, self.item = cat(start, np.int64), cat(length, np.int64), cat(item, np.int64)
-        self.size = np.minimum(self.length, SHINGLE)
-
-    def shingles(self) -> np.ndarray:
-        """Sorted hashes of all shingles of all windows."""
-        found = []
-        for k, n, rows in self._kinds():
-            found.append(self._grams(k)[(self.start[rows][:, None] + np.arange(n - k + 1)).ravel()])
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
-    def _grams(self, k: int) -> np.ndarray:
-        return tx.gram_hash(self.words, k)
-
-    def _kinds(self):
-        for n in np.unique(self.length):
-            yield int(min(n, SHINGLE)), int(n), np.flatnonzero(self.length == n)
-
-    def prefixes(self, known: np.ndarray, count: np.ndarray) -> None:
-        """Choose the rarest shingle of each window (ties by hash) and index the windows by it."""
-        self.key = np.zeros(len(self.start), np.uint64)
-        self.shift = np.zeros(len(self.start), np.int64)
-        for k, n, rows in self._kinds():
-            h = self._grams(k)[self.start[rows][:, None] + np.arange(n - k + 1)]
-            c = count[np.searchsorted(known, h)] if len(known) else np.zeros(h.shape, np.int64)
-            best = np.where(c == c.min(1, keepdims=True), h, np.uint64(2**64 - 1)).argmin(1)
-            self.key[rows], self.shift[rows] = h[np.arange(len(rows)), best], best
-        self.tables = {}
-        for k in np.unique(self.size):
-            rows = np.flatnonzero(self.size == k)
-            rows = rows[np.argsort(self.key[rows], kind="stable")]
-            self.tables[int(k)] = (self.key[rows], rows, Filter(self.key[rows]))
-
-    def matches(self, w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(first word in the chunk, window) of each verified occurrence."""
-        at, win = [], []
-        for k, (keys, rows, bloom) in self.tables.items():
-            g = tx.gram_hash(w.hash, k)
-            p = np.flatnonzero(bloom(g))
-            lo, hi = np.searchsorted(keys, g[p], "left"), np.searchsorted(keys, g[p], "right")
-            n = hi - lo
-            p, lo, n = p[n > 0], lo[n > 0], n[n > 0]
-            entry = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            v = rows[entry]
-            s = np.repeat(p, n) - self.shift[v]
-            size = self.length[v]
-            ok = (s >= 0) & (s + size <= len(w.hash))
-            s, v, size = s[ok], v[ok], size[ok]
-            ok = w.doc[s] == w.doc[s + size - 1] if len(s) else np.zeros(0, bool)
-            s, v, size = s[ok], v[ok], size[ok]
-            for step in range(int(size.max()) if len(size) else 0):
-                same = (step >= size) | (w.hash[np.minimum(s + step, len(w.hash) - 1)] == self.words[np.minimum(self.start[v] + step, len(self.words) - 1)])
-                s, v, size = s[same], v[same], size[same]
-            at.append(s)
-            win.append(v)
-        return (np.concatenate(at), np.concatenate(win)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-class Filter:
-    """One bit for each of 2**20 hash prefixes: most words of a document end here."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[keys >> np.uint64(44)] = True
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        return self.bits[h >> np.uint64(44)]
-
-
-def shards(benchmark: DataFrame, limit: int = SHARD_BYTES):
-    """Items in groups of about ``limit`` bytes; each group is fetched alone."""
+def windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item_id, size, h1, h2, grams): the windows of each item, their hashes and those of their shingles in order."""
+
+    def work(batches):
+        for batch in batches:
+            ids = column(batch, "item_id").to_numpy(zero_copy_only=False)
+            for first, texts in tx.chunks(texts_of(batch)):
+                w = tx.Words(texts, tx.ALNUM)
+                n = np.diff(w.offset)
+                size = np.minimum(n, window)
+                each = np.where(n > 0, n - size + 1, 0)
+                d = np.repeat(np.arange(len(texts)), each)
+                if not len(d):
+                    continue
+                start = w.offset[:-1][d] + np.arange(len(d)) - np.repeat(np.cumsum(each) - each, each)
+                one, two = sequence_hashes(w.hash, start, size[d])
+                grams = {k: tx.to_signed(tx.gram_hash(w.hash, k)) for k in np.unique(np.minimum(size[d], SHINGLE))}
+                lists = [grams[min(z, SHINGLE)][s : s + z - min(z, SHINGLE) + 1] for s, z in zip(start, size[d], strict=True)]
+                yield {"item_id": ids[first + d], "size": size[d], "h1": one, "h2": two, "grams": lists}
+
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // limit) or 1
-    for i in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield [(r[0], r[1].encode()) for r in sorted(part.toLocalIterator())]
+    return scan(rows, work, "item_id long, size int, h1 long, h2 long, grams array<long>")
 
 
-def rarity(docs: DataFrame, known: np.ndarray) -> np.ndarray:
-    """How often each known shingle occurs in all documents."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(known)
+def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each prefix of a column of hashes, gathered in blocks of 2**16 bits."""
+    low = min(bits, 16)
+    prefix = F.shiftrightunsigned(F.col("g"), 64 - bits)
+    blocks = hashes.select(F.shiftright(prefix, low).alias("block"), prefix.bitwiseAND((1 << low) - 1).cast("int").alias("bit")).distinct()
+
+    def pack(batches):
+        for batch in batches:
+            out = []
+            for x in column(batch, "set"):
+                held = np.zeros(1 << low, np.uint8)
+                held[x.values.to_numpy()] = 1
+                out.append(np.packbits(held).tobytes())
+            yield {"block": column(batch, "block"), "bits": out}
+
+    found = scan(blocks.groupBy("block").agg(F.collect_list("bit").alias("set")), pack, "block long, bits binary").collect()
+    out = np.zeros(((1 << bits) >> low, 1 << low), bool)
+    for block, data in found:
+        out[block] = np.unpackbits(np.frombuffer(data, np.uint8), count=1 << low)
+    return np.packbits(out.ravel())
+
+
+def passes(bits: np.ndarray, width: int, h: np.ndarray) -> np.ndarray:
+    """The places of the hashes that pass a filter."""
+    p = (h >> np.uint64(64 - width)).astype(np.int64)
+    return np.flatnonzero((bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1)
+
+
+def rarity(docs: DataFrame, grams: DataFrame, kinds: list[int], width: int) -> DataFrame:
+    """(g, n): how often each shingle of ``grams`` occurs in all documents, for those that do."""
+    held = docs.sparkSession.sparkContext.broadcast(bit_filter(grams, width))
 
     def count(batches):
-        known = held.value
-        bloom, total = Filter(known), np.zeros(len(known) + 1, np.int64)
+        bits = held.value
         for batch in batches:
             for _, texts in tx.chunks(texts_of(batch)):
                 w = tx.Words(texts, tx.ALNUM)
-                for k in range(1, SHINGLE + 1):
+                for k in kinds:
                     g = tx.gram_hash(w.hash, k)
-                    g = g[bloom(g)]
-                    i = np.minimum(np.searchsorted(known, g), len(known) - 1) if len(known) else np.zeros(0, np.int64)
-                    i = i[known[i] == g] if len(i) else i
-                    total[:-1] += np.bincount(i, minlength=len(known))
-        (found,) = np.nonzero(total)
-        yield {"i": found, "n": total[found]}
-
-    out = np.zeros(len(known), np.int64)
-    if len(known):
-        for i, n in scan(docs.select("text"), count, "i long, n long").groupBy("i").agg(F.sum("n")).collect():
-            out[i] = n
-    return out
+                    at = passes(bits, width, g)
+                    key, n = np.unique(g[at[w.doc[at] == w.doc[at + k - 1]]], return_counts=True)
+                    if len(key):
+                        yield {"g": tx.to_signed(key), "n": n}
+
+    return scan(docs.select("text"), count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).join(grams, "g", "left_semi")
+
 
+def keyed_windows(wins: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, shift, size, h1, h2): each different window with its rarest shingle and the place of that."""
+    each = wins.groupBy("h1", "h2", "size").agg(F.first("grams").alias("grams")).select("h1", "h2", "size", F.posexplode("grams").alias("shift", "g"))
+    rare = each.join(counts, "g", "left").groupBy("h1", "h2", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g", "shift")).alias("m"))
+    return rare.select(F.col("m.g").alias("key"), F.col("m.shift").alias("shift"), "size", "h1", "h2")
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+
+def candidates(docs: DataFrame, row: str, keys: DataFrame, kinds: list[int], window: int, width: int) -> DataFrame:
+    """A row for each document (n_words not null), and one for each occurrence of what may be a key: its place and the words around it."""
+    held = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, width))
+
+    def find(batches):
+        bits = held.value
+        for batch in batches:
+            ids, rows = column(batch, "doc_id"), column(batch, row)
+            for first, texts in tx.chunks(texts_of(batch)):
+                w = tx.Words(texts, tx.ALNUM)
+                n = len(texts)
+                none = [None] * n
+                yield {"row": rows.slice(first, n), "doc_id": ids.slice(first, n), "n_words": np.diff(w.offset), "key": none, "at": none, "before": none, "words": none}
+                for k in kinds:
+                    g = tx.gram_hash(w.hash, k)
+                    at = passes(bits, width, g)
+                    at = at[w.doc[at] == w.doc[at + k - 1]]
+                    for lo in range(0, len(at), SLICE):
+                        p = at[lo : lo + SLICE]
+                        d = w.doc[p]
+                        a, b = np.maximum(p - window + 1, w.offset[d]), np.minimum(p + window, w.offset[d + 1])
+                        yield {
+                            "row": rows.take(first + d), "doc_id": [None] * len(p), "n_words": [None] * len(p), "key": tx.to_signed(g[p]), "at": p - w.offset[d], "before": p - a,
+                            "words": [w.hash[x:y].tobytes() for x, y in zip(a, b, strict=True)],
+                        }
+
+    return scan(docs, find, "row long, doc_id long, n_words long, key long, at long, before int, words binary")
+
+
+def verified(found: DataFrame, index: DataFrame) -> DataFrame:
+    """(row, start, size, h1, h2) of the occurrences of windows among candidates."""
+
+    def work(batches):
+        for batch in batches:
+            words = [np.frombuffer(x.as_buffer(), np.uint64) for x in column(batch, "words")]
+            count = np.array([len(x) for x in words], np.int64)
+            base = np.cumsum(count) - count
+            before, shift, size, at = (column(batch, c).to_numpy().astype(np.int64) for c in ("before", "shift", "size", "at"))
+            ok = np.flatnonzero((shift <= before) & (before - shift + size <= count))
+            one, two = sequence_hashes(np.concatenate(words) if words else np.zeros(1, np.uint64), (base + before - shift)[ok], size[ok])
+            yield {"row": column(batch, "row").take(ok), "start": (at - shift)[ok], "size": size[ok], "h1": one, "h2": two}
+
+    placed = found.where("key IS NOT NULL").join(staged(index.select("key", "shift", "size").distinct(), "places"), "key")
+    occurs = scan(placed.select("row", "at", "before", "words", "shift", "size"), work, "row long, start long, size int, h1 long, h2 long")
+    return occurs.join(index.select("h1", "h2", "size"), ["h1", "h2", "size"], "left_semi").distinct()
+
+
+def united(occurs: DataFrame) -> DataFrame:
+    """(row, n_hit, runs): the hit words of each document as flat starts and ends of its maximal runs."""
+
+    def work(batches):
+        for batch in batches:
+            hits, runs = [], []
+            for x in column(batch, "spans"):
+                a = x.values.field("start").to_numpy()
+                b = a + x.values.field("size").to_numpy()
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], np.maximum.accumulate(b[order])
+                new = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
+                edges = np.stack((a[new], b[np.append(new[1:] - 1, len(a) - 1)]), 1)
+                hits.append(int((edges[:, 1] - edges[:, 0]).sum()))
+                runs.append(edges.ravel())
+            yield {"row": column(batch, "row"), "n_hit": hits, "runs": runs}
+
+    gathered = occurs.groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    return scan(gathered, work, "row long, n_hit long, runs array<long>")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, row: str | None = None) -> DataFrame:
     """Each document with its hits: doc_id, n_words, n_hit, items (item ids, sorted as strings), runs (first word, end) of hit words, contaminated.
 
-    A row key (``ROW``) of the documents is handed through.
+    ``row`` names a key of the rows of the documents, if there is one; it is handed through.
     """
-    spark = docs.sparkSession
-    given = ROW in docs.columns
-    docs = docs.select("doc_id", "text", *([ROW] if given else []))
-    found = shards(benchmark)
-    ahead = [x for x in (next(found), next(found, None)) if x is not None]
-    if not given:
-        docs = keyed_rows(docs, "documents") if len(ahead) > 1 else docs.withColumn(ROW, F.lit(0).cast("long"))
-    parts = []
-    for items in chain(ahead, found):
-        index = Index(items, window)
-        known = index.shingles()
-        index.prefixes(known, rarity(docs, known))
-        held = spark.sparkContext.broadcast(index)
-
-        def find(batches, held=held):
-            index = held.value
-            for batch in batches:
-                ids, rows = column(batch, "doc_id"), column(batch, ROW)
-                for first, texts in tx.chunks(texts_of(batch)):
-                    w = tx.Words(texts, tx.ALNUM)
-                    n = len(w.hash)
-                    s, v = index.matches(w)
-                    edge = np.bincount(s, minlength=n + 1)[: n + 1] - np.bincount(s + index.length[v], minlength=n + 1)[: n + 1]
-                    hit = np.concatenate((np.cumsum(edge[:n]) > 0, [False]))
-                    hits = np.add.reduceat(np.concatenate((hit.astype(np.int64), [0])), w.offset[:-1]) * (np.diff(w.offset) > 0) if len(texts) else []
-                    items: list[list] = [[] for _ in texts]
-                    runs: list[list] = [[] for _ in texts]
-                    pairs = np.unique(np.stack([w.doc[s], index.item[v]], 1), axis=0) if len(s) else []
-                    for d, item in pairs:
-                        items[d].append(int(item))
-                    for d in {int(x[0]) for x in pairs}:
-                        h = np.concatenate(([0], hit[w.offset[d] : w.offset[d + 1]].astype(np.int8), [0]))
-                        edges = np.flatnonzero(np.diff(h))
-                        runs[d] = edges.tolist()
-                    yield {
-                        ROW: rows.slice(first, len(texts)), "doc_id": ids.slice(first, len(texts)), "n_words": np.diff(w.offset), "n_hit": hits,
-                        "items": [sorted(x, key=str) for x in items], "runs": runs,
-                    }
-
-        parts.append(scan(docs, find, f"{ROW} long, doc_id long, n_words long, n_hit long, items array<long>, runs array<long>"))
-    out = (parts[0] if len(parts) == 1 else merged(parts)).withColumn("contaminated", F.col("n_hit") > 0)
-    return out if given else out.drop(ROW)
-
-
-def merged(parts: list[DataFrame]) -> DataFrame:
-    """The hits of several shards of items: one row per row of the documents, its hit words united."""
-    rows = parts[0]
-    for x in parts[1:]:
-        rows = rows.unionByName(x)
-    grouped = rows.groupBy(ROW).agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.collect_list("runs").alias("runs"))
-
-    def unite(batches):
-        for batch in batches:
-            runs, hits = [], []
-            for n, lists in zip(column(batch, "n_words").to_pylist(), column(batch, "runs").to_pylist(), strict=True):
-                edge = np.zeros(n + 1, np.int64)
-                for x in lists:
-                    np.add.at(edge, x[0::2], 1)
-                    np.add.at(edge, x[1::2], -1)
-                h = np.concatenate(([0], np.cumsum(edge)[:n] > 0, [0])).astype(np.int8)
-                runs.append(np.flatnonzero(np.diff(h)).tolist())
-                hits.append(int(h.sum()))
-            items = [sorted(set(x), key=str) for x in column(batch, "items").to_pylist()]
-            yield {ROW: column(batch, ROW), "doc_id": column(batch, "doc_id"), "n_words": column(batch, "n_words"), "n_hit": hits, "items": items, "runs": runs}
-
-    return scan(grouped, unite, f"{ROW} long, doc_id long, n_words long, n_hit long, items array<long>, runs array<long>")
+    docs = docs.select("doc_id", "text", (F.col(row) if row else F.monotonically_increasing_id()).alias(ROW))
+    wins = staged(windows(benchmark, window), "windows")
+    kinds = sorted({min(r[0], SHINGLE) for r in wins.select("size").distinct().collect()})
+    grams = staged(wins.select(F.explode("grams").alias("g")).distinct(), "shingles")
+    index = staged(keyed_windows(wins, staged(rarity(docs, grams, kinds, FILTER_BITS), "rarity")), "keys")
+    found = staged(candidates(docs, ROW, index.select(F.col("key").alias("g")), kinds, window, FILTER_BITS), "candidates")
+    occurs = staged(verified(found, index), "occurrences")
+    met = occurs.select("row", "h1", "h2", "size").distinct().join(wins.select("h1", "h2", "size", "item_id").distinct(), ["h1", "h2", "size"])
+    items = met.groupBy("row").agg(F.collect_set("item_id").alias("items"))
+    by_name = F.transform(F.array_sort(F.transform("items", lambda x: F.struct(x.cast("string").alias("name"), x.alias("id")))), lambda x: x["id"])
+    hits = united(occurs).join(items, "row").select("row", "n_hit", by_name.alias("items"), "runs")
+    out = found.where("n_words IS NOT NULL").select("row", "doc_id", "n_words").join(hits, "row", "left")
+    none = F.array().cast("array<long>")
+    out = out.select(
+        *([F.col("row").alias(row)] if row else []), "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"),
+        F.coalesce("runs", none).alias("runs"), F.col("n_hit").isNotNull().alias("contaminated"),
+    )
+    return out
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import ROW, column, keyed_rows, scan, sized, staged, texts_of
+from .common import column, free_name, keyed_rows, scan, sized, staged, texts_of
 
 FIT_ROWS = 4000
 BUCKETS = 1 << 16
@@ -187,11 +187,12 @@ def fit_documents(docs: DataFrame) -> TextModel:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that are accepted, with lang set to the language found."""
     columns = docs.columns
-    docs = keyed_rows(docs, "rows")
-    rows = document_rows(docs.withColumn("doc_id", F.col(ROW)))
-    found = identify(rows, ["doc_id"], fit_documents(docs)).where("accepted").select(F.col("doc_id").alias(ROW), F.col("lang").alias("_lang"))
-    out = docs.join(sized(staged(found, "accepted"), 24), ROW)
-    return out.select(*[F.col("_lang").alias("lang") if c == "lang" else F.col(c) for c in columns])
+    docs, row = keyed_rows(docs, "rows")
+    rows = document_rows(docs.withColumn("doc_id", F.col(row)))
+    lang = free_name(docs, "_lang")
+    found = identify(rows, ["doc_id"], fit_documents(docs)).where("accepted").select(F.col("doc_id").alias(row), F.col("lang").alias(lang))
+    out = docs.join(sized(staged(found, "accepted"), 24), row)
+    return out.select(*[F.col(lang).alias("lang") if c == "lang" else F.col(c) for c in columns])
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
