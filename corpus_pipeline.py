@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import decontaminate, language_id, line_dedup, merge_dropout, ngram_join
-from tracelake.llm.common import ROW, keyed_rows, sized, staged
+from tracelake.llm.common import keyed_rows, sized, staged
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +37,10 @@ def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     columns = docs.columns
-    docs = keyed_rows(docs, "rows")
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = staged(found.where("contaminated").select(ROW), "contaminated")
-    return docs.join(sized(hit, 16), ROW, "left_anti").select(*columns)
+    docs, row = keyed_rows(docs, "rows")
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row=row)
+    hit = staged(found.where("contaminated").select(row), "contaminated")
+    return docs.join(sized(hit, 16), row, "left_anti").select(*columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
