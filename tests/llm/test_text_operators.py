@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.llm import backoff_lm, decontaminate, license_scan, line_dedup, merge_dropout, ngram_join, repeats, token_files
 from tracelake.llm import textops as tx
@@ -114,31 +115,48 @@ def test_decontaminate_against_brute_force(spark, rows, monkeypatch):
     assert Counter((a, b, c, tuple(d)) for a, b, c, d in got) == want
 
 
-def edit_within_one(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return False
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    if len(a) == len(b):
-        return a[k + 1 :] == b[k + 1 :]
-    a, b = sorted((a, b), key=len)
-    return a[k:] == b[k + 1 :]
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+    return row[-1]
 
 
-@pytest.mark.parametrize("edits", [0, 1])
-def test_line_dedup_against_brute_force(spark, rows, edits):
+def deduplicated(rows, edits, min_chars, near_chars):
+    lines = [(i, k, x) for i, t in rows if t is not None for k, x in enumerate(t.split("\n")) if len(x) >= min_chars]
+    near = lambda x, y: x == y or (min(len(x), len(y)) >= near_chars and abs(len(x) - len(y)) <= edits and edits and distance(x, y) <= edits)
+    gone = {(i, k) for i, k, x in lines if any((j, m) < (i, k) and near(x, y) for j, m, y in lines)}
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}, gone
+
+
+@pytest.mark.parametrize(("edits", "min_chars", "near_chars"), [(0, 1, 1), (1, 1, 1), (1, 20, 1), (1, 1, 20)])
+def test_line_dedup_against_brute_force(spark, rows, edits, min_chars, near_chars):
     rows = [r for r in rows if r[0] != 0]
     long = "L" * 40 + "".join(random.Random(3).choices("abcdefg", k=300))
     rows = rows + [(90, long), (91, long[:200] + long[201:]), (92, long[:100] + "#" + long[101:]), (93, long + "!"), (94, "é" * 30 + "\n" + "é" * 29)]
-    lines = [(i, k, x) for i, t in rows if t is not None for k, x in enumerate(t.split("\n"))]
-    gone = {(i, k) for i, k, x in lines if len(x) >= 20 and any((j, m) < (i, k) and len(y) >= 20 and (x == y or (edits and edit_within_one(x, y))) for j, m, y in lines)}
-    want = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
-    got = line_dedup.dedup_lines(frame(spark, rows), max_edits=edits)
+    rows += [(95, "a\nb\nab\n\nabc"), (96, "abcd\nbcd\nxyz\n\nno"), (97, "a"), (98, "cd"), (99, "axyz\nshort")]
+    want, gone = deduplicated(rows, edits, min_chars, near_chars)
+    got = line_dedup.dedup_lines(frame(spark, rows), max_edits=edits, min_chars=min_chars, near_chars=near_chars)
     assert {r.doc_id: r.text for r in got.collect()} == want
     assert gone and got.columns[:4] == ["doc_id", "text", "source", "n_words"]
 
 
+@pytest.mark.parametrize("edits", [2, 3])
+def test_line_dedup_of_more_edits(spark, edits):
+    r = random.Random(edits)
+    rows = [(i, "\n".join("".join(r.choices("abc", k=r.randrange(0, 9 - edits))) for _ in range(3))) for i in range(40)]
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(frame(spark, rows), max_edits=edits).collect()} == deduplicated(rows, edits, 1, 1)[0]
+
+
+def test_line_dedup_of_many_lines_and_clashing_names(spark):
+    rows = [(1, "same line\n" * 200_000 + "last"), (2, "x\nsame line")]
+    docs = frame(spark, rows).withColumn("_gone", F.lit(1)).withColumn("_lines", F.lit(2))
+    got = line_dedup.dedup_lines(docs)
+    assert {r.doc_id: (r.text, r.n_removed, r["_gone"], r["_lines"]) for r in got.collect()} == {1: ("same line\nlast", 199_999, 1, 2), 2: ("x", 1, 1, 2)}
+
+
 def test_line_dedup_is_native(spark, rows):
     plan = line_dedup.dedup_lines(frame(spark, rows))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -1,10 +1,14 @@
 """Near-duplicate line removal by a deletion-neighbourhood join, in built-in functions only.
 
 Two lines are near when their edit distance (insertions, deletions, substitutions of
-characters) is at most one. A line is removed where a near or equal line stands
+characters) is at most ``max_edits``. A line is removed where a near or equal line stands
 strictly earlier, by (doc_id, line number); so of each such pair the earliest stays.
 
-Emitting all deletion variants of every line would write each text many times over.
+A key is a deletion variant with the gaps between its characters where edits may have been, exactly as many as the
+bound. A line emits it if no gap holds more of its deleted characters than the key names, so two lines with an
+equal key are within the bound, and the earliest line of a key serves all others of it.
+
+For a bound of one, all variants of every line would still write each text many times over.
 Lines within one edit agree on all but one segment, so variants are emitted only where
 the rest of the line is found again, and only of that segment:
 
@@ -18,11 +22,14 @@ the rest of the line is found again, and only of that segment:
    aggregate per key, so a key shared by many lines costs no pairs.
 5. The edit distance to the earliest near line is verified on the texts.
 
+For larger bounds every line emits all its keys, some (2 length)**max_edits of them.
+
 Defined cases: null text has no lines and stays null; lines shorter than ``min_chars``
-characters (blank ones too) are never removed and remove nothing; rows with a null doc_id
+characters (by default empty ones only) are never removed and remove nothing, those shorter than ``near_chars`` are removed and remove only where they are
+equal; rows with a null doc_id
 come before all others; a repeated row (same doc_id and line number) is no earlier than
 itself, so both stay as they are; very long lines cost length**1.5; an empty table gives an
-empty result; other columns are kept by ``dedup_lines``.
+empty result; other columns are kept by ``dedup_lines``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +37,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized, staged
+from .common import free_name, sized, staged
 
-MIN_CHARS = 20
+MIN_CHARS = 1
 
 
 def _hash(*parts) -> Column:
@@ -60,11 +67,46 @@ def half_keys(line: Column) -> Column:
     return F.array(*[of(m, side) for m in (n, n - 1) for side in (0, 1)])
 
 
+def shared(rows: DataFrame, name: str) -> DataFrame:
+    """The keys of more than one row."""
+    return staged(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), name)
+
+
+def variant_keys(line: Column, edits: int) -> Column:
+    """Hashed keys of a line for a bound of ``edits``: so many gaps in rising order, at each of which a character is deleted or none is."""
+    states = F.array(F.struct(line.alias("v"), F.lit("").alias("gaps"), F.lit(0).alias("last")))
+
+    def step(s: Column) -> Column:
+        def at(g: Column, v: Column) -> Column:
+            return F.struct(v.alias("v"), F.concat(s["gaps"], F.lit(","), g.cast("string")).alias("gaps"), g.alias("last"))
+
+        n = F.length(s["v"])
+        kept = F.transform(F.sequence(s["last"], n), lambda g: at(g, s["v"]))
+        deleted = F.transform(F.sequence(s["last"], n - 1), lambda g: at(g, F.concat(F.substr(s["v"], F.lit(1), g), F.substr(s["v"], g + 2))))
+        return F.when(n > s["last"], F.concat(kept, deleted)).otherwise(kept)
+
+    for _ in range(edits):
+        states = F.flatten(F.transform(states, step))
+    return F.array_distinct(F.transform(states, lambda s: F.xxhash64(s["v"], s["gaps"])))
+
+
+def near_by_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(h1, h2, e) as ``near_lines``, for any bound."""
+    one = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
+    emitted = staged(one.select("h1", "h2", "first", F.explode(variant_keys(F.col("line"), edits)).alias("key")), "variants")
+    met = staged(emitted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("first", "h1", "h2")).alias("o")).where("n > 1"), "variant-keys")
+    found = emitted.join(met, "key").where("o.first < first").select("h1", "h2", F.col("o.first").alias("e"), F.col("o.h1").alias("o1"), F.col("o.h2").alias("o2")).distinct()
+    texts = staged(one.select("h1", "h2", "line"), "near-texts")
+    theirs = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("theirs"))
+    verified = found.join(texts, ["h1", "h2"]).join(theirs, ["o1", "o2"]).where(F.levenshtein("line", "theirs") <= edits)
+    return verified.groupBy("h1", "h2").agg(F.min("e").alias("e"))
+
+
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(h1, h2, e): the earliest place of a near line that is not equal, for the lines that have one."""
+    """(h1, h2, e): the earliest place of a line within one edit that is not equal, for the lines that have one."""
     halves = distinct.select("h1", "h2", F.explode("keys").alias("k")).select("h1", "h2", "k.m", "k.side", "k.key")
-    often = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    halves = staged(halves.join(often, "key"), "halves")
+    # Written first, here and below, so that the join shuffles both sides by itself and a key of many lines can be split.
+    halves = staged(halves.join(shared(halves, "half-keys"), "key"), "halves")
 
     ids = staged(halves.select("h1", "h2").distinct(), "near-ids")
     texts = keyed(numbered_lines(docs), 0).join(sized(ids, 24), ["h1", "h2"], "left_semi")
@@ -88,8 +130,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         F.substring("part", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("longer")).alias("seg"),
     )
     part = staged(part, "segments")
-    often = part.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    part = part.join(often, "key")
+    part = part.join(shared(part, "segment-keys"), "key")
 
     # Variants. A substitution: both lines without the same character. An insertion: the longer line without one, the shorter as it is.
     size = F.length("seg")
@@ -105,6 +146,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         F.min(F.when(F.col("longer") == 0, place)).alias("short"), F.min(F.when(F.col("longer") == 1, place)).alias("long"),
     ).where("n > 1")
+    met = staged(met, "variant-keys")
     # Of an insertion key only a line of the other length is near; of a substitution key every line is.
     other = F.when(~F.col("indel"), F.col("short")).when(F.col("longer") == 1, F.col("short")).otherwise(F.col("long"))
     found = emitted.join(met, "key").withColumn("o", other).where("o IS NOT NULL AND o.first < first")
@@ -115,19 +157,19 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return verified.groupBy("h1", "h2").agg(F.min("e").alias("e"))
 
 
-def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no) of every line with an equal or near line strictly before it. ``max_edits`` is 0 or 1."""
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits is 0 or 1")
+def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, near_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, line_no) of every line with an equal or near line strictly before it."""
+    if max_edits < 0:
+        raise ValueError("max_edits is not negative")
     docs = docs.select("doc_id", "text")
     lines = keyed(numbered_lines(docs), min_chars)
     grouped = {"first": F.min(F.struct("doc_id", "line_no")), "n": F.count("*")}
-    if max_edits:
+    if max_edits == 1:
         grouped["keys"] = F.first("keys")
-        lines = lines.withColumn("keys", half_keys(F.col("line")))
+        lines = lines.withColumn("keys", F.when(F.length("line") >= near_chars, half_keys(F.col("line"))))
     distinct = staged(lines.groupBy("h1", "h2").agg(*[v.alias(k) for k, v in grouped.items()]), "distinct-lines")
     if max_edits:
-        near = near_lines(docs, distinct)
+        near = near_lines(docs, distinct) if max_edits == 1 else near_by_keys(lines.where(F.length("line") >= near_chars), max_edits)
         distinct = distinct.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left")
     else:
         distinct = distinct.withColumn("e", F.lit(None).cast(distinct.schema["first"].dataType))
@@ -136,17 +178,20 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHAR
     return places.join(sized(staged(earliest, "earliest"), 48), ["h1", "h2"]).where(F.struct("doc_id", "line_no") > F.col("e")).select("doc_id", "line_no").distinct()
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, near_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with their text rebuilt from the lines kept, and n_lines and n_removed (which replace columns of those names)."""
     docs = docs.drop("n_lines", "n_removed")
-    gone = removed_lines(docs, max_edits, min_chars).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_list("line_no").alias("_gone"))
-    gone = sized(staged(gone, "removed-lines"), 64, items="_gone", item_bytes=4)
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")), "left")
-    lines = F.split("text", "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    columns = docs.columns
+    split, gone, key = (free_name(docs, x) for x in ("_lines", "_gone", "_gone_id"))
+    removed = removed_lines(docs, max_edits, min_chars, near_chars).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("line_no").alias(gone))
+    removed = sized(staged(removed, "removed-lines"), 64, items=gone, item_bytes=4)
+    # Lines are split below the join, so that each is fetched from an array that is made once.
+    out = docs.withColumn(split, F.split("text", "\n")).drop("text").join(removed, F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.array_size(split) - 1), F.coalesce(gone, F.array().cast("array<int>")))
+    text = F.array_join(F.when(F.col(gone).isNull(), F.col(split)).otherwise(F.transform(kept, lambda i: F.get(split, i))), "\n")
     return out.select(
-        *[F.col(c) if c != "text" else kept.alias("text") for c in docs.columns],
-        F.coalesce(F.array_size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[F.col(c) if c != "text" else text.alias("text") for c in columns],
+        F.coalesce(F.array_size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_size(gone), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
@@ -158,7 +203,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH l AS (
   SELECT doc_id, unnest(range(0, len(a))) AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
-d AS (SELECT line, min({'d': doc_id, 'l': line_no}) AS first FROM l WHERE length(line) >= 20 GROUP BY line),
+d AS (SELECT line, min({'d': doc_id, 'l': line_no}) AS first FROM l WHERE length(line) >= 1 GROUP BY line),
 v AS (SELECT line, first, i, left(line, i - 1) || substring(line, i + 1) AS v FROM (SELECT line, first, unnest(range(1, length(line) + 1)) AS i FROM d)),
 pairs AS (
   SELECT a.line, b.first FROM v a JOIN v b ON a.v = b.v AND a.i = b.i AND a.line <> b.line
