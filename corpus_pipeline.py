@@ -17,15 +17,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.keep_identified(docs)
 
 
+#: Shorter lines stand for too little to be held against a line that only resembles them; they go where they are equal.
+NEAR_CHARS = 20
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand earlier, equal or one edit away; those of which no line that takes part is left go.
+    """Documents without lines that stand earlier, equal or (from ``NEAR_CHARS`` characters on) one edit away; those of which only blanks are left go.
 
-    Only lines of ``MIN_CHARS`` characters are removed. A document that loses all of its lines of that length is a copy whatever short
-    lines it has besides: they go with it, as a stub of them would no longer be like the original in the next stage.
+    Null text stays as it is; a row that has lost nothing stays, blank or not; rows are ordered by doc_id, null first.
     """
-    out = line_dedup.dedup_lines(docs)
-    whole = F.exists(F.split("text", "\n"), lambda x: (F.length(x) >= line_dedup.MIN_CHARS) & (F.trim(F.regexp_replace(x, r"\s+", " ")) != ""))
-    out = out.where((F.col("n_removed") == 0) | whole)
+    out = line_dedup.dedup_lines(docs, near_chars=NEAR_CHARS)
+    out = out.where((F.col("n_removed") == 0) | (F.regexp_replace("text", r"\s+", "") != ""))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
