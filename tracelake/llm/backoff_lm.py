@@ -15,7 +15,7 @@ The counts are relations of hash and count, never whole in one place:
 2. All other bigrams are exploded, summed per document (for another corpus, per run) and shuffled by hash
    into groups of about ``GROUP`` entries. A group sums the counts of its bigrams and joins them to the
    documents' bigrams. Those found ask for the count of their first word, the others back off and ask for the count of
-   their second; an entry carries both words as places in the hot table, and only words that are not hot are asked for in the
+   their second; a bigram of two hot words travels as their two places in the hot table, and only words that are not hot are asked for in the
    round of the single words that follows.
 3. The sums per document of each group come back to the run that the document was read in.
 
@@ -39,14 +39,17 @@ from .common import column, grouped, scan, staged, texts_of
 
 HOT = 1 << 16
 RUN_WORDS = 1 << 19
-GROUP = 1 << 20
+GROUP = 1 << 22
 ALPHA = 0.4
 
-#: Entries of one run and group. n = 2: place of the document in the run (as differences), hash of the bigram, occurrences, both words (places in the hot
-#: table, or beyond it in ``cold``) and how often the document has them. n = 1, with a run: document, word asked for, weight in the score, occurrences in the document.
-#: Without a run: hash and count. n = 0: one row for each run (ids in g, words in x, score in w1, backed off in w2). n = -1: sums for documents (doc, w1, w2 likewise).
+#: Entries of one run and group, packed. n = 2: place of the document in the run (as differences), both words of the bigram (their places in the hot table,
+#: 16 bits each, in g), occurrences x, and how often the document has each of them (o1, o2). n = 3, bigrams with a word that is not hot: the same, with the hash
+#: in g and both words in w1 and w2 (places in the hot table, or beyond it in ``cold``). n = 1, with runs (comma-joined names, w1 says which): document, word asked for, weight in
+#: the score, occurrences in the document (o1). Without a run: hash (or both words) and count. n = 0: one row for each run (ids in g, words in x, score in w1,
+#: backed off in w2). n = -1: sums for documents (doc, w1, w2 likewise).
 BODY = ("doc", "g", "x", "w1", "w2", "o1", "o2", "cold")
 ENTRIES = "n int, part int, run string, " + ", ".join(f"{c} binary" for c in BODY)
+PAIRS, ODD = 2, 3
 
 
 def _bigrams(w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +91,8 @@ class Hot:
     """Exact counts of frequent n-grams of a corpus, its number of words, and the entries to expect of each order."""
 
     def __init__(self, corpus: DataFrame, hot: int):
+        if hot > 1 << 16:
+            raise ValueError("places in the hot table are 16 bits")
         texts = corpus.select("text")
 
         def frequent(batches):
@@ -122,13 +127,14 @@ class Hot:
 
 
 def fit(x: np.ndarray) -> bytes:
-    """Numbers from 0 on in as few bytes each as hold the largest."""
+    """Numbers from 0 on, compressed from as few bytes each as hold the largest, after that number of bytes."""
     top = int(x.max()) if len(x) else 0
-    return x.astype(next(f"<u{k}" for k in (1, 2, 4) if top < 1 << (8 * k))).tobytes()
+    k = next(k for k in (1, 2, 4) if top < 1 << (8 * k))
+    return bytes([k]) + pa.compress(x.astype(f"<u{k}").tobytes(), codec="zstd", asbytes=True)
 
 
 def unfit(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+    return np.frombuffer(pa.decompress(data[1:], n * data[0], codec="zstd", asbytes=True), f"<u{data[0]}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
 def entry(n: int, part: int, run: str, **body: bytes) -> dict:
@@ -141,7 +147,7 @@ def _rows(entries: list[dict]) -> dict:
 
 def _parts(g: np.ndarray, parts: int):
     """(group, places) of the entries that go to each group, in their order."""
-    part = (g % np.uint64(parts)).astype(np.int64)
+    part = (tx.mix(g.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     cut = np.flatnonzero(np.diff(part[order], prepend=-1))
     for i in np.split(order, cut[1:]) if len(order) else []:
@@ -158,32 +164,53 @@ def _pairs(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return order[new], back, np.bincount(back, minlength=int(new.sum()))
 
 
-def _asks(run: str, parts: int, doc: np.ndarray, word: np.ndarray, weight: np.ndarray, own: np.ndarray) -> list[dict]:
-    """Words asked for, summed for each document."""
-    first, back, _ = _pairs(doc, word)
-    doc, word, own, weight = doc[first], word[first], own[first], np.bincount(back, weights=weight, minlength=len(first))
-    out = []
-    for part, i in _parts(word, parts):
-        out.append(entry(1, part, run, doc=fit(np.diff(doc[i], prepend=0)), g=word[i].tobytes(), x=weight[i].astype("<i4").tobytes(), o1=fit(own[i])))
-    return out
+def _asks(runs: list[str], parts: int, run: np.ndarray, doc: np.ndarray, word: np.ndarray, weight: np.ndarray, own: np.ndarray) -> list[dict]:
+    """Words asked for, summed for each document of each run."""
+    place = run << 32 | doc
+    first, back, _ = _pairs(place, word)
+    run, doc, word, own, weight = run[first], doc[first], word[first], own[first], np.bincount(back, weights=weight, minlength=len(first))
+    return [
+        entry(1, part, ",".join(runs), doc=fit(doc[i]), g=word[i].tobytes(), x=weight[i].astype("<i4").tobytes(), w1=fit(run[i]), o1=fit(own[i]))
+        for part, i in _parts(word, parts)
+    ]
 
 
-def _counts(n: int, parts: int, g: np.ndarray) -> list[dict]:
-    key, count = np.unique(g, return_counts=True)
+def _counts(n: int, parts: int, g: np.ndarray, weight: np.ndarray | None = None) -> list[dict]:
+    key, back = np.unique(g, return_inverse=True)
+    count = np.bincount(back, weights=weight, minlength=len(key)).astype(np.int64)
     return [entry(n, part, "", g=key[i].tobytes(), x=fit(count[i])) for part, i in _parts(key, parts)]
 
 
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two hot words as one number."""
+    return (a << 16 | b).astype("<u4")
+
+
 def counted(corpus: DataFrame, hot, parts: list[int]) -> DataFrame:
     """The corpus as entries that are only counted, a run's n-grams summed."""
 
     def work(batches):
+        h = hot.value
+        size = [len(k) for k in h.keys]
         for run in _runs(batches):
-            for n, g in enumerate(_grams(run), 1):
-                yield _rows(_counts(n, parts[n - 1], g[place(hot.value.keys[n - 1], g) == len(hot.value.keys[n - 1])]))
+            words = np.concatenate([w.hash for _, w in run])
+            out = _counts(1, parts[0], words[place(h.keys[0], words) == size[0]])
+            at, g = (np.concatenate(x) for x in zip(*[(p + b, g) for b, (p, g) in zip(_bases(run), (_bigrams(w) for _, w in run), strict=True)], strict=True))
+            cold = place(h.keys[1], g) == size[1]
+            j1, j2 = place(h.keys[0], words[at - 1]), place(h.keys[0], words[at])
+            warm = (j1 < size[0]) & (j2 < size[0])
+            out += _counts(PAIRS, parts[1], _both(j1, j2)[cold & warm]) + _counts(ODD, parts[1], g[cold & ~warm])
+            yield _rows(out)
 
     return scan(corpus.select("text"), work, ENTRIES)
 
 
+def _bases(run) -> np.ndarray:
+    """The number of words before each chunk of a run."""
+    count = [len(w.hash) for _, w in run]
+    return np.cumsum(count) - count
+
+
 def exploded(docs: DataFrame, hot, parts: list[int], alpha: float, own: bool) -> DataFrame:
     """The documents as entries, and as one row of sums for each run. ``own``: they are the corpus too."""
 
@@ -225,17 +252,26 @@ def exploded(docs: DataFrame, hot, parts: list[int], alpha: float, own: bool) ->
                 lost.append(off)
                 base += len(n)
             out = [entry(0, TaskContext.get().partitionId(), name, g=_ids(ids), x=np.concatenate(words).astype("<i8").tobytes(), w1=np.concatenate(score).tobytes(), w2=np.concatenate(lost).astype("<i8").tobytes())]
-            out += _asks(name, parts[0], *(np.concatenate(x) for x in zip(*asks, strict=True)))
+            d, word, weight, has = (np.concatenate(x) for x in zip(*asks, strict=True))
+            out += _asks([name], parts[0], np.zeros(len(d), np.int64), d, word, weight, has)
             if own:
                 g = np.concatenate([w.hash for _, w in run])
                 out += _counts(1, parts[0], g[place(h.keys[0], g) == size[0]])
             yield _rows(out)
             doc, g, x, j1, j2, w1, w2, o1, o2 = (np.concatenate(x) for x in zip(*two, strict=True))
             out = []
-            for part, i in _parts(g, parts[1]):
+            warm = (j1 < size[0]) & (j2 < size[0])
+            common = lambda i: {"doc": fit(np.diff(doc[i], prepend=0)), "x": fit(x[i]), "o1": fit(o1[i]), "o2": fit(o2[i])}
+            at = np.flatnonzero(warm)
+            both = _both(j1[at], j2[at])
+            for part, i in _parts(both, parts[1]):
+                out.append(entry(PAIRS, part, name, g=both[i].tobytes(), **common(at[i])))
+            at = np.flatnonzero(~warm)
+            for part, i in _parts(g[at], parts[1]):
+                i = at[i]
                 cold = np.unique(np.concatenate((w1[i][j1[i] == size[0]], w2[i][j2[i] == size[0]])))
                 a, b = (np.where(j[i] < size[0], j[i], size[0] + place(cold, v[i])) for j, v in ((j1, w1), (j2, w2)))
-                out.append(entry(2, part, name, doc=fit(np.diff(doc[i], prepend=0)), g=g[i].tobytes(), x=fit(x[i]), w1=fit(a), w2=fit(b), o1=fit(o1[i]), o2=fit(o2[i]), cold=cold.tobytes()))
+                out.append(entry(ODD, part, name, g=g[i].tobytes(), w1=fit(a), w2=fit(b), cold=cold.tobytes(), **common(i)))
             yield _rows(out)
 
     return scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, ENTRIES)
@@ -246,47 +282,87 @@ def _ids(ids: list) -> bytes:
     return np.array([x is None for x in ids], bool).tobytes() + np.array([x or 0 for x in ids], "<i8").tobytes()
 
 
-def joined(entries: DataFrame, order: int, parts: list[int], alpha: float, hot, own: bool) -> DataFrame:
-    """Sum the counts of each group of an order and join them to its documents' n-grams; rows of lower orders go through as they are.
+def joined(entries: DataFrame, bigrams: bool, parts: list[int], alpha: float, hot, own: bool) -> DataFrame:
+    """Sum the counts of each group and join them to its documents' n-grams.
 
-    Gives sums for the documents of runs (n = -1) and, for bigrams, the words to ask for (n = 1), unless they are hot.
+    Gives sums for the documents of runs (n = -1) and, for bigrams, the words to ask for (n = 1), unless they are hot. In the round of the bigrams rows for
+    runs go through as they are, and the counts of single words are summed.
     """
 
-    def work(key, table):
-        if key[0].as_py() != order:
-            return table
-        rows = table.to_pylist()
-        g = np.frombuffer(b"".join(r["g"] for r in rows), "<u8")
-        size = [len(r["g"]) // 8 for r in rows]
+    def sums(run: str, doc: np.ndarray, value: np.ndarray, off: np.ndarray) -> dict:
+        local, at = np.unique(doc, return_inverse=True)
+        value, off = (np.bincount(at, weights=v, minlength=len(local)) for v in (value, off))
+        return entry(-1, 0, run, doc=fit(np.diff(local, prepend=0)), w1=value.tobytes(), w2=fit(off.astype(np.int64)))
+
+    def of_bigrams(rows: list[dict], kind: int, h) -> list[dict]:
+        width = 4 if kind == PAIRS else 8
+        g = np.frombuffer(b"".join(r["g"] for r in rows), f"<u{width}")
+        size = [len(r["g"]) // width for r in rows]
         ends = np.cumsum(size)
+        x = np.concatenate([unfit(r["x"], n) for r, n in zip(rows, size, strict=True)])
+        counts = np.repeat([own or not r["run"] for r in rows], size)
         unique, back = np.unique(g, return_inverse=True)
-        count = np.zeros(len(unique), np.int64)
-        for r, n, e in zip(rows, size, ends, strict=True):
-            if not r["run"] or (own and order == 2):  # what a run asks for of single words is counted in rows without a run
-                np.add.at(count, back[e - n : e], unfit(r["x"], n))
-        h, out = hot.value, []
-        words = len(h.keys[0])
+        total = np.bincount(back, weights=x * counts, minlength=len(unique)).astype(np.int64)[back]
+        del unique, back, counts
+        words, logs, out, asks, names = len(h.keys[0]), np.append(h.counts[0], 0), [], [], []
         for r, n, e in zip(rows, size, ends, strict=True):
             if not r["run"]:
                 continue
-            doc, c = np.cumsum(unfit(r["doc"], n)), count[back[e - n : e]]
-            if order == 1:
-                x = np.frombuffer(r["x"], "<i4")
-                value, off = x * np.log(np.maximum(c - (unfit(r["o1"], n) if own else 0), 1)), np.zeros(n, np.int64)
+            doc, k = np.cumsum(unfit(r["doc"], n)), x[e - n : e]
+            c = total[e - n : e] - (k if own else 0)
+            found = c > 0
+            value, off = np.where(found, k * np.log(np.maximum(c, 1)), k * np.log(alpha)), np.where(found, 0, k)
+            if kind == PAIRS:
+                both = g[e - n : e].astype(np.int64)
+                w1, w2 = both >> 16, both & 0xFFFF
             else:
-                x = unfit(r["x"], n)
-                c = c - (x if own else 0)
-                found = c > 0
-                value, off = np.where(found, x * np.log(np.maximum(c, 1)), x * np.log(alpha)), np.where(found, 0, x)
-                word, weight, has = (np.where(found, a, b) for a, b in ((unfit(r["w1"], n), unfit(r["w2"], n)), (-x, x), (unfit(r["o1"], n), unfit(r["o2"], n))))
-                known = word < words
-                c = np.append(h.counts[0], 0)[np.minimum(word, words)] - (has if own else 0)
-                value = value + known * weight * np.log(np.maximum(c, 1))
-                rest = ~known
-                out += _asks(r["run"], parts[0], doc[rest], np.frombuffer(r["cold"], "<u8")[word[rest] - words], weight[rest], has[rest])
-            local, at = np.unique(doc, return_inverse=True)
-            sums = (np.bincount(at, weights=v, minlength=len(local)) for v in (value, off))
-            out.append(entry(-1, 0, r["run"], doc=local.astype("<u4").tobytes(), w1=next(sums).tobytes(), w2=next(sums).astype("<i8").tobytes()))
+                w1, w2 = unfit(r["w1"], n), unfit(r["w2"], n)
+            word, weight, has = (np.where(found, a, b) for a, b in ((w1, w2), (-k, k), (unfit(r["o1"], n), unfit(r["o2"], n))))
+            known = word < words
+            value = value + known * weight * np.log(np.maximum(logs[np.minimum(word, words)] - (has if own else 0), 1))
+            rest = np.flatnonzero(~known)
+            if len(rest):
+                asks.append((np.full(len(rest), len(names)), doc[rest], np.frombuffer(r["cold"], "<u8")[word[rest] - words], weight[rest], has[rest]))
+                names.append(r["run"])
+            out.append(sums(r["run"], doc, value, off))
+        if asks:
+            out += _asks(names, parts[0], *(np.concatenate(v) for v in zip(*asks, strict=True)))
+        return out
+
+    def of_words(rows: list[dict]) -> list[dict]:
+        size = [len(r["g"]) // 8 for r in rows]
+        total = [(np.frombuffer(r["g"], "<u8"), unfit(r["x"], n)) for r, n in zip(rows, size, strict=True) if not r["run"]]
+        key, back = np.unique(np.concatenate([g for g, _ in total]) if total else np.zeros(0, np.uint64), return_inverse=True)
+        count = np.append(np.bincount(back, weights=np.concatenate([c for _, c in total]), minlength=len(key)).astype(np.int64) if total else np.zeros(0, np.int64), 0)
+        ids: dict[str, int] = {}
+        run, doc, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for r, n in zip(rows, size, strict=True):
+            if r["run"]:
+                mine = np.array([ids.setdefault(name, len(ids)) for name in r["run"].split(",")])
+                c = count[place(key, np.frombuffer(r["g"], "<u8"))] - (unfit(r["o1"], n) if own else 0)
+                run.append(mine[unfit(r["w1"], n)])
+                doc.append(unfit(r["doc"], n))
+                value.append(np.frombuffer(r["x"], "<i4") * np.log(np.maximum(c, 1)))
+        run, doc, value = (np.concatenate(v) for v in (run, doc, value))
+        order = np.argsort(run, kind="stable")
+        cut = np.searchsorted(run[order], np.arange(len(ids) + 1))
+        return [sums(name, doc[i], value[i], np.zeros(len(i))) for name, k in ids.items() if len(i := order[cut[k] : cut[k + 1]])]
+
+    def work(key, table):
+        n = key[0].as_py()
+        if n == 0:
+            return table
+        rows = table.to_pylist()
+        if n > 1:
+            out = of_bigrams(rows, n, hot.value)
+        elif not bigrams:
+            out = of_words(rows)
+        else:
+            alone = [r for r in rows if not r["run"]]
+            out = [r for r in rows if r["run"]]
+            if alone:
+                g = np.concatenate([np.frombuffer(r["g"], "<u8") for r in alone])
+                out += _counts(1, parts[0], g, np.concatenate([unfit(r["x"], len(r["g"]) // 8) for r in alone]))
         kinds = {"n": pa.int32(), "part": pa.int32(), "run": pa.string()}
         return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in _rows(out).items()})
 
@@ -305,9 +381,10 @@ def summed(sums: DataFrame, hot, own: bool) -> DataFrame:
         ids = np.frombuffer(base["g"][len(score) :], "<i8")
         for r in rows:
             if r["n"] < 0:
-                d = np.frombuffer(r["doc"], "<u4")
+                n = len(r["w1"]) // 8
+                d = np.cumsum(unfit(r["doc"], n))
                 score[d] += np.frombuffer(r["w1"], np.float64)
-                lost[d] += np.frombuffer(r["w2"], "<i8")
+                lost[d] += unfit(r["w2"], n)
         score -= (lost + (words > 0)) * np.log(np.maximum(hot.value.words - (words if own else 0), 1))
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), "n_words": words, "n_backed_off": lost, "log_score": score})
 
@@ -323,8 +400,8 @@ def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, alpha: floa
     entries = exploded(docs, held, parts, alpha, own)
     if not own:
         entries = entries.unionByName(counted(corpus, held, parts))
-    two = staged(joined(entries, 2, parts, alpha, held, own), "bigrams")
-    one = joined(two.where("n = 1"), 1, parts, alpha, held, own)
+    two = staged(joined(entries, True, parts, alpha, held, own), "bigrams")
+    one = joined(two.where("n = 1"), False, parts, alpha, held, own)
     return summed(two.where("n < 1").unionByName(one), held, own)
 
 
