@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import column, free_name, keyed_rows, scan, sized, staged, texts_of
+from .common import column, free_name, grouped, keyed_rows, scan, sized, staged, texts_of
 
 FIT_ROWS = 4000
 BUCKETS = 1 << 16
@@ -90,7 +90,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> TextModel:
         return pa.table({"lang": [key[0].as_py()], "counts": pa.array([c.tobytes()], pa.binary())})
 
     parts = scan(rows.join(F.broadcast(chosen), "id", "left_semi"), count, "lang string, counts binary")  # at most fit_rows ids
-    found = sorted((r[0], np.frombuffer(r[1], np.int64)) for r in parts.groupBy("lang").applyInArrow(add, "lang string, counts binary").collect())
+    found = sorted((r[0], np.frombuffer(r[1], np.int64)) for r in grouped(parts.groupBy("lang"), add, "lang string, counts binary").collect())
     return TextModel([x for x, _ in found], np.array([c for _, c in found], np.float64).reshape(-1, BUCKETS))
 
 
@@ -110,7 +110,9 @@ def text_evidence(rows: DataFrame, key: list[str], model: TextModel, weight: flo
                 yield {c: column(batch, c).slice(first, len(texts)) for c in [*key, "declared", "suffix", "host"]} | {"letters": letters, "ll": list(ll), "p": list(p)}
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in key) + ", declared string, suffix string, host string, letters long, ll array<double>, p array<double>"
-    return scan(rows.select(*key, "text", "declared", "suffix", "host"), work, schema)
+    out = staged(scan(rows.select(*key, "text", "declared", "suffix", "host"), work, schema), "evidence")
+    held.unpersist()
+    return out
 
 
 def fuse(evidence: DataFrame, key: list[str], languages: list[str], strength: float = STRENGTH, least: float = LEAST) -> DataFrame:
@@ -159,7 +161,7 @@ def fuse(evidence: DataFrame, key: list[str], languages: list[str], strength: fl
 
 def identify(rows: DataFrame, key: list[str], model: TextModel, weight: float = WEIGHT, strength: float = STRENGTH, least: float = LEAST) -> DataFrame:
     """Identify rows with columns ``key``, text, declared, suffix and host."""
-    return fuse(staged(text_evidence(rows, key, model, weight), "evidence"), key, model.languages, strength, least)
+    return fuse(text_evidence(rows, key, model, weight), key, model.languages, strength, least)
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

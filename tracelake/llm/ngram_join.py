@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import column, components, scan, sized, staged, texts_of
+from .common import column, components, grouped, scan, sized, staged, texts_of
 
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
@@ -82,9 +82,9 @@ def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
         total = np.minimum(total, 2**32 - 1).astype(np.uint32)
         return pa.table({"b": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = scan(docs.select("text"), count, "b long, salt long, counts binary").groupBy("b", "salt").applyInArrow(add, "b long, counts binary")
+    parts = grouped(scan(docs.select("text"), count, "b long, salt long, counts binary").groupBy("b", "salt"), add, "b long, counts binary")
     out = np.zeros((SKETCH_BLOCKS, width), np.uint32)
-    for b, counts in parts.groupBy("b").applyInArrow(add, "b long, counts binary").collect():
+    for b, counts in grouped(parts.groupBy("b"), add, "b long, counts binary").collect():
         out[b] = np.frombuffer(counts, np.uint32)
     return out.ravel()
 
@@ -113,7 +113,9 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                         two.append(int(tx.to_signed(tx.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True))[0]))
                 yield {"doc_id": ids.slice(first, len(texts)), "n_shingles": size, "h1": one, "h2": two, "need": need}
 
-    return scan(docs.select("doc_id", "text"), sign, "doc_id long, n_shingles long, h1 long, h2 long, need array<long>")
+    out = staged(scan(docs.select("doc_id", "text"), sign, "doc_id long, n_shingles long, h1 long, h2 long, need array<long>"), "signatures")
+    held.unpersist()
+    return out
 
 
 def with_overlap(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -159,7 +161,7 @@ def with_overlap(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
                         out[name].append(value)
         return pa.table({"pivot": pa.array([pivot] * len(out["both"]), pa.int64()), **{c: pa.array(v, pa.int64()) for c, v in out.items()}})
 
-    return sent.groupBy("pivot", "part").applyInArrow(overlap, "pivot long, doc_id long, both long, either long")
+    return grouped(sent.groupBy("pivot", "part"), overlap, "pivot long, doc_id long, both long, either long")
 
 
 def joined_blocks(members: DataFrame, percent: int) -> DataFrame:
@@ -190,7 +192,7 @@ def joined_blocks(members: DataFrame, percent: int) -> DataFrame:
         keep = ids[x] < ids[y]
         return pa.table({"pivot": pa.array(ids[x[keep]], pa.int64()), "doc_id": pa.array(ids[y[keep]], pa.int64())})
 
-    return placed.groupBy("pivot", "cell", "i", "j").applyInArrow(pairs, "pivot long, doc_id long")
+    return grouped(placed.groupBy("pivot", "cell", "i", "j"), pairs, "pivot long, doc_id long")
 
 
 def shared_need(signed: DataFrame) -> DataFrame:
@@ -237,7 +239,7 @@ def cells(rest: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links of at least ``percent`` reach."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = staged(signatures(docs, n, percent), "signatures")
+    signed = signatures(docs, n, percent)
     held = staged(shared_need(signed), "shared-need")
     lists = staged(held.groupBy("doc_id", "n").agg(F.collect_list("s").alias("need")), "lists")
     near = F.expr(f"100 * both >= {percent} * either")
