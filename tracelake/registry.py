@@ -29,12 +29,12 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog  # noqa: F401  registers on import
+    from . import catalog, catalog_sources  # noqa: F401  they register on import
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog  # noqa: F401
+    from . import catalog, catalog_sources  # noqa: F401
 
     return dict(_SQL)

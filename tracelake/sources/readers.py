@@ -82,7 +82,7 @@ def read_processes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_open_files(spark: SparkSession, path: str) -> DataFrame:
     """An lsof listing: COMMAND PID USER FD TYPE DEVICE SIZE/OFF NODE NAME; addresses of sockets are split."""
-    f = _fields(_lines(spark, path), r"^(\S+)\s+(\d+)\s+\S+\s+(\d+)[a-zA-Z ]*\s+(\S+)\s+(\S+)\s+\S+\s+(\S+)\s+(.*)$", {"cmd": "string", "pid": "bigint", "fd": "int", "ftype": "string", "device": "string", "node": "string", "fname": "string"})
+    f = _fields(_lines(spark, path), r"^(\S+)\s+(\d+)\s+\S+\s+(\d+)[a-zA-Z]*\s+(\S+)\s+(\S+)\s+\S+\s+(\S+)\s+(.*)$", {"cmd": "string", "pid": "bigint", "fd": "int", "ftype": "string", "device": "string", "node": "string", "fname": "string"})
     ends = r"^\[?([0-9a-fA-F.:*]+?)\]?:(\d+|\*)(?:->\[?([0-9a-fA-F.:]+?)\]?:(\d+))?"
     sock = F.col("ftype").isin("IPv4", "IPv6")
     a = lambda k: F.when(sock, F.nullif(F.regexp_extract("fname", ends, k), F.lit("")))
