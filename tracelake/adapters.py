@@ -21,7 +21,7 @@ def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hostname, hrtime, cpu, cpu_seqno, usr, event_type, k, value of the events table."""
     return table(spark, sf_dir, "events").select(
         F.expr("concat('h', user_id % 2)").alias("hostname"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("hrtime"),
-        F.expr("cast(user_id % 4 as int)").alias("cpu"), F.col("event_id").alias("cpu_seqno"), F.col("user_id").alias("usr"),
+        F.expr("cast((user_id div 2 + event_id div 64) % 4 as int)").alias("cpu"), F.col("event_id").alias("cpu_seqno"), F.col("user_id").alias("usr"),
         "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"), "value",
     )
 
@@ -132,7 +132,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same in SQL.
 
 EV = """ev AS (
-  SELECT 'h' || (user_id % 2) AS hostname, epoch_us(ts) * 1000 AS hrtime, CAST(user_id % 4 AS INTEGER) AS cpu, event_id AS cpu_seqno, user_id AS usr,
+  SELECT 'h' || (user_id % 2) AS hostname, epoch_us(ts) * 1000 AS hrtime, CAST((user_id // 2 + event_id // 64) % 4 AS INTEGER) AS cpu, event_id AS cpu_seqno, user_id AS usr,
          event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value FROM events)"""
 IO = f"""io AS (
   SELECT 'h' || (l_suppkey % 2) AS hostname, CAST(o_custkey % 4 AS INTEGER) AS cpu, l_orderkey * 8 + l_linenumber AS cpu_seqno, o_custkey AS pid,

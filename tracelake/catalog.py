@@ -380,7 +380,9 @@ def w1(spark, sf):
     return states.wakeup_streaks(ad.task_trace(spark, sf))
 
 
-@query("w4_migrations", f"WITH {EV} SELECT hostname, usr AS pid, 0 AS cpu_migrations, 0 AS node_migrations FROM ev WHERE usr > 0 AND event_type <> 'purchase' GROUP BY hostname, usr")
+@query("w4_migrations", POINTS + """, q AS (
+  SELECT hostname, pid, cpu, lag(cpu) OVER (PARTITION BY hostname, pid ORDER BY hrtime, cpu, cpu_seqno) AS old FROM pt WHERE kind <> 'wake')
+SELECT hostname, pid, count(*) FILTER (WHERE cpu <> old) AS cpu_migrations, count(*) FILTER (WHERE cpu // 2 <> old // 2) AS node_migrations FROM q GROUP BY hostname, pid""")
 def w4(spark, sf):
     return states.migrations(ad.task_trace(spark, sf), ad.topology(spark))
 
