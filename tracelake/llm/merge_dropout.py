@@ -86,8 +86,11 @@ class Model:
         self.key = keys
         self.rank = np.array([merges[int(k)][0] for k in keys], np.int32)
         self.made = np.array([merges[int(k)][1] for k in keys], np.int32)
-        self.hashed = np.zeros(1 << 22, bool)
-        self.hashed[self._slot(keys)] = True
+        # Slot -> place of a key; a slot of several keys leads to the sorted keys.
+        slot = self._slot(keys)
+        self.at = np.full(1 << 20, -1, np.int32)
+        self.at[slot] = np.arange(len(keys))
+        self.at[np.flatnonzero(np.bincount(slot, minlength=1 << 20) > 1)] = -2
         self.size = size
         made = [np.array([ord(c) for c in p.replace("▁", " ")], np.uint32) for p in normal if len(p) > 1]
         self.longest = max(map(len, made), default=0)
@@ -98,16 +101,18 @@ class Model:
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
     def lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged id) of each pair, rank NONE where they make no piece."""
         rank, made = np.full(len(a), NONE, np.int32), np.zeros(len(a), np.int32)
         pairs = a.astype(np.int64) << 20 | b
-        at = np.flatnonzero((a >= 0) & (b >= 0))
-        at = at[self.hashed[self._slot(pairs[at])]]
-        i = np.minimum(np.searchsorted(self.key, pairs[at]), len(self.key) - 1)
-        ok = self.key[i] == pairs[at]
+        i = self.at[self._slot(pairs)]
+        at = np.flatnonzero((i != -1) & (a >= 0) & (b >= 0))
+        i, pairs = i[at], pairs[at]
+        several = np.flatnonzero(i < 0)
+        i[several] = np.minimum(np.searchsorted(self.key, pairs[several]), len(self.key) - 1)
+        ok = self.key[i] == pairs
         rank[at[ok]], made[at[ok]] = self.rank[i[ok]], self.made[i[ok]]
         return rank, made
 
@@ -183,12 +188,12 @@ def encode_units(m: Model, sym: np.ndarray, unit: np.ndarray, place: np.ndarray,
         count = np.diff(np.concatenate((first, [len(sym)])))
         each = np.repeat(best, count)
         over = each == NONE
-        if over.any():
+        if 5 * np.count_nonzero(over) >= len(sym):  # a fifth at least, so that few rounds copy everything
             done.append((sym[over], unit[over], place[over]))
             stay = ~over
             sym, unit, place, length, rank, made, each = (x[stay] for x in (sym, unit, place, length, rank, made, each))
             continue
-        hit = np.flatnonzero(rank == each)
+        hit = np.flatnonzero((rank == each) & ~over)
         hit = hit[np.concatenate(([True], unit[hit][1:] != unit[hit][:-1]))]  # the leftmost of each unit
         sym[hit], length[hit] = made[hit], length[hit] + length[hit + 1]
         keep = np.ones(len(sym), bool)
@@ -196,8 +201,9 @@ def encode_units(m: Model, sym: np.ndarray, unit: np.ndarray, place: np.ndarray,
         at = (np.cumsum(keep) - 1)[hit]
         sym, unit, place, length, rank, made = (x[keep] for x in (sym, unit, place, length, rank, made))
         rank[at] = NONE
-        again = np.unique(np.concatenate((at, at - 1)))
-        again = again[(again >= 0) & (again < len(sym) - 1)]
+        mark = np.zeros(len(sym) + 1, bool)
+        mark[at] = mark[at - 1] = True
+        again = np.flatnonzero(mark[: len(sym) - 1])
         rank[again], made[again] = candidates(again)
         if len(sym):
             rank[-1] = NONE
