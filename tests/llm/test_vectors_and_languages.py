@@ -106,4 +106,4 @@ def test_recall_on_the_given_vectors(spark):
     for r in permutation_index.nearest(vectors, F.col("vec_id") % 50 == 0).collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert len(queries) >= 40 and all(len(got[ids[q]]) == 5 for q in queries)
-    assert np.mean([len(set(got[ids[q]]) & set(want[q])) / 5 for q in queries]) >= 0.9
+    assert np.mean([len(set(got[ids[q]]) & set(want[ids[q]])) / 5 for q in queries]) >= 0.9
