@@ -50,3 +50,32 @@ def test_scattered_edits(seed):
     got = license_scan.occurrences(t.words[0], w.hash, p, at, 8, 0.75)
     assert [m for _, _, m in got] == [lcs(split(MIT), doc)]
     assert np.all(np.diff([x for a, e, _ in got for x in (a, e)]) >= 0)
+
+
+def test_every_template(spark):
+    names = sorted(license_scan.TEXTS)
+    got = found(spark, [" ".join([*words_of(20, i), license_scan.TEXTS[n], *words_of(20, i)]) for i, n in enumerate(names)])
+    for i, n in enumerate(names):
+        size = len(split(license_scan.TEXTS[n]))
+        assert got[(i, n)] == [(20, 20 + size, size)], n
+
+
+def test_short_notices_count_word_for_word(spark):
+    lines = {
+        "Released under the BSD License.": None,
+        "Released under the MIT License.": "mit-line",
+        "licensed under MIT license": "mit-line",
+        "SPDX-License-Identifier: MIT": "mit-line",
+        "Licensed under CC BY 4.0.": "cc-by-4.0-line",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-line",
+        "distributed under the GNU Lesser General Public License, version 3": "lgpl-3.0-line",
+        "distributed under the GNU General Public License, version 2": "gpl-2.0-line",
+        "Under the terms of the Mozilla Public License 2.0": "mpl-2.0-line",
+        "Released under an MIT-like License.": None,
+    }
+    got = found(spark, [f"before {x} after" for x in lines])
+    assert {k for k, _ in enumerate(lines) if any(i == k for i, _ in got)} == {k for k, v in enumerate(lines.values()) if v}
+    for k, (line, name) in enumerate(lines.items()):
+        if name:
+            n = len(split(line))
+            assert [(t, v) for (i, t), v in got.items() if i == k] == [(name, [(1, 1 + n, n)])], line

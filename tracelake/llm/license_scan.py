@@ -11,7 +11,11 @@ words above the chain's diagonals (equal words score, words may be missing on ei
 matched template words, its share of the template (coverage) and the span of document words. A chain is
 two occurrences where both sides of a jump along the diagonals are enough by themselves.
 
-All occurrences with a coverage of at least ``least`` are reported, those of one template without overlap. Templates are few and given, so the index
+A template of fewer than ``SHORT`` words must stand in the document word for word: short notices of two
+licenses differ in a word. A template may have several wordings.
+
+All occurrences with a coverage of at least ``least`` are reported, those of one wording without overlap. Texts that are
+alike (the notices of one family, a license and its parts) are all reported; the greatest coverage tells which one it is. Templates are few and given, so the index
 goes to every task; ``MAX_TEMPLATE_BYTES`` is checked.
 
 Defined cases: null or empty text, or a template without words, matches nothing; repeated rows
@@ -36,81 +40,177 @@ BAND = 8
 LEAST = 0.75
 MAX_TEMPLATE_BYTES = 16 << 20
 
-#: Public license notices and grants, as their authors publish them.
-TEMPLATES = {
-    "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
+#: Templates of fewer words differ from each other in one word or two: they count only word for word.
+SHORT = 16
+
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+)
+_MIT_DISCLAIMER = (
+    _AS_IS + " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+)
+_ISC_GRANT = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+    "copyright notice and this permission notice appear in all copies."
+)
+_ISC_DISCLAIMER = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+    "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
+    "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+    "PERFORMANCE OF THIS SOFTWARE."
+)
+_BSD_SOURCE = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+)
+_BSD_BINARY = (
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution."
+)
+_BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."
+)
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_PUBLIC_DOMAIN = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+    "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+)
+
+
+def _gpl_notice(name: str, version: str) -> str:
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by "
+        f"the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that "
+        "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    )
+
+
+#: Whole licenses, their parts, and the notices that go into files, as their authors publish them.
+TEXTS = {
+    "mit": f"{_MIT_GRANT} {_MIT_DISCLAIMER}",
+    "mit-grant": _MIT_GRANT,
+    "mit-disclaimer": _MIT_DISCLAIMER,
+    "isc": f"{_ISC_GRANT} {_ISC_DISCLAIMER}",
+    "isc-grant": _ISC_GRANT,
+    "isc-disclaimer": _ISC_DISCLAIMER,
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_DISCLAIMER,
+    "bsd": _BSD_SOURCE,
+    "bsd-2-clause": f"{_BSD_SOURCE} {_BSD_BINARY} {_BSD_DISCLAIMER}",
+    "bsd-3-clause": f"{_BSD_SOURCE} {_BSD_BINARY} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    "bsd-disclaimer": _BSD_DISCLAIMER,
+    "unlicense": (
+        _PUBLIC_DOMAIN + " In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+        "software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend "
+        "this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _AS_IS + " "
+        "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR "
+        "IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "unlicense-grant": _PUBLIC_DOMAIN,
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use "
+        "of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+        "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be "
+        "plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."
+    ),
+    "bsl-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this "
+        "license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to "
+        "permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, "
+        "including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all "
+        "derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."
+    ),
     "apache-2.0-notice": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
         "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
         "See the License for the specific language governing permissions and limitations under the License."
     ),
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that "
-        "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
-    ),
-    "isc": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
-        "copyright notice and this permission notice appear in all copies."
-    ),
-    "mit-line": "Released under the MIT License.",
-    "mit": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
-    ),
-    "bsd-disclaimer": (
-        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
-        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
-        "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
-        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
-        "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
-    ),
-    "isc-disclaimer": (
-        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
-        "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
-        "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
-        "PERFORMANCE OF THIS SOFTWARE."
-    ),
-    "mit-disclaimer": (
-        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
-        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
-        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
-    ),
+    "gpl-notice": _gpl_notice("GNU General Public License", "3"),
+    "gpl-2.0-notice": _gpl_notice("GNU General Public License", "2"),
+    "lgpl-2.1-notice": _gpl_notice("GNU Lesser General Public License", "2.1"),
+    "lgpl-3.0-notice": _gpl_notice("GNU Lesser General Public License", "3"),
+    "agpl-3.0-notice": _gpl_notice("GNU Affero General Public License", "3"),
     "mpl-2.0-notice": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
-    "unlicense": (
-        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
-        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    "epl-2.0-notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
     ),
 }
 
+#: Names that the short notices give to a license.
+NAMES = {
+    "0bsd": ["BSD Zero Clause License"],
+    "agpl-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3", "AGPLv3"],
+    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "bsd-2-clause": ["BSD 2-Clause License", "2-Clause BSD License"],
+    "bsd-3-clause": ["BSD 3-Clause License", "3-Clause BSD License"],
+    "bsl-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "epl-2.0": ["Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "Eclipse Public License v2.0"],
+    "gpl-2.0": ["GNU General Public License, version 2", "GNU General Public License v2", "GPLv2"],
+    "gpl-3.0": ["GNU General Public License, version 3", "GNU General Public License v3", "GPLv3"],
+    "isc": ["ISC License"],
+    "lgpl-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"],
+    "lgpl-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3", "LGPLv3"],
+    "mit": ["MIT License"],
+    "mpl-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "Mozilla Public License v2.0"],
+    "unlicense": ["Unlicense"],
+    "zlib": ["zlib License"],
+}
+PHRASES = ["Licensed under", "Released under", "Distributed under", "Available under", "Under the terms of"]
+
+
+def short_notices() -> dict[str, list[str]]:
+    """Every phrase before every name of a license, with and without "the", and the license tag of its identifier."""
+    names = {k: list(v) for k, v in NAMES.items()}
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        names[f"cc-{kind.lower()}-4.0"] = [f"CC {kind} 4.0", f"Creative Commons {kind} 4.0"]
+    names["cc0-1.0"] = ["CC0 1.0", "Creative Commons CC0 1.0"]
+    return {
+        f"{key}-line": [f"{phrase} {the}{name}" for phrase in PHRASES for the in ("", "the ") for name in some] + [f"SPDX-License-Identifier: {key}"]
+        for key, some in names.items()
+    }
+
+
+#: A template has one text or several wordings.
+TEMPLATES: dict[str, str | list[str]] = {**TEXTS, **short_notices()}
+
 
 class Templates:
-    """Word hashes of each template and the inverted index of their fingerprints."""
+    """Word hashes of each wording of a template and the inverted index of their fingerprints."""
 
-    def __init__(self, templates: dict[str, str]):
-        if sum(len(t) for t in templates.values()) > MAX_TEMPLATE_BYTES:
+    def __init__(self, templates: dict[str, str | list[str]]):
+        pairs = [(name, text) for name in sorted(templates) for text in ([templates[name]] if isinstance(templates[name], str) else templates[name])]
+        if sum(len(text) for _, text in pairs) > MAX_TEMPLATE_BYTES:
             raise ValueError("the templates are too large to be held by every task")
-        self.names = sorted(templates)
+        self.names = [name for name, _ in pairs]
         self.words, grams, owner, at = [], [], [], []
-        for k, name in enumerate(self.names):
-            h = tx.Words([tx.as_bytes(templates[name])], tx.ALNUM).hash
+        for k, (_, text) in enumerate(pairs):
+            h = tx.Words([tx.as_bytes(text)], tx.ALNUM).hash
             self.words.append(h)
             g = tx.gram_hash(h, min(GRAM, max(len(h), 1))) if len(h) else np.zeros(0, np.uint64)
             if len(g):
                 n = max(len(g) - WINNOW + 1, 1)
-                chosen = np.unique([i + int(np.argmin(g[i : i + WINNOW])) for i in range(n)])
+                # A short template counts only whole, so its last run of words, which ends its name, finds it.
+                chosen = np.unique([i + int(np.argmin(g[i : i + WINNOW])) for i in range(n)]) if len(h) >= SHORT else np.array([len(g) - 1])
                 grams.append(g[chosen])
                 owner.append(np.full(len(chosen), k))
                 at.append(chosen)
@@ -187,9 +287,20 @@ def chains(p: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
+def word_for_word(words: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first, end, matched words) of a short template where a document has all of its words in a row, without overlap."""
+    size, found = len(words), []
+    for a in np.unique(starts).tolist():
+        if a >= 0 and (not found or found[-1][1] <= a) and np.array_equal(doc[a : a + size], words):
+            found.append((a, a + size, size))
+    return found
+
+
 def occurrences(words: np.ndarray, doc: np.ndarray, p: np.ndarray, at: np.ndarray, band: int, least: float) -> list[tuple[int, int, int]]:
     """(first, end, matched words) of the occurrences of a template around its hits in a document, without overlap."""
     size = len(words)
+    if size < SHORT:
+        return word_for_word(words, doc, p - at)
 
     def enough(some: np.ndarray) -> bool:
         return np.isin(words, some).sum() >= least * size  # no alignment matches more
@@ -232,7 +343,7 @@ def occurrences(words: np.ndarray, doc: np.ndarray, p: np.ndarray, at: np.ndarra
     return found
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, band: int = BAND, least: float = LEAST) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str | list[str]] | None = None, band: int = BAND, least: float = LEAST) -> DataFrame:
     """doc_id, template, matched, coverage, first_word and end_word of each finding."""
     held = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))
 
