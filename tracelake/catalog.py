@@ -23,7 +23,7 @@ r AS (
             OVER (PARTITION BY hostname, pid ORDER BY hrtime, cpu, cpu_seqno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS running FROM pt),
 kept AS (SELECT * FROM r WHERE NOT (kind = 'wake' AND coalesce(running, 0) = 1)),
 iv AS (
-  SELECT hostname, pid, cpu, k, kind, hrtime AS start, coalesce(lead(hrtime) OVER w, t1) AS "end", lead(kind) OVER w AS ended_by, lead(k) OVER w AS next_k,
+  SELECT hostname, pid, cpu, cpu_seqno, k, kind, hrtime AS start, coalesce(lead(hrtime) OVER w, t1) AS "end", lead(kind) OVER w AS ended_by, lead(k) OVER w AS next_k,
          CASE WHEN kind IN ('in', 'enter', 'exit') THEN 'RUNNING' WHEN kind = 'wake' OR asleep = 'Q' THEN 'RUNQ' ELSE 'SWTCH' END AS state,
          coalesce(last_value(CASE kind WHEN 'enter' THEN 'SYS' WHEN 'exit' THEN 'USER' END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), 'NONE') AS mode,
          coalesce(last_value(CASE kind WHEN 'enter' THEN k % 8 WHEN 'exit' THEN -1 END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), -1) AS scall
@@ -98,7 +98,12 @@ def j2(spark, sf):
     return io_of(spark, sf).select("hostname", "dev", "sector", "req", "rw", "nr_sectors", "insert_ts", "issue_ts", "complete_ts", "qtm", "svtm", "insert_pid", "issue_pid")
 
 
-@query("j3_resolve_merged")
+@query("j3_resolve_merged", REQS.split("rq AS (")[0].replace("FROM bt)", "FROM bt WHERE NOT (event = 'block_rq_insert' AND sector % 3 = 0))") + """
+m AS (
+  SELECT a.hostname, a.dev, a.sector, a.req, arg_max(x.i, (x.i, x.sector, x.ip)) AS mi, arg_max(x.ip, (x.i, x.sector, x.ip)) AS mp FROM g a JOIN g x ON a.hostname = x.hostname AND a.dev = x.dev
+  WHERE a.s IS NOT NULL AND a.i IS NULL AND x.i IS NOT NULL AND x.s IS NULL AND x.sector >= a.sector AND x.sector + coalesce(x.qs, x.qc, x.qi) <= a.sector + coalesce(a.qs, a.qc, a.qi) AND x.i <= a.s GROUP BY 1, 2, 3, 4)
+SELECT g.hostname, g.dev, g.sector, g.req, coalesce(i, mi, s) AS insert_ts, s AS issue_ts, coalesce(ip, mp, sp) AS insert_pid
+FROM g LEFT JOIN m ON m.hostname = g.hostname AND m.dev = g.dev AND m.sector = g.sector AND m.req = g.req WHERE c IS NOT NULL AND (coalesce(i, mi) IS NOT NULL OR s IS NOT NULL)""")
 def j3(spark, sf):
     t = ad.block_trace(spark, sf)
     odd = t.where("not (event = 'block_rq_insert' and blk.sector % 3 = 0)")  # inserts of a third of the sectors are elsewhere
@@ -197,19 +202,35 @@ def f6(spark, sf):
     return ad.block_trace(spark, sf).groupBy(F.col("blk.dev").alias("dev")).agg(F.count("*").alias("n"), F.count_if(~filters.valid_sector(F.col("blk.sector"))).alias("invalid"))
 
 
-@query("f7_capture_gaps", f"""WITH {EV},
-p AS (SELECT hostname, cpu, hrtime, cpu_seqno, CASE event_type WHEN 'view' THEN 0 WHEN 'purchase' THEN usr + 1 ELSE usr END AS pid, CASE event_type WHEN 'view' THEN usr WHEN 'click' THEN 0 WHEN 'purchase' THEN usr + 1 ELSE usr END AS nxt FROM ev),
-l AS (SELECT *, lag(nxt) OVER w AS expected, lag(hrtime) OVER w AS start, cpu_seqno - lag(cpu_seqno) OVER w AS step FROM p WHERE pid >= 0 WINDOW w AS (PARTITION BY hostname, cpu ORDER BY hrtime, cpu_seqno))
-SELECT hostname, cpu, start, hrtime AS "end", hrtime - start AS gap_ns, greatest(step - 1, 0) AS events_lost FROM l WHERE expected IS NOT NULL AND expected <> pid""")
+GAPS = f"""WITH {EV},
+p AS (SELECT hostname, cpu, hrtime, cpu_seqno, CASE event_type WHEN 'view' THEN 0 WHEN 'purchase' THEN usr + 1 ELSE usr END AS pid,
+      CASE event_type WHEN 'view' THEN usr WHEN 'click' THEN 0 WHEN 'purchase' THEN usr + 1 ELSE usr END AS nxt FROM ev),
+l AS (SELECT *, lag(nxt) OVER w AS expected, lag(hrtime) OVER w AS start, cpu_seqno - lag(cpu_seqno) OVER w AS step FROM p WHERE pid >= 0
+      WINDOW w AS (PARTITION BY hostname, cpu ORDER BY hrtime, cpu_seqno)),
+gap AS (SELECT hostname, cpu, start, hrtime AS "end", hrtime - start AS gap_ns, greatest(step - 1, 0) AS events_lost FROM l WHERE expected IS NOT NULL AND expected <> pid)
+"""
+
+
+@query("f7_capture_gaps", GAPS + "SELECT * FROM gap")
 def f7(spark, sf):
     return filters.capture_gaps(ad.task_trace(spark, sf))
 
 
-@query("f8_mask_gaps")
+UNIT = 3600  # the capture is a month long: slices of an hour
+
+
+@query("f8_mask_gaps", POINTS + ", " + GAPS.split("FROM events),\n", 1)[1] + f""",
+st AS (SELECT hostname, pid, cpu, state, start // {UNIT} AS a, "end" // {UNIT} AS z, ns FROM ivn
+       UNION ALL SELECT hostname, pid, cpu, 'N', t0 // {UNIT}, start // {UNIT}, 0 FROM (
+         SELECT ivn.*, t0, row_number() OVER (PARTITION BY ivn.hostname, pid ORDER BY start, cpu, cpu_seqno) AS n FROM ivn JOIN b ON b.hostname = ivn.hostname) WHERE n = 1),
+hit AS (SELECT DISTINCT st.hostname, pid, a FROM st JOIN gap ON gap.hostname = st.hostname AND gap.cpu = st.cpu AND a < gap."end" // {UNIT} AND z > gap.start // {UNIT}),
+m AS (SELECT st.hostname, st.pid, hit.a IS NOT NULL AND state IN ('RUNNING', 'RUNQ') AS bad, state, ns FROM st LEFT JOIN hit ON hit.hostname = st.hostname AND hit.pid = st.pid AND hit.a = st.a)
+SELECT hostname, pid, CASE WHEN bad THEN 'UNKNOWN' ELSE state END AS state, CAST(sum(CASE WHEN bad THEN 0 ELSE ns END) AS BIGINT) AS ns FROM m GROUP BY 1, 2, 3""")
 def f8(spark, sf):
     t = ad.task_trace(spark, sf)
-    seconds = lambda d: d.withColumns({c: F.expr(f"`{c}` div 1000000") for c in ("start", "end")})  # noqa: E731  the capture is a month long: slices of 1000 s
-    return filters.mask_gaps(seconds(states.task_state_intervals(t).select("hostname", "pid", "cpu", "state", "start", "end", "ns")), seconds(filters.capture_gaps(t).where("cpu = 1").select("hostname", "cpu", "start", "end"))).groupBy("hostname", "pid", "state").agg(F.sum("ns").alias("ns"))
+    scaled = lambda d: d.withColumns({c: F.expr(f"`{c}` div {UNIT}") for c in ("start", "end")})
+    states_ = scaled(states.task_state_intervals(t).select("hostname", "pid", "cpu", "state", "start", "end", "ns"))
+    return filters.mask_gaps(states_, scaled(filters.capture_gaps(t).select("hostname", "cpu", "start", "end"))).groupBy("hostname", "pid", "state").agg(F.sum("ns").alias("ns"))
 
 
 @query("f9_format_time", f"WITH {EV} SELECT hostname, cpu_seqno, strftime(make_timestamp(hrtime // 1000), '%Y-%m-%d %H:%M:%S.%f') AS time FROM ev")
@@ -287,12 +308,28 @@ def a4(spark, sf):
     return states.node_cpu_time(cpus_of(spark, sf)).select("hostname", "ldom", "n_cpus", "idle_ns", "busy_ns")
 
 
-@query("a5_ht_usage")
+HT = f"""WITH {EV},
+b AS (SELECT hostname, max(hrtime) AS t1 FROM ev GROUP BY hostname),
+e AS (SELECT hostname, cpu, cpu // 2 AS p, cpu % 2 AS side, hrtime, cpu_seqno, event_type = 'view' AND usr <> 0 AS busy FROM ev WHERE event_type IN ('click', 'view')),
+s AS (
+  SELECT e.hostname, p, cpu, cpu_seqno, hrtime AS start, coalesce(lead(hrtime) OVER w, t1) AS "end", last_value(CASE WHEN side = 0 THEN busy END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS a,
+         last_value(CASE WHEN side = 1 THEN busy END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS z
+  FROM e JOIN b ON b.hostname = e.hostname WINDOW w AS (PARTITION BY e.hostname, p ORDER BY hrtime, cpu, cpu_seqno)),
+ht AS (SELECT *, "end" - start AS ns FROM s WHERE a IS NOT NULL AND z IS NOT NULL)
+"""
+
+
+@query("a5_ht_usage", HT + """SELECT hostname, p AS pcpu_idx, CAST(sum(CASE WHEN NOT a AND NOT z THEN ns ELSE 0 END) AS BIGINT) AS double_idle, CAST(sum(CASE WHEN a AND NOT z THEN ns ELSE 0 END) AS BIGINT) AS lcpu1_busy,
+CAST(sum(CASE WHEN NOT a AND z THEN ns ELSE 0 END) AS BIGINT) AS lcpu2_busy, CAST(sum(CASE WHEN a AND z THEN ns ELSE 0 END) AS BIGINT) AS double_busy FROM ht GROUP BY 1, 2""")
 def a5(spark, sf):
     return states.ht_usage(ad.task_trace(spark, sf), ad.topology(spark))
 
 
-@query("a6_ht_dbdi")
+@query("a6_ht_dbdi", HT + """, h AS (SELECT *, start // 1000000 AS t, "end" // 1000000 AS u FROM ht),
+w AS (SELECT *, coalesce(lag(a AND z) OVER (PARTITION BY hostname, p ORDER BY start, cpu, cpu_seqno), false) AS was FROM h),
+m AS (SELECT w.hostname, w.p, w.t, max(w.t - i.t) AS idle FROM w JOIN h i ON i.hostname = w.hostname AND i.p <> w.p AND i.t <= w.t AND w.t < i.u WHERE w.a AND w.z AND NOT w.was AND NOT i.a AND NOT i.z GROUP BY 1, 2, 3)
+SELECT hostname, p AS pcpu_idx, CAST(list_sum(list_transform([10, 20, 30, 40, 50, 60, 75, 100, 125, 150, 200, 500, 1000, 5000, 20000], lambda x: CASE WHEN idle // 1000 >= x THEN 1 ELSE 0 END)) AS INTEGER) AS bucket, count(*) AS n
+FROM m GROUP BY 1, 2, 3""")
 def a6(spark, sf):
     t = ad.task_trace(spark, sf).withColumn("hrtime", F.expr("hrtime div 1000000"))  # the capture is a month long
     return states.ht_dbdi(t, ad.topology(spark))
@@ -350,7 +387,12 @@ def a13(spark, sf):
     return states.uflt_sleep(states.task_state_intervals(ad.task_trace(spark, sf)))
 
 
-@query("a14_msr_stats")
+@query("a14_msr_stats", f"""WITH {EV},
+d AS (SELECT hostname, cpu, hrtime, cpu_seqno, CASE event_type WHEN 'click' THEN k ELSE 0 END AS c FROM ev WHERE event_type IN ('click', 'view')),
+l AS (SELECT hostname, cpu, c - lag(c) OVER (PARTITION BY hostname, cpu ORDER BY hrtime, cpu_seqno) AS d FROM d),
+g AS (SELECT hostname, cpu, CAST(sum(d) AS BIGINT) AS s FROM l WHERE d IS NOT NULL GROUP BY 1, 2)
+SELECT hostname, cpu, s AS llc_ref, 2 * s AS llc_miss, 3 * s AS instrs, 5 * s AS cycles, 7 * s AS act_clk, 9 * s AS ref_clk, 0 * s AS smi, CASE WHEN s <> 0 THEN 100.0::DOUBLE * (s - 2 * s) / s END AS llc_hit_pct,
+       CASE WHEN s <> 0 THEN (5 * s) / (3 * s) END AS cpi, CASE WHEN s <> 0 THEN (7 * s) / (9 * s) END AS clock_ratio FROM g""")
 def a14(spark, sf):
     return states.msr_stats(ad.task_trace(spark, sf), "cpu")
 
@@ -370,12 +412,20 @@ def a35(spark, sf):
     return states.mem_top(ad.task_trace(spark, sf))
 
 
-@query("a39_capture_quality")
+@query("a39_capture_quality", GAPS + """SELECT l.hostname, l.cpu, count(*) AS events, count(*) FILTER (WHERE expected IS NOT NULL AND expected <> pid) AS gaps,
+CAST(coalesce(sum(greatest(step - 1, 0)) FILTER (WHERE expected IS NOT NULL AND expected <> pid), 0) AS BIGINT) AS events_lost FROM l GROUP BY 1, 2""")
 def a39(spark, sf):
     return states.capture_quality(ad.task_trace(spark, sf))
 
 
-@query("w1_wakeup_streaks")
+@query("w1_wakeup_streaks", f"""WITH {EV},
+e AS (SELECT hostname, CASE event_type WHEN 'purchase' THEN usr + 1 ELSE usr END AS pid, usr AS target, event_type = 'purchase' AS wk, hrtime, cpu, cpu_seqno FROM ev WHERE event_type <> 'view'),
+i AS (SELECT *, sum(CASE WHEN wk THEN 0 ELSE 1 END) OVER (PARTITION BY hostname, pid ORDER BY hrtime, cpu, cpu_seqno ROWS UNBOUNDED PRECEDING) AS island FROM e WHERE pid > 0),
+o AS (SELECT *, CASE WHEN target IS DISTINCT FROM lag(target) OVER (PARTITION BY hostname, pid, island ORDER BY hrtime, cpu, cpu_seqno) THEN 1 ELSE 0 END AS other FROM i WHERE wk),
+k AS (SELECT *, CAST(sum(other) OVER (PARTITION BY hostname, pid, island ORDER BY hrtime, cpu, cpu_seqno ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM o),
+top AS (SELECT hostname, pid, island, max(streak) AS streak, arg_min(hrtime, (-streak, hrtime)) AS t FROM k GROUP BY 1, 2, 3),
+n AS (SELECT hostname, pid, streak, count(*) AS hits, min(t) AS t FROM top GROUP BY 1, 2, 3)
+SELECT hostname, pid, streak AS max_wakeups, t AS "when", hits FROM n QUALIFY row_number() OVER (PARTITION BY hostname, pid ORDER BY streak DESC) = 1""")
 def w1(spark, sf):
     return states.wakeup_streaks(ad.task_trace(spark, sf))
 
@@ -483,7 +533,9 @@ def t4(spark, sf):
     return topn.top_sockets(syscalls.socket_stats(ad.flows(spark, sf), ("ip_pair",)), "syscalls", 10, "ip_pair").select("lip", "rip", "calls")
 
 
-@query("a21_calls_to_flows")
+@query("a21_calls_to_flows", BOUND + f""", fl AS (SELECT hostname, lip, lport, rip, rport, CASE syscallno WHEN 0 THEN 'rx' ELSE 'tx' END AS dir, bytes, err, pid FROM bd WHERE syscallno IN (0, 1))
+SELECT hostname, lip, lport, rip, rport, CASE grouping(lip, lport, rip, rport) WHEN 0 THEN 'conn' WHEN 5 THEN 'ip_pair' WHEN 7 THEN 'lip' WHEN 13 THEN 'rip' WHEN 11 THEN 'lport' ELSE 'rport' END AS level, {SOCK}
+FROM fl GROUP BY GROUPING SETS ((hostname, lip, lport, rip, rport), (hostname, lip, rip), (hostname, lip), (hostname, rip), (hostname, lport), (hostname, rport))""")
 def a21b(spark, sf):
     return syscalls.socket_stats(syscalls.socket_calls(bound_of(spark, sf)))
 
@@ -491,7 +543,7 @@ def a21b(spark, sf):
 FUT = f"""WITH {EV},
 e AS (SELECT hostname, usr AS pid, usr - usr % 4 AS tgid, cpu, hrtime, cpu_seqno, event_type, k FROM ev WHERE event_type IN ('signup', 'error')),
 x AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN {{'t': hrtime, 's': cpu_seqno, 'k': k}} END IGNORE NULLS) OVER (PARTITION BY hostname, pid ORDER BY hrtime, cpu, cpu_seqno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS op FROM e),
-c AS (SELECT hostname, pid, tgid, hrtime - op.t AS elapsed, op.k % 10 * 64 AS addr, op.k % 3 AS op, CASE WHEN op.k % 4 = 0 THEN tgid ELSE 0 END AS space, CASE k % 7 WHEN 0 THEN -11 WHEN 1 THEN -110 WHEN 2 THEN -22 ELSE 0 END AS ret
+c AS (SELECT hostname, pid, tgid, cpu, op.t AS enter, hrtime AS exit, hrtime - op.t AS elapsed, op.k % 10 * 64 AS addr, op.k % 3 AS op, CASE WHEN op.k % 4 = 0 THEN tgid ELSE 0 END AS space, CASE k % 7 WHEN 0 THEN -11 WHEN 1 THEN -110 WHEN 2 THEN -22 ELSE 0 END AS ret
       FROM x WHERE event_type = 'error' AND op IS NOT NULL QUALIFY row_number() OVER (PARTITION BY hostname, pid, op.t, op.s ORDER BY hrtime, cpu, cpu_seqno) = 1),
 f AS (SELECT hostname, space, addr, count(*) AS cnt, count(*) FILTER (WHERE ret = -11) AS eagain, count(*) FILTER (WHERE ret = -110) AS etimedout, count(*) FILTER (WHERE ret = -22) AS other_err, CAST(sum(elapsed) AS BIGINT) AS elapsed_ns, max(elapsed) AS max_ns FROM c GROUP BY hostname, space, addr)
 """
@@ -511,7 +563,11 @@ def t5(spark, sf):
     return topn.top_futexes(syscalls.futex_stats(futex_of(spark, sf)), "count", 10).select("hostname", "space", "addr", "cnt", "total", "shown")
 
 
-@query("j16_futex_wakers")
+@query("j16_futex_wakers", FUT + """, wk AS (SELECT hostname, usr AS pid, hrtime AS t, usr + 1 AS w FROM ev WHERE event_type = 'purchase'),
+fw AS (SELECT c.*, CASE WHEN wk.t >= enter THEN w END AS waker FROM c ASOF LEFT JOIN wk ON wk.hostname = c.hostname AND wk.pid = c.pid AND c.exit >= wk.t)
+SELECT hostname, space, addr, count(*) AS cnt, count(*) FILTER (WHERE ret = -11) AS eagain, count(*) FILTER (WHERE ret = -110) AS etimedout, count(*) FILTER (WHERE ret = -22) AS other_err,
+       CAST(avg(ret) FILTER (WHERE ret >= 0) AS DOUBLE) AS avg_ret, CAST(sum(elapsed) AS BIGINT) AS elapsed_ns, CAST(sum(elapsed) AS BIGINT) // count(*) AS avg_ns, max(elapsed) AS max_ns, first(waker ORDER BY elapsed DESC, exit DESC) AS max_waker
+FROM fw GROUP BY 1, 2, 3""")
 def j16(spark, sf):
     t = ad.futex_trace(spark, sf).unionByName(ad.task_trace(spark, sf).where("event = 'sched_wakeup'"))
     return syscalls.futex_stats(syscalls.futex_wakers(futex_of(spark, sf), t))
@@ -630,7 +686,20 @@ def a37(spark, sf):
     return graph.waited_for(graph.wakeup_edges(woken_of(spark, sf).where("unknown_ns = 0"))).select("hostname", "pid", "ns")
 
 
-@query("a36_coop_tree")
+WOKEN = POINTS + """,
+fi AS (SELECT ivn.*, t0, row_number() OVER (PARTITION BY ivn.hostname, pid ORDER BY start, cpu, cpu_seqno) AS n FROM ivn JOIN b ON b.hostname = ivn.hostname),
+sl AS (SELECT hostname, pid AS sleeper, "end", ns AS sleep_ns, scall AS s_scall, CAST(k * 16 AS BIGINT) AS slpfunc FROM ivn WHERE ended_by = 'wake' AND state = 'SWTCH'
+       UNION ALL SELECT hostname, pid, start, 0, -1, NULL FROM fi WHERE n = 1 AND kind = 'wake'),
+ca AS (SELECT hostname, CASE event_type WHEN 'purchase' THEN usr + 1 ELSE usr END AS waker, usr AS sleeper, hrtime AS "end", cpu, cpu_seqno, event_type,
+       CASE event_type WHEN 'signup' THEN {'no': k % 8, 'arg': k % 16} WHEN 'error' THEN {'no': -1, 'arg': NULL} END AS call FROM ev WHERE event_type IN ('signup', 'error', 'purchase')),
+oc AS (SELECT *, last_value(call IGNORE NULLS) OVER (PARTITION BY hostname, waker ORDER BY "end", cpu, cpu_seqno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open FROM ca),
+wo AS (SELECT sl.hostname, sl.sleeper, sl.sleeper + 1 AS waker, coalesce(open.no, -1) AS w_scall, CAST(open.arg AS BIGINT) AS w_arg0, s_scall, slpfunc, sleep_ns
+       FROM sl LEFT JOIN (SELECT * FROM oc WHERE event_type = 'purchase') oc ON oc.hostname = sl.hostname AND oc.sleeper = sl.sleeper AND oc."end" = sl."end")
+"""
+
+
+@query("a36_coop_tree", WOKEN + """SELECT hostname, sleeper, waker, w_scall, w_arg0, s_scall, slpfunc, count(*) AS cnt, CAST(sum(sleep_ns) AS BIGINT) AS sleep_ns, CAST(5 - bit_count(CAST(grouping(hostname, sleeper, waker, w_scall, w_arg0, s_scall, slpfunc) AS BIGINT)) AS INTEGER) AS level
+FROM wo GROUP BY ROLLUP (hostname, sleeper, waker, w_scall, w_arg0, s_scall, slpfunc) HAVING grouping(hostname, sleeper, waker, w_scall, w_arg0, s_scall, slpfunc) < 32""")
 def a36(spark, sf):
     return graph.coop_tree(graph.wakeup_edges(woken_of(spark, sf)))
 
@@ -647,12 +716,25 @@ def graph_of(spark, sf):
     return graph.wait_graph(graph.wakeup_edges(graph.wakeups(t, iv)), totals, 20, 3, 1.0)
 
 
-@query("a38_wait_graph_nodes")
+GRAPH = WOKEN + """,
+tot AS (SELECT hostname, pid AS sleeper, sum(CASE WHEN state = 'SWTCH' THEN ns ELSE 0 END) AS total FROM ivn GROUP BY 1, 2),
+ed AS (SELECT hostname, waker, sleeper, count(*) AS cnt, CAST(sum(sleep_ns) AS BIGINT) AS sleep_ns FROM wo WHERE waker NOT IN (0, -1) AND sleeper NOT IN (0, -1) GROUP BY 1, 2, 3),
+e AS (SELECT ed.* FROM ed JOIN tot ON tot.hostname = ed.hostname AND tot.sleeper = ed.sleeper WHERE 100.0 * sleep_ns >= 1.0 * total),
+bo AS (SELECT hostname, here, "to", max(sleep_ns) AS ns FROM (SELECT hostname, sleeper AS here, waker AS "to", sleep_ns FROM e UNION ALL SELECT hostname, waker, sleeper, sleep_ns FROM e) GROUP BY 1, 2, 3),
+best AS (SELECT hostname, here, "to" FROM bo QUALIFY row_number() OVER (PARTITION BY hostname, here ORDER BY ns DESC, "to") <= 10),
+n0 AS (SELECT DISTINCT hostname, CAST(20 AS BIGINT) AS pid, 0 AS depth FROM e),
+n1 AS (SELECT * FROM n0 UNION ALL SELECT DISTINCT best.hostname, "to", 1 FROM n0 JOIN best ON best.hostname = n0.hostname AND here = pid WHERE (best.hostname, "to") NOT IN (SELECT (hostname, pid) FROM n0)),
+n2 AS (SELECT * FROM n1 UNION ALL SELECT DISTINCT best.hostname, "to", 2 FROM n1 JOIN best ON best.hostname = n1.hostname AND here = pid WHERE depth = 1 AND (best.hostname, "to") NOT IN (SELECT (hostname, pid) FROM n1)),
+n3 AS (SELECT * FROM n2 UNION ALL SELECT DISTINCT best.hostname, "to", 3 FROM n2 JOIN best ON best.hostname = n2.hostname AND here = pid WHERE depth = 2 AND (best.hostname, "to") NOT IN (SELECT (hostname, pid) FROM n2))
+"""
+
+
+@query("a38_wait_graph_nodes", GRAPH + "SELECT * FROM n3")
 def a38(spark, sf):
     return graph_of(spark, sf)[0]
 
 
-@query("a38_wait_graph_links")
+@query("a38_wait_graph_links", GRAPH + "SELECT * FROM e WHERE (hostname, waker) IN (SELECT (hostname, pid) FROM n3) AND (hostname, sleeper) IN (SELECT (hostname, pid) FROM n3)")
 def a38b(spark, sf):
     return graph_of(spark, sf)[1]
 
@@ -755,17 +837,34 @@ def named(df, **kinds):
 from .operators import win  # noqa: E402
 
 
-@query("x1_win_states")
+WIN = f"""WITH {EV},
+w AS (SELECT *, CASE WHEN lead(event_type) OVER c = 'view' THEN lead(k) OVER c END AS frame FROM ev WHERE event_type IN ('click', 'purchase', 'view') WINDOW c AS (PARTITION BY hostname, cpu ORDER BY hrtime, cpu_seqno)),
+t AS (SELECT * FROM w WHERE event_type <> 'view'),
+b AS (SELECT hostname, max(hrtime) AS t1 FROM t GROUP BY hostname),
+pt AS (SELECT hostname, hrtime, cpu, cpu_seqno, usr AS pid, CASE event_type WHEN 'click' THEN 'out' ELSE 'wake' END AS kind, k, frame FROM t UNION ALL SELECT hostname, hrtime, cpu, cpu_seqno, usr + 1, 'in', NULL, NULL FROM t WHERE event_type = 'click'),
+r AS (SELECT *, last_value(CASE kind WHEN 'in' THEN 1 WHEN 'out' THEN 0 END IGNORE NULLS) OVER (PARTITION BY hostname, pid ORDER BY hrtime, cpu, cpu_seqno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS running FROM pt WHERE pid > 0),
+iv AS (
+  SELECT r.hostname, pid, CASE WHEN kind = 'in' THEN 'RUNNING' WHEN kind = 'wake' OR k % 3 = 0 THEN 'RUNQ' ELSE 'SWTCH' END AS state, coalesce(lead(hrtime) OVER p, t1) - hrtime AS ns, lead(kind) OVER p AS ended_by, k, frame
+  FROM r JOIN b ON b.hostname = r.hostname WHERE NOT (kind = 'wake' AND coalesce(running, 0) = 1) WINDOW p AS (PARTITION BY r.hostname, pid ORDER BY hrtime, cpu, cpu_seqno))
+"""
+
+
+@query("x1_win_states", WIN + "SELECT hostname, state, count(*) AS n, CAST(sum(ns) AS BIGINT) AS ns FROM (SELECT hostname, state, ns FROM iv UNION ALL SELECT DISTINCT ON (hostname, pid) hostname, 'N', 0 FROM iv) GROUP BY 1, 2")
 def x1(spark, sf):
     return win.task_state_intervals(named(win_events(spark, sf), click="cswitch", purchase="ready", view="stack")).groupBy("hostname", "state").agg(F.count("*").alias("n"), F.sum("ns").alias("ns"))
 
 
-@query("x2_wait_reasons")
+@query("x2_wait_reasons", WIN + "SELECT hostname, CAST(frame AS BIGINT) AS frame, 'reason' || (k % 4) AS wait_reason, count(*) AS cnt, CAST(sum(ns) AS BIGINT) AS sleep_ns, max(ns) AS max_ns FROM iv WHERE state = 'SWTCH' AND ended_by = 'wake' GROUP BY 1, 2, 3")
 def x2(spark, sf):
     return win.wait_reasons(win.task_state_intervals(named(win_events(spark, sf), click="cswitch", purchase="ready", view="stack")))
 
 
-@query("x3_nested_syscalls")
+@query("x3_nested_syscalls", f"""WITH {EV},
+e AS (SELECT hostname, usr AS pid, hrtime, cpu_seqno, CAST(k % 50 AS BIGINT) AS address, CASE event_type WHEN 'signup' THEN 1 ELSE -1 END AS step FROM ev WHERE event_type IN ('signup', 'error')),
+s AS (SELECT *, sum(step) OVER (PARTITION BY hostname, pid ORDER BY hrtime, cpu_seqno ROWS UNBOUNDED PRECEDING) AS s FROM e),
+l AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY hostname, pid ORDER BY hrtime, cpu_seqno ROWS UNBOUNDED PRECEDING)) + CASE step WHEN 1 THEN 0 ELSE 1 END AS depth FROM s),
+o AS (SELECT *, lag({{'s': step, 't': hrtime, 'a': address}}) OVER (PARTITION BY hostname, pid, depth ORDER BY hrtime, cpu_seqno) AS op FROM l)
+SELECT hostname, pid, op.a AS address, op.t AS enter, hrtime AS exit, hrtime - op.t AS elapsed, CAST(depth AS BIGINT) AS depth FROM o WHERE step = -1 AND op.s = 1""")
 def x3(spark, sf):
     return win.pair_syscalls_nested(named(win_events(spark, sf), signup="sys_enter", error="sys_exit"))
 
@@ -831,7 +930,8 @@ def d3(spark, sf):
     return rules.rules_disk(blockio.io_stats(io_of(spark, sf)), serv_ms=95_000_000.0).where("code = 'disk_service'").select("hostname", "evidence")
 
 
-@query("d4_rules_irq")
+@query("d4_rules_irq", IRQ + """, g AS (SELECT hostname, irq, sum(time) / 1e9 / 86400 AS cores, count(*) * 100000 AS cnt FROM pairs GROUP BY hostname, kind, irq)
+SELECT hostname, CASE WHEN irq % 2 = 0 THEN 'tasklets' ELSE 'block_softirq' END AS code, CAST(round(cores, 2) AS VARCHAR) AS evidence FROM g WHERE (irq % 2 = 0 AND cnt > 100000 AND cores > 0.5) OR (irq % 2 = 1 AND cnt > 10000 AND cores > 1)""")
 def d4(spark, sf):
     s = power.irq_stats(irqs_of(spark, sf)).withColumns({"name": F.expr("if(irq % 2 = 0, 'TASKLET', 'BLOCK')"), "cnt": F.expr("cnt * 100000")})
     return rules.rules_irq(s, 86_400.0)
@@ -843,7 +943,7 @@ def d5(spark, sf):
     return rules.rules_profile(f, [("small%", 1.0, 0, "hot_function")]).select("hostname", "evidence")
 
 
-@query("d6_rules_stack")
+@query("d6_rules_stack", "SELECT hostname, 'hot_stack' AS code, 'the' AS evidence FROM (SELECT DISTINCT 'h' || (conv_id % 2) AS hostname, text FROM conversations) WHERE len(list_intersect(string_split(text, ' '), ['the', 'of', 'de', 'la', 'der'])) >= 2")
 def d6(spark, sf):
     words = ad.table(spark, sf, "conversations").select(F.expr("concat('h', conv_id % 2)").alias("hostname"), F.split("text", " ").alias("stack")).groupBy("hostname", "stack").agg(F.count("*").alias("hits"))
     return rules.rules_stack(words, "hits", [(["the", "of", "de", "la", "der"], 1, "hot_stack")])
@@ -885,8 +985,16 @@ def section(name, part):
     return run
 
 
-for _name, _part in (("p1", "2.2.2 run-queue statistics"), ("p1", "4.2.1 busiest disks"), ("p2", "disk"), ("p3", "scheduler activity"), ("p4", "tasks by run time")):
-    query(f"{_name}_{_part.split(' ', 1)[-1].replace(' ', '_').replace('-', '_')}")(section(_name, _part))
+DISKS = """SELECT hostname, dev, rw, ios, sectors, wait_ns, serv_ns, waits, seq, CAST(0 AS BIGINT) AS requeues, CAST(0 AS BIGINT) AS barriers, max_wait_ns, max_serv_ns, sectors / 2 AS kb, rnd,
+serv_ns / ios / 1e6 AS avserv_ms, CASE WHEN waits > 0 THEN wait_ns / waits / 1e6 ELSE 0.0 END AS avwait_ms, sectors // 2 // ios AS avsz_kb FROM st"""
+RUNQ = LAT + """, lc AS (SELECT *, last_value(CASE WHEN kind <> 'wake' THEN cpu END IGNORE NULLS) OVER (PARTITION BY hostname, pid ORDER BY hrtime, cpu, cpu_seqno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_cpu FROM q),
+la AS (SELECT hostname, cpu, (hrtime - ready) // 1000 AS us, coalesce(cpu <> last_cpu, false) AS moved, coalesce(cpu // 2 <> last_cpu // 2, false) AS left_node FROM lc WHERE kind = 'in' AND old = 'Q')
+SELECT hostname, cpu, count(*) AS cnt, CAST(sum(us) AS BIGINT) AS total_us, CAST(sum(us) AS BIGINT) // count(*) AS avg_us, max(us) AS max_us, count(*) FILTER (WHERE moved) AS migrations, count(*) FILTER (WHERE left_node) AS node_migrations FROM la GROUP BY 1, 2"""
+
+for _name, _part, _sql in (
+    ("p1", "2.2.2 run-queue statistics", RUNQ), ("p1", "4.2.1 busiest disks", REQS + DISKS + " WHERE rw IS NULL ORDER BY ios DESC, hostname, dev LIMIT 20"), ("p2", "disk", REQS + DISKS), ("p3", "scheduler activity", None), ("p4", "tasks by run time", None),
+):
+    query(f"{_name}_{_part.split(' ', 1)[-1].replace(' ', '_').replace('-', '_')}", _sql)(section(_name, _part))
 
 
 @query("p5_io_scatter", REQS + "SELECT hostname, issue_ts AS time, dev AS device, rw, sector, nr_sectors AS length, insert_pid AS qpid, issue_pid AS spid, qtm AS qtime, svtm AS svctime FROM rq ORDER BY time, hostname, device, sector, length, spid LIMIT 20000")
@@ -894,7 +1002,7 @@ def p5(spark, sf):
     return reports.io_scatter(io_of(spark, sf))
 
 
-@query("p5_futex_scatter")
+@query("p5_futex_scatter", FUT + "SELECT hostname, exit AS time, cpu, pid, CAST(ret AS BIGINT) AS retval, elapsed AS sctime, addr, op, 1 AS val FROM c ORDER BY time, cpu, pid LIMIT 20000")
 def p5b(spark, sf):
     return reports.futex_scatter(futex_of(spark, sf))
 
@@ -921,7 +1029,16 @@ def s14(spark, sf):
     return pid_tree(graph.wakeup_edges(woken_of(spark, sf))).select("hostname", "pid", "cnt", "sleep_ns", F.to_json("syscalls").alias("tree"))
 
 
-@query("a20_aio_stats")
+AIO = f"""WITH {IO},
+e AS (SELECT hostname, dev * 1000000 + sector + cpu_seqno * 100000000000 AS iocb, hrtime AS t, CASE event WHEN 'block_rq_insert' THEN 0 ELSE 1 END AS done, pid, rw, q FROM bt WHERE event <> 'block_rq_issue'),
+o AS (SELECT *, lag(done) OVER w AS again, last_value(CASE done WHEN 0 THEN {{'t': t, 'pid': pid, 'rw': rw, 'q': q}} END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM e WINDOW w AS (PARTITION BY hostname, iocb ORDER BY t, done)),
+m AS (SELECT hostname, s.pid AS pid, s.rw AS rw, q * 512 AS bytes, t - s.t AS ns FROM o WHERE done = 1 AND again = 0 AND s IS NOT NULL AND s.q = q),
+g AS (SELECT hostname, pid, count(*) FILTER (WHERE rw = 0) AS rd_cnt, CAST(coalesce(sum(bytes) FILTER (WHERE rw = 0), 0) AS BIGINT) AS rd_bytes, CAST(coalesce(sum(ns) FILTER (WHERE rw = 0), 0) AS BIGINT) AS rd_ns, coalesce(max(ns) FILTER (WHERE rw = 0), 0) AS rd_max,
+      count(*) FILTER (WHERE rw = 1) AS wr_cnt, CAST(coalesce(sum(bytes) FILTER (WHERE rw = 1), 0) AS BIGINT) AS wr_bytes, CAST(coalesce(sum(ns) FILTER (WHERE rw = 1), 0) AS BIGINT) AS wr_ns, coalesce(max(ns) FILTER (WHERE rw = 1), 0) AS wr_max FROM m GROUP BY 1, 2)
+"""
+
+
+@query("a20_aio_stats", AIO + "SELECT * FROM g")
 def a20(spark, sf):
     """Each request of the block trace as an asynchronous operation: submitted when inserted, complete when done."""
     t = ad.block_trace(spark, sf)
@@ -931,7 +1048,7 @@ def a20(spark, sf):
     return syscalls.aio_stats(syscalls.pair_aio(sub.unionByName(got, allowMissingColumns=True)))
 
 
-@query("j6_pair_aio")
+@query("j6_pair_aio", AIO + "SELECT hostname, pid, rd_cnt, wr_cnt FROM g")
 def j6(spark, sf):
     return a20(spark, sf).select("hostname", "pid", "rd_cnt", "wr_cnt")
 

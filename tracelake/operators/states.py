@@ -231,12 +231,12 @@ def idle_at(df: DataFrame, t: int) -> DataFrame:
 
 
 def ht_states(df: DataFrame, topology: DataFrame) -> DataFrame:
-    """hostname, pcpu_idx, ldom, start, end, ns, first, second: whether the two logical CPUs of a physical one are busy, interval by interval."""
+    """hostname, pcpu_idx, ldom, cpu, cpu_seqno, start, end, ns, first, second: whether the two logical CPUs of a physical one are busy, interval by interval."""
     t = topology.select("hostname", "cpu", "pcpu_idx", "ldom", (F.col("cpu") > F.col("lcpu_sibling")).cast("int").alias("side"))
     e = df.where("event = 'sched_switch'").select("hostname", "cpu", "hrtime", "cpu_seqno", (F.col("sw.next_pid") != 0).alias("busy")).join(F.broadcast(t), ["hostname", "cpu"])
     w = Window.partitionBy("hostname", "pcpu_idx").orderBy("hrtime", "cpu", "cpu_seqno")
     side = lambda k: F.last(F.when(F.col("side") == k, F.col("busy")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = e.join(F.broadcast(bounds(df)), "hostname").select("hostname", "pcpu_idx", "ldom", F.col("hrtime").alias("start"), F.coalesce(F.lead("hrtime").over(w), "t1").alias("end"), side(0).alias("first"), side(1).alias("second"))
+    out = e.join(F.broadcast(bounds(df)), "hostname").select("hostname", "pcpu_idx", "ldom", "cpu", "cpu_seqno", F.col("hrtime").alias("start"), F.coalesce(F.lead("hrtime").over(w), "t1").alias("end"), side(0).alias("first"), side(1).alias("second"))
     return out.where("first is not null and second is not null").withColumn("ns", F.col("end") - F.col("start"))
 
 
@@ -253,7 +253,7 @@ def ht_dbdi(df: DataFrame, topology: DataFrame) -> DataFrame:
     """
     slice_ns = 10_000_000
     s = ht_states(df, topology)
-    w = Window.partitionBy("hostname", "pcpu_idx").orderBy("start")
+    w = Window.partitionBy("hostname", "pcpu_idx").orderBy("start", "cpu", "cpu_seqno")
     both = (F.col("first") & F.col("second"))
     turned = s.withColumn("was", F.lag(both).over(w)).where(both & ~F.coalesce("was", F.lit(False))).select("hostname", F.col("pcpu_idx").alias("p"), F.col("start").alias("t"), F.expr(f"start div {slice_ns}").alias("slice"))
     idle = s.where("not first and not second").select("hostname", "pcpu_idx", "start", "end", F.explode(F.expr(f"sequence(start div {slice_ns}, end div {slice_ns})")).alias("slice"))
