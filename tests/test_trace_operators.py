@@ -278,3 +278,30 @@ def test_wakeup_edges_and_trees(spark):
     tree = graph.coop_tree(graph.wakeup_edges(graph.wakeups(t)))
     assert sorted(r.level for r in tree.collect()) == [0, 1, 2, 3, 4, 5] and {r.sleep_ns for r in tree.collect()} == {10}
     assert [(r.pid, r.ns) for r in graph.waited_for(graph.wakeup_edges(graph.wakeups(t))).collect()] == [(20, 10)]
+
+
+def test_slices_change_nothing(spark):
+    from tracelake import adapters as ad
+
+    t = ad.block_trace(spark, "/root/testdata/sf0.001")
+    io = blockio.pair_block_io(t).cache()
+    whole, hour = 1 << 62, 3_600_000_000_000
+    rows = lambda d: sorted(map(str, d.collect()))
+    for width in (hour, 500 * hour):
+        assert rows(blockio.queue_len(t, slice_ns=width)) == rows(blockio.queue_len(t, slice_ns=whole))
+        assert rows(blockio.seq_random(io, slice_ns=width)) == rows(blockio.seq_random(io, slice_ns=whole))
+    near = io.withColumn("sector", F.expr("(seqno % 3) * nr_sectors")).cache()  # many that follow each other
+    got = blockio.seq_random(near, slice_ns=hour)
+    assert got.where("sequential").count() > 0 and rows(got) == rows(blockio.seq_random(near, slice_ns=whole))
+
+
+def test_pareto_bands(spark):
+    values = [0, -3, None, 1, 1, 1, 2, 3, 5, 8, 1000, 1000, 1023, 1024, 1025, 5000]
+    d = spark.createDataFrame([("h", v, i) for i, v in enumerate(values)], "hostname string, n bigint, k int")
+    order = sorted(enumerate(values), key=lambda x: (-x[1] if x[1] is not None else 1e9, x[0]))
+    total, before, want = sum(v or 0 for v in values), 0, []
+    for i, v in order:
+        if 100.0 * before / total < 95.0:
+            want.append(i)
+        before += v or 0
+    assert [r.k for r in windows.pareto(d, "n", 95.0, tie=("k",)).orderBy("rank").collect()] == want

@@ -629,6 +629,19 @@ def a33(spark, sf):
     return stacks.ora_waits(s, ("hostname",), "stack", [("even", "kcevn", None), ("third", "thr", "kcodd")]).select("hostname", "wait", "cnt", "sleep_ns")
 
 
+@query("a33_ora_waits_by_frame", SLEPT + """, w AS (SELECT hostname, ns, CASE WHEN k % 5 = 4 THEN NULL WHEN k % 7 = 0 THEN 'db async I/O' WHEN k % 5 = 2 THEN 'db file sequential read' WHEN k % 5 = 0 AND k % 2 = 0 THEN 'net from client'
+      WHEN k % 5 = 1 AND k % 2 = 1 THEN 'gc current multi block read' WHEN k % 5 = 3 AND k % 2 = 1 THEN 'latch: sequence' END AS wait FROM sl)
+SELECT hostname, wait, count(*) AS cnt, max(ns) AS max_ns, CAST(sum(ns) AS BIGINT) AS sleep_ns FROM w WHERE wait IS NOT NULL GROUP BY 1, 2""")
+def a33b(spark, sf):
+    """The rule tables over stacks made of the sleep function: a kernel frame, the mark, a frame that some rules need, and the frame of a rule; a fifth in an order that fits none."""
+    k = F.col("_k")
+    last = F.when(k % 5 == 0, "opitsk_main").when(k % 5 == 1, "kcbzibmlt").when(k % 5 == 2, "ksfdread").when(k % 5 == 3, "kdnwor").otherwise("main")
+    need = F.when(k % 2 == 0, "snttread").otherwise(F.when(k % 5 == 3, "kslgetl").otherwise("epoll_wait"))
+    s = slept_of(spark, sf).withColumn("_k", F.expr("get(stack, 0) div 16")).withColumn("stack", F.array(F.when(k % 7 == 0, "read_events").otherwise("schedule"), F.lit("<user>"), need, last))
+    s = s.withColumn("stack", F.when(k % 5 == 4, F.array(F.lit("ksfdread"), F.lit("<user>"), F.lit("opitsk"), F.lit("snttread"))).otherwise(F.col("stack")))
+    return stacks.ora_waits(s, ("hostname",), "stack", kernel_rules=stacks.DB_KERNEL_WAITS, user_mark="<user>").select("hostname", "wait", "cnt", "max_ns", "sleep_ns")
+
+
 # Interrupts and power.
 
 IRQ = f"""WITH {EV},

@@ -86,23 +86,52 @@ def profile_stacks(samples: DataFrame, by: tuple[str, ...] = ("hostname",)) -> D
     return out.withColumn("pct", 100.0 * F.col("hits") / F.sum("hits").over(Window.partitionBy("hostname")))
 
 
-#: Kinds of waits of a database task by the beginning of a frame's name, in order; an entry may need an earlier frame (fixed values).
-DB_WAITS = [("log file sync", "kcrf_commit_force", None), ("buffer busy", "kcbzwb", None), ("latch", "ksl_get_shared_latch", None), ("latch", "kslgetl", None), ("enqueue", "ksqcmi", None), ("db file read", "kcbzib", None), ("sql net", "opitsk", "nttrd"), ("idle", "ksbwait", None), ("post wait", "kskthbwt", None)]
-
-
-def _begins(stack: str, prefix: str) -> Column:
-    return F.exists(stack, lambda x: x.startswith(prefix))
-
-
-def ora_waits(slept: DataFrame, by: tuple[str, ...] = ("hostname", "pid"), stack: str = "stack", rules: list = DB_WAITS) -> DataFrame:
-    """Sleeps of database tasks by the first rule that a frame of their symbolised stack fits."""
-    kind = F.lit(None).cast("string")
-    for name, prefix, earlier in reversed(rules):
-        test = _begins(stack, prefix)
-        if earlier:
-            test = test & _begins(stack, earlier)
-        kind = F.when(test, name).otherwise(kind)
-    return slept.withColumn("wait", kind).where("wait is not null").groupBy(*by, "wait").agg(F.count("*").alias("cnt"), F.expr("sum(ns) div count(*)").alias("avg_ns"), F.max("ns").alias("max_ns"), F.sum("ns").alias("sleep_ns"))
+#: Kinds of waits of a database task by the beginning of a user frame's name, in order; a rule may need another user frame before it (fixed values).
+DB_WAITS = [
+    ("db file sequential read", "ksfdread", None),
+    ("log file switch", "kcrfws", None),
+    ("enq: TX row lock", "ktuGetTxForXid", None),
+    ("buffer busy", "kcbzwb", None),
+    ("latch: cache buffers", "kcbget", "ksl_get_shared_latch"),
+    ("gc current multi block read", "kcbzibmlt", "epoll_wait"),
+    ("gc current block read", "kcbzib", "epoll_wait"),
+    ("log file sync, polling", "kcrf_commit_force_int", "nanosleep"),
+    ("log file sync, post/wait", "kcrf_commit_force_int", None),
+    ("net from dblink", "npixfc", "snttread"),
+    ("net from dblink", "ttcdrv", "snttread"),
+    ("net from client", "opitsk", "snttread"),
+    ("cursor: pin S", "kkscsCheckCursor", "kgxSharedExamine"),
+    ("latch: sequence", "kdn", "kslgetl"),
+    ("latch: undo", "ktuisonline1", "kslgetl"),
+]
+#: The same for kernel frames (fixed values).
+DB_KERNEL_WAITS = [("db async I/O", "read_events", None)]
+
+
+def ora_waits(slept: DataFrame, by: tuple[str, ...] = ("hostname", "pid"), stack: str = "stack", rules: list = DB_WAITS, kernel_rules: list = (), user_mark: str | None = None) -> DataFrame:
+    """Sleeps of database tasks by the first frame of their symbolised stack that a rule fits; of several rules for a frame the first in the list counts.
+
+    A rule that needs another frame fits only frames after it. With ``user_mark`` frames after that entry are the user's and those before it the kernel's, to
+    which ``kernel_rules`` apply; without, all frames count as the user's.
+    """
+    both = [*[(*r, True) for r in rules], *[(*r, False) for r in kernel_rules]]
+    needs = sorted({(earlier, user) for _, _, earlier, user in both if earlier})
+
+    def step(state: Column, x: Column) -> Column:
+        side = lambda user: F.lit(user) if user_mark is None else state["user"] == F.lit(user)
+        begins = lambda prefix, user: F.coalesce(x.startswith(prefix), F.lit(False)) & side(user)
+        hit, seen = state["wait"], state["seen"]
+        for name, prefix, earlier, user in both:
+            met = state["seen"].bitwiseAND(F.lit(1 << needs.index((earlier, user)))) != 0 if earlier else F.lit(True)
+            hit = F.coalesce(hit, F.when(begins(prefix, user) & met, name))
+        for n, (earlier, user) in enumerate(needs):
+            seen = seen.bitwiseOR(F.when(begins(earlier, user), 1 << n).otherwise(0))
+        user = F.lit(True) if user_mark is None else state["user"] | F.coalesce(x == user_mark, F.lit(False))
+        return F.struct(user.alias("user"), seen.alias("seen"), hit.alias("wait"))
+
+    start = F.struct(F.lit(user_mark is None).alias("user"), F.lit(0).alias("seen"), F.lit(None).cast("string").alias("wait"))
+    found = slept.withColumn("wait", F.reduce(stack, start, step)["wait"]).where("wait is not null")
+    return found.groupBy(*by, "wait").agg(F.count("*").alias("cnt"), F.expr("sum(ns) div count(*)").alias("avg_ns"), F.max("ns").alias("max_ns"), F.sum("ns").alias("sleep_ns"))
 
 
 #: Database background roles by the beginning of the command; of several the last counts (fixed values).

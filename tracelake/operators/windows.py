@@ -39,12 +39,21 @@ def with_pct(df: DataFrame, col: str, group: tuple[str, ...] = ("hostname",), na
 
 
 def pareto(df: DataFrame, value: str, pct: float = 95.0, group: tuple[str, ...] = ("hostname",), tie: tuple[str, ...] = ()) -> DataFrame:
-    """Rows by falling value until the share of those before reaches ``pct``, with the running share."""
-    w = Window.partitionBy(*group).orderBy(F.desc(value), *tie)
-    total = F.sum(value).over(Window.partitionBy(*group))
-    before = F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = df.withColumns({"rank": F.row_number().over(w), "_before": 100.0 * before / total, "running_pct": 100.0 * (before + F.col(value)) / total})
-    return out.where(F.col("_before") < pct).drop("_before")
+    """Rows by falling value until the share of those before reaches ``pct``, with the running share.
+
+    Rows are ranked within bands of alike values (eight to a doubling); sums of whole bands carry over, and bands past the cut are never sorted.
+    """
+    v = F.col(value)
+    banded = df.withColumn("_band", F.when(v > 0, F.floor(F.log2(v) * 8)).otherwise(F.lit(-(1 << 20))))
+    above = Window.partitionBy(*group).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
+    bands = banded.groupBy(*group, "_band").agg(F.sum(value).alias("_sum"), F.count("*").alias("_n"))
+    bands = bands.withColumns({"_total": F.sum("_sum").over(Window.partitionBy(*group)), "_sum0": F.coalesce(F.sum("_sum").over(above), F.lit(0)), "_n0": F.coalesce(F.sum("_n").over(above), F.lit(0))})
+    bands = bands.where(100.0 * F.col("_sum0") / F.col("_total") < pct).drop("_sum", "_n")
+    w = Window.partitionBy(*group, "_band").orderBy(F.desc(value), *tie)
+    out = banded.join(bands, [*group, "_band"])
+    before = F.col("_sum0") + F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = out.withColumns({"rank": (F.col("_n0") + F.row_number().over(w)).cast("int"), "_before": 100.0 * before / F.col("_total"), "running_pct": 100.0 * (before + v) / F.col("_total")})
+    return out.where(F.col("_before") < pct).select(*df.columns, "rank", "running_pct")
 
 
 def with_prev(df: DataFrame, cols: dict[str, "F.Column"], key: tuple[str, ...] = ("hostname", "pid")) -> DataFrame:
