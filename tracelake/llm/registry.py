@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL that their results are held against."""
 
-from . import backoff_lm, decontaminate, hard_negatives, language_id, license_scan, line_dedup, main_text, merge_dropout, ngram_join, permutation_index, repeats, token_files
+from . import backoff_lm, decontaminate, hard_negatives, language_id, license_scan, line_dedup, main_text, merge_dropout, ngram_join, periodic_runs, permutation_index, repeats, token_files
 
 QUERIES = {
     "op1_permutation_index": permutation_index.op1_permutation_index,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_backoff_lm": backoff_lm.op8_backoff_lm,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_main_text": main_text.op12_main_text,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
