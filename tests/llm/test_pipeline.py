@@ -45,6 +45,16 @@ def test_decontamination_with_null_and_repeated_ids(spark):
     assert got == sorted(want, key=str)
 
 
+def test_unique_lines_of_rows_that_share_ids_stay(spark):
+    import corpus_pipeline
+
+    x = "a line that stands in two rows"
+    for i in (None, 7):
+        docs = spark.createDataFrame([(i, f"{x}\nunique A", "en", "s", 1), (i, f"y\n{x}", "en", "s", 1)], IDS)
+        out = "\n".join(r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect())
+        assert sorted(out.split("\n")) == sorted([x, "unique A", "y"])
+
+
 def test_stages_with_null_and_repeated_ids(spark):
     import corpus_pipeline
 

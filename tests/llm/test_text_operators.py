@@ -150,6 +150,27 @@ def test_line_dedup_of_more_edits(spark, edits):
     assert {x.doc_id: x.text for x in line_dedup.dedup_lines(frame(spark, rows), max_edits=edits).collect()} == deduplicated(rows, edits, 1, 1)[0]
 
 
+def by_rows(rows):
+    """What line dedup leaves, in order of (doc_id, null first; the texts' hashes, as given; line number), for one edit; copies of a row go together."""
+    places = [(i is not None, i or 0, h, k, x, n) for n, (i, t, h) in enumerate(rows) if t is not None for k, x in enumerate(t.split("\n")) if x]
+    near = lambda x, y: x == y or abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1
+    gone = {(p[5], p[3]) for p in places if any(o[:4] < p[:4] and near(o[4], p[4]) for o in places)}
+    return sorted(((str(i), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (n, k) not in gone)) for n, (i, t, _) in enumerate(rows)), key=str)
+
+
+def test_line_dedup_of_rows_that_share_ids(spark):
+    ids = "doc_id bigint, text string"
+    left = lambda rows: sorted((str(r.doc_id), r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, ids).repartition(3)).collect(), key=str)
+    for i in (None, 7):
+        got = " / ".join(x[1] for x in left([(i, "x line\nunique A"), (i, "y\nx line")]))
+        assert "unique A" in got and "y" in got and got.count("x line") == 1
+    r = random.Random(11)
+    rows = [(r.choice([None, 1, 2, 2, 3]), "\n".join("".join(r.choices("abc", k=r.randrange(0, 6))) for _ in range(4))) for _ in range(60)]
+    rows += [rows[0], rows[1], (None, None), (2, None)]
+    hashed = [tuple(x) for x in line_dedup.identified(spark.createDataFrame(rows, ids)).select("doc_id", "text", F.struct("t1", "t2")).collect()]
+    assert left(rows) == by_rows(hashed)
+
+
 def test_line_dedup_of_many_lines_and_clashing_names(spark):
     rows = [(1, "same line\n" * 200_000 + "last"), (2, "x\nsame line")]
     docs = frame(spark, rows).withColumn("_gone", F.lit(1)).withColumn("_lines", F.lit(2))

@@ -2,7 +2,8 @@
 
 Two lines are near when their edit distance (insertions, deletions, substitutions of
 characters) is at most ``max_edits``. A line is removed where a near or equal line stands
-strictly earlier, by (doc_id, line number); so of each such pair the earliest stays.
+strictly earlier; so of each such pair the earliest stays. Places are ordered by doc_id, then, among rows that share an id or
+have none, by two hashes of the row's text (``ROW``), then by line number; a row loses the lines at its own places only.
 
 A key is a deletion variant with the gaps between its characters where edits may have been, exactly as many as the
 bound. A line emits it if no gap holds more of its deleted characters than the key names, so two lines with an
@@ -27,8 +28,8 @@ For larger bounds every line emits all its keys, some (2 length)**max_edits of t
 Defined cases: null text has no lines and stays null; lines shorter than ``min_chars``
 characters (by default empty ones only) are never removed and remove nothing, those shorter than ``near_chars`` are removed and remove only where they are
 equal; rows with a null doc_id
-come before all others; a repeated row (same doc_id and line number) is no earlier than
-itself, so both stay as they are; very long lines cost length**1.5; an empty table gives an
+come before all others; different texts under one doc_id, or under none, are rows of their own; a repeated row (same doc_id and text) is no earlier than
+itself, so both stay or lose the same lines; very long lines cost length**1.5; an empty table gives an
 empty result; other columns are kept by ``dedup_lines``, whatever their names.
 """
 
@@ -46,8 +47,20 @@ def _hash(*parts) -> Column:
     return F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+#: What tells rows apart: the id, which may be null or repeated, and 128 bits of the text.
+ROW = ("doc_id", "t1", "t2")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("t1"), _hash(5, F.col("text")).alias("t2"), "text")
+
+
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return docs.select(*ROW, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def own_place() -> Column:
+    return F.struct(*ROW, "line_no")
 
 
 def keyed(lines: DataFrame, min_chars: int) -> DataFrame:
@@ -92,7 +105,7 @@ def variant_keys(line: Column, edits: int) -> Column:
 
 def near_by_keys(lines: DataFrame, edits: int) -> DataFrame:
     """(h1, h2, e) as ``near_lines``, for any bound."""
-    one = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
+    one = lines.groupBy("h1", "h2").agg(F.min(own_place()).alias("first"), F.first("line").alias("line"))
     emitted = staged(one.select("h1", "h2", "first", F.explode(variant_keys(F.col("line"), edits)).alias("key")), "variants")
     met = staged(emitted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("first", "h1", "h2")).alias("o")).where("n > 1"), "variant-keys")
     found = emitted.join(met, "key").where("o.first < first").select("h1", "h2", F.col("o.first").alias("e"), F.col("o.h1").alias("o1"), F.col("o.h2").alias("o2")).distinct()
@@ -110,7 +123,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
     ids = staged(halves.select("h1", "h2").distinct(), "near-ids")
     texts = keyed(numbered_lines(docs), 0).join(sized(ids, 24), ["h1", "h2"], "left_semi")
-    texts = staged(texts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line")), "near-texts")
+    texts = staged(texts.groupBy("h1", "h2").agg(F.min(own_place()).alias("first"), F.first("line").alias("line")), "near-texts")
 
     # The half with the edit: s characters in the shorter line, s + 1 in the longer.
     part = halves.join(texts, ["h1", "h2"])
@@ -158,12 +171,12 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, near_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no) of every line with an equal or near line strictly before it."""
+    """The place (``ROW`` and line_no) of every line with an equal or near line strictly before it."""
     if max_edits < 0:
         raise ValueError("max_edits is not negative")
-    docs = docs.select("doc_id", "text")
+    docs = identified(docs)
     lines = keyed(numbered_lines(docs), min_chars)
-    grouped = {"first": F.min(F.struct("doc_id", "line_no")), "n": F.count("*")}
+    grouped = {"first": F.min(own_place()), "n": F.count("*")}
     if max_edits == 1:
         grouped["keys"] = F.first("keys")
         lines = lines.withColumn("keys", F.when(F.length("line") >= near_chars, half_keys(F.col("line"))))
@@ -174,19 +187,21 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHAR
     else:
         distinct = distinct.withColumn("e", F.lit(None).cast(distinct.schema["first"].dataType))
     earliest = distinct.where("n > 1 OR e IS NOT NULL").select("h1", "h2", F.least("first", "e").alias("e"))
-    places = lines.select("h1", "h2", "doc_id", "line_no")
-    return places.join(sized(staged(earliest, "earliest"), 48), ["h1", "h2"]).where(F.struct("doc_id", "line_no") > F.col("e")).select("doc_id", "line_no").distinct()
+    places = lines.select("h1", "h2", *ROW, "line_no")
+    return places.join(sized(staged(earliest, "earliest"), 64), ["h1", "h2"]).where(own_place() > F.col("e")).select(*ROW, "line_no").distinct()
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, near_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with their text rebuilt from the lines kept, and n_lines and n_removed (which replace columns of those names)."""
     docs = docs.drop("n_lines", "n_removed")
     columns = docs.columns
-    split, gone, key = (free_name(docs, x) for x in ("_lines", "_gone", "_gone_id"))
-    removed = removed_lines(docs, max_edits, min_chars, near_chars).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("line_no").alias(gone))
-    removed = sized(staged(removed, "removed-lines"), 64, items=gone, item_bytes=4)
+    split, gone, key, t1, t2 = (free_name(docs, x) for x in ("_lines", "_gone", "_gone_id", "_gone_t1", "_gone_t2"))
+    removed = removed_lines(docs, max_edits, min_chars, near_chars).groupBy(F.col("doc_id").alias(key), F.col("t1").alias(t1), F.col("t2").alias(t2)).agg(F.collect_list("line_no").alias(gone))
+    removed = sized(staged(removed, "removed-lines"), 80, items=gone, item_bytes=4)
     # Lines are split below the join, so that each is fetched from an array that is made once.
-    out = docs.withColumn(split, F.split("text", "\n")).drop("text").join(removed, F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    own = [free_name(docs, x) for x in ("_own_t1", "_own_t2")]
+    out = docs.withColumns({split: F.split("text", "\n"), own[0]: F.xxhash64("text"), own[1]: _hash(5, F.col("text"))}).drop("text")
+    out = out.join(removed, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own[0]) == F.col(t1)) & (F.col(own[1]) == F.col(t2)), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.array_size(split) - 1), F.coalesce(gone, F.array().cast("array<int>")))
     text = F.array_join(F.when(F.col(gone).isNull(), F.col(split)).otherwise(F.transform(kept, lambda i: F.get(split, i))), "\n")
     return out.select(
