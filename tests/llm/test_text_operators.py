@@ -155,12 +155,13 @@ def by_rows(rows):
     places = [(i is not None, i or 0, h, k, x, n) for n, (i, t, h) in enumerate(rows) if t is not None for k, x in enumerate(t.split("\n")) if x]
     near = lambda x, y: x == y or abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1
     gone = {(p[5], p[3]) for p in places if any(o[:4] < p[:4] and near(o[4], p[4]) for o in places)}
-    return sorted(((str(i), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (n, k) not in gone)) for n, (i, t, _) in enumerate(rows)), key=str)
+    texts = [(str(i), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (n, k) not in gone)) for n, (i, t, _) in enumerate(rows)]
+    return sorted(texts, key=str)
 
 
 def test_line_dedup_of_rows_that_share_ids(spark):
     ids = "doc_id bigint, text string"
-    left = lambda rows: sorted((str(r.doc_id), r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, ids).repartition(3)).collect(), key=str)
+    left = lambda rows: sorted([(str(r.doc_id), r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, ids).repartition(3)).collect()], key=str)
     for i in (None, 7):
         got = " / ".join(x[1] for x in left([(i, "x line\nunique A"), (i, "y\nx line")]))
         assert "unique A" in got and "y" in got and got.count("x line") == 1
