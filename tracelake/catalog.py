@@ -1132,21 +1132,25 @@ def z2(spark, sf):
 def z3(spark, sf):
     from .streaming import drive, live
 
-    return drive.drained(live.stream_pair_syscalls(stream_of(spark, sf, ad.task_trace(spark, sf)), 1 << 40))
+    return drive.drained(live.stream_pair_syscalls(stream_of(spark, sf, ad.task_trace(spark, sf)), 1 << 40)).select("hostname", "pid", "syscallno", "enter", "exit", "elapsed", "ret")
 
 
 @query("z3_stream_block", REQS + "SELECT hostname, dev, sector, insert_ts, issue_ts, complete_ts, qtm, svtm FROM rq")
 def z3b(spark, sf):
     from .streaming import drive, live
 
-    return drive.drained(live.stream_pair_block(stream_of(spark, sf, ad.block_trace(spark, sf)), 1 << 40))
+    return drive.drained(live.stream_pair_block(stream_of(spark, sf, ad.block_trace(spark, sf)), 1 << 40)).drop("sectors", "complete_time")
 
 
-@query("z4_stream_states")
-def z4(spark, sf):
+def stretches_of(spark, sf):
+    """Stretches of all days that are over when the watermark is two days behind the last event."""
     from .streaming import drive, live
 
-    return drive.drained(live.stream_task_states(stream_of(spark, sf, ad.task_trace(spark, sf)), 24 * HOUR)).groupBy("hostname", "pid", "state").agg(F.sum("ns").alias("ns"))
+    return drive.drained(live.stream_task_states(stream_of(spark, sf, closed(ad.task_trace(spark, sf), last_of(spark, sf) + 62 * DAY)), DAY))
+
+
+def z4(spark, sf):
+    return stretches_of(spark, sf).groupBy("hostname", F.col("id").alias("pid"), "state").agg(F.sum("ns").alias("ns"))
 
 
 @query("z5_live_top", f"WITH {EV} SELECT hostname, k % 8 AS syscallno, count(*) AS n FROM ev WHERE event_type = 'signup' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY hostname ORDER BY count(*) DESC, k % 8) <= 3")
@@ -1156,10 +1160,195 @@ def z5(spark, sf):
     days = 36_500  # one window from 1970 on
     trace = closed(ad.task_trace(spark, sf), (days + 62) * 24 * HOUR)
     path = drive.folder(spark, "live-top")
-    spark.createDataFrame([], "hostname string, syscallno int, n bigint").write.parquet(path)
-    q = live.live_top(stream_of(spark, sf, trace), "syscall", 3, lambda df, k: df.select("hostname", F.col("syscallno").cast("int").alias("syscallno"), "n").write.mode("append").parquet(path), f"{days} days")
+    spark.createDataFrame([], "hostname string, syscallno int, n bigint").write.parquet(f"{path}/batch=-1")
+    # A folder for each batch, so that one that runs again replaces its rows.
+    q = live.live_top(stream_of(spark, sf, trace), "syscall", 3, lambda df, k: df.select("hostname", F.col("syscallno").cast("int").alias("syscallno"), "n").write.mode("overwrite").parquet(f"{path}/batch={k}"), f"{days} days")
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    return spark.read.schema("hostname string, syscallno int, n bigint").parquet(path)
+    return spark.read.schema("hostname string, syscallno int, n bigint").parquet(f"{path}/batch=*")
+
+
+# Streams that arrive in an order of their own.
+
+DAY = 24 * HOUR
+
+
+def arriving(spark, sf, parts, delay):
+    """Parts of a trace as a stream in which each is one batch, in this order; the file source goes by the time of files."""
+    from .schema import TRACE
+    from .streaming import live
+    from .streaming.drive import folder
+
+    path = folder(spark, "stream-arriving")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for k, part in enumerate(parts):
+        part.repartition(files).write.parquet(f"{path}/p{k}")  # the same number of files each
+    stream = spark.readStream.schema(TRACE).option("maxFilesPerTrigger", files).parquet(f"{path}/p*")
+    return live.with_event_time(stream, delay)
+
+
+def last_of(spark, sf):
+    return ad.flat_events(spark, sf).agg(F.max("hrtime")).first()[0] or 0
+
+
+def sync_records(spark, trace):
+    """A sync record of each CPU at each end of a day of the trace; SQL sees none of them."""
+    days = trace.select(F.expr(f"(hrtime div {DAY} + 1) * {DAY}").alias("t")).distinct()
+    from .schema import as_trace
+
+    marks = days.join(F.broadcast(ad.topology(spark)), F.lit(True)).select("hostname", F.col("t").alias("hrtime"), F.lit("sync").alias("event"), "cpu", F.lit(0).cast("long").alias("cpu_seqno"), F.lit(0).cast("long").alias("pid"))
+    return as_trace(marks)
+
+
+TASK_EVENT = "CASE event_type WHEN 'signup' THEN 'sys_enter' WHEN 'error' THEN 'sys_exit' WHEN 'purchase' THEN 'sched_wakeup' ELSE 'sched_switch' END"
+
+
+@query("z1_ordered_stream", f"WITH {EV} SELECT hostname, hrtime // {DAY} AS slice, row_number() OVER (PARTITION BY hostname, hrtime // {DAY} ORDER BY hrtime, cpu, cpu_seqno) - 1 AS place, hrtime, cpu, cpu_seqno, {TASK_EVENT} AS event, true AS complete, false AS late FROM ev")
+def z1(spark, sf):
+    """CPUs 0 and 1 of each host arrive first, then the others: nothing leaves before all of them are in sync."""
+    from .streaming import drive, ordered
+
+    trace = ad.task_trace(spark, sf)
+    syncs = sync_records(spark, trace)
+    parts = [trace.where("cpu < 2"), syncs.where("cpu < 2"), trace.where("cpu >= 2"), syncs.where("cpu >= 2")]
+    out = drive.drained(ordered.ordered(arriving(spark, sf, parts, "4000 days"), ad.topology(spark), DAY, 1))
+    return out.select("hostname", "slice", "place", "hrtime", "cpu", "cpu_seqno", "event", "complete", "late")
+
+
+@query("z2_live_calls", CALLS + f"SELECT hostname, exit // {DAY} AS day, syscallno, count(*) AS n, CAST(sum(elapsed) AS BIGINT) AS ns, max(elapsed) AS max_ns, CAST(sum(err) AS BIGINT) AS errs, CAST(sum(bytes) AS BIGINT) AS bytes FROM calls2 GROUP BY 1, 2, 3")
+def z2_calls(spark, sf):
+    from .streaming import drive, live
+
+    trace = closed(ad.task_trace(spark, sf), last_of(spark, sf) + 62 * DAY)
+    out = drive.drained(live.live_calls(stream_of(spark, sf, trace), "1 day", 1 << 40))
+    return out.select("hostname", day_of("start"), "syscallno", "n", "ns", "max_ns", "errs", "bytes")
+
+
+def day_of(column, name="day"):
+    return F.expr(f"datediff({column}, date '1970-01-01')").cast("long").alias(name)
+
+
+def stretch_sql(days):
+    """Stretches of tasks, cut at the ends of days, up to so many days after the start of the last day of the data."""
+    return POINTS.rstrip() + f""",
+last AS (SELECT max(hrtime) // {DAY} AS d FROM ev),
+sw AS (SELECT hostname, pid, state, start, coalesce(lead(start) OVER (PARTITION BY hostname, pid ORDER BY start, cpu, cpu_seqno), (SELECT (d + {days}) * {DAY} FROM last)) AS e, CASE WHEN state = 'SWTCH' THEN CAST(k * 16 AS BIGINT) END AS label FROM iv),
+cut AS (SELECT *, unnest(range(start // {DAY}, (e - 1) // {DAY} + 1)) AS day FROM sw WHERE e > start),
+parts AS (SELECT hostname, pid, state, label, day, CAST(least(e, (day + 1) * {DAY}) - greatest(start, day * {DAY}) AS BIGINT) AS ns, 0 AS n FROM cut UNION ALL SELECT hostname, pid, state, label, start // {DAY}, 0, 1 FROM sw),
+stretch AS (SELECT hostname, pid, state, label, day, CAST(sum(ns) AS BIGINT) AS ns, CAST(sum(n) AS BIGINT) AS n FROM parts WHERE day < (SELECT d + {days} FROM last) GROUP BY 1, 2, 3, 4, 5)
+"""
+
+
+STRETCH = stretch_sql(0)  # the last day of the data is not over
+
+
+@query("z2_live_busy", STRETCH + "SELECT hostname, day, CAST(sum(CASE WHEN state = 'RUNNING' THEN ns ELSE 0 END) AS BIGINT) AS run_ns, CAST(sum(CASE WHEN state = 'RUNQ' THEN ns ELSE 0 END) AS BIGINT) AS runq_ns, CAST(sum(CASE WHEN state = 'SWTCH' THEN ns ELSE 0 END) AS BIGINT) AS sleep_ns, count(*) FILTER (WHERE state = 'RUNNING' AND ns > 0) AS ran FROM stretch GROUP BY 1, 2")
+def z2_busy(spark, sf):
+    from .streaming import drive, live
+
+    last = last_of(spark, sf)
+    out = drive.drained(live.live_busy(stream_of(spark, sf, closed(ad.task_trace(spark, sf), last + 62 * DAY)), DAY))
+    return out.select("hostname", day_of("start"), "run_ns", "runq_ns", "sleep_ns", "ran").where(F.col("day") < last // DAY)
+
+
+LATE_AT = "(SELECT t, max(hrtime) // 1000000 - 86400000 AS mark FROM ev, (SELECT (min(hrtime) + max(hrtime)) // 2 AS t FROM ev) WHERE hrtime > t AND cpu < 2 GROUP BY t)"
+
+
+@query("z7_late_rows", f"WITH {EV} SELECT hostname, hrtime // {DAY} AS day, {TASK_EVENT} AS event, count(*) AS n, min(mark - hrtime // 1000000) AS least_behind_ms, max(mark - hrtime // 1000000) AS most_behind_ms FROM ev, {LATE_AT} WHERE hrtime <= t AND hrtime // 1000000 < mark GROUP BY 1, 2, 3")
+def z7(spark, sf):
+    """The later half of the events arrives first, in two batches: of the other half, what is more than a day behind the first is late, and kept aside."""
+    from .streaming import late
+    from .streaming.drive import folder
+
+    trace = ad.task_trace(spark, sf)
+    t0, t1 = trace.agg(F.min("hrtime"), F.max("hrtime")).first()
+    half = ((t0 or 0) + (t1 or 0)) // 2
+    later = trace.where(F.col("hrtime") > half)
+    stream = arriving(spark, sf, [later.where("cpu < 2"), later.where("cpu >= 2"), trace.where(F.col("hrtime") <= half)], "1 day")
+    out = folder(spark, "late")
+    late.late_split(stream, folder(spark, "late-state"), out, once=True).awaitTermination()
+    rows = spark.read.schema(late.LATE).parquet(f"{out}/batch=*")
+    return rows.groupBy("hostname", F.expr(f"hrtime div {DAY}").alias("day"), "event").agg(F.count("*").alias("n"), F.min("behind_ms").alias("least_behind_ms"), F.max("behind_ms").alias("most_behind_ms"))
+
+
+@query("z7_lost_events", f"""WITH {EV}, s AS (SELECT hostname, cpu, hrtime, cpu_seqno, row_number() OVER (PARTITION BY hostname, cpu ORDER BY cpu_seqno) AS seqno FROM ev),
+k AS (SELECT *, lag(seqno) OVER w AS p, lag(hrtime) OVER w AS start FROM s WHERE cpu_seqno % 7 > 1 WINDOW w AS (PARTITION BY hostname, cpu ORDER BY seqno))
+SELECT hostname, cpu, start, hrtime AS "end", hrtime - start AS gap_ns, seqno - p - 1 AS events_lost FROM k WHERE seqno > p + 1""")
+def z7_lost(spark, sf):
+    """Events are numbered for each CPU, and two of seven are lost."""
+    from pyspark.sql.window import Window
+
+    from .streaming import drive, late
+
+    numbered = ad.task_trace(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("hostname", "cpu").orderBy("cpu_seqno")).cast("long"))
+    trace = numbered.where("cpu_seqno % 7 > 1").withColumn("cpu_seqno", F.col("n")).drop("n")
+    return drive.drained(late.stream_lost(stream_of(spark, sf, trace))).select("hostname", "cpu", "start", "end", "gap_ns", "events_lost")
+
+
+query("z4_stream_states", stretch_sql(2) + "SELECT hostname, pid, state, CAST(sum(ns) AS BIGINT) AS ns FROM stretch WHERE state IN ('RUNNING', 'RUNQ', 'SWTCH') GROUP BY 1, 2, 3")(z4)
+
+
+@query("z4_states_by_day", STRETCH + "SELECT hostname, pid, day, state, coalesce(label, -1) AS label, n, ns FROM stretch WHERE state IN ('RUNNING', 'RUNQ', 'SWTCH')")
+def z4_days(spark, sf):
+    return stretches_of(spark, sf).select("hostname", F.col("id").alias("pid"), day_of("start"), "state", F.coalesce("label", F.lit(-1)).alias("label"), "n", "ns").where(F.col("day") < last_of(spark, sf) // DAY)
+
+
+# All views of a window from one stream; SQL states each from the tables that the batch queries have.
+MEASURED = {
+    "task": (STRETCH, f"SELECT day, hostname, 'task' AS view, NULL AS entity, CAST(pid AS VARCHAR) AS key, n, ns, 0 AS bytes, 0 AS errs FROM stretch WHERE state = 'RUNNING'"),
+    "container": (STRETCH, """SELECT day, s.hostname, 'container', NULL, coalesce(c_mktsegment, 'system'), sum(n), sum(ns), 0, 0 FROM stretch s
+      LEFT JOIN customer ON c_custkey % 5 = 0 AND s.pid = c_custkey AND s.hostname = 'h' || (c_custkey % 2) WHERE state = 'RUNNING' GROUP BY 1, 2, 5"""),
+    "wait": (STRETCH, "SELECT day, hostname, 'wait', NULL, CAST(label AS VARCHAR), sum(n), sum(ns), 0, 0 FROM stretch WHERE label IS NOT NULL GROUP BY 1, 2, 5"),
+    "task.wait": (STRETCH, "SELECT day, hostname, 'task.wait', CAST(pid AS VARCHAR), CAST(label AS VARCHAR), n, ns, 0, 0 FROM stretch WHERE label IS NOT NULL"),
+    "cpu": (STRETCH, f"""SELECT day, hostname, 'cpu', NULL, CAST(cpu AS VARCHAR), sum(n), sum(ns), 0, 0 FROM (
+        SELECT hostname, cpu, day, least(e, (day + 1) * {DAY}) - greatest(hrtime, day * {DAY}) AS ns, 0 AS n
+        FROM (SELECT *, unnest(range(hrtime // {DAY}, (e - 1) // {DAY} + 1)) AS day FROM (
+          SELECT hostname, cpu, hrtime, event_type = 'view' AND usr <> 0 AS busy, coalesce(lead(hrtime) OVER (PARTITION BY hostname, cpu ORDER BY hrtime, cpu_seqno), (SELECT d * {DAY} FROM last)) AS e
+          FROM ev WHERE event_type IN ('click', 'view')) WHERE busy AND e > hrtime)
+        UNION ALL SELECT hostname, cpu, hrtime // {DAY}, 0, 1 FROM ev WHERE event_type = 'view' AND usr <> 0) GROUP BY 1, 2, 5"""),
+    "syscall": (CALLS, f"SELECT exit // {DAY} AS day, hostname, 'syscall', NULL, CAST(syscallno AS VARCHAR), count(*), sum(elapsed), sum(bytes), sum(err) FROM calls2 GROUP BY 1, 2, 5"),
+    "task.syscall": (CALLS, f"SELECT exit // {DAY} AS day, hostname, 'task.syscall', CAST(pid AS VARCHAR), CAST(syscallno AS VARCHAR), count(*), sum(elapsed), sum(bytes), sum(err) FROM calls2 GROUP BY 1, 2, 4, 5"),
+    "file": (CALLS, f"SELECT exit // {DAY} AS day, hostname, 'file', NULL, (k % 3) || ':' || k, count(*), sum(elapsed), sum(bytes), sum(err) FROM calls2 GROUP BY 1, 2, 5"),
+    "task.file": (CALLS, f"SELECT exit // {DAY} AS day, hostname, 'task.file', CAST(pid AS VARCHAR), (k % 3) || ':' || k, count(*), sum(elapsed), sum(bytes), sum(err) FROM calls2 GROUP BY 1, 2, 4, 5"),
+    "net": (CALLS, f"SELECT exit // {DAY} AS day, hostname, 'net', NULL, '10.0.0.' || (pid % 3) || '>10.0.1.' || (k % 5), count(*), sum(elapsed), sum(bytes), sum(err) FROM calls2 GROUP BY 1, 2, 5"),
+    "irq": (IRQ, f"""SELECT "end" // {DAY} AS day, hostname, 'irq', NULL, kind || ':' || irq, count(*), sum(time), 0, 0 FROM pairs GROUP BY 1, 2, 5"""),
+    "profile": (f"WITH {EV} ", f"SELECT hrtime // {DAY} AS day, hostname, 'profile', NULL, CAST(k * 16 + 3 AS VARCHAR), count(*), 0, 0, 0 FROM ev WHERE event_type <> 'view' AND usr > 0 GROUP BY 1, 2, 5"),
+    "disk": (REQS, f"SELECT complete_ts // {DAY} AS day, hostname, 'disk', NULL, CAST(dev AS VARCHAR), count(*), sum(svtm), sum(nr_sectors) * 512, 0 FROM rq GROUP BY 1, 2, 5"),
+    "futex": (FUT, f"SELECT exit // {DAY} AS day, hostname, 'futex', NULL, CAST(addr AS VARCHAR), count(*), sum(elapsed), 0, count(*) FILTER (WHERE ret < 0) FROM c GROUP BY 1, 2, 5"),
+}
+
+
+def measured_sql(views):
+    parts = " UNION ALL ".join(f"SELECT * FROM ({with_}\n{select})" for with_, select in (MEASURED[v] for v in views))
+    return f"""WITH m(day, hostname, view, entity, key, n, ns, bytes, errs) AS ({parts})
+SELECT day, hostname, view, entity, key, CAST(n AS BIGINT) AS n, CAST(ns AS BIGINT) AS ns, CAST(bytes AS BIGINT) AS bytes, CAST(errs AS BIGINT) AS errs
+FROM m WHERE day < (SELECT epoch_us(max(ts)) * 1000 // {DAY} FROM events)
+QUALIFY row_number() OVER (PARTITION BY day, hostname, view, entity ORDER BY ns DESC, n DESC, key) <= 3"""
+
+
+def viewed(spark, sf, trace):
+    """The first three of each view, host and day, through the sink; the last day is not over."""
+    from .streaming import views
+    from .streaming.drive import folder
+
+    boxes = ad.table(spark, sf, "customer").where("c_custkey % 5 = 0").select(F.expr("concat('h', c_custkey % 2)").alias("hostname"), F.col("c_custkey").alias("pid"), F.col("c_mktsegment").alias("name"))
+    last, out = last_of(spark, sf), folder(spark, "views")
+    views.start(views.measures(stream_of(spark, sf, closed(trace, last + 62 * DAY)), DAY, boxes, 1 << 40), out, folder(spark, "views-state"), 3, DAY, once=True).awaitTermination()
+    return views.written(spark, out).select(day_of("start"), "hostname", "view", "entity", "key", "n", "ns", "bytes", "errs").where(F.col("day") < last // DAY)
+
+
+@query("z5_live_views", measured_sql([v for v in MEASURED if v not in ("disk", "futex")]))
+def z5_views(spark, sf):
+    return viewed(spark, sf, ad.task_trace(spark, sf).unionByName(ad.profile_trace(spark, sf)).unionByName(ad.cpu_trace(spark, sf)))
+
+
+@query("z5_live_disks", measured_sql(["disk"]))
+def z5_disks(spark, sf):
+    return viewed(spark, sf, ad.block_trace(spark, sf).unionByName(ad.task_trace(spark, sf).where("event = 'sys_enter'"))).where("view = 'disk'")
+
+
+@query("z5_live_futexes", measured_sql(["futex"]))
+def z5_futexes(spark, sf):
+    return viewed(spark, sf, ad.futex_trace(spark, sf)).where("view = 'futex'")

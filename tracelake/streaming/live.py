@@ -14,11 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import topn
+from ..operators.power import ENTRY, EXIT
+from ..operators.syscalls import is_err, moved_bytes
 from ..schema import TRACE
+from .drive import folder
 
 EVERY = "5 seconds"
 
 
+def names_of(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 def stream_trace(spark: SparkSession, path: str, delay: str = "2 seconds", files_per_trigger: int | None = None) -> DataFrame:
     """A directory of trace files as a stream with a watermark; late rows are dropped and counted by Spark (numRowsDroppedByWatermark)."""
     reader = spark.readStream.schema(TRACE)
@@ -31,12 +38,18 @@ def with_event_time(df: DataFrame, delay: str = "2 seconds") -> DataFrame:
     return df.withColumn("event_time", F.timestamp_micros(F.expr("hrtime div 1000"))).withWatermark("event_time", delay)
 
 
+def chosen(stream: DataFrame, test) -> DataFrame:
+    """Rows of a stream for which ``test`` holds. The test stays above the watermark, so that all events move it and not only those that are chosen."""
+    test = F.expr(test) if isinstance(test, str) else test
+    return stream.where(F.when(F.col("event_time").isNotNull(), test))
+
+
 def live_stats(stream: DataFrame, every: str = EVERY, by: tuple[str, ...] = ("hostname", "event")) -> DataFrame:
     """Events of each kind in each window; every window starts from nothing."""
     return stream.groupBy(F.window("event_time", every), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *by, "n")
 
 
-CALLS = "hostname string, pid long, syscallno int, enter long, exit long, elapsed long, ret long"
+CALLS = "hostname string, pid long, syscallno int, enter long, exit long, elapsed long, ret long, arg0 long, dev long, inode long, laddr string, raddr string, exit_time timestamp"
 
 
 class PairSyscalls(StatefulProcessor):
@@ -47,17 +60,19 @@ class PairSyscalls(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "syscallno int, enter long")
+        self.open = handle.getValueState("open", "syscallno int, enter long, arg0 long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["hrtime", "cpu", "cpu_seqno"])
         held = self.open.get() if self.open.exists() else None
         out = []
+        whole = lambda x: None if pd.isna(x) else int(x)
         for r in pdf.itertuples():
             if r.event == "sys_enter":
-                held = (int(r.syscallno), int(r.hrtime))
+                held = (int(r.syscallno), int(r.hrtime), whole(r.arg0))
             elif held is not None and int(r.syscallno) in (held[0], -1):
-                out.append((key[0], int(key[1]), held[0], held[1], int(r.hrtime), int(r.hrtime) - held[1], None if pd.isna(r.ret) else int(r.ret)))
+                end = int(r.hrtime)
+                out.append((key[0], int(key[1]), held[0], held[1], end, end - held[1], whole(r.ret), held[2], whole(r.dev), whole(r.inode), r.laddr, r.raddr, pd.Timestamp(end // 1000, unit="us")))
                 held = None
         if held is None:
             self.open.clear()
@@ -65,7 +80,7 @@ class PairSyscalls(StatefulProcessor):
             self.open.update(held)
             self.handle.registerTimer(held[1] // 1_000_000 + self.keep_ms)
         if out:
-            yield pd.DataFrame(out, columns=["hostname", "pid", "syscallno", "enter", "exit", "elapsed", "ret"])
+            yield pd.DataFrame(out, columns=names_of(CALLS)).astype({c: "Int64" for c in ("ret", "arg0", "dev", "inode")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.open.exists() and self.open.get()[1] // 1_000_000 + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
@@ -78,50 +93,76 @@ class PairSyscalls(StatefulProcessor):
 
 def stream_pair_syscalls(stream: DataFrame, keep_ms: int = 600_000) -> DataFrame:
     """Paired calls as they complete; a call that stays open for ``keep_ms`` of event time is given up."""
-    rows = stream.where("event in ('sys_enter', 'sys_exit')").select("hostname", "pid", "hrtime", "cpu", "cpu_seqno", "event", "event_time", F.col("sys.syscallno").alias("syscallno"), F.col("sys.ret").alias("ret"))
-    return rows.groupBy("hostname", "pid").transformWithStateInPandas(PairSyscalls(keep_ms), CALLS, "Append", "EventTime")
+    rows = chosen(stream, "event in ('sys_enter', 'sys_exit')").select(
+        "hostname", "pid", "hrtime", "cpu", "cpu_seqno", "event", "event_time", "sys.syscallno", "sys.ret", F.get("sys.args", F.lit(0)).alias("arg0"), "sys.dev", "sys.inode", "sys.laddr", "sys.raddr",
+    )
+    return rows.groupBy("hostname", "pid").transformWithStateInPandas(PairSyscalls(keep_ms), CALLS, "Append", "EventTime", eventTimeColumnName="exit_time")
+
+
+REQUESTS = "hostname string, dev long, sector long, insert_ts long, issue_ts long, complete_ts long, qtm long, svtm long, sectors long, complete_time timestamp"
 
 
-REQUESTS = "hostname string, dev long, sector long, insert_ts long, issue_ts long, complete_ts long, qtm long, svtm long"
+#: Blocks of a device are dealt into so many keys: a device is no single task, and a key has many blocks.
+DEALT = 64
 
 
 class PairBlock(StatefulProcessor):
-    """State of a block of a device: times of insert and issue of its open request."""
+    """State of a share of a device's blocks: times of insert and issue of the open request of each, and the sizes that they told."""
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "ins long, iss long")
+        self.open = handle.getMapState("open", "sector long", "ins long, iss long, inserted long, issued long, last long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows))
-        pdf["step"] = pdf["event"].map({"block_rq_insert": 0, "block_rq_issue": 1}).fillna(2)
-        ins, iss = self.open.get() if self.open.exists() else (None, None)
-        out, last = [], 0
-        for r in pdf.sort_values(["hrtime", "cpu_seqno", "step"]).itertuples():
-            last = int(r.hrtime)
-            if r.event == "block_rq_insert":
-                ins = last
-            elif r.event == "block_rq_issue":
-                iss = last
+        pdf["step"] = pdf["event"].map({"block_rq_insert": 0, "block_rq_issue": 1}).fillna(2).astype(int)
+        pdf = pdf.sort_values(["sector", "hrtime", "cpu_seqno", "step"])
+        known = self.open.exists()
+        out, least, sector, held, was = [], None, None, None, False
+
+        def leave() -> None:
+            nonlocal least
+            if held is not None:
+                self.open.updateValue((sector,), held)
+                least = held[-1] if least is None else min(least, held[-1])
+            elif was:
+                self.open.removeKey((sector,))
+
+        completes = pdf["event"].eq("block_rq_complete").tolist()
+        sizes = [None if pd.isna(x) else int(x) for x in pdf["sectors"]]
+        for s, t, step, complete, size in zip(pdf["sector"].tolist(), pdf["hrtime"].tolist(), pdf["step"].tolist(), completes, sizes, strict=True):
+            if s != sector:
+                leave()
+                sector, was = s, known and self.open.containsKey((s,))
+                held = tuple(self.open.getValue((s,))) if was else None
+            ins, iss, inserted, issued, _ = held or (None,) * 5
+            if step == 0:
+                held = (t, iss, size, issued, t)
+            elif step == 1:
+                held = (ins, t, inserted, size, t)
             else:
-                if r.event == "block_rq_complete" and (ins is not None or iss is not None):
+                if complete and held:
                     i = iss if ins is None else ins
-                    out.append((key[0], int(key[1]), int(key[2]), i, iss, last, iss - i if iss is not None and i <= iss else None, last - (i if iss is None else iss)))
-                ins = iss = None
-        if ins is None and iss is None:
-            self.open.clear()
-        else:
-            self.open.update((ins, iss))
-            self.handle.registerTimer(last // 1_000_000 + self.keep_ms)
+                    out.append((key[0], int(key[1]), s, i, iss, t, iss - i if iss is not None and i <= iss else None, t - (i if iss is None else iss), next((x for x in (issued, size, inserted) if x is not None), None), pd.Timestamp(t // 1000, unit="us")))
+                held = None
+        leave()
+        if least is not None:
+            self.handle.registerTimer(least // 1_000_000 + self.keep_ms)
         if out:
-            yield pd.DataFrame(out, columns=["hostname", "dev", "sector", "insert_ts", "issue_ts", "complete_ts", "qtm", "svtm"]).astype({c: "Int64" for c in ("issue_ts", "qtm")})
+            yield pd.DataFrame(out, columns=names_of(REQUESTS)).astype({c: "Int64" for c in ("issue_ts", "qtm", "sectors")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists() and max(x for x in self.open.get() if x is not None) // 1_000_000 + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.open.clear()
+        now, least = expiredTimerInfo.getExpiryTimeInMs(), None
+        for (s,), held in list(self.open.iterator()):
+            if held[-1] // 1_000_000 + self.keep_ms <= now:
+                self.open.removeKey((s,))
+            else:
+                least = held[-1] if least is None else min(least, held[-1])
+        if least is not None:
+            self.handle.registerTimer(least // 1_000_000 + self.keep_ms)
         return iter([])
 
     def close(self) -> None:
@@ -129,74 +170,168 @@ class PairBlock(StatefulProcessor):
 
 
 def stream_pair_block(stream: DataFrame, keep_ms: int = 600_000) -> DataFrame:
-    rows = stream.where("event in ('block_rq_insert', 'block_rq_issue', 'block_rq_complete', 'block_rq_abort')").select("hostname", F.col("blk.dev").alias("dev"), F.col("blk.sector").alias("sector"), "hrtime", "cpu_seqno", "event", "event_time")
-    return rows.groupBy("hostname", "dev", "sector").transformWithStateInPandas(PairBlock(keep_ms), REQUESTS, "Append", "EventTime")
+    """Requests as they complete; one that stays open for ``keep_ms`` of event time after its last event is given up."""
+    rows = chosen(stream, "event in ('block_rq_insert', 'block_rq_issue', 'block_rq_complete', 'block_rq_abort')").select(
+        "hostname", "blk.dev", F.pmod(F.xxhash64("blk.sector"), F.lit(DEALT)).cast("int").alias("share"), "blk.sector", "hrtime", "cpu_seqno", "event", "event_time", F.col("blk.nr_sectors").alias("sectors"),
+    )
+    return rows.groupBy("hostname", "dev", "share").transformWithStateInPandas(PairBlock(keep_ms), REQUESTS, "Append", "EventTime", eventTimeColumnName="complete_time")
+
+
+IRQS = "hostname string, cpu int, kind string, irq int, name string, start long, end long, time long, end_time timestamp"
+
+
+class PairIrq(StatefulProcessor):
+    """State of a CPU: of each kind of interrupt the last event, and the time of hard interrupts so far and at the last soft one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        kind = "{0}_entry boolean, {0}_t long, {0}_irq int, {0}_name string"
+        self.seen = handle.getValueState("seen", f"{kind.format('hard')}, {kind.format('soft')}, hard_ns long, hard_before long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["hrtime", "cpu_seqno"])
+        held = list(self.seen.get()) if self.seen.exists() else [None] * 8 + [0, 0]
+        last = {"hard": held[:4], "soft": held[4:8]}
+        hard, before, out = held[8], held[9], []
+        for r in pdf.itertuples():
+            entry, t, irq, name = last[r.kind]
+            now = int(r.hrtime)
+            if not r.entry and entry:
+                if r.kind == "hard":
+                    hard += now - t
+                out.append((key[0], int(key[1]), r.kind, irq, name, t, now, now - t - (hard - before if r.kind == "soft" else 0), pd.Timestamp(now // 1000, unit="us")))
+            if r.kind == "soft":
+                before = hard
+            last[r.kind] = [bool(r.entry), now, None if pd.isna(r.irq) else int(r.irq), r.name]
+        self.seen.update((*last["hard"], *last["soft"], hard, before))
+        if out:
+            yield pd.DataFrame(out, columns=names_of(IRQS)).astype({"irq": "Int32"})
 
+    def close(self) -> None:
+        pass
+
+
+def stream_pair_irq(stream: DataFrame) -> DataFrame:
+    """Paired interrupts as they end, with the rules of the batch operator."""
+    kind = F.when(F.col("event").isin("irq_handler_entry", "irq_handler_exit"), "hard").otherwise("soft")
+    rows = chosen(stream, F.col("event").isin(ENTRY + EXIT)).select("hostname", "cpu", "hrtime", "cpu_seqno", "event_time", kind.alias("kind"), F.col("event").isin(ENTRY).alias("entry"), "irq.irq", F.col("irq.name").alias("name"))
+    return rows.groupBy("hostname", "cpu").transformWithStateInPandas(PairIrq(), IRQS, "Append", "EventTime", eventTimeColumnName="end_time")
+
+
+STRETCHES = "hostname string, id long, start timestamp, state string, label long, n long, ns long, closed timestamp"
+#: States whose time counts.
+TIMED = ("RUNNING", "RUNQ", "SWTCH", "IDLE")
 
-STATES = "hostname string, pid long, start timestamp, state string, ns long"
 
+class Stretches(StatefulProcessor):
+    """State of a task (or CPU): what it does, since when, and the times of its windows that are still open.
 
-class TaskStates(StatefulProcessor):
-    """State of a task: what it does and since when. Time is charged to windows; an open interval is split at every window's end."""
+    An open stretch is split at the end of every window; when the watermark passes that end, the sums of the window are final and leave, so a window
+    is emitted once. The stretch itself lives on.
+    """
 
     def __init__(self, every_ns: int):
         self.every = every_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "state string, since long")
-
-    def _charge(self, out: dict, state: str, start: int, end: int) -> None:
-        while start < end:
-            stop = min(end, (start // self.every + 1) * self.every)
-            k = (start // self.every * self.every, state)
-            out[k] = out.get(k, 0) + stop - start
-            start = stop
-
-    def _rows(self, key, out: dict) -> Iterator[pd.DataFrame]:
-        if out:
-            yield pd.DataFrame([(key[0], int(key[1]), pd.Timestamp(t, unit="ns"), s, n) for (t, s), n in sorted(out.items())], columns=["hostname", "pid", "start", "state", "ns"])
-
-    def _keep(self, state: str, since: int) -> None:
-        self.now.update((state, since))
-        self.handle.registerTimer((since // self.every + 1) * self.every // 1_000_000)
+        self.now = handle.getValueState("now", "state string, label long, since long, starts array<bigint>, states array<string>, labels array<bigint>, counts array<bigint>, times array<bigint>")
+
+    def _load(self) -> tuple:
+        if not self.now.exists():
+            return None, None, None, {}
+        state, label, since, *sums = self.now.get()
+        return state, label, since, {(w, s, k): [n, t] for w, s, k, n, t in zip(*sums, strict=True)}
+
+    def _save(self, state, label, since, sums: dict) -> None:
+        self.now.update((state, label, since, *(list(x) for x in zip(*((*k, *v) for k, v in sums.items()), strict=True)), *([[]] * 5 if not sums else [])))
+        ends = [w + self.every for w, _, _ in sums]
+        if state in TIMED:
+            ends.append((since // self.every + 1) * self.every)
+        if ends:
+            self.handle.registerTimer(min(ends) // 1_000_000)
+
+    def _charge(self, sums: dict, state, label, start: int, end: int, first: bool = True) -> None:
+        if state in TIMED:
+            if first:
+                sums.setdefault((start // self.every * self.every, state, label), [0, 0])[0] += 1
+            while start < end:
+                stop = min(end, (start // self.every + 1) * self.every)
+                sums.setdefault((start // self.every * self.every, state, label), [0, 0])[1] += stop - start
+                start = stop
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["hrtime", "cpu", "cpu_seqno"])
-        state, since = self.now.get() if self.now.exists() else ("N", None)
-        out: dict = {}
+        state, label, since, sums = self._load()
         for r in pdf.itertuples():
             t = int(r.hrtime)
-            if r.kind == "wake" and state == "RUNNING":
+            if isinstance(r.unless, str) and r.unless == state:
                 continue
-            if state != "N" and since is not None:
-                self._charge(out, state, since, max(t, since))
-            state = "RUNNING" if r.kind in ("in", "enter", "exit") else "RUNQ" if r.kind == "wake" or r.asleep == "Q" else "ZOMBIE" if r.asleep == "Z" else "SWTCH"
-            since = t
-        if since is not None:
-            self._keep(state, since)
-        yield from self._rows(key, out)
+            if since is not None:
+                self._charge(sums, state, label, since, max(t, since), False)
+            state, label, since = r.state, None if pd.isna(r.label) else int(r.label), t
+            self._charge(sums, state, label, t, t)
+        self._save(state, label, since, sums)
+        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out: dict = {}
-        if self.now.exists():
-            state, since = self.now.get()
-            end = expiredTimerInfo.getExpiryTimeInMs() * 1_000_000
-            if state not in ("N", "ZOMBIE") and since < end:
-                self._charge(out, state, since, end)
-                self._keep(state, end)
-        yield from self._rows(key, out)
+        state, label, since, sums = self._load()
+        passed = timerValues.getCurrentWatermarkInMs() * 1_000_000 // self.every * self.every
+        if state in TIMED and since < passed:
+            self._charge(sums, state, label, since, passed, False)
+            since = passed
+        done = sorted((k for k in sums if k[0] + self.every <= passed), key=str)
+        out = [(key[0], int(key[1]), pd.Timestamp(w, unit="ns"), s, k, *sums.pop((w, s, k)), pd.Timestamp((w + self.every) // 1_000_000 - 1, unit="ms")) for w, s, k in done]
+        self._save(state, label, since, sums)
+        if out:
+            yield pd.DataFrame(out, columns=names_of(STRETCHES)).astype({"label": "Int64"})
 
     def close(self) -> None:
         pass
 
 
+def stretches(points: DataFrame, every_ns: int) -> DataFrame:
+    """hostname, id, start, state, label, n, ns: how often and how long an id is in each state, window by window. ``points`` set a state, unless it is ``unless``."""
+    if every_ns % 1_000_000:
+        raise ValueError("windows are whole milliseconds")
+    rows = points.select("hostname", "id", "hrtime", "cpu", "cpu_seqno", "state", "unless", "label", "event_time")
+    return rows.groupBy("hostname", "id").transformWithStateInPandas(Stretches(every_ns), STRETCHES, "Append", "EventTime", eventTimeColumnName="closed")
+
+
 def stream_task_states(stream: DataFrame, every_ns: int = 5_000_000_000) -> DataFrame:
-    """Time of each task in each state and window, in parts: sum them by (hostname, pid, start, state)."""
+    """Stretches of tasks, as in batch: id is the pid, label the function that a sleeping task waits in. A window leaves once, when the watermark passes its end."""
     from ..operators.states import task_points
 
-    points = task_points(stream).where("kind in ('in', 'out', 'wake', 'enter', 'exit')")
-    return points.select("hostname", "pid", "hrtime", "cpu", "cpu_seqno", "kind", "asleep", "event_time").groupBy("hostname", "pid").transformWithStateInPandas(TaskStates(every_ns), STATES, "Append", "EventTime")
+    points = chosen(task_points(stream), "kind in ('in', 'out', 'wake', 'enter', 'exit')")
+    state = F.when(F.col("kind") == "wake", "RUNQ").when(F.col("kind") != "out", "RUNNING").when(F.col("asleep") == "Q", "RUNQ").when(F.col("asleep") == "Z", "ZOMBIE").otherwise("SWTCH")
+    return stretches(points.select(
+        "hostname", F.col("pid").alias("id"), "hrtime", "cpu", "cpu_seqno", state.alias("state"), F.when(F.col("kind") == "wake", "RUNNING").alias("unless"),
+        F.when(state == "SWTCH", F.get("ips", F.lit(0))).alias("label"), "event_time",
+    ), every_ns)
+
+
+def stream_cpu_states(stream: DataFrame, every_ns: int = 5_000_000_000) -> DataFrame:
+    """Stretches of CPUs: id is the CPU, RUNNING while it has a task, IDLE while it has none."""
+    state = F.when(F.col("sw.next_pid") == 0, "IDLE").otherwise("RUNNING")
+    rows = chosen(stream, "event = 'sched_switch'").select("hostname", F.col("cpu").cast("long").alias("id"), "hrtime", "cpu", "cpu_seqno", state.alias("state"), F.lit(None).cast("string").alias("unless"), F.lit(None).cast("long").alias("label"), "event_time")
+    return stretches(rows, every_ns)
+
+
+def live_calls(stream: DataFrame, every: str = EVERY, keep_ms: int = 600_000) -> DataFrame:
+    """Calls of each window in which they end: count, time, longest, errors and bytes. Pairing comes first and keeps its open calls when a window is done."""
+    calls = stream_pair_syscalls(stream, keep_ms).withColumnRenamed("exit_time", "event_time")
+    out = calls.groupBy(F.window("event_time", every), "hostname", "syscallno").agg(
+        F.count("*").alias("n"), F.sum("elapsed").alias("ns"), F.max("elapsed").alias("max_ns"), F.count_if(is_err(F.col("ret"))).alias("errs"), F.sum(moved_bytes()).alias("bytes"),
+    )
+    return out.select(F.col("window.start").alias("start"), "hostname", "syscallno", "n", "ns", "max_ns", "errs", "bytes")
+
+
+def live_busy(stream: DataFrame, every_ns: int = 5_000_000_000) -> DataFrame:
+    """Run, queue and sleep time of each host's tasks in each window, and how many ran. Stretches come first and live on when a window is done."""
+    every = f"{every_ns // 1_000_000} milliseconds"
+    tasks = stream_task_states(stream, every_ns).withColumnRenamed("closed", "event_time")
+    ns = lambda x: F.sum(F.when(F.col("state") == x, F.col("ns")).otherwise(0)).alias({"RUNNING": "run_ns", "RUNQ": "runq_ns", "SWTCH": "sleep_ns"}[x])
+    out = tasks.groupBy(F.window("event_time", every), "hostname").agg(ns("RUNNING"), ns("RUNQ"), ns("SWTCH"), F.count_if((F.col("state") == "RUNNING") & (F.col("ns") > 0)).alias("ran"))
+    return out.select(F.col("window.start").alias("start"), "hostname", "run_ns", "runq_ns", "sleep_ns", "ran")
 
 
 #: What each live view counts: rows of which events, by which key.
@@ -215,8 +350,12 @@ def view_rows(df: DataFrame, view: str, entity: dict | None = None) -> DataFrame
     return out
 
 
-def live_top(stream: DataFrame, view: str, n: int, sink: Callable[[DataFrame, int], None], every: str = EVERY, entity: dict | None = None):
-    """Start a query that hands ``sink`` the first n rows of each window of a view, batch by batch."""
+def live_top(stream: DataFrame, view: str, n: int, sink: Callable[[DataFrame, int], None], every: str = EVERY, entity: dict | None = None, checkpoint: str | None = None):
+    """Start a query that hands ``sink`` the first n rows of each window of a view, batch by batch, with the batch's number: a batch that runs again must replace what it wrote.
+
+    ``checkpoint`` is where a restart goes on from; by default a new folder in the shared one.
+    """
+    checkpoint = checkpoint or folder(stream.sparkSession, "live-top-state")
     keys = list(VIEWS[view][1])
     counts = view_rows(stream, view, entity).groupBy(F.window("event_time", every), "hostname", *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "hostname", *keys, "n")
-    return counts.writeStream.outputMode("append").foreachBatch(lambda df, k: sink(topn.top_n_per(df, ["start", "hostname"], "n", n, keys), k)).start()
+    return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, k: sink(topn.top_n_per(df, ["start", "hostname"], "n", n, keys), k)).start()
