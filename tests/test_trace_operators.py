@@ -285,14 +285,15 @@ def test_slices_change_nothing(spark):
 
     t = ad.block_trace(spark, "/root/testdata/sf0.001")
     io = blockio.pair_block_io(t).cache()
-    whole, hour = 1 << 62, 3_600_000_000_000
     rows = lambda d: sorted(map(str, d.collect()))
-    for width in (hour, 500 * hour):
-        assert rows(blockio.queue_len(t, slice_ns=width)) == rows(blockio.queue_len(t, slice_ns=whole))
-        assert rows(blockio.seq_random(io, slice_ns=width)) == rows(blockio.seq_random(io, slice_ns=whole))
+    for slices in (40, 2000):
+        cuts = blockio.hot_devices(t, slices)
+        assert cuts is not None
+        assert rows(blockio.queue_len(t, cuts=cuts)) == rows(blockio.queue_len(t))
+        assert rows(blockio.seq_random(io, cuts=cuts)) == rows(blockio.seq_random(io))
     near = io.withColumn("sector", F.expr("(seqno % 3) * nr_sectors")).cache()  # many that follow each other
-    got = blockio.seq_random(near, slice_ns=hour)
-    assert got.where("sequential").count() > 0 and rows(got) == rows(blockio.seq_random(near, slice_ns=whole))
+    got = blockio.seq_random(near, cuts=cuts)
+    assert got.where("sequential").count() > 0 and rows(got) == rows(blockio.seq_random(near))
 
 
 def test_pareto_bands(spark):

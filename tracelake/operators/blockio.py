@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .filters import is_barrier
+from .hot import SLICES, Scan, hot_cuts
 from .states import bucket
 
 SERVICE_EDGES_MS = [2, 5, 10, 15, 30, 50, 100, 150, 200]
@@ -67,55 +68,37 @@ def requeue_abort(df: DataFrame) -> DataFrame:
     return df.where("event in ('block_rq_requeue', 'block_rq_abort')").groupBy("hostname", F.col("blk.dev").alias("dev")).agg(F.count_if(F.col("event") == "block_rq_requeue").alias("requeues"), F.count_if(F.col("event") == "block_rq_abort").alias("aborts"))
 
 
-#: Width of the slices of time into which the events of one device are cut, so that no device is one task.
-SLICE_NS = 60_000_000_000
+def hot_devices(df: DataFrame, slices: int = SLICES) -> DataFrame | None:
+    """Cuts of the devices of a trace that are hot (see ``hot``), for the operators below."""
+    return hot_cuts(df.where("event = 'block_rq_complete'").select("hostname", F.col("blk.dev").alias("dev"), "hrtime"), ("hostname", "dev"), "hrtime", slices)
 
 
-def seq_random(io: DataFrame, key: tuple[str, ...] = ("hostname", "dev"), slice_ns: int = SLICE_NS) -> DataFrame:
-    """``sequential``: whether a request begins where the one before it, of the same key and direction, ended; in order of insert.
+def seq_random(io: DataFrame, key: tuple[str, ...] = ("hostname", "dev"), cuts: DataFrame | None = None) -> DataFrame:
+    """``sequential``: whether a request begins where the one before it, of the same key and direction, ended; in order of insert."""
+    scan = Scan((*key, "rw"), ("insert_ts", "seqno", "sector"), cuts, "insert_ts")
+    out = scan.last(scan.sliced(io), {"_before": F.struct((F.col("sector") + F.col("nr_sectors")).alias("end"))})
+    return out.select(*io.columns, F.coalesce(F.col("sector") == F.col("_before.end"), F.lit(False)).alias("sequential"))
 
-    Requests are compared within slices of time; the first one of a slice is compared with the last one of the slice before, which a row a slice carries over.
-    """
-    order = ("insert_ts", "seqno", "sector")
-    keys = [*key, "rw", "_slice"]
-    end = F.col("sector") + F.col("nr_sectors")
-    cut = io.withColumn("_slice", F.expr(f"insert_ts div {slice_ns}"))
-    last = cut.groupBy(*keys).agg(F.max_by(end, F.struct(*order)).alias("_end"))
-    names = [f"_k{i}" for i in range(len(keys))]
-    carried = last.withColumn("_end", F.lag("_end").over(Window.partitionBy(*keys[:-1]).orderBy("_slice"))).toDF(*names, "_end")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = cut.withColumns({"_before": F.lag(end).over(w), "_first": F.row_number().over(w) == 1})
-    out = out.join(carried, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(keys, names, strict=True)], "left")
-    before = F.when(F.col("_first"), F.col("_end")).otherwise(F.col("_before"))
-    return out.select(*io.columns, F.coalesce(F.col("sector") == before, F.lit(False)).alias("sequential"))
-
-
-def queue_len(df: DataFrame, key: tuple[str, ...] = ("hostname", "dev"), slice_ns: int = SLICE_NS) -> DataFrame:
-    """Mean and largest queue length: one more on insert, one less on issue but never below 0, as the running sum less its running minimum.
-
-    Both run within slices of time; a row a slice carries the sum and the minimum of all slices before.
-    """
-    e = df.where("event in ('block_rq_insert', 'block_rq_issue')").select("hostname", "hrtime", "cpu_seqno", "blk.dev", "pid", "cpu", F.when(F.col("event") == "block_rq_insert", 1).otherwise(-1).alias("step"))
-    e = e.withColumn("slice", F.expr(f"hrtime div {slice_ns}"))
-    w = Window.partitionBy(*key, "slice").orderBy("hrtime", "cpu_seqno", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("s", F.sum("step").over(w)).withColumn("low", F.min("s").over(w))
-    before = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = e.groupBy(*key, "slice").agg(F.sum("step").alias("total"), F.min("s").alias("least"))
-    carried = carried.withColumn("s0", F.coalesce(F.sum("total").over(before), F.lit(0))).withColumn("low0", F.coalesce(F.min(F.col("s0") + F.col("least")).over(before), F.lit(0)))
-    e = e.join(carried.select(*key, "slice", "s0", "low0"), [*key, "slice"])
-    e = e.withColumn("len", F.col("s0") + F.col("s") - F.least(F.lit(0), F.col("low0"), F.col("s0") + F.col("low")))
+
+def queue_len(df: DataFrame, key: tuple[str, ...] = ("hostname", "dev"), cuts: DataFrame | None = None) -> DataFrame:
+    """Mean and largest queue length: one more on insert, one less on issue but never below 0, as the running sum less its running minimum."""
+    step = F.when(F.col("event") == "block_rq_insert", 1).otherwise(-1)
+    e = df.where("event in ('block_rq_insert', 'block_rq_issue')").select("hostname", "hrtime", "cpu_seqno", "blk.dev", "pid", "cpu", step.alias("step"), (-step).alias("turn"))
+    scan = Scan(key, ("hrtime", "cpu_seqno", "turn"), cuts)
+    e = scan.running(scan.running(scan.sliced(e), "s", F.col("step")), "low", F.col("s"), "min")
+    e = e.withColumn("len", F.col("s") - F.least(F.lit(0), F.col("low")))
     return e.groupBy(*key).agg(F.avg("len").alias("avque"), F.max("len").alias("maxque"), F.count("*").alias("queue_ops"))
 
 
 _IO_SUMS = ["ios", "sectors", "wait_ns", "serv_ns", "waits", "seq", "requeues", "barriers"]
 
 
-def io_stats(io: DataFrame, by: tuple[str, ...] = ("hostname", "dev"), seconds: float | None = None) -> DataFrame:
+def io_stats(io: DataFrame, by: tuple[str, ...] = ("hostname", "dev"), seconds: float | None = None, cuts: DataFrame | None = None) -> DataFrame:
     """Statistics of each key for reads (rw 0), writes (rw 1) and both (rw null): counts, KB, mean and longest wait and service in ms, sequential and random.
 
-    The service time must be above 0 to count. ``seconds`` adds rates.
+    The service time must be above 0 to count. ``seconds`` adds rates; ``cuts`` are those of ``hot_devices``.
     """
-    io = io if "sequential" in io.columns else seq_random(io)
+    io = io if "sequential" in io.columns else seq_random(io, cuts=cuts)
     use = io.where("rw <= 1 and svtm > 0")
     g = use.rollup(*by, "rw") if len(by) == 0 else use.withColumn("rws", F.array(F.col("rw"), F.lit(None).cast("int"))).withColumn("rw", F.explode("rws")).groupBy(*by, "rw")
     out = g.agg(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .filters import bounds
+from .hot import SLICES, Scan, hot_cuts
 
 #: Bits of a previous state that say that the task ends (fixed values).
 EXIT_BITS = 0x10 | 0x20 | 0x40
@@ -54,43 +55,53 @@ def task_points(df: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     return points.unionByName(hit.select("hostname", "hrtime", "cpu", F.lit(-1).cast("long").alias("cpu_seqno"), "pid", F.lit("gap").alias("kind")), allowMissingColumns=True)
 
 
-def task_state_intervals(df: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+def hot_tasks(df: DataFrame, slices: int = SLICES) -> DataFrame | None:
+    """Cuts of the tasks that are hot (see ``hot``), for intervals, latencies and calls."""
+    return hot_cuts(task_points(df).select("hostname", "pid", "hrtime"), ("hostname", "pid"), "hrtime", slices)
+
+
+def task_state_intervals(df: DataFrame, gaps: DataFrame | None = None, cuts: DataFrame | None = None) -> DataFrame:
     """hostname, pid, cpu, state, mode, start, end, ns, ended_by, waker, scall, ips, seqno of each interval.
 
     state is N (before anything is known, or after a gap), RUNNING, RUNQ, SWTCH or ZOMBIE. mode is SYS, USER, HARDIRQ,
     SOFTIRQ or null. ns is 0 where nothing is charged: N, ZOMBIE, and RUNNING or RUNQ intervals that a gap ends.
     """
     keys = ["hostname", "pid"]
-    w = Window.partitionBy(*keys).orderBy("hrtime", "cpu", "cpu_seqno")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    scan = Scan(keys, ("hrtime", "cpu", "cpu_seqno"), cuts)
+    place = F.struct("hrtime", "cpu", "cpu_seqno")
     kind = F.col("kind")
     runs = kind.isin("in", "enter", "exit", "sample")
 
     # Wakeups of a task that runs are no events.
-    p = task_points(df, gaps).withColumn("running", F.last(F.when(runs, 1).when(kind.isin("out", "gap"), 0), True).over(before))
+    p = scan.last(scan.sliced(task_points(df, gaps)), {"running": F.when(runs, 1).when(kind.isin("out", "gap"), 0)})
     p = p.where("not (kind = 'wake' and coalesce(running, 0) = 1)")
     # Base state before each row: what was set last, unknown if a gap came since while running or queued.
     setter = F.when(runs, "R").when(kind == "out", F.col("asleep")).when(kind == "wake", "Q")
-    p = p.withColumn("setter", F.when(kind == "sample", None).otherwise(setter)).withColumn("n", F.row_number().over(w))
-    p = p.withColumn("set", F.last(F.when(setter.isNotNull(), F.struct("n", setter.alias("base"))), True).over(before)).withColumn("gap_at", F.last(F.when(kind == "gap", F.col("n")), True).over(before))
+    p = p.withColumn("setter", F.when(kind == "sample", None).otherwise(setter))
+    p = scan.last(p, {"set": F.when(setter.isNotNull(), F.struct(place.alias("n"), setter.alias("base"))), "gap_at": F.when(kind == "gap", place)})
     live = F.col("set.base").isin("R", "Q")
-    p = p.withColumn("base", F.when(F.col("set").isNull() | (live & (F.coalesce("gap_at", F.lit(-1)) > F.col("set.n"))), "N").otherwise(F.col("set.base")))
-    p = p.where("not (kind = 'gap' and base not in ('R', 'Q'))").withColumn("epoch", F.sum(F.when(kind == "gap", 1).otherwise(0)).over(upto))
+    p = p.withColumn("base", F.when(F.col("set").isNull() | (live & F.coalesce(F.col("gap_at") > F.col("set.n"), F.lit(False))), "N").otherwise(F.col("set.base")))
+    p = scan.running(p.where("not (kind = 'gap' and base not in ('R', 'Q'))"), "epoch", F.when(kind == "gap", 1).otherwise(0))
     # A sample labels the open interval; it begins one only where nothing is known.
-    e = Window.partitionBy(*keys, "epoch").orderBy("hrtime", "cpu", "cpu_seqno")
-    p = p.withColumn("first_sample", F.first(F.when(kind == "sample", F.struct("hrtime", "mode")), True).over(e.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    sample = F.when(kind == "sample", F.struct("hrtime", "mode"))
+    if cuts is None:
+        e = Window.partitionBy(*keys, "epoch").orderBy("hrtime", "cpu", "cpu_seqno")
+        p = p.withColumn("first_sample", F.first(sample, True).over(e.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    else:
+        firsts = p.where(kind == "sample").groupBy(*keys, "epoch").agg(F.min_by(sample, place).alias("first_sample"))
+        p = p.join(firsts, [*keys, "epoch"], "left")
     p = p.where("not (kind = 'sample' and base <> 'N')")
-    call_mode = F.last(F.when(kind.isin("enter", "exit"), F.col("mode")), True).over(e.rowsBetween(Window.unboundedPreceding, 0))
-    irq = F.last(F.when(kind == "irq+", F.col("mode")).otherwise(F.lit("")), True).over(upto)
     state = F.when(kind.isin("irq+", "irq-"), F.when(F.col("base") == "N", "N").otherwise(F.col("base"))).when(kind == "gap", "N").otherwise(F.coalesce("setter", F.lit("R")))
+    p = scan.last(p, {
+        "call": F.when(kind.isin("enter", "exit") & F.col("mode").isNotNull(), F.struct("epoch", "mode")), "irq": F.when(kind == "irq+", F.col("mode")).otherwise(F.lit("")),
+        "open_call": F.when(kind.isin("enter", "exit"), F.col("scall")).when(kind == "gap", F.lit(-1)),
+    }, upto=True)
+    p = scan.next(scan.last(p, {"earlier": F.lit(True)}), "then", F.struct("hrtime", "kind", "waker"))
     p = p.join(F.broadcast(bounds(df)), "hostname")  # a row a host
     p = p.withColumns({
-        "end": F.lead("hrtime").over(w), "next_kind": F.lead("kind").over(w), "next_waker": F.lead("waker").over(w), "call_mode": call_mode, "irq": irq, "code": state,
-        "open_call": F.last(F.when(kind.isin("enter", "exit"), F.col("scall")).when(kind == "gap", F.lit(-1)), True).over(upto), "order": F.row_number().over(w),
-        "prev_cpu": F.lag("cpu").over(w),
+        "end": F.coalesce("then.hrtime", "t1"), "next_kind": F.col("then.kind"), "next_waker": F.col("then.waker"), "code": state, "order": F.when(F.col("earlier").isNull(), 1),
+        "call_mode": F.when(F.col("call.epoch") == F.col("epoch"), F.col("call.mode")),
     })
-    p = p.withColumn("end", F.coalesce("end", "t1"))
     first = p.where("order = 1").select(*keys, "cpu", F.lit("N").alias("state"), F.lit(None).cast("string").alias("mode"), F.col("t0").alias("start"), F.col("hrtime").alias("end"), F.lit(0).cast("long").alias("ns"),
                                         F.col("kind").alias("ended_by"), F.col("waker"), F.lit(-1).alias("scall"), F.lit(None).cast("array<bigint>").alias("ips"), F.lit(-1).cast("long").alias("seqno"))
     labelled = F.when(F.col("irq") != "", F.col("irq")).otherwise(F.coalesce("call_mode", F.when(F.col("first_sample.hrtime") <= F.col("end"), F.col("first_sample.mode"))))
@@ -169,18 +180,17 @@ def global_cpu_time(cpus: DataFrame) -> DataFrame:
     return node_cpu_time(cpus).where("ldom is null and hostname is not null").drop("ldom")
 
 
-def runq_latency(df: DataFrame, topology: DataFrame | None = None) -> DataFrame:
+def runq_latency(df: DataFrame, topology: DataFrame | None = None, cuts: DataFrame | None = None) -> DataFrame:
     """hostname, pid, cpu, ready_ts, run_ts, latency_us, migrated, node_migrated: from the wakeup or preemption that queued a task to its next switch-in."""
-    w = Window.partitionBy("hostname", "pid").orderBy("hrtime", "cpu", "cpu_seqno")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    scan = Scan(("hostname", "pid"), ("hrtime", "cpu", "cpu_seqno"), cuts)
     kind = F.col("kind")
     runs = kind.isin("in", "enter", "exit")
-    p = task_points(df).where("kind in ('in', 'out', 'wake', 'enter', 'exit')")
-    p = p.withColumn("running", F.last(F.when(runs, 1).when(kind == "out", 0), True).over(before)).where("not (kind = 'wake' and coalesce(running, 0) = 1)")
+    p = scan.sliced(task_points(df).where("kind in ('in', 'out', 'wake', 'enter', 'exit')"))
+    p = scan.last(p, {"running": F.when(runs, 1).when(kind == "out", 0)}).where("not (kind = 'wake' and coalesce(running, 0) = 1)")
     state = F.when(runs, "R").when(kind == "wake", "Q").otherwise(F.col("asleep"))
-    p = p.withColumn("state", state).withColumn("old", F.lag("state").over(w))
+    p = scan.last(p.withColumn("state", state), {"old": F.col("state")})  # never null
     p = p.withColumn("ready", F.when((F.col("state") == "Q") & (~F.col("old").eqNullSafe("Q") | F.coalesce("new", F.lit(False))), F.struct("hrtime", "cpu")))
-    p = p.withColumn("q", F.last("ready", True).over(before)).withColumn("last_cpu", F.last(F.when(kind != "wake", F.col("cpu")), True).over(before))
+    p = scan.last(p, {"q": F.col("ready"), "last_cpu": F.when(kind != "wake", F.col("cpu"))})
     out = p.where("kind = 'in' and old = 'Q'").select("hostname", "pid", "cpu", F.col("q.hrtime").alias("ready_ts"), F.col("hrtime").alias("run_ts"), F.expr("(hrtime - q.hrtime) div 1000").alias("latency_us"), "last_cpu",
                                                      F.coalesce(F.col("cpu") != F.col("last_cpu"), F.lit(False)).alias("migrated"))
     if topology is None:

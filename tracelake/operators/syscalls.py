@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .hot import Scan
+
 #: Numbers of calls that move data, by direction (fixed values, 64-bit).
 READS = {0: "read", 17: "pread64", 19: "readv", 45: "recvfrom", 47: "recvmsg", 295: "preadv"}
 WRITES = {1: "write", 18: "pwrite64", 20: "writev", 44: "sendto", 46: "sendmsg", 296: "pwritev"}
@@ -22,17 +24,16 @@ def is_err(ret):
     return ret.between(-4095, -1)
 
 
-def pair_syscalls(df: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+def pair_syscalls(df: DataFrame, gaps: DataFrame | None = None, cuts: DataFrame | None = None) -> DataFrame:
     """hostname, pid, tgid, cpu, syscallno, is32bit, enter, exit, elapsed, ret, args and what the exit tells of file and addresses.
 
     An exit closes the task's last enter if it has the same number (or -1); another one is dropped and leaves the call open; a later
-    enter replaces it. Gaps of a CPU drop the calls that are open on it.
+    enter replaces it. Gaps of a CPU drop the calls that are open on it. ``cuts`` are those of hot tasks (``states.hot_tasks``).
     """
     e = df.where("event in ('sys_enter', 'sys_exit')").select("hostname", "pid", "tgid", "cpu", "hrtime", "cpu_seqno", "event", "sys")
-    w = Window.partitionBy("hostname", "pid").orderBy("hrtime", "cpu", "cpu_seqno")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    scan = Scan(("hostname", "pid"), ("hrtime", "cpu", "cpu_seqno"), cuts)
     open_ = F.when(F.col("event") == "sys_enter", F.struct("hrtime", "cpu", "cpu_seqno", "sys"))
-    x = e.withColumn("open", F.last(open_, True).over(before)).where("event = 'sys_exit' and open is not null and (sys.syscallno = open.sys.syscallno or sys.syscallno = -1)")
+    x = scan.bare(scan.last(scan.sliced(e), {"open": open_})).where("event = 'sys_exit' and open is not null and (sys.syscallno = open.sys.syscallno or sys.syscallno = -1)")
     once = Window.partitionBy("hostname", "pid", "open.hrtime", "open.cpu", "open.cpu_seqno").orderBy("hrtime", "cpu", "cpu_seqno")
     x = x.withColumn("k", F.row_number().over(once)).where("k = 1")
     out = x.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .filters import bounds
+from .hot import Scan
 
 
 def split_at(intervals: DataFrame, every_ns: int, t0: DataFrame) -> DataFrame:
@@ -56,10 +57,10 @@ def pareto(df: DataFrame, value: str, pct: float = 95.0, group: tuple[str, ...]
     return out.where(F.col("_before") < pct).select(*df.columns, "rank", "running_pct")
 
 
-def with_prev(df: DataFrame, cols: dict[str, "F.Column"], key: tuple[str, ...] = ("hostname", "pid")) -> DataFrame:
-    """The last value that is not null of each expression over the events of a task before this one."""
-    w = Window.partitionBy(*key).orderBy("hrtime", "cpu", "cpu_seqno").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({name: F.last(c, True).over(w) for name, c in cols.items()})
+def with_prev(df: DataFrame, cols: dict[str, "F.Column"], key: tuple[str, ...] = ("hostname", "pid"), cuts: DataFrame | None = None) -> DataFrame:
+    """The last value that is not null of each expression over the events of a task before this one. ``cuts`` are those of hot keys (``hot.hot_cuts``)."""
+    scan = Scan(key, ("hrtime", "cpu", "cpu_seqno"), cuts)
+    return scan.bare(scan.last(scan.sliced(df), cols))
 
 
 def replay(df: DataFrame, step_ns: int) -> DataFrame:

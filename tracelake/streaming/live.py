@@ -119,7 +119,7 @@ class PairBlock(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows))
         pdf["step"] = pdf["event"].map({"block_rq_insert": 0, "block_rq_issue": 1}).fillna(2).astype(int)
-        pdf = pdf.sort_values(["sector", "hrtime", "cpu_seqno", "step"])
+        pdf = pdf.sort_values(["sector", "hrtime", "cpu_seqno", "step", "sectors"])
         known = self.open.exists()
         out, least, sector, held, was = [], None, None, None, False
 
