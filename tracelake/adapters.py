@@ -118,6 +118,27 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.lit("kernel").alias("space"), F.expr("p_partkey * 16").alias("addr"), F.col("p_name").alias("sym"))
 
 
+#: Names of the frames of ``database_trace``, by the number of a part: the user's and the kernel's. Numbers without a rule's frame fall on the first ones.
+USER_FRAMES = "main opimai ksfdread kcrfws ktuGetTxForXid kcbzwb kcbget ksl_get_shared_latch kcbzibmlt kcbzib epoll_wait kcrf_commit_force_int nanosleep npixfc snttread ttcdrv opitsk kkscsCheckCursor kgxSharedExamine kdn kslgetl ktuisonline1".split()
+KERNEL_FRAMES = "schedule read_events hugetlb_fault huge_pmd_share hugetlb_no_page semtimedop sem_lock try_atomic_semop kstat_irqs show_stat seq_read".split()
+FRAMES = 150
+
+
+def database_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace of tasks whose switch-outs have stacks of two kernel frames and three user frames, each an address in a symbol of ``frame_symbols``."""
+    at = lambda a, b, k: f"bigint((1 + (cpu_seqno * {a} + pid * {b}) % {FRAMES}) * 16 + {k})"
+    ips = F.expr(f"array(bigint(-128), {at(3, 1, 2)}, {at(11, 5, 4)}, bigint(-512), {at(7, 3, 5)}, {at(13, 0, 7)}, {at(29, 11, 15)})")
+    t = task_trace(spark, sf_dir)
+    return t.withColumn("sw", F.when(F.col("sw.ips").isNotNull(), F.col("sw").withField("ips", ips)).otherwise(F.col("sw")))
+
+
+def frame_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kernel and a user symbol at every 16th address."""
+    p = table(spark, sf_dir, "part").where(f"p_partkey between 1 and {FRAMES}")
+    pick = lambda names: F.get(F.array(*[F.lit(x) for x in names]), (F.col("p_partkey") % len(names)).cast("int"))
+    return p.select(F.explode(F.array(F.struct(F.lit("kernel").alias("space"), pick(KERNEL_FRAMES).alias("sym")), F.struct(F.lit("user").alias("space"), F.concat(pick(USER_FRAMES), F.lit("+")).alias("sym")))).alias("s"), F.expr("p_partkey * 16").alias("addr")).select("s.space", "addr", "s.sym")
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Network calls between the nations of customer and supplier of each line item."""
     t = {x: table(spark, sf_dir, x) for x in ("lineitem", "orders", "customer", "supplier")}

@@ -1352,3 +1352,48 @@ def z5_disks(spark, sf):
 @query("z5_live_futexes", measured_sql(["futex"]))
 def z5_futexes(spark, sf):
     return viewed(spark, sf, ad.futex_trace(spark, sf)).where("view = 'futex'")
+
+
+# Stacks of addresses with their symbols, and the rules for database waits and hot stacks over them.
+
+
+def frame_sql(names, a, b, tail=""):
+    listed = ", ".join(f"'{x}{tail}'" for x in names)
+    return f"([{listed}])[1 + (1 + (cpu_seqno * {a} + pid * {b}) % {ad.FRAMES}) % {len(names)}]"
+
+
+RULES_SQL = ", ".join(f"({k}, '{w}', '{p}', {f"'{e}'" if e else 'NULL'}, {u})" for k, (w, p, e, u) in enumerate([*[(*r, True) for r in stacks.DB_WAITS], *[(*r, False) for r in stacks.DB_KERNEL_WAITS]]))
+FRAMED = SLEPT + f""", rls(k, wait, prefix, earlier, usr) AS (VALUES {RULES_SQL}),
+f AS (SELECT hostname, pid, ns, cpu_seqno, [{frame_sql(ad.KERNEL_FRAMES, 3, 1)}, {frame_sql(ad.KERNEL_FRAMES, 11, 5)}] AS kernel,
+             [{frame_sql(ad.USER_FRAMES, 7, 3, '+')}, {frame_sql(ad.USER_FRAMES, 13, 0, '+')}, {frame_sql(ad.USER_FRAMES, 29, 11, '+')}] AS usr FROM sl)
+"""
+
+
+def framed_of(spark, sf):
+    slept = stacks.sleeps(states.task_state_intervals(ad.database_trace(spark, sf)))
+    return stacks.symbolize_stacks(slept, ad.frame_symbols(spark, sf))
+
+
+@query("a12_symbolized_stacks", FRAMED + "SELECT hostname, array_to_string(kernel || ['<user>'] || usr, ';') AS frames, count(*) AS cnt, CAST(sum(ns) AS BIGINT) AS sleep_ns FROM f GROUP BY 1, 2")
+def a12_symbols(spark, sf):
+    return framed_of(spark, sf).groupBy("hostname", F.array_join("frames", ";").alias("frames")).agg(F.count("*").alias("cnt"), F.sum("ns").alias("sleep_ns"))
+
+
+@query("a33_ora_waits_traced", FRAMED + """, p AS (
+  SELECT hostname, pid, ns, cpu_seqno, kernel, usr, true AS side, unnest([1, 2, 3]) AS i FROM f UNION ALL SELECT hostname, pid, ns, cpu_seqno, kernel, usr, false, unnest([1, 2]) FROM f),
+m AS (SELECT hostname, pid, ns, cpu_seqno, wait FROM p JOIN rls ON rls.usr = p.side AND starts_with(CASE WHEN side THEN p.usr[i] ELSE kernel[i] END, prefix)
+      AND (earlier IS NULL OR len(list_filter(CASE WHEN side THEN list_slice(p.usr, 1, i - 1) ELSE list_slice(kernel, 1, i - 1) END, lambda x: starts_with(x, earlier))) > 0)
+      QUALIFY row_number() OVER (PARTITION BY hostname, pid, cpu_seqno ORDER BY side, i, k) = 1)
+SELECT hostname, pid, wait, count(*) AS cnt, max(ns) AS max_ns, CAST(sum(ns) AS BIGINT) AS sleep_ns FROM m GROUP BY 1, 2, 3""")
+def a33_traced(spark, sf):
+    waits = stacks.ora_waits(framed_of(spark, sf), ("hostname", "pid"), "frames", kernel_rules=stacks.DB_KERNEL_WAITS, user_mark=stacks.USER)
+    return waits.select("hostname", "pid", "wait", "cnt", "max_ns", "sleep_ns")
+
+
+HOT_SQL = " UNION ALL ".join(f"SELECT hostname, '{code}' AS code, '{markers[0]}' AS evidence FROM g WHERE len(list_intersect(frames, [{', '.join(f"'{m}'" for m in markers)}])) >= 2 AND hits >= {least}" for markers, least, code in rules.HOT_STACKS)
+
+
+@query("d6_rules_stack_traced", FRAMED + f", g AS (SELECT hostname, kernel || ['<user>'] || usr AS frames, count(*) AS hits FROM f GROUP BY 1, 2) SELECT hostname, code, evidence, count(*) AS stacks FROM ({HOT_SQL}) GROUP BY 1, 2, 3")
+def d6_traced(spark, sf):
+    counts = framed_of(spark, sf).groupBy("hostname", F.col("frames").alias("stack")).agg(F.count("*").alias("hits"))
+    return rules.rules_stack(counts).groupBy("hostname", "code", "evidence").agg(F.count("*").alias("stacks"))

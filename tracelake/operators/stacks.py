@@ -32,6 +32,33 @@ def symbolize(df: DataFrame, symbols: DataFrame, col: str, keys: tuple[str, ...]
     return df.join(found, [*keys, col], "left")
 
 
+#: How the user mark stands in a stack of names.
+USER = "<user>"
+
+
+def symbolize_stacks(df: DataFrame, symbols: DataFrame, col: str = "stack", name: str = "frames", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``name``: the stack of addresses ``col`` as names, ``USER`` where user frames begin; addresses without a symbol are named in hex. Null stacks stay null.
+
+    ``symbols`` have space (kernel or user), addr and sym, and ``keys`` where symbols belong to one host or program. Each different stack is taken apart once, each different
+    address of all stacks is looked up once, by the as-of join, and stacks are put together again by place. Frames are the kernel's up to a user mark, and from a kernel mark on.
+    """
+    marker = lambda x: x.isin(USER_MARK, KERNEL_MARK)
+    stacks = df.select(*keys, col).where(F.col(col).isNotNull()).distinct()
+    marks = F.filter(F.transform(col, lambda x, i: F.when(marker(x), F.struct(i.alias("i"), x.alias("x")))), lambda m: m.isNotNull())
+    space = lambda marks, i: F.when(F.element_at(F.concat(F.array(F.lit(KERNEL_MARK).cast("long")), F.transform(F.filter(marks, lambda m: m["i"] < i), lambda m: m["x"])), -1) == USER_MARK, "user").otherwise("kernel")
+    frames = stacks.withColumn("_marks", marks).select(*keys, col, "_marks", F.posexplode(col).alias("_at", "addr")).select(*keys, col, "_at", "addr", space(F.col("_marks"), F.col("_at")).alias("space"))
+    known = symbolize(frames.where(~marker(F.col("addr"))).select(*keys, "space", "addr").distinct(), symbols, "addr", (*keys, "space"))
+    own = (*keys, "space", "addr")
+    known = known.select(*[F.col(c).alias(f"_{c}") for c in own], "sym")
+    met = frames.join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own], "left")
+    called = F.when(F.col("addr") == USER_MARK, USER).when(F.col("addr") != KERNEL_MARK, F.coalesce("sym", F.concat(F.lit("0x"), F.lower(F.hex("addr")))))
+    named = met.groupBy(*keys, col).agg(F.array_sort(F.collect_list(F.when(called.isNotNull(), F.struct("_at", called.alias("f"))))).alias("_f"))
+    named = named.select(*[F.col(c).alias(f"_{c}") for c in (*keys, col)], F.transform("_f", lambda x: x["f"]).alias(name))
+    out = df.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, col)], "left")
+    # An empty stack has no frames to put together.
+    return out.select(*df.columns, F.when(F.size(col) == 0, F.array().cast("array<string>")).otherwise(F.col(name)).alias(name))
+
+
 def trim_stack(ips: Column, overhead: list) -> Column:
     """A stack without its leading scheduler or interrupt frames: what follows the last overhead frame before the next context marker; at most ``DEPTH`` frames."""
     marker = lambda x: x.cast("string").isin(str(USER_MARK), str(KERNEL_MARK))
