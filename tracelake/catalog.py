@@ -8,7 +8,7 @@ from . import adapters as ad
 from .adapters import EV, FLOWS, HOUR, IO
 from .functions import scalars as sc
 from .operators import blockio, dims, filters, graph, power, stacks, states, syscalls, topn, windows
-from .registry import query
+from .registry import query, sql_of
 
 # Parts of the SQL that several queries share.
 
@@ -1397,3 +1397,30 @@ HOT_SQL = " UNION ALL ".join(f"SELECT hostname, '{code}' AS code, '{markers[0]}'
 def d6_traced(spark, sf):
     counts = framed_of(spark, sf).groupBy("hostname", F.col("frames").alias("stack")).agg(F.count("*").alias("hits"))
     return rules.rules_stack(counts).groupBy("hostname", "code", "evidence").agg(F.count("*").alias("stacks"))
+
+
+# The same over long intervals and short slots, with times as they are.
+SHORT = 600_000_000_000
+
+
+@query("w5_timeline_short_slots", POINTS + f""", p AS (SELECT ivn.hostname, state, start, "end", t0, unnest(range((start - t0) // {SHORT}, ("end" - 1 - t0) // {SHORT} + 1)) AS slot FROM ivn JOIN b ON ivn.hostname = b.hostname WHERE ns > 0),
+c AS (SELECT hostname, slot, state, least("end", t0 + (slot + 1) * {SHORT}) - greatest(start, t0 + slot * {SHORT}) AS ns FROM p)
+SELECT hostname, slot, CAST(sum(CASE WHEN state = 'RUNNING' THEN ns ELSE 0 END) AS BIGINT) AS run_ns, CAST(sum(CASE WHEN state = 'RUNQ' THEN ns ELSE 0 END) AS BIGINT) AS runq_ns, CAST(sum(CASE WHEN state = 'SWTCH' THEN ns ELSE 0 END) AS BIGINT) AS sleep_ns FROM c GROUP BY hostname, slot""")
+def w5_short(spark, sf):
+    t = ad.task_trace(spark, sf)
+    return windows.timeline(t, states.task_state_intervals(t), SHORT // 1_000_000).select("hostname", "slot", "run_ns", "runq_ns", "sleep_ns")
+
+
+F8_SQL = sql_of("f8_mask_gaps").replace(f" // {UNIT}", "")
+
+
+@query("f8_mask_gaps_unscaled", F8_SQL)
+def f8_plain(spark, sf):
+    t = ad.task_trace(spark, sf)
+    iv = states.task_state_intervals(t).select("hostname", "pid", "cpu", "state", "start", "end", "ns")
+    return filters.mask_gaps(iv, filters.capture_gaps(t)).groupBy("hostname", "pid", "state").agg(F.sum("ns").alias("ns"))
+
+
+@query("a6_ht_dbdi_unscaled", sql_of("a6_ht_dbdi").replace(" // 1000000 AS", " AS"))
+def a6_plain(spark, sf):
+    return states.ht_dbdi(ad.task_trace(spark, sf), ad.topology(spark))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import CAUSAL, ORDER
+from .hot import Scan
 
 #: Sector numbers that name no place on a device (fixed values).
 INVALID_SECTORS = [0, -1, 0x7FFFFFFFFFF, 0x7FFF00000000]
@@ -93,19 +94,22 @@ def capture_gaps(df: DataFrame) -> DataFrame:
     )
 
 
-def mask_gaps(intervals: DataFrame, gaps: DataFrame) -> DataFrame:
+def mask_gaps(intervals: DataFrame, gaps: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     """State intervals (hostname, cpu, start, end, state, ns) whose RUNNING or RUNQ time crosses a gap of their CPU become UNKNOWN and are not charged.
 
-    Both sides are cut into slices of one second, so the join is on equal keys with the overlap as a residual test.
+    Gaps and the ends of intervals of a CPU are put in one order: an interval is crossed if the farthest end of the gaps that begin before its end lies after its start. So
+    every row is read once, however long intervals and gaps are. ``cuts`` are those of hot CPUs, by time.
     """
-    slice_ns = 1_000_000_000
-    cut = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / slice_ns), F.floor(F.col(b) / slice_ns)))
-    touched = intervals.withColumn("slice", cut("start", "end")).alias("i").join(
-        gaps.select("hostname", "cpu", F.col("start").alias("gs"), F.col("end").alias("ge"), cut("start", "end").alias("slice")), ["hostname", "cpu", "slice"]
-    ).where("start < ge and end > gs").select("hostname", "pid", "start").distinct().withColumn("hit", F.lit(True))
-    out = intervals.join(touched, ["hostname", "pid", "start"], "left")
-    bad = F.col("hit").isNotNull() & F.col("state").isin("RUNNING", "RUNQ")
-    return out.withColumn("ns", F.when(bad, F.lit(0)).otherwise(F.col("ns"))).withColumn("state", F.when(bad, "UNKNOWN").otherwise(F.col("state"))).drop("hit")
+    own = F.struct(*[F.col(c) for c in intervals.columns])
+    ends = intervals.select("hostname", "cpu", F.col("end").alias("hrtime"), F.lit(0).alias("turn"), F.lit(None).cast("long").alias("ge"), own.alias("_i"))
+    starts = gaps.select("hostname", "cpu", F.col("start").alias("hrtime"), F.lit(1).alias("turn"), F.col("end").alias("ge"))
+    scan = Scan(("hostname", "cpu"), ("hrtime", "turn"), cuts)
+    met = scan.running(scan.sliced(ends.unionByName(starts, allowMissingColumns=True)), "_reach", F.col("ge"), "max").where("turn = 0")
+    # A task's rows that begin together are crossed together.
+    together = Window.partitionBy("hostname", "pid", "start")
+    out = met.select("_i.*", F.coalesce(F.col("_reach") > F.col("_i.start"), F.lit(False)).alias("_hit")).withColumn("_hit", F.max("_hit").over(together))
+    bad = F.col("_hit") & F.col("state").isin("RUNNING", "RUNQ")
+    return out.withColumns({"ns": F.when(bad, F.lit(0)).otherwise(F.col("ns")), "state": F.when(bad, "UNKNOWN").otherwise(F.col("state"))}).drop("_hit")
 
 
 def format_time(df: DataFrame, mode: str = "rel", anchor_ns: int = 0, name: str = "time") -> DataFrame:

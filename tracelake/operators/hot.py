@@ -95,10 +95,11 @@ class Scan:
         return out.withColumn(name, F.coalesce(F.lead(value).over(w), F.col("_c"))).drop("_c")
 
     def running(self, df: DataFrame, name: str, value: Column, what: str = "sum") -> DataFrame:
-        """The sum (or ``min``) of a number up to each row."""
-        f, w = {"sum": F.sum, "min": F.min}[what], self.window().rowsBetween(Window.unboundedPreceding, 0)
+        """The sum (or ``min``, ``max``) of a number up to each row."""
+        f, w = {"sum": F.sum, "min": F.min, "max": F.max}[what], self.window().rowsBetween(Window.unboundedPreceding, 0)
         if self.cuts is None:
             return df.withColumn(name, f(value).over(w))
         out = self._carried(df, {"_v": f(value)}, {"_c": f("_v").over(self._slices((Window.unboundedPreceding, -1)))})
         own = f(value).over(w)
-        return out.withColumn(name, own + F.coalesce("_c", F.lit(0)) if what == "sum" else F.least(own, "_c")).drop("_c")
+        both = {"sum": own + F.coalesce("_c", F.lit(0)), "min": F.least(own, "_c"), "max": F.greatest(own, "_c")}[what]
+        return out.withColumn(name, both).drop("_c")

@@ -256,18 +256,33 @@ def ht_usage(df: DataFrame, topology: DataFrame) -> DataFrame:
     return ht_states(df, topology).groupBy("hostname", "pcpu_idx").agg(s(False, False).alias("double_idle"), s(True, False).alias("lcpu1_busy"), s(False, True).alias("lcpu2_busy"), s(True, True).alias("double_busy"))
 
 
+#: Widths of dyadic bins, as powers of two of a nanosecond: from a microsecond to some 13 days.
+LEVELS = (10, 50)
+
+
+def interval_bins(start, end):
+    """The bins of an interval: its level is that of the least width which is no less than its length, so it touches two bins there at most (more only above the last level)."""
+    level = F.least(F.greatest(F.ceil(F.log2((end - start).cast("double"))).cast("int"), F.lit(LEVELS[0])), F.lit(LEVELS[1]))
+    first, last = F.call_function("shiftright", start, level), F.call_function("shiftright", end - 1, level)
+    return F.transform(F.sequence(first, last), lambda b: F.struct(level.alias("level"), b.alias("bin")))
+
+
+def moment_bins(t):
+    """The bin of a moment at each level."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(t, k).alias("bin")) for k in range(LEVELS[0], LEVELS[1] + 1)])
+
+
 def ht_dbdi(df: DataFrame, topology: DataFrame) -> DataFrame:
     """When a pair turns double busy, how long another pair of the host has been double idle at longest, in 16 buckets.
 
-    Moments and idle intervals meet in slices of 10 ms, so the join is on equal keys.
+    Moments and idle intervals meet in dyadic bins (``bins``), so the join is on equal keys and an interval has two rows at most, however long it is.
     """
-    slice_ns = 10_000_000
     s = ht_states(df, topology)
     w = Window.partitionBy("hostname", "pcpu_idx").orderBy("start", "cpu", "cpu_seqno")
     both = (F.col("first") & F.col("second"))
-    turned = s.withColumn("was", F.lag(both).over(w)).where(both & ~F.coalesce("was", F.lit(False))).select("hostname", F.col("pcpu_idx").alias("p"), F.col("start").alias("t"), F.expr(f"start div {slice_ns}").alias("slice"))
-    idle = s.where("not first and not second").select("hostname", "pcpu_idx", "start", "end", F.explode(F.expr(f"sequence(start div {slice_ns}, end div {slice_ns})")).alias("slice"))
-    met = turned.join(idle, ["hostname", "slice"]).where("p <> pcpu_idx and start <= t and t < end").groupBy("hostname", "p", "t").agg(F.max(F.col("t") - F.col("start")).alias("idle_ns"))
+    turned = s.withColumn("was", F.lag(both).over(w)).where(both & ~F.coalesce("was", F.lit(False))).select("hostname", F.col("pcpu_idx").alias("p"), F.col("start").alias("t"), F.explode(moment_bins(F.col("start"))).alias("bin"))
+    idle = s.where("not first and not second and start < end").select("hostname", "pcpu_idx", "start", "end", F.explode(interval_bins(F.col("start"), F.col("end"))).alias("bin"))
+    met = turned.join(idle, ["hostname", "bin"]).where("p <> pcpu_idx and start <= t and t < end").groupBy("hostname", "p", "t").agg(F.max(F.col("t") - F.col("start")).alias("idle_ns"))
     return met.withColumn("bucket", bucket(F.expr("idle_ns div 1000"), IDLE_EDGES)).groupBy("hostname", F.col("p").alias("pcpu_idx"), "bucket").agg(F.count("*").alias("n"))
 
 

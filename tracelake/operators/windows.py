@@ -18,15 +18,46 @@ def split_at(intervals: DataFrame, every_ns: int, t0: DataFrame) -> DataFrame:
     return i.withColumn("part_ns", F.least("end", hi) - F.greatest("start", lo))
 
 
+#: Slots that are filled in at a time.
+FILL = 4096
+
+
+def covered(intervals: DataFrame, every_ns: int, t0: DataFrame, by: tuple[str, ...], measures: dict[str, str]) -> DataFrame:
+    """Time of the intervals in each slot that one of them touches, by measure (name to test).
+
+    An interval tells its part of the first and of the last slot, and where the slots that it covers whole begin and end: four rows at most, however long it is. Sums of those by
+    slot are the only rows that a running sum goes over, and slots between two of them are filled in from it.
+    """
+    i = intervals.join(F.broadcast(t0.select("hostname", "t0")), "hostname").where("end > start")  # a row a host
+    a, b = F.col("start") - F.col("t0"), F.col("end") - F.col("t0")
+    i = i.withColumns({"_a": a, "_b": b, "_first": F.expr(f"(start - t0) div {every_ns}"), "_last": F.expr(f"(end - 1 - t0) div {every_ns}")})
+    row = lambda slot, part, whole: F.struct(slot.cast("long").alias("slot"), part.cast("long").alias("part"), F.lit(whole).cast("long").alias("whole"))
+    none = F.lit(0)
+    one = F.array(row(F.col("_first"), F.col("_b") - F.col("_a"), 0))
+    two = F.array(row(F.col("_first"), (F.col("_first") + 1) * every_ns - F.col("_a"), 0), row(F.col("_last"), F.col("_b") - F.col("_last") * every_ns, 0))
+    more = F.concat(two, F.array(row(F.col("_first") + 1, none, 1), row(F.col("_last"), none, -1)))
+    tests = {n: F.expr(t) for n, t in measures.items()}
+    told = F.when(F.col("_first") == F.col("_last"), one).when(F.col("_first") + 1 == F.col("_last"), two).otherwise(more)
+    e = i.select(*by, *[t.alias(f"_{n}") for n, t in tests.items()], F.explode(told).alias("e")).select(*by, *[f"_{n}" for n in tests], "e.*")
+    add = lambda what, n: F.sum(F.when(F.col(f"_{n}"), F.col(what)).otherwise(0))
+    sums = e.groupBy(*by, "slot").agg(F.sum("whole").alias("_d"), *[add("part", n).alias(n) for n in tests], *[add("whole", n).alias(f"_d_{n}") for n in tests])
+    w = Window.partitionBy(*by).orderBy("slot")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumns({"_open": F.sum("_d").over(upto), "_next": F.lead("slot").over(w), **{f"_w_{n}": F.sum(f"_d_{n}").over(upto) * every_ns for n in tests}})
+    last = F.when((F.col("_open") > 0) & (F.col("_next") > F.col("slot")), F.col("_next") - 1).otherwise(F.col("slot"))
+    # In two steps, so that no array holds more than ``FILL`` slots (or so many starts of them).
+    sums = sums.withColumn("_upto", last).withColumn("_from", F.explode(F.sequence("slot", "_upto", F.lit(FILL))))
+    sums = sums.withColumn("_slot", F.explode(F.sequence("_from", F.least(F.col("_upto"), F.col("_from") + FILL - 1))))
+    return sums.select(*by, F.col("_slot").alias("slot"), *[(F.when(F.col("_slot") == F.col("slot"), F.col(n)).otherwise(0) + F.col(f"_w_{n}")).alias(n) for n in tests])
+
+
 def timeline(df: DataFrame, intervals: DataFrame, every_ms: int = 100, by: tuple[str, ...] = ("hostname",), latencies: DataFrame | None = None) -> DataFrame:
     """State times of each slot: run, sys, user, irq, runq, sleep; with latencies also count and longest of each slot."""
     every = every_ms * 1_000_000
     t0 = bounds(df)
-    parts = split_at(intervals.where("ns > 0"), every, t0)
-    s = lambda test: F.sum(F.when(F.expr(test), F.col("part_ns")).otherwise(0))
-    out = parts.groupBy(*by, "slot").agg(
-        s("state = 'RUNNING'").alias("run_ns"), s("state = 'RUNNING' and coalesce(mode, 'SYS') = 'SYS'").alias("sys_ns"), s("state = 'RUNNING' and mode = 'USER'").alias("user_ns"), s("state = 'RUNNING' and mode in ('HARDIRQ', 'SOFTIRQ')").alias("irq_ns"),
-        s("state = 'RUNQ'").alias("runq_ns"), s("state = 'SWTCH'").alias("sleep_ns"))
+    states = {"run_ns": "state = 'RUNNING'", "sys_ns": "state = 'RUNNING' and coalesce(mode, 'SYS') = 'SYS'", "user_ns": "state = 'RUNNING' and mode = 'USER'",
+              "irq_ns": "state = 'RUNNING' and mode in ('HARDIRQ', 'SOFTIRQ')", "runq_ns": "state = 'RUNQ'", "sleep_ns": "state = 'SWTCH'"}
+    out = covered(intervals.where("ns > 0"), every, t0, by, states)
     if latencies is not None:
         l = latencies.join(F.broadcast(t0.select("hostname", "t0")), "hostname").withColumn("slot", F.expr(f"(run_ts - t0) div {every}"))  # noqa: E741
         out = out.join(l.groupBy(*by, "slot").agg(F.count("*").alias("runq_cnt"), F.max("latency_us").alias("max_us")), [*by, "slot"], "left").fillna(0, ["runq_cnt", "max_us"])

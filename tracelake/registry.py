@@ -28,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _SQL[name]
+
+
 def queries() -> dict[str, Query]:
     from . import catalog, catalog_sources  # noqa: F401  they register on import
 
