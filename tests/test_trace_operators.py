@@ -306,3 +306,20 @@ def test_pareto_bands(spark):
             want.append(i)
         before += v or 0
     assert [r.k for r in windows.pareto(d, "n", 95.0, tie=("k",)).orderBy("rank").collect()] == want
+
+
+def test_graphs_of_many_roots_are_those_of_each(spark):
+    import random
+
+    r = random.Random(5)
+    data = [("h", r.randrange(1, 40), r.randrange(1, 40), 1, r.randrange(1, 100)) for _ in range(90)]
+    e = spark.createDataFrame([x for x in data if x[1] != x[2]], "hostname string, waker long, sleeper long, cnt long, sleep_ns long")
+    totals = e.groupBy("hostname", F.col("sleeper").alias("pid")).agg(F.sum("sleep_ns").alias("sleep_total"))
+    roots = spark.createDataFrame([("h", 1), ("h", 2), ("h", 3), ("h", 3), ("h", 999)], "hostname string, pid long")
+    nodes, links = graph.wait_graphs(e, totals, roots, 3, 20.0, 2)
+    got, joined = nodes.collect(), links.collect()
+    assert {x.root for x in got} <= {1, 2, 3} and len({(x.root, x.pid) for x in got}) == len(got)
+    for root in {x.root for x in got}:
+        n, ln = graph.wait_graph(e, totals, root, 3, 20.0, 2)
+        assert sorted((x.pid, x.depth) for x in got if x.root == root) == sorted((x.pid, x.depth) for x in n.collect())
+        assert sorted((x.waker, x.sleeper, x.sleep_ns) for x in joined if x.root == root) == sorted((x.waker, x.sleeper, x.sleep_ns) for x in ln.collect())

@@ -1424,3 +1424,36 @@ def f8_plain(spark, sf):
 @query("a6_ht_dbdi_unscaled", sql_of("a6_ht_dbdi").replace(" // 1000000 AS", " AS"))
 def a6_plain(spark, sf):
     return states.ht_dbdi(ad.task_trace(spark, sf), ad.topology(spark))
+
+
+# Waits of customers for suppliers as a graph, searched from every 50th customer at once.
+DEPTH = 4
+ORDERED = """WITH RECURSIVE ed AS (SELECT 'h' || (l_suppkey % 2) AS hostname, CAST(o_custkey AS BIGINT) AS waker, CAST(l_suppkey + 1000000 AS BIGINT) AS sleeper, count(*) AS cnt, CAST(sum(CAST(l_quantity AS BIGINT) * 1000000) AS BIGINT) AS sleep_ns
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
+tot AS (SELECT hostname, sleeper, sum(sleep_ns) AS total FROM ed GROUP BY 1, 2),
+e AS (SELECT ed.* FROM ed JOIN tot USING (hostname, sleeper) WHERE 100.0 * sleep_ns >= 0.1 * total AND waker <> 0),
+bo AS (SELECT hostname, here, "to", max(sleep_ns) AS ns FROM (SELECT hostname, sleeper AS here, waker AS "to", sleep_ns FROM e UNION ALL SELECT hostname, waker, sleeper, sleep_ns FROM e) GROUP BY 1, 2, 3),
+best AS (SELECT hostname, here, "to" FROM bo QUALIFY row_number() OVER (PARTITION BY hostname, here ORDER BY ns DESC, "to") <= 8),
+walk(hostname, root, pid, depth) AS (
+  SELECT DISTINCT hostname, here, here, 0 FROM best WHERE here < 1000000 AND here % 50 = 0
+  UNION SELECT walk.hostname, root, "to", depth + 1 FROM walk JOIN best ON best.hostname = walk.hostname AND here = pid WHERE depth < 4),
+n AS (SELECT hostname, root, pid, min(depth) AS depth FROM walk GROUP BY 1, 2, 3)
+"""
+
+
+def graphs_of(spark, sf):
+    io = ad.table(spark, sf, "orders").join(ad.table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    edges = io.groupBy(F.expr("concat('h', l_suppkey % 2)").alias("hostname"), F.col("o_custkey").cast("long").alias("waker"), F.expr("bigint(l_suppkey + 1000000)").alias("sleeper")).agg(F.count("*").alias("cnt"), F.sum(F.expr("bigint(l_quantity) * 1000000")).alias("sleep_ns"))
+    totals = edges.groupBy("hostname", F.col("sleeper").alias("pid")).agg(F.sum("sleep_ns").alias("sleep_total"))
+    roots = edges.where("waker % 50 = 0").select("hostname", F.col("waker").alias("pid"))
+    return graph.wait_graphs(edges, totals, roots, DEPTH, 0.1, 8)
+
+
+@query("a38_wait_graphs_nodes", ORDERED + "SELECT hostname, root, pid, depth FROM n")
+def a38_nodes(spark, sf):
+    return graphs_of(spark, sf)[0]
+
+
+@query("a38_wait_graphs_links", ORDERED + "SELECT e.hostname, w.root, waker, sleeper, cnt, sleep_ns FROM e JOIN n w ON w.hostname = e.hostname AND w.pid = waker JOIN n s ON s.hostname = e.hostname AND s.root = w.root AND s.pid = sleeper")
+def a38_links(spark, sf):
+    return graphs_of(spark, sf)[1]

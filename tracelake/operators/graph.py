@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,6 +50,19 @@ def waited_for(edges: DataFrame, tracer: tuple[int, ...] = ()) -> DataFrame:
     return e.groupBy("hostname", F.col("waker").alias("pid")).agg(F.sum("sleep_ns").alias("ns"), F.sum("cnt").alias("cnt"))
 
 
+def counted_edges(edges: DataFrame, totals: DataFrame, min_pct: float, skip: tuple[int, ...]) -> DataFrame:
+    """Edges by waker and sleeper whose sleep is at least ``min_pct`` of the sleeper's total."""
+    e = edges.where(~F.col("waker").isin(list(skip)) & ~F.col("sleeper").isin(list(skip))).groupBy("hostname", "waker", "sleeper").agg(F.sum("cnt").alias("cnt"), F.sum("sleep_ns").alias("sleep_ns"))
+    e = e.join(totals.select("hostname", F.col("pid").alias("sleeper"), "sleep_total"), ["hostname", "sleeper"]).where(100.0 * F.col("sleep_ns") >= min_pct * F.col("sleep_total"))
+    return e.select("hostname", "waker", "sleeper", "cnt", "sleep_ns")
+
+
+def best_edges(e: DataFrame, top_n: int) -> DataFrame:
+    """hostname, at, to, sleep_ns: the first edges of each task in both directions."""
+    both = e.select("hostname", F.col("sleeper").alias("at"), F.col("waker").alias("to"), "sleep_ns").union(e.select("hostname", F.col("waker").alias("at"), F.col("sleeper").alias("to"), "sleep_ns"))
+    return top_n_per(both.groupBy("hostname", "at", "to").agg(F.max("sleep_ns").alias("sleep_ns")), ["hostname", "at"], "sleep_ns", top_n, tie=["to"])
+
+
 def wait_graph(edges: DataFrame, totals: DataFrame, root: int, depth: int = 2, min_pct: float = 10.0, top_n: int = 10, skip: tuple[int, ...] = (0, INTERRUPT)) -> tuple[DataFrame, DataFrame]:
     """Nodes (hostname, pid, depth) and links (hostname, waker, sleeper, cnt, sleep_ns) around a task, level by level over both directions.
 
@@ -56,11 +70,8 @@ def wait_graph(edges: DataFrame, totals: DataFrame, root: int, depth: int = 2, m
     least. Links are all counted edges between nodes. The loop runs over levels, not rows; a cluster cuts its lineage with checkpoint().
     """
     cuts = bool(edges.sparkSession.conf.get("spark.checkpoint.dir", None))
-    e = edges.where(~F.col("waker").isin(list(skip)) & ~F.col("sleeper").isin(list(skip))).groupBy("hostname", "waker", "sleeper").agg(F.sum("cnt").alias("cnt"), F.sum("sleep_ns").alias("sleep_ns"))
-    e = e.join(totals.select("hostname", F.col("pid").alias("sleeper"), "sleep_total"), ["hostname", "sleeper"]).where(100.0 * F.col("sleep_ns") >= min_pct * F.col("sleep_total")).select("hostname", "waker", "sleeper", "cnt", "sleep_ns")
-    both = e.select("hostname", F.col("sleeper").alias("at"), F.col("waker").alias("to"), "sleep_ns").union(e.select("hostname", F.col("waker").alias("at"), F.col("sleeper").alias("to"), "sleep_ns"))
-    both = both.groupBy("hostname", "at", "to").agg(F.max("sleep_ns").alias("sleep_ns"))
-    best = top_n_per(both, ["hostname", "at"], "sleep_ns", top_n, tie=["to"])
+    e = counted_edges(edges, totals, min_pct, skip)
+    best = best_edges(e, top_n)
     nodes = e.select("hostname").distinct().select("hostname", F.lit(root).cast("long").alias("pid"), F.lit(0).alias("depth"))
     front = nodes
     for level in range(1, depth + 1):
@@ -74,6 +85,39 @@ def wait_graph(edges: DataFrame, totals: DataFrame, root: int, depth: int = 2, m
     return nodes, links.select("hostname", "waker", "sleeper", "cnt", "sleep_ns")
 
 
+def wait_graphs(edges: DataFrame, totals: DataFrame, roots: DataFrame, depth: int = 2, min_pct: float = 10.0, top_n: int = 10, skip: tuple[int, ...] = (0, INTERRUPT)) -> tuple[DataFrame, DataFrame]:
+    """``wait_graph`` of every task of ``roots`` (hostname, pid) at once: nodes and links with their ``root``.
+
+    All searches go level by level together: one join a level, whatever the number of roots. The edges that tasks add are dealt by task once and kept so, and a level
+    moves its new nodes only; a task that many searches reach at once has a row for each of them, which the join can split.
+    """
+    e = counted_edges(edges, totals, min_pct, skip)
+    best = best_edges(e, top_n).repartition("hostname", "at").persist(StorageLevel.MEMORY_AND_DISK)
+    front = roots.select("hostname", F.col("pid").alias("root"), "pid").distinct().withColumn("depth", F.lit(0))
+    front = front.join(best.select("hostname", F.col("at").alias("pid")).distinct(), ["hostname", "pid"], "left_semi").select("hostname", "root", "pid", "depth")
+    levels = [settled(front)]
+    for level in range(1, depth + 1):
+        seen = levels[0]
+        for x in levels[1:]:
+            seen = seen.unionByName(x)
+        near = levels[-1].select("hostname", "root", F.col("pid").alias("at")).join(best, ["hostname", "at"]).select("hostname", "root", F.col("to").alias("pid")).distinct()
+        levels.append(settled(near.join(seen.select("hostname", "root", "pid"), ["hostname", "root", "pid"], "left_anti").withColumn("depth", F.lit(level))))
+    best.unpersist()
+    nodes = levels[0]
+    for x in levels[1:]:
+        nodes = nodes.unionByName(x)
+    at = nodes.select("hostname", "root", "pid")
+    links = e.join(at.withColumnRenamed("pid", "waker"), ["hostname", "waker"]).join(at.withColumnRenamed("pid", "sleeper"), ["hostname", "root", "sleeper"], "left_semi")
+    return nodes, links.select("hostname", "root", "waker", "sleeper", "cnt", "sleep_ns")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The table computed once, its lineage cut where the cluster has a checkpoint folder."""
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def with_interrupt_node(nodes: DataFrame, links: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add the one node of interrupt context, with its wakeups of the tasks in the graph."""
     ends = nodes.select("hostname", F.col("pid").alias("sleeper"))
