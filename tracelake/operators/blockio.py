@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .filters import is_barrier
-from .hot import SLICES, Scan, hot_cuts
+from .hot import SLICES, Scan, hot_cuts, parted
 from .states import bucket
 
 SERVICE_EDGES_MS = [2, 5, 10, 15, 30, 50, 100, 150, 200]
@@ -75,18 +75,26 @@ def hot_devices(df: DataFrame, slices: int = SLICES) -> DataFrame | None:
 
 def seq_random(io: DataFrame, key: tuple[str, ...] = ("hostname", "dev"), cuts: DataFrame | None = None) -> DataFrame:
     """``sequential``: whether a request begins where the one before it, of the same key and direction, ended; in order of insert."""
-    scan = Scan((*key, "rw"), ("insert_ts", "seqno", "sector"), cuts, "insert_ts")
-    out = scan.last(scan.sliced(io), {"_before": F.struct((F.col("sector") + F.col("nr_sectors")).alias("end"))})
-    return out.select(*io.columns, F.coalesce(F.col("sector") == F.col("_before.end"), F.lit(False)).alias("sequential"))
+
+    def work(rows: DataFrame, cuts: DataFrame | None) -> DataFrame:
+        scan = Scan((*key, "rw"), ("insert_ts", "seqno", "sector"), cuts, "insert_ts")
+        out = scan.last(scan.sliced(rows), {"_before": F.struct((F.col("sector") + F.col("nr_sectors")).alias("end"))})
+        return out.select(*io.columns, F.coalesce(F.col("sector") == F.col("_before.end"), F.lit(False)).alias("sequential"))
+
+    return parted(io, cuts, work)
 
 
 def queue_len(df: DataFrame, key: tuple[str, ...] = ("hostname", "dev"), cuts: DataFrame | None = None) -> DataFrame:
     """Mean and largest queue length: one more on insert, one less on issue but never below 0, as the running sum less its running minimum."""
     step = F.when(F.col("event") == "block_rq_insert", 1).otherwise(-1)
     e = df.where("event in ('block_rq_insert', 'block_rq_issue')").select("hostname", "hrtime", "cpu_seqno", "blk.dev", "pid", "cpu", step.alias("step"), (-step).alias("turn"))
-    scan = Scan(key, ("hrtime", "cpu_seqno", "turn"), cuts)
-    e = scan.running(scan.running(scan.sliced(e), "s", F.col("step")), "low", F.col("s"), "min")
-    e = e.withColumn("len", F.col("s") - F.least(F.lit(0), F.col("low")))
+
+    def work(rows: DataFrame, cuts: DataFrame | None) -> DataFrame:
+        scan = Scan(key, ("hrtime", "cpu_seqno", "turn"), cuts)
+        out = scan.running(scan.running(scan.sliced(rows), "s", F.col("step")), "low", F.col("s"), "min")
+        return out.select(*key, (F.col("s") - F.least(F.lit(0), F.col("low"))).alias("len"))
+
+    e = parted(e, cuts, work)
     return e.groupBy(*key).agg(F.avg("len").alias("avque"), F.max("len").alias("maxque"), F.count("*").alias("queue_ops"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import CAUSAL, ORDER
-from .hot import Scan
+from .hot import Scan, parted
 
 #: Sector numbers that name no place on a device (fixed values).
 INVALID_SECTORS = [0, -1, 0x7FFFFFFFFFF, 0x7FFF00000000]
@@ -103,8 +103,12 @@ def mask_gaps(intervals: DataFrame, gaps: DataFrame, cuts: DataFrame | None = No
     own = F.struct(*[F.col(c) for c in intervals.columns])
     ends = intervals.select("hostname", "cpu", F.col("end").alias("hrtime"), F.lit(0).alias("turn"), F.lit(None).cast("long").alias("ge"), own.alias("_i"))
     starts = gaps.select("hostname", "cpu", F.col("start").alias("hrtime"), F.lit(1).alias("turn"), F.col("end").alias("ge"))
-    scan = Scan(("hostname", "cpu"), ("hrtime", "turn"), cuts)
-    met = scan.running(scan.sliced(ends.unionByName(starts, allowMissingColumns=True)), "_reach", F.col("ge"), "max").where("turn = 0")
+
+    def work(rows: DataFrame, cuts: DataFrame | None) -> DataFrame:
+        scan = Scan(("hostname", "cpu"), ("hrtime", "turn"), cuts)
+        return scan.bare(scan.running(scan.sliced(rows), "_reach", F.col("ge"), "max"))
+
+    met = parted(ends.unionByName(starts, allowMissingColumns=True), cuts, work).where("turn = 0")
     # A task's rows that begin together are crossed together.
     together = Window.partitionBy("hostname", "pid", "start")
     out = met.select("_i.*", F.coalesce(F.col("_reach") > F.col("_i.start"), F.lit(False)).alias("_hit")).withColumn("_hit", F.max("_hit").over(together))

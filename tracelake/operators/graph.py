@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .hot import settled
 from .states import task_state_intervals
 from .topn import top_n_per
 
@@ -111,13 +112,6 @@ def wait_graphs(edges: DataFrame, totals: DataFrame, roots: DataFrame, depth: in
     return nodes, links.select("hostname", "root", "waker", "sleeper", "cnt", "sleep_ns")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The table computed once, its lineage cut where the cluster has a checkpoint folder."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def with_interrupt_node(nodes: DataFrame, links: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add the one node of interrupt context, with its wakeups of the tasks in the graph."""
     ends = nodes.select("hostname", F.col("pid").alias("sleeper"))

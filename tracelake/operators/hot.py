@@ -8,6 +8,9 @@ Rows at the same time are never parted, so only keys with a great share of rows
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,8 +42,28 @@ def hot_cuts(df: DataFrame, key: tuple[str, ...], at: str = "hrtime", slices: in
     return out
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The table computed once, its lineage cut where the cluster has a checkpoint folder."""
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def parted(df: DataFrame, cuts: DataFrame | None, work: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+    """``work`` over the rows of hot keys with their cuts, and over all others without."""
+    if cuts is None:
+        return work(df, None)
+    names = cuts.columns[:-1]
+    keys = F.broadcast(cuts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)]))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(names)]
+    return work(df.join(keys, on, "left_anti"), None).unionByName(work(df.join(keys, on, "left_semi"), cuts))
+
+
 class Scan:
-    """A table whose rows are looked at in order within each key, hot keys slice by slice. Columns are added by the methods; each gives a new table."""
+    """A table whose rows are looked at in order within each key, hot keys slice by slice. Columns are added by the methods; each gives a new table.
+
+    With cuts each step reads its table twice, for what slices leave and for the rows, so the table is written first; ``parted`` keeps that to the rows of hot keys.
+    """
 
     def __init__(self, key: tuple[str, ...], order: tuple, cuts: DataFrame | None = None, at: str = "hrtime"):
         self.key, self.order, self.cuts, self.at = list(key), list(order), cuts, at
@@ -66,6 +89,7 @@ class Scan:
 
     def _carried(self, df: DataFrame, summary: dict[str, Column], scans: dict[str, Column]) -> DataFrame:
         """The table with what other slices leave to each: ``summary`` of each slice of hot keys, then ``scans`` over those rows. At most some ``slices`` rows, so it is sent to all."""
+        df = settled(df)
         small = df.where(HOT).groupBy(*self.key, SLICE).agg(*[c.alias(n) for n, c in summary.items()]).select(*self.key, SLICE, *[c.alias(n) for n, c in scans.items()])
         names = [f"_k{i}" for i in range(len(self.key))]
         small = small.toDF(*names, "_s", *scans)

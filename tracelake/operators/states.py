@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .filters import bounds
-from .hot import SLICES, Scan, hot_cuts
+from .hot import SLICES, Scan, hot_cuts, parted
 
 #: Bits of a previous state that say that the task ends (fixed values).
 EXIT_BITS = 0x10 | 0x20 | 0x40
@@ -66,6 +66,11 @@ def task_state_intervals(df: DataFrame, gaps: DataFrame | None = None, cuts: Dat
     state is N (before anything is known, or after a gap), RUNNING, RUNQ, SWTCH or ZOMBIE. mode is SYS, USER, HARDIRQ,
     SOFTIRQ or null. ns is 0 where nothing is charged: N, ZOMBIE, and RUNNING or RUNQ intervals that a gap ends.
     """
+    t = F.broadcast(bounds(df))  # a row a host
+    return parted(task_points(df, gaps), cuts, lambda points, cuts: _intervals(points, t, cuts))
+
+
+def _intervals(points: DataFrame, t: DataFrame, cuts: DataFrame | None) -> DataFrame:
     keys = ["hostname", "pid"]
     scan = Scan(keys, ("hrtime", "cpu", "cpu_seqno"), cuts)
     place = F.struct("hrtime", "cpu", "cpu_seqno")
@@ -73,7 +78,7 @@ def task_state_intervals(df: DataFrame, gaps: DataFrame | None = None, cuts: Dat
     runs = kind.isin("in", "enter", "exit", "sample")
 
     # Wakeups of a task that runs are no events.
-    p = scan.last(scan.sliced(task_points(df, gaps)), {"running": F.when(runs, 1).when(kind.isin("out", "gap"), 0)})
+    p = scan.last(scan.sliced(points), {"running": F.when(runs, 1).when(kind.isin("out", "gap"), 0)})
     p = p.where("not (kind = 'wake' and coalesce(running, 0) = 1)")
     # Base state before each row: what was set last, unknown if a gap came since while running or queued.
     setter = F.when(runs, "R").when(kind == "out", F.col("asleep")).when(kind == "wake", "Q")
@@ -97,7 +102,7 @@ def task_state_intervals(df: DataFrame, gaps: DataFrame | None = None, cuts: Dat
         "open_call": F.when(kind.isin("enter", "exit"), F.col("scall")).when(kind == "gap", F.lit(-1)),
     }, upto=True)
     p = scan.next(scan.last(p, {"earlier": F.lit(True)}), "then", F.struct("hrtime", "kind", "waker"))
-    p = p.join(F.broadcast(bounds(df)), "hostname")  # a row a host
+    p = p.join(t, "hostname")
     p = p.withColumns({
         "end": F.coalesce("then.hrtime", "t1"), "next_kind": F.col("then.kind"), "next_waker": F.col("then.waker"), "code": state, "order": F.when(F.col("earlier").isNull(), 1),
         "call_mode": F.when(F.col("call.epoch") == F.col("epoch"), F.col("call.mode")),
@@ -182,22 +187,25 @@ def global_cpu_time(cpus: DataFrame) -> DataFrame:
 
 def runq_latency(df: DataFrame, topology: DataFrame | None = None, cuts: DataFrame | None = None) -> DataFrame:
     """hostname, pid, cpu, ready_ts, run_ts, latency_us, migrated, node_migrated: from the wakeup or preemption that queued a task to its next switch-in."""
+    out = parted(task_points(df).where("kind in ('in', 'out', 'wake', 'enter', 'exit')"), cuts, _latencies)
+    if topology is None:
+        return out.drop("last_cpu")
+    t = topology.select("hostname", "cpu", "ldom")
+    out = out.join(F.broadcast(t), ["hostname", "cpu"], "left").join(F.broadcast(t.select("hostname", F.col("cpu").alias("last_cpu"), F.col("ldom").alias("last_ldom"))), ["hostname", "last_cpu"], "left")
+    return out.withColumn("node_migrated", F.coalesce(F.col("ldom") != F.col("last_ldom"), F.lit(False))).drop("last_cpu", "last_ldom")
+
+
+def _latencies(points: DataFrame, cuts: DataFrame | None) -> DataFrame:
     scan = Scan(("hostname", "pid"), ("hrtime", "cpu", "cpu_seqno"), cuts)
     kind = F.col("kind")
     runs = kind.isin("in", "enter", "exit")
-    p = scan.sliced(task_points(df).where("kind in ('in', 'out', 'wake', 'enter', 'exit')"))
-    p = scan.last(p, {"running": F.when(runs, 1).when(kind == "out", 0)}).where("not (kind = 'wake' and coalesce(running, 0) = 1)")
+    p = scan.last(scan.sliced(points), {"running": F.when(runs, 1).when(kind == "out", 0)}).where("not (kind = 'wake' and coalesce(running, 0) = 1)")
     state = F.when(runs, "R").when(kind == "wake", "Q").otherwise(F.col("asleep"))
     p = scan.last(p.withColumn("state", state), {"old": F.col("state")})  # never null
     p = p.withColumn("ready", F.when((F.col("state") == "Q") & (~F.col("old").eqNullSafe("Q") | F.coalesce("new", F.lit(False))), F.struct("hrtime", "cpu")))
     p = scan.last(p, {"q": F.col("ready"), "last_cpu": F.when(kind != "wake", F.col("cpu"))})
-    out = p.where("kind = 'in' and old = 'Q'").select("hostname", "pid", "cpu", F.col("q.hrtime").alias("ready_ts"), F.col("hrtime").alias("run_ts"), F.expr("(hrtime - q.hrtime) div 1000").alias("latency_us"), "last_cpu",
+    return p.where("kind = 'in' and old = 'Q'").select("hostname", "pid", "cpu", F.col("q.hrtime").alias("ready_ts"), F.col("hrtime").alias("run_ts"), F.expr("(hrtime - q.hrtime) div 1000").alias("latency_us"), "last_cpu",
                                                      F.coalesce(F.col("cpu") != F.col("last_cpu"), F.lit(False)).alias("migrated"))
-    if topology is None:
-        return out.drop("last_cpu")
-    t = topology.select("hostname", "cpu", "ldom")
-    out = out.join(F.broadcast(t), ["hostname", "cpu"], "left").join(F.broadcast(t.select("hostname", F.col("cpu").alias("last_cpu"), F.col("ldom").alias("last_ldom"))), ["hostname", "last_cpu"], "left")
-    return out.withColumn("node_migrated", F.coalesce(F.col("ldom") != F.col("last_ldom"), F.lit(False))).drop("last_cpu", "last_ldom")
 
 
 _BY = {"pid": ["hostname", "pid"], "pid_cpu": ["hostname", "pid", "cpu"], "cpu": ["hostname", "cpu"], "node": ["hostname", "ldom"], "host": ["hostname"]}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .hot import Scan
+from .hot import Scan, parted
 
 #: Numbers of calls that move data, by direction (fixed values, 64-bit).
 READS = {0: "read", 17: "pread64", 19: "readv", 45: "recvfrom", 47: "recvmsg", 295: "preadv"}
@@ -31,9 +31,13 @@ def pair_syscalls(df: DataFrame, gaps: DataFrame | None = None, cuts: DataFrame
     enter replaces it. Gaps of a CPU drop the calls that are open on it. ``cuts`` are those of hot tasks (``states.hot_tasks``).
     """
     e = df.where("event in ('sys_enter', 'sys_exit')").select("hostname", "pid", "tgid", "cpu", "hrtime", "cpu_seqno", "event", "sys")
-    scan = Scan(("hostname", "pid"), ("hrtime", "cpu", "cpu_seqno"), cuts)
     open_ = F.when(F.col("event") == "sys_enter", F.struct("hrtime", "cpu", "cpu_seqno", "sys"))
-    x = scan.bare(scan.last(scan.sliced(e), {"open": open_})).where("event = 'sys_exit' and open is not null and (sys.syscallno = open.sys.syscallno or sys.syscallno = -1)")
+
+    def work(rows: DataFrame, cuts: DataFrame | None) -> DataFrame:
+        scan = Scan(("hostname", "pid"), ("hrtime", "cpu", "cpu_seqno"), cuts)
+        return scan.bare(scan.last(scan.sliced(rows), {"open": open_}))
+
+    x = parted(e, cuts, work).where("event = 'sys_exit' and open is not null and (sys.syscallno = open.sys.syscallno or sys.syscallno = -1)")
     once = Window.partitionBy("hostname", "pid", "open.hrtime", "open.cpu", "open.cpu_seqno").orderBy("hrtime", "cpu", "cpu_seqno")
     x = x.withColumn("k", F.row_number().over(once)).where("k = 1")
     out = x.select(

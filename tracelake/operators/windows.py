@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .filters import bounds
-from .hot import Scan
+from .hot import Scan, parted
 
 
 def split_at(intervals: DataFrame, every_ns: int, t0: DataFrame) -> DataFrame:
@@ -90,8 +90,12 @@ def pareto(df: DataFrame, value: str, pct: float = 95.0, group: tuple[str, ...]
 
 def with_prev(df: DataFrame, cols: dict[str, "F.Column"], key: tuple[str, ...] = ("hostname", "pid"), cuts: DataFrame | None = None) -> DataFrame:
     """The last value that is not null of each expression over the events of a task before this one. ``cuts`` are those of hot keys (``hot.hot_cuts``)."""
-    scan = Scan(key, ("hrtime", "cpu", "cpu_seqno"), cuts)
-    return scan.bare(scan.last(scan.sliced(df), cols))
+
+    def work(rows: DataFrame, cuts: DataFrame | None) -> DataFrame:
+        scan = Scan(key, ("hrtime", "cpu", "cpu_seqno"), cuts)
+        return scan.bare(scan.last(scan.sliced(rows), cols))
+
+    return parted(df, cuts, work)
 
 
 def replay(df: DataFrame, step_ns: int) -> DataFrame:
