@@ -10,6 +10,7 @@ from .filters import is_barrier
 from .hot import SLICES, Scan, hot_cuts, parted
 from .states import bucket
 
+#: Upper edges of histogram buckets of service times in milliseconds (fixed values).
 SERVICE_EDGES_MS = [2, 5, 10, 15, 30, 50, 100, 150, 200]
 EVENTS = ["block_rq_insert", "block_rq_issue", "block_rq_complete", "block_rq_requeue", "block_rq_abort"]
 KEY = ["hostname", "dev", "sector"]

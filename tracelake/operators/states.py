@@ -17,6 +17,7 @@ from .hot import SLICES, Scan, hot_cuts, parted
 EXIT_BITS = 0x10 | 0x20 | 0x40
 #: How the second event profile names a wait.
 WIN_SLEEP = ("Waiting", "Terminated")
+#: Upper edges of histogram buckets in microseconds, of run-queue latencies and of idle times (fixed values).
 RUNQ_EDGES = [5, 10, 20, 50, 100, 500, 1000, 2000, 10000, 20000]
 IDLE_EDGES = [10, 20, 30, 40, 50, 60, 75, 100, 125, 150, 200, 500, 1000, 5000, 20000]
 
