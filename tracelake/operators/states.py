@@ -22,13 +22,21 @@ RUNQ_EDGES = [5, 10, 20, 50, 100, 500, 1000, 2000, 10000, 20000]
 IDLE_EDGES = [10, 20, 30, 40, 50, 60, 75, 100, 125, 150, 200, 500, 1000, 5000, 20000]
 
 
-def task_points(df: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
-    """One row for each task that an event affects: kind in, out, wake, enter, exit, irq+, irq-, sample or gap."""
+def task_points(df: DataFrame, gaps: DataFrame | None = None, measures: bool = False) -> DataFrame:
+    """One row for each task that an event affects: kind in, out, wake, enter, exit, irq+, irq-, sample or gap.
+
+    With ``measures`` a switch-out carries steal time, priority and sizes, and a wakeup gives the waker a row too, of
+    kind wakes: all that ``task_cpu`` needs comes from this one table.
+    """
     ev = F.col("event")
     none = F.lit(None)
 
+    size = F.struct(F.col("sw.stealtime").alias("steal"), F.col("sw.prev_prio").alias("prio"), F.col("sw.total_rss").alias("rss"), F.col("sw.total_vm").alias("vss"))
+
     def point(pid, kind, asleep=none, mode=none, scall=none, waker=none, ips=none, new=none):
+        told = [F.when(F.lit(kind == "out"), size).alias("size")] if measures else []
         return F.struct(
+            *told,
             pid.cast("long").alias("pid"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), asleep.cast("string").alias("asleep"), mode.cast("string").alias("mode"),
             scall.cast("int").alias("scall"), waker.cast("long").alias("waker"), ips.cast("array<bigint>").alias("ips"), new.cast("boolean").alias("new"),
         )
@@ -37,9 +45,10 @@ def task_points(df: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     asleep = F.when(prev == 0, "Q").when(prev.bitwiseAND(F.lit(EXIT_BITS)) != 0, "Z").otherwise("S")
     # A sample in interrupt context says nothing of the task; else its first context marker tells the mode.
     sample = F.when(F.col("hc.preempt_count") >= 256, none).when(F.get("hc.ips", F.lit(0)) == -512, "USER").otherwise("SYS")
+    woken = [point(F.col("pid"), "wakes")] if measures else []
     rows = (
         F.when(ev == "sched_switch", F.array(point(F.col("pid"), "out", asleep, ips=F.col("sw.ips")), point(F.col("sw.next_pid"), "in")))
-        .when(ev.isin("sched_wakeup", "sched_wakeup_new") & (F.col("wk.success") == 1), F.array(point(F.col("wk.target_pid"), "wake", waker=F.col("pid"), new=F.col("wk.is_new"))))
+        .when(ev.isin("sched_wakeup", "sched_wakeup_new") & (F.col("wk.success") == 1), F.array(point(F.col("wk.target_pid"), "wake", waker=F.col("pid"), new=F.col("wk.is_new")), *woken))
         .when(ev == "sys_enter", F.array(point(F.col("pid"), "enter", mode=F.lit("SYS"), scall=F.col("sys.syscallno"))))
         .when(ev == "sys_exit", F.array(point(F.col("pid"), "exit", mode=F.lit("USER"), scall=F.lit(-1))))
         .when(ev.isin("irq_handler_entry", "softirq_entry"), F.array(point(F.col("pid"), "irq+", mode=F.when(ev == "softirq_entry", "SOFTIRQ").otherwise("HARDIRQ"))))
@@ -61,14 +70,16 @@ def hot_tasks(df: DataFrame, slices: int = SLICES) -> DataFrame | None:
     return hot_cuts(task_points(df).select("hostname", "pid", "hrtime"), ("hostname", "pid"), "hrtime", slices)
 
 
-def task_state_intervals(df: DataFrame, gaps: DataFrame | None = None, cuts: DataFrame | None = None) -> DataFrame:
+def task_state_intervals(df: DataFrame, gaps: DataFrame | None = None, cuts: DataFrame | None = None, points: DataFrame | None = None, span: DataFrame | None = None) -> DataFrame:
     """hostname, pid, cpu, state, mode, start, end, ns, ended_by, waker, scall, ips, seqno of each interval.
 
+    ``points`` (``task_points``, of all events and gaps) and ``span`` (``bounds``) are for callers that have them already.
+
     state is N (before anything is known, or after a gap), RUNNING, RUNQ, SWTCH or ZOMBIE. mode is SYS, USER, HARDIRQ,
     SOFTIRQ or null. ns is 0 where nothing is charged: N, ZOMBIE, and RUNNING or RUNQ intervals that a gap ends.
     """
-    t = F.broadcast(bounds(df))  # a row a host
-    return parted(task_points(df, gaps), cuts, lambda points, cuts: _intervals(points, t, cuts))
+    t = F.broadcast(bounds(df) if span is None else span)  # a row a host
+    return parted(task_points(df, gaps) if points is None else points.where("kind <> 'wakes'").drop("size"), cuts, lambda points, cuts: _intervals(points, t, cuts))
 
 
 def _intervals(points: DataFrame, t: DataFrame, cuts: DataFrame | None) -> DataFrame:
@@ -125,26 +136,28 @@ def _ns(test: str):
 SYS = "state = 'RUNNING' and coalesce(mode, 'SYS') = 'SYS'"
 
 
-def task_cpu(df: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
-    """Per task: run, sys, user, irq, runq, sleep and total ns; counts of switches, sleeps, preemptions, wakeups and settings to the run queue; steal, memory, priorities, last CPU, migrations."""
+def task_cpu(df: DataFrame, intervals: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
+    """Per task: run, sys, user, irq, runq, sleep and total ns; counts of switches, sleeps, preemptions, wakeups and settings to the run queue; steal, memory, priorities, last CPU, migrations.
+
+    All counts come from one table of points (``task_points`` with measures), which may be given.
+    """
     iv = task_state_intervals(df) if intervals is None else intervals
     times = iv.groupBy("hostname", "pid").agg(
         _ns("state = 'RUNNING'").alias("run_ns"), _ns(SYS).alias("sys_ns"), _ns("state = 'RUNNING' and mode = 'USER'").alias("user_ns"),
         _ns("state = 'RUNNING' and mode in ('HARDIRQ', 'SOFTIRQ')").alias("irq_ns"), _ns("state = 'RUNQ'").alias("runq_ns"), _ns("state = 'SWTCH'").alias("sleep_ns"), F.sum("ns").alias("total_ns"),
     )
-    w = Window.partitionBy("hostname", "pid").orderBy("hrtime", "cpu", "cpu_seqno")
-    seen = task_points(df).where("kind <> 'wake'").withColumn("moved", F.col("cpu") != F.lag("cpu").over(w))
+    p = task_points(df, measures=True) if points is None else points
+    kind, at = F.col("kind"), F.struct("hrtime", "cpu_seqno")
+    here = ~kind.isin("wake", "wakes", "gap")
+    w = Window.partitionBy("hostname", "pid").orderBy("hrtime", "cpu", "cpu_seqno").rowsBetween(Window.unboundedPreceding, -1)
+    seen = p.withColumn("moved", here & (F.col("cpu") != F.last(F.when(here, F.col("cpu")), True).over(w)))
+    size = lambda c: F.max_by(f"size.{c}", F.when(F.col(f"size.{c}") > 0, at))
     counts = seen.groupBy("hostname", "pid").agg(
-        F.count_if(F.col("kind") == "out").alias("switches"), F.count_if((F.col("kind") == "out") & (F.col("asleep") != "Q")).alias("sleeps"), F.count_if((F.col("kind") == "out") & (F.col("asleep") == "Q")).alias("preempts"),
-        F.count_if(F.col("kind") == "in").alias("setrq"), F.max(F.coalesce(F.col("asleep") == "Z", F.lit(False))).alias("terminated"), F.max_by("cpu", F.struct("hrtime", "cpu_seqno")).alias("last_cpu"), F.coalesce(F.count_if(F.col("moved")), F.lit(0)).alias("migrations"),
+        F.count_if(kind == "out").alias("switches"), F.count_if((kind == "out") & (F.col("asleep") != "Q")).alias("sleeps"), F.count_if((kind == "out") & (F.col("asleep") == "Q")).alias("preempts"),
+        F.count_if(kind == "in").alias("setrq"), F.max(F.when(here, F.coalesce(F.col("asleep") == "Z", F.lit(False)))).alias("terminated"), F.max_by("cpu", F.when(here, at)).alias("last_cpu"), F.count_if(F.coalesce("moved", F.lit(False))).alias("migrations"),
+        F.sum("size.steal").alias("steal_ns"), F.max("size.prio").alias("prio_hi"), F.min("size.prio").alias("prio_lo"), size("rss").alias("rss"), size("vss").alias("vss"), F.count_if(kind == "wakes").alias("wakeups"),
     )
-    sw = df.where("event = 'sched_switch' and pid > 0")
-    extra = sw.groupBy("hostname", "pid").agg(
-        F.sum("sw.stealtime").alias("steal_ns"), F.max("sw.prev_prio").alias("prio_hi"), F.min("sw.prev_prio").alias("prio_lo"),
-        F.max_by("sw.total_rss", F.when(F.col("sw.total_rss") > 0, F.struct("hrtime", "cpu_seqno"))).alias("rss"), F.max_by("sw.total_vm", F.when(F.col("sw.total_vm") > 0, F.struct("hrtime", "cpu_seqno"))).alias("vss"),
-    )
-    woken = df.where("event in ('sched_wakeup', 'sched_wakeup_new') and wk.success = 1").groupBy("hostname", "pid").agg(F.count("*").alias("wakeups"))
-    return times.join(counts, ["hostname", "pid"], "left").join(extra, ["hostname", "pid"], "left").join(woken, ["hostname", "pid"], "left").fillna(0, ["switches", "sleeps", "preempts", "setrq", "wakeups", "steal_ns", "migrations"])
+    return times.join(counts, ["hostname", "pid"], "left").fillna(0, ["switches", "sleeps", "preempts", "setrq", "wakeups", "steal_ns", "migrations"])
 
 
 def mem_top(df: DataFrame, by: str = "rss") -> DataFrame:
@@ -153,22 +166,23 @@ def mem_top(df: DataFrame, by: str = "rss") -> DataFrame:
     return df.where("event = 'sched_switch' and pid > 0").where(size > 0).groupBy("hostname", "pid").agg(F.max_by(size, F.struct("hrtime", "cpu_seqno")).alias(by))
 
 
-def cpu_intervals(df: DataFrame) -> DataFrame:
+def cpu_intervals(df: DataFrame, span: DataFrame | None = None) -> DataFrame:
     """hostname, cpu, start, end, ns, pid (0 = idle): what each CPU runs between switches."""
     w = Window.partitionBy("hostname", "cpu").orderBy("hrtime", "cpu_seqno")
     sw = df.where("event = 'sched_switch'").select("hostname", "cpu", "hrtime", "cpu_seqno", F.col("sw.next_pid").alias("next"), F.col("sw.stealtime").alias("steal"))
-    sw = sw.join(F.broadcast(bounds(df)), "hostname")
+    sw = sw.join(F.broadcast(bounds(df) if span is None else span), "hostname")
     return sw.select("hostname", "cpu", F.col("hrtime").alias("start"), F.coalesce(F.lead("hrtime").over(w), "t1").alias("end"), F.col("next").alias("pid"), "steal").withColumn("ns", F.col("end") - F.col("start"))
 
 
-def cpu_time(df: DataFrame, topology: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
+def cpu_time(df: DataFrame, topology: DataFrame, intervals: DataFrame | None = None, span: DataFrame | None = None) -> DataFrame:
     """Per CPU: total, busy, sys, user, irq, idle ns and switches; a CPU without events is idle for the whole capture."""
+    span = bounds(df) if span is None else span
     iv = task_state_intervals(df) if intervals is None else intervals
     run = iv.where("state = 'RUNNING'").groupBy("hostname", "cpu").agg(_ns(SYS).alias("sys_ns"), _ns("mode = 'USER'").alias("user_ns"), _ns("mode in ('HARDIRQ', 'SOFTIRQ')").alias("irq_ns"))
-    idle = cpu_intervals(df).groupBy("hostname", "cpu").agg(
+    idle = cpu_intervals(df, span).groupBy("hostname", "cpu").agg(
         F.sum(F.when(F.col("pid") == 0, F.col("ns")).otherwise(0)).alias("idle_ns"), F.sum(F.when(F.col("pid") != 0, F.col("ns")).otherwise(0)).alias("busy_ns"), F.count("*").alias("switches"), F.sum(F.coalesce("steal", F.lit(0))).alias("steal_ns")
     )
-    out = topology.select("hostname", "cpu", "ldom").join(idle, ["hostname", "cpu"], "left").join(run, ["hostname", "cpu"], "left").join(F.broadcast(bounds(df)), "hostname")
+    out = topology.select("hostname", "cpu", "ldom").join(idle, ["hostname", "cpu"], "left").join(run, ["hostname", "cpu"], "left").join(F.broadcast(span), "hostname")
     out = out.withColumn("idle_ns", F.coalesce("idle_ns", F.col("t1") - F.col("t0"))).fillna(0)
     return out.select("hostname", "ldom", "cpu", (F.col("idle_ns") + F.col("busy_ns")).alias("total_ns"), "busy_ns", "sys_ns", "user_ns", "irq_ns", "idle_ns", "steal_ns", "switches")
 
@@ -186,9 +200,10 @@ def global_cpu_time(cpus: DataFrame) -> DataFrame:
     return node_cpu_time(cpus).where("ldom is null and hostname is not null").drop("ldom")
 
 
-def runq_latency(df: DataFrame, topology: DataFrame | None = None, cuts: DataFrame | None = None) -> DataFrame:
+def runq_latency(df: DataFrame, topology: DataFrame | None = None, cuts: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
     """hostname, pid, cpu, ready_ts, run_ts, latency_us, migrated, node_migrated: from the wakeup or preemption that queued a task to its next switch-in."""
-    out = parted(task_points(df).where("kind in ('in', 'out', 'wake', 'enter', 'exit')"), cuts, _latencies)
+    points = task_points(df) if points is None else points.drop("size")
+    out = parted(points.where("kind in ('in', 'out', 'wake', 'enter', 'exit')"), cuts, _latencies)
     if topology is None:
         return out.drop("last_cpu")
     t = topology.select("hostname", "cpu", "ldom")
@@ -220,6 +235,16 @@ def runq_stats(latencies: DataFrame, by: str = "pid") -> DataFrame:
     )
 
 
+def runq_levels(latencies: DataFrame) -> DataFrame:
+    """``runq_stats`` of tasks on each CPU, tasks, CPUs and hosts in one aggregate; ``level`` tells them apart."""
+    sets = [[F.col(c) for c in _BY[by]] for by in ("pid_cpu", "pid", "cpu", "host")]
+    out = latencies.groupingSets(sets, "hostname", "pid", "cpu").agg(
+        F.count("*").alias("cnt"), F.sum("latency_us").alias("total_us"), F.max("latency_us").alias("max_us"), F.count_if("migrated").alias("migrations"), F.grouping_id("hostname", "pid", "cpu").alias("_g"),
+    )
+    level = F.when(F.col("_g") == 0, "pid_cpu").when(F.col("_g") == 1, "pid").when(F.col("_g") == 2, "cpu").otherwise("host")
+    return out.select("hostname", level.alias("level"), "pid", "cpu", "cnt", "total_us", F.expr("total_us div cnt").alias("avg_us"), "max_us", "migrations")
+
+
 def bucket(value, edges: list):
     """The number of edges that a value has reached: 0 below the first, len(edges) from the last on."""
     out = F.lit(len(edges))
@@ -354,6 +379,14 @@ def capture_gaps_of(df: DataFrame) -> DataFrame:
     return capture_gaps(df)
 
 
+def count_levels(df: DataFrame) -> DataFrame:
+    """Events of hosts, types, tasks and tasks by type in one aggregate; ``level`` tells them apart."""
+    sets = [[F.col(c) for c in cols] for cols in (["hostname"], ["hostname", "event"], ["hostname", "pid"], ["hostname", "pid", "event"])]
+    out = df.groupingSets(sets, "hostname", "pid", "event").agg(F.count("*").alias("n"), F.grouping_id("hostname", "pid", "event").alias("_g"))
+    level = F.when(F.col("_g") == 0, "pid_event").when(F.col("_g") == 1, "pid").when(F.col("_g") == 2, "event").otherwise("host")
+    return out.select("hostname", level.alias("level"), "pid", "event", "n")
+
+
 def trace_counts(df: DataFrame, by: str = "event") -> DataFrame:
     """Events by type, task, or both, with their share of all events of the host."""
     keys = {"event": ["event"], "pid": ["pid"], "pid_event": ["pid", "event"]}[by]

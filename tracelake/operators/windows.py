@@ -51,10 +51,10 @@ def covered(intervals: DataFrame, every_ns: int, t0: DataFrame, by: tuple[str, .
     return sums.select(*by, F.col("_slot").alias("slot"), *[(F.when(F.col("_slot") == F.col("slot"), F.col(n)).otherwise(0) + F.col(f"_w_{n}")).alias(n) for n in tests])
 
 
-def timeline(df: DataFrame, intervals: DataFrame, every_ms: int = 100, by: tuple[str, ...] = ("hostname",), latencies: DataFrame | None = None) -> DataFrame:
+def timeline(df: DataFrame, intervals: DataFrame, every_ms: int = 100, by: tuple[str, ...] = ("hostname",), latencies: DataFrame | None = None, span: DataFrame | None = None) -> DataFrame:
     """State times of each slot: run, sys, user, irq, runq, sleep; with latencies also count and longest of each slot."""
     every = every_ms * 1_000_000
-    t0 = bounds(df)
+    t0 = bounds(df) if span is None else span
     states = {"run_ns": "state = 'RUNNING'", "sys_ns": "state = 'RUNNING' and coalesce(mode, 'SYS') = 'SYS'", "user_ns": "state = 'RUNNING' and mode = 'USER'",
               "irq_ns": "state = 'RUNNING' and mode in ('HARDIRQ', 'SOFTIRQ')", "runq_ns": "state = 'RUNQ'", "sleep_ns": "state = 'SWTCH'"}
     out = covered(intervals.where("ns > 0"), every, t0, by, states)

@@ -1,38 +1,85 @@
 """Composite reports: named results of many operators over shared intermediate tables.
 
-A report is a dictionary of lazy DataFrames in a fixed order. Intervals, calls and requests are
-persisted once; whoever asks for a few sections computes only those.
+A report is a dictionary of lazy DataFrames in a fixed order. Points, intervals, calls and requests are
+persisted once; whoever asks for a few sections computes only those. With ``stage`` the trace is read
+once: one write puts it into the shared folder in parts by what reads them, and observes on the way how
+many events each part has, so that sections without input are left out.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import blockio, dims, graph, power, stacks, states, syscalls, topn, windows
+from ..operators.filters import bounds
+from ..streaming.drive import folder
 from . import rules
 
+#: Parts of a staged trace and the events of each; all others go to the part ``other``.
+PARTS = {"sched": "sched_", "sys": "sys_", "blk": "block_", "hc": "hardclock", "irq": ("irq_", "softirq_"), "pwr": "power_", "pgc": "cache_"}
+#: Sections of the host report by the beginnings of their names, and the part without which they are empty.
+NEEDS = {"1.1.3": "pwr", "1.2": "sched", "1.4": "hc", "1.5": "sched", "1.6": "irq", "2.1": "sched", "2.2": "sched", "2.3": "sys", "3.": "sys", "4.1 ": "blk", "4.2": "blk", "4.3": "blk", "4.4": "blk", "4.5": "blk", "4.7": "blk", "4.8": "blk", "4.9": "blk", **{f"5 {level}": "sys" for level in syscalls.SOCKET_LEVELS}, "6.2": "sched", "6.3": "sched"}
+
+
+def part_of(event) -> F.Column:
+    """The part that an event belongs to."""
+    out = F.lit("other")
+    for name, heads in PARTS.items():
+        tests = [event.startswith(h) for h in ((heads,) if isinstance(heads, str) else heads)]
+        out = F.when(tests[0] if len(tests) == 1 else tests[0] | tests[1], name).otherwise(out)
+    return out
+
+
+def staged(df: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The trace written once to the shared folder with a column ``part``, and the number of events of each part as the write saw them. There is no shuffle; reading one part skips the files of the others."""
+    seen, part = Observation(), F.col("part")
+    path = folder(df.sparkSession, "trace")
+    told = df.withColumn("part", part_of(F.col("event"))).observe(seen, *[F.count_if(part == p).alias(p) for p in (*PARTS, "other")])
+    told.write.partitionBy("part").parquet(path)
+    return df.sparkSession.read.schema(told.schema).parquet(path), dict(seen.get)
+
 
 class Shared:
-    """The tables that most sections read, each made once and spilled to disk where memory is short."""
-
-    def __init__(self, df: DataFrame, topology: DataFrame):
-        keep = lambda x: x.persist(StorageLevel.MEMORY_AND_DISK)
-        self.df, self.topology = df, topology
-        self.intervals = keep(states.task_state_intervals(df))
-        self.calls = keep(syscalls.pair_syscalls(df))
-        self.io = keep(blockio.pair_block_io(df))
-        self.latencies = states.runq_latency(df, topology)
-        self.tasks = states.task_cpu(df, self.intervals)
-        self.cpus = states.cpu_time(df, topology, self.intervals)
-        self.samples = stacks.profile_samples(df)
+    """The tables that most sections read, each made once and spilled to disk where memory is short.
+
+    ``counts`` holds the events of each part if the trace is staged, else nothing.
+    """
+
+    def __init__(self, df: DataFrame, topology: DataFrame, stage: bool = False):
+        self.kept: list[DataFrame] = []
+        self.counts: dict[str, int] = {}
+        if stage:
+            df, self.counts = staged(df)
+        part = lambda *names: df.where(F.col("part").isin(*names)) if stage else df
+        self.df, self.topology, self.part = df, topology, part
+        tasks = part("sched", "sys", "hc", "irq")
+        self.span = self._keep(bounds(df))
+        # By task once: intervals, latencies and counts all go on from here without another shuffle.
+        self.points = self._keep(states.task_points(tasks, measures=True).repartition("hostname", "pid"))
+        self.intervals = self._keep(states.task_state_intervals(tasks, points=self.points, span=self.span))
+        self.calls = self._keep(syscalls.pair_syscalls(part("sys")))
+        self.io = self._keep(blockio.pair_block_io(part("blk")))
+        self.latencies = states.runq_latency(tasks, topology, points=self.points)
+        self.tasks = states.task_cpu(tasks, self.intervals, self.points)
+        self.cpus = states.cpu_time(part("sched"), topology, self.intervals, self.span)
+        self.samples = stacks.profile_samples(part("hc"))
         self.slept = stacks.sleeps(self.intervals)
         self.bound = syscalls.bind_fd(self.calls)
         self.devices = blockio.io_stats(self.io)
 
+    def _keep(self, x: DataFrame) -> DataFrame:
+        self.kept.append(x.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.kept[-1]
+
+    def filled(self, sections: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Without the sections whose part of the trace is known to be empty."""
+        gone = {p for p, n in self.counts.items() if n == 0}
+        return {k: v for k, v in sections.items() if not any(k.startswith(head) and p in gone for head, p in NEEDS.items())}
+
     def release(self) -> None:
-        for x in (self.intervals, self.calls, self.io):
+        for x in self.kept:
             x.unpersist()
 
 
@@ -88,7 +135,7 @@ def host_report(df: DataFrame, topology: DataFrame, symbols: DataFrame | None =
         out["8.2 container CPU"] = topn.top_containers(c, "run_ns", n)
         out["8.3 container I/O"] = topn.top_containers(c, "ios", n)
     out["10 findings"] = host_findings(s, facts, devices, seconds)
-    return out
+    return s.filled(out)
 
 
 def host_findings(s: Shared, facts: DataFrame | None = None, devices: DataFrame | None = None, seconds: float | None = None) -> DataFrame:
@@ -101,13 +148,18 @@ def host_findings(s: Shared, facts: DataFrame | None = None, devices: DataFrame
     return rules.findings(*parts)
 
 
-def all_reports(df: DataFrame, topology: DataFrame, n: int = 20) -> dict[str, DataFrame]:
-    """Task, disk, file, socket, profile, run-queue, wait, futex and timeline results from one set of shared tables."""
-    s = Shared(df, topology)
-    return {
+def all_reports(df: DataFrame, topology: DataFrame, n: int = 20, containers: DataFrame | None = None, every_ms: int = 100, shared: Shared | None = None) -> dict[str, DataFrame]:
+    """Task, disk, file, socket, profile, run-queue, wait, futex, timeline, event and container results from one reading of the trace. Run-queue and event results have all levels, each from one aggregate."""
+    s = shared or Shared(df, topology, stage=True)
+    out = {
         "task": s.tasks, "disk": s.devices, "file": syscalls.file_stats(s.bound), "socket": syscalls.socket_stats(syscalls.socket_calls(s.bound)), "profile": stacks.profile_states(s.samples), "runq": states.runq_stats(s.latencies, "pid_cpu"),
-        "wait": stacks.sleep_funcs(s.slept), "futex": syscalls.futex_stats(syscalls.futex_calls(s.calls)), "timeline": windows.timeline(df, s.intervals, 100, latencies=s.latencies),
+        "wait": stacks.sleep_funcs(s.slept), "futex": syscalls.futex_stats(syscalls.futex_calls(s.calls)), "timeline": windows.timeline(s.df, s.intervals, every_ms, latencies=s.latencies, span=s.span),
+        "run-queue levels": states.runq_levels(s.latencies), "event levels": states.count_levels(s.df), "syscall": syscalls.syscall_stats(s.calls),
     }
+    if containers is not None:
+        by_pid_io = blockio.io_stats(s.io.withColumnRenamed("issue_pid", "pid"), ("hostname", "pid"))
+        out["container"] = dims.container_stats(s.tasks.withColumn("tgid", F.col("pid")), containers, by_pid_io)
+    return out
 
 
 def task_report(df: DataFrame, topology: DataFrame, pid: int, shared: Shared | None = None) -> dict[str, DataFrame]:
