@@ -794,6 +794,20 @@ def c2(spark, sf):
     return ad.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", sc.decode_enum(F.expr("l_linenumber % 4"), sc.WHENCE).alias("whence"))
 
 
+def names_sql(value, names):
+    """The name of a number, or the number itself."""
+    return f"CASE {value} {' '.join(f'WHEN {k} THEN {chr(39)}{v}{chr(39)}' for k, v in names.items())} ELSE CAST({value} AS VARCHAR) END"
+
+
+ENUMS = {"sig": ("l_orderkey % 40", sc.SIGNALS), "fcntl": ("l_partkey % 45", sc.FCNTL), "fcntl_linux": ("1020 + l_suppkey % 25", sc.FCNTL), "semctl": ("l_suppkey % 24", sc.SEMCTL), "ipc": ("l_orderkey % 28", sc.IPC_CALLS), "futex": ("l_partkey % 16", sc.FUTEX_OPS),
+         "domain": ("l_linenumber * 5 % 20", sc.SOCKET_DOMAINS), "socket": ("l_linenumber % 12", sc.SOCKET_TYPES)}
+
+
+@query("c2_decode_all", f"SELECT l_orderkey, l_linenumber, {', '.join(f'{names_sql(v, t)} AS {n}' for n, (v, t) in ENUMS.items())} FROM lineitem")
+def c2b(spark, sf):
+    return ad.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[sc.decode_enum(F.expr(v), t).alias(n) for n, (v, t) in ENUMS.items()])
+
+
 @query("c3_ip_port_str", "SELECT o_orderkey, (o_orderkey // 16777216 % 256) || '.' || (o_orderkey // 65536 % 256) || '.' || (o_orderkey // 256 % 256) || '.' || (o_orderkey % 256) || ':' || o_custkey AS addr FROM orders")
 def c3(spark, sf):
     return ad.table(spark, sf, "orders").select("o_orderkey", sc.ip_port_str(sc.ipv4_str(F.col("o_orderkey")), F.col("o_custkey")).alias("addr"))
@@ -982,18 +996,30 @@ def all_events(spark, sf):
     return out
 
 
-@query("d9_findings")
+# Interrupts of the example traces have names that no rule asks for.
+D9 = f"""WITH f AS (
+  SELECT hostname, 'power_saving' AS code, CAST(cstate AS VARCHAR) AS evidence FROM ({sql_of('a30_power_stats')}) WHERE cstate > 1 AND ns > 0
+  UNION ALL SELECT hostname, 'runq_delay', evidence FROM ({sql_of('d2_rules_runq')})
+  UNION ALL SELECT hostname, 'disk_service', CAST(dev AS VARCHAR) FROM ({REQS} SELECT * FROM st) WHERE rw IS NULL AND serv_ns / ios / 1e6 > 30
+  UNION ALL SELECT hostname, 'block_rereads', CAST(dev AS VARCHAR) FROM ({sql_of('a26_hot_blocks')}) WHERE rw = 0 AND n > 50
+  UNION ALL SELECT hostname, 'short_polls', CAST(cnt AS VARCHAR) FROM ({sql_of('a15_syscall_stats')}) WHERE syscallno = 7 AND cnt > 10000 AND elapsed_ns / cnt < 2000
+  UNION ALL SELECT hostname, 'cpu_bottleneck', CAST(round(100.0 * sum(idle_ns) / sum(idle_ns + busy_ns), 2) AS VARCHAR) FROM ({sql_of('a3_cpu_time')}) GROUP BY hostname HAVING 100.0 * sum(idle_ns) / sum(idle_ns + busy_ns) < 10)
+SELECT hostname, code, CASE code {' '.join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in rules.MESSAGES.items())} END AS severity,
+       CASE code {' '.join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in rules.MESSAGES.items())} END AS message, min(evidence) AS evidence, count(*) AS n FROM f GROUP BY hostname, code"""
+
+
+@query("d9_findings", D9)
 def d9(spark, sf):
     return reports.host_findings(reports.Shared(all_events(spark, sf), ad.topology(spark)), seconds=86_400.0)
 
 
-def section(name, part):
-    """A registered query for one section of a report."""
+def section(name, part, trace=None, cols=None):
+    """A registered query for one section of a report over a trace."""
 
     def run(spark, sf):
-        t, top = all_events(spark, sf), ad.topology(spark)
+        t, top = (trace or all_events)(spark, sf), ad.topology(spark)
         found = {"p1": lambda: reports.host_report(t, top, devices=devices(spark, sf)), "p2": lambda: reports.all_reports(t, top), "p3": lambda: reports.task_report(t, top, 20), "p4": lambda: reports.cluster_report(t, top)}[name]()
-        return found[part]
+        return found[part].select(*cols) if cols else found[part]
 
     return run
 
@@ -1010,6 +1036,101 @@ for _name, _part, _sql in (
     query(f"{_name}_{_part.split(' ', 1)[-1].replace(' ', '_').replace('-', '_')}", _sql)(section(_name, _part))
 
 
+def task_and_block(spark, sf):
+    return ad.task_trace(spark, sf).unionByName(ad.block_trace(spark, sf))
+
+
+def runq_sql(keys):
+    """Run-queue statistics by other keys."""
+    return RUNQ.split("SELECT hostname, cpu, count(*) AS cnt")[0].replace("(SELECT hostname, cpu, (hrtime", "(SELECT hostname, pid, cpu, (hrtime") + f"""SELECT {keys}, count(*) AS cnt, CAST(sum(us) AS BIGINT) AS total_us, CAST(sum(us) AS BIGINT) // count(*) AS avg_us,
+max(us) AS max_us, count(*) FILTER (WHERE moved) AS migrations, count(*) FILTER (WHERE left_node) AS node_migrations FROM la GROUP BY ALL"""
+
+
+RUNQ_LEVELS = runq_sql("hostname, pid, cpu, CASE grouping(hostname, pid, cpu) WHEN 0 THEN 'pid_cpu' WHEN 1 THEN 'pid' WHEN 2 THEN 'cpu' ELSE 'host' END AS level").replace(
+    "GROUP BY ALL", "GROUP BY GROUPING SETS ((hostname, pid, cpu), (hostname, pid), (hostname, cpu), (hostname))").replace(", count(*) FILTER (WHERE left_node) AS node_migrations", "")
+EVENT_LEVELS = f"""WITH {EV}, {IO},
+t AS (SELECT hostname, CASE event_type WHEN 'view' THEN 0 WHEN 'purchase' THEN usr + 1 ELSE usr END AS pid, CASE event_type WHEN 'signup' THEN 'sys_enter' WHEN 'error' THEN 'sys_exit' WHEN 'purchase' THEN 'sched_wakeup' ELSE 'sched_switch' END AS event FROM ev
+      UNION ALL SELECT hostname, pid, event FROM bt)
+SELECT hostname, CASE grouping(hostname, pid, event) WHEN 0 THEN 'pid_event' WHEN 1 THEN 'pid' WHEN 2 THEN 'event' ELSE 'host' END AS level, pid, event, count(*) AS n
+FROM t GROUP BY GROUPING SETS ((hostname), (hostname, event), (hostname, pid), (hostname, pid, event))"""
+HOST_IO = REQS + """SELECT hostname, rw, CAST(sum(ios) AS BIGINT) AS ios, CAST(sum(sectors) AS BIGINT) AS sectors, CAST(sum(wait_ns) AS BIGINT) AS wait_ns, CAST(sum(serv_ns) AS BIGINT) AS serv_ns,
+CAST(sum(waits) AS BIGINT) AS waits, CAST(sum(seq) AS BIGINT) AS seq, max(max_wait_ns) AS max_wait_ns, max(max_serv_ns) AS max_serv_ns FROM st GROUP BY hostname, rw"""
+HOST_IO_COLS = ["hostname", "rw", "ios", "sectors", "wait_ns", "serv_ns", "waits", "seq", "max_wait_ns", "max_serv_ns"]
+TASK_IO = REQS.replace("AS sequential FROM rq)", "AS sequential FROM rq WHERE issue_pid = 20)") + "SELECT hostname, dev, rw, ios, sectors, wait_ns, serv_ns, waits, seq, max_wait_ns, max_serv_ns, rnd FROM st"
+CPU_COLS = ["hostname", "ldom", "cpu", "idle_ns", "busy_ns", "switches"]
+NODE_COLS = ["hostname", "n_cpus", "idle_ns", "busy_ns"]
+WAIT_COLS = ["hostname", "pid", "frame", "cnt", "sleep_ns", "max_ns"]
+FUTEX_COLS = ["hostname", "space", "addr", "cnt", "eagain", "etimedout", "other_err", "elapsed_ns", "max_ns"]
+IRQ_COLS = ["hostname", "kind", "irq", "cnt", "time_ns"]
+FILE_COLS = ["hostname", "dev", "node", "syscalls", "elapsed_ns", "reads", "writes", "errs", "bytes", "opens"]
+
+
+def first(by, tie="hostname, pid"):
+    return f"ORDER BY {by} DESC, {tie} LIMIT 20"
+
+
+#: Report, section, trace, SQL (or the query whose SQL it is), what the section takes of it, columns (all if none are named).
+SECTIONS = [
+    ("p1", "1.1.1 per CPU", ad.task_trace, "a3_cpu_time", "", CPU_COLS),
+    ("p1", "1.1.2 per node", ad.task_trace, "a4_node_cpu_time", "WHERE ldom IS NOT NULL", ["hostname", "ldom", *NODE_COLS[1:]]),
+    ("p1", "1.1.4 hyper-threads", ad.task_trace, "a5_ht_usage", "", None),
+    ("p1", "1.2.1 tasks by run time", ad.task_trace, "a2_task_cpu", first("run_ns"), TASK_COLS),
+    ("p1", "1.2.2 tasks by system time", ad.task_trace, "a2_task_cpu", first("sys_ns"), TASK_COLS),
+    ("p1", "1.3.1 event types", ad.task_trace, "a31_trace_counts", "", ["hostname", "event", "n", "pct"]),
+    ("p1", "1.4.2 profile by CPU", ad.profile_trace, "a27_profile_states", "", ["hostname", "cpu", "total", "usr", "sys", "idle", "intr"]),
+    ("p1", "1.6.1 hard IRQ", ad.cpu_trace, "a29_irq_stats", "WHERE kind = 'hard'", IRQ_COLS),
+    ("p1", "1.6.3 soft IRQ", ad.cpu_trace, "a29_irq_stats", "WHERE kind = 'soft'", IRQ_COLS),
+    ("p1", "2.1.3 tasks by sleeps", ad.task_trace, "a2_task_cpu", first("sleeps"), TASK_COLS),
+    ("p1", "2.2.3 tasks by run-queue time", ad.task_trace, "a2_task_cpu", first("runq_ns"), TASK_COLS),
+    ("p1", "2.3.1 futex by count", ad.futex_trace, "a22_futex_stats", first("cnt", "hostname, space, addr"), ["hostname", "space", "addr", "cnt", "eagain", "etimedout", "other_err", "elapsed_ns", "max_ns"]),
+    ("p1", "2.3.2 futex by time", ad.futex_trace, "a22_futex_stats", first("elapsed_ns", "hostname, space, addr"), ["hostname", "space", "addr", "cnt", "eagain", "etimedout", "other_err", "elapsed_ns", "max_ns"]),
+    ("p1", "3.1 files by calls", ad.task_trace, "a18_file_stats", first("syscalls", "hostname, dev, node"), FILE_COLS),
+    ("p1", "3.2 files by time", ad.task_trace, "a18_file_stats", first("elapsed_ns", "hostname, dev, node"), FILE_COLS),
+    ("p1", "4.1 global I/O", ad.block_trace, HOST_IO, "", HOST_IO_COLS),
+    ("p1", "4.2.4 wait time", ad.block_trace, REQS + DISKS, "WHERE rw IS NULL " + first("avwait_ms", "hostname, dev"), None),
+    ("p1", "4.8 block re-reads", ad.block_trace, "a26_hot_blocks", "WHERE rw = 0 AND n >= 3", ["hostname", "dev", "sector", "rw", "n"]),
+    ("p1", "4.9 block re-writes", ad.block_trace, "a26_hot_blocks", "WHERE rw = 1 AND n >= 3", ["hostname", "dev", "sector", "rw", "n"]),
+    ("p1", "6.2 resident size", ad.task_trace, "a35_mem_top", first("rss"), None),
+    ("p2", "task", ad.task_trace, "a2_task_cpu", "", TASK_COLS),
+    ("p2", "runq", ad.task_trace, runq_sql("hostname, pid, cpu"), "", None),
+    ("p2", "wait", ad.task_trace, "a11_sleep_funcs", "", WAIT_COLS),
+    ("p2", "syscall", ad.task_trace, "a15_syscall_stats", "", ["hostname", "pid", "syscallno", "cnt", "elapsed_ns", "max_ns", "errs", "bytes"]),
+    ("p2", "futex", ad.futex_trace, "a22_futex_stats", "", FUTEX_COLS),
+    ("p2", "profile", ad.profile_trace, "a27_profile_states", "", ["hostname", "cpu", "total", "usr", "sys", "idle", "intr"]),
+    ("p2", "run-queue levels", task_and_block, RUNQ_LEVELS, "", None),
+    ("p2", "event levels", task_and_block, EVENT_LEVELS, "", None),
+    ("p3", "scheduler activity", ad.task_trace, "a2_task_cpu", "WHERE pid = 20", TASK_COLS),
+    ("p3", "run-queue latency", ad.task_trace, runq_sql("hostname, pid"), "WHERE pid = 20", None),
+    ("p3", "run-queue histogram", ad.task_trace, "a8_runq_hist", "WHERE pid = 20", None),
+    ("p3", "sleep functions", ad.task_trace, "a11_sleep_funcs", "WHERE pid = 20", WAIT_COLS),
+    ("p3", "syscalls", ad.task_trace, "a15_syscall_stats", "WHERE pid = 20", ["hostname", "pid", "syscallno", "cnt", "elapsed_ns", "max_ns", "errs", "bytes"]),
+    ("p3", "physical I/O", ad.block_trace, TASK_IO, "", STATS),
+    ("p3", "memory", ad.task_trace, "a35_mem_top", "WHERE pid = 20", None),
+    ("p4", "per-server summary", ad.task_trace, "a4_node_cpu_time", "WHERE ldom IS NULL AND hostname IS NOT NULL", NODE_COLS),
+    ("p4", "servers by run time", ad.task_trace, "a4_node_cpu_time", "WHERE ldom IS NULL AND hostname IS NOT NULL", NODE_COLS),
+    ("p4", "hyper-threads", ad.task_trace, "a5_ht_usage", "", None),
+    ("p4", "tasks by run time", ad.task_trace, "a2_task_cpu", first("run_ns"), TASK_COLS),
+    ("p4", "tasks by switches", ad.task_trace, "a2_task_cpu", first("switches"), TASK_COLS),
+    ("p4", "tasks by run-queue time", ad.task_trace, "a2_task_cpu", first("runq_ns"), TASK_COLS),
+    ("p4", "wait functions by task", ad.task_trace, "a11_sleep_funcs", first("sleep_ns", "hostname, pid, frame"), WAIT_COLS),
+    ("p4", "run-queue statistics", ad.task_trace, runq_sql("hostname"), "", None),
+    ("p4", "devices", ad.block_trace, REQS + DISKS, "WHERE rw IS NULL " + first("ios", "hostname, dev"), None),
+    ("p4", "global I/O", ad.block_trace, HOST_IO, "", HOST_IO_COLS),
+    ("p4", "futexes", ad.futex_trace, "a22_futex_stats", first("cnt", "hostname, space, addr"), FUTEX_COLS),
+    ("p4", "files", ad.task_trace, "a18_file_stats", first("syscalls", "hostname, dev, node"), FILE_COLS),
+]
+
+
+def section_name(report, part):
+    """The query of a section: its report, its number if it has one, and its words."""
+    return f"{report}_{part.lower().replace('.', '_').replace(' ', '_').replace('-', '_').replace('/', '')}"
+
+
+for _report, _part, _trace, _base, _tail, _cols in SECTIONS:
+    _of = _base if " " in _base else sql_of(_base)
+    query(section_name(_report, _part), f"SELECT {', '.join(_cols) if _cols else '*'} FROM ({_of}) t {_tail}")(section(_report, _part, _trace, _cols))
+
+
 @query("p5_io_scatter", REQS + "SELECT hostname, issue_ts AS time, dev AS device, rw, sector, nr_sectors AS length, insert_pid AS qpid, issue_pid AS spid, qtm AS qtime, svtm AS svctime FROM rq ORDER BY time, hostname, device, sector, length, spid LIMIT 20000")
 def p5(spark, sf):
     return reports.io_scatter(io_of(spark, sf))
@@ -1042,6 +1163,21 @@ def s14(spark, sf):
     return pid_tree(graph.wakeup_edges(woken_of(spark, sf))).select("hostname", "pid", "cnt", "sleep_ns", F.to_json("syscalls").alias("tree"))
 
 
+@query("s14_pid_json_read", POINTS + """SELECT hostname, pid, scall AS s_scall, k * 16 AS slpfunc, pid + 1 AS waker, count(*) AS cnt, CAST(sum(ns) AS BIGINT) AS sleep_ns
+FROM ivn WHERE ended_by = 'wake' AND state = 'SWTCH' GROUP BY ALL""")
+def s14b(spark, sf):
+    """The trees written as JSON, read again and taken apart."""
+    from .sources.sinks import write_pid_json
+    from .streaming.drive import folder
+
+    path = folder(spark, "trees")
+    write_pid_json(graph.wakeup_edges(woken_of(spark, sf).where("unknown_ns = 0")), path)
+    tree = "array<struct<s_scall: int, functions: array<struct<slpfunc: bigint, wakers: array<struct<waker: bigint, cnt: bigint, sleep_ns: bigint>>>>>>"
+    t = spark.read.schema(f"hostname string, pid bigint, syscalls {tree}").json(path)
+    t = t.select("hostname", "pid", F.explode("syscalls").alias("s")).select("hostname", "pid", "s.s_scall", F.explode("s.functions").alias("f"))
+    return t.select("hostname", "pid", "s_scall", "f.slpfunc", F.explode("f.wakers").alias("w")).select("hostname", "pid", "s_scall", "slpfunc", "w.waker", "w.cnt", "w.sleep_ns")
+
+
 AIO = f"""WITH {IO},
 e AS (SELECT hostname, dev * 1000000 + sector + cpu_seqno * 100000000000 AS iocb, hrtime AS t, CASE event WHEN 'block_rq_insert' THEN 0 ELSE 1 END AS done, pid, rw, q FROM bt WHERE event <> 'block_rq_issue'),
 o AS (SELECT *, lag(done) OVER w AS again, last_value(CASE done WHEN 0 THEN {{'t': t, 'pid': pid, 'rw': rw, 'q': q}} END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM e WINDOW w AS (PARTITION BY hostname, iocb ORDER BY t, done)),

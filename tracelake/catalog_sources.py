@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import adapters as ad
 from .adapters import EV, IO
+from .operators import dims
 from .registry import query
 from .sources import readers
 from .streaming.drive import folder
@@ -138,3 +139,16 @@ def s12(spark: SparkSession, sf: str) -> DataFrame:
     line = F.expr("concat(case n_nationkey % 3 when 0 then 'irq' when 1 then 'cstate' else 'mem' end, '  ', n_nationkey, ' = ', n_name, '  ')")
     n = ad.table(spark, sf, "nation").select(F.expr("concat('r', n_regionkey)").alias("hostname"), line.alias("value"))
     return readers.read_host_facts(spark, listing(n, "facts"))
+
+
+@query("c2_call_names", """SELECT l_orderkey, l_linenumber, coalesce(CASE l_linenumber % 2 WHEN 0 THEN CASE WHEN p_partkey % 5 <> 0 THEN 'call_' || p_partkey END ELSE CASE WHEN p_partkey % 7 <> 0 THEN 'old_' || p_partkey END END,
+CAST(l_partkey AS VARCHAR)) AS call FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""")
+def c2_names(spark: SparkSession, sf: str) -> DataFrame:
+    """A system call for each part on either architecture, from a header and from a table; some numbers have no name."""
+    path = folder(spark, "call-names")
+    p = ad.table(spark, sf, "part")
+    wide = p.where("p_partkey % 5 <> 0").select(F.lit("x86_64").alias("arch"), F.expr("concat('#define __NR_call_', p_partkey, ' ', p_partkey)").alias("value"))
+    old = p.where("p_partkey % 7 <> 0").select(F.lit("i386").alias("arch"), F.expr("concat(p_partkey, '\ti386\told_', p_partkey, '\tsys_old_', p_partkey)").alias("value"))
+    wide.union(old).write.partitionBy("arch").text(path)
+    calls = ad.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("int(l_linenumber % 2)").alias("is32bit"), F.col("l_partkey").cast("int").alias("syscallno"))
+    return dims.with_call_names(calls, readers.read_call_names(spark, path)).select("l_orderkey", "l_linenumber", "call")

@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 # Kernel names of states, flags and operations.
 TASK_STATES = [(1, "INTERRUPTIBLE"), (2, "UNINTERRUPTIBLE"), (4, "STOPPED"), (8, "TRACED"), (16, "DEAD"), (32, "ZOMBIE"), (64, "PARKED")]
 OPEN_FLAGS = [(1, "O_WRONLY"), (2, "O_RDWR"), (0x40, "O_CREAT"), (0x80, "O_EXCL"), (0x200, "O_TRUNC"), (0x400, "O_APPEND"), (0x800, "O_NONBLOCK"), (0x4000, "O_DIRECT")]
-FUTEX_OPS = {0: "WAIT", 1: "WAKE", 2: "FD", 3: "REQUEUE", 4: "CMP_REQUEUE", 5: "WAKE_OP", 6: "LOCK_PI", 7: "UNLOCK_PI", 9: "WAIT_BITSET", 10: "WAKE_BITSET"}
+FUTEX_OPS = {0: "WAIT", 1: "WAKE", 2: "FD", 3: "REQUEUE", 4: "CMP_REQUEUE", 5: "WAKE_OP", 6: "LOCK_PI", 7: "UNLOCK_PI", 8: "TRYLOCK_PI", 9: "WAIT_BITSET", 10: "WAKE_BITSET", 11: "WAIT_REQUEUE_PI", 12: "CMP_REQUEUE_PI", 13: "LOCK_PI2"}
 WHENCE = {0: "SEEK_SET", 1: "SEEK_CUR", 2: "SEEK_END"}
-FCNTL = {0: "F_DUPFD", 1: "F_GETFD", 2: "F_SETFD", 3: "F_GETFL", 4: "F_SETFL", 5: "F_GETLK", 6: "F_SETLK", 7: "F_SETLKW"}
-SOCKET_DOMAINS = {1: "AF_UNIX", 2: "AF_INET", 10: "AF_INET6", 16: "AF_NETLINK"}
-SOCKET_TYPES = {1: "STREAM", 2: "DGRAM", 3: "RAW", 5: "SEQPACKET"}
-SIGNALS = {1: "HUP", 2: "INT", 3: "QUIT", 6: "ABRT", 9: "KILL", 11: "SEGV", 13: "PIPE", 14: "ALRM", 15: "TERM", 17: "CHLD"}
+FCNTL = {
+    0: "F_DUPFD", 1: "F_GETFD", 2: "F_SETFD", 3: "F_GETFL", 4: "F_SETFL", 5: "F_GETLK", 6: "F_SETLK", 7: "F_SETLKW", 8: "F_SETOWN", 9: "F_GETOWN", 10: "F_SETSIG", 11: "F_GETSIG", 12: "F_GETLK64", 13: "F_SETLK64", 14: "F_SETLKW64",
+    15: "F_SETOWN_EX", 16: "F_GETOWN_EX", 17: "F_GETOWNER_UIDS", 36: "F_OFD_GETLK", 37: "F_OFD_SETLK", 38: "F_OFD_SETLKW",
+    1024: "F_SETLEASE", 1025: "F_GETLEASE", 1026: "F_NOTIFY", 1029: "F_CANCELLK", 1030: "F_DUPFD_CLOEXEC", 1031: "F_SETPIPE_SZ", 1032: "F_GETPIPE_SZ", 1033: "F_ADD_SEALS", 1034: "F_GET_SEALS", 1035: "F_GET_RW_HINT", 1036: "F_SET_RW_HINT", 1037: "F_GET_FILE_RW_HINT", 1038: "F_SET_FILE_RW_HINT",
+}
+SEMCTL = {0: "IPC_RMID", 1: "IPC_SET", 2: "IPC_STAT", 3: "IPC_INFO", 11: "GETPID", 12: "GETVAL", 13: "GETALL", 14: "GETNCNT", 15: "GETZCNT", 16: "SETVAL", 17: "SETALL", 18: "SEM_STAT", 19: "SEM_INFO", 20: "SEM_STAT_ANY"}
+IPC_CALLS = {1: "SEMOP", 2: "SEMGET", 3: "SEMCTL", 4: "SEMTIMEDOP", 11: "MSGSND", 12: "MSGRCV", 13: "MSGGET", 14: "MSGCTL", 21: "SHMAT", 22: "SHMDT", 23: "SHMGET", 24: "SHMCTL"}
+SOCKET_DOMAINS = {0: "AF_UNSPEC", 1: "AF_UNIX", 2: "AF_INET", 3: "AF_AX25", 4: "AF_IPX", 5: "AF_APPLETALK", 10: "AF_INET6", 15: "AF_KEY", 16: "AF_NETLINK", 17: "AF_PACKET", 40: "AF_VSOCK"}
+SOCKET_TYPES = {1: "STREAM", 2: "DGRAM", 3: "RAW", 4: "RDM", 5: "SEQPACKET", 6: "DCCP", 10: "PACKET"}
+SIGNALS = {
+    1: "HUP", 2: "INT", 3: "QUIT", 4: "ILL", 5: "TRAP", 6: "ABRT", 7: "BUS", 8: "FPE", 9: "KILL", 10: "USR1", 11: "SEGV", 12: "USR2", 13: "PIPE", 14: "ALRM", 15: "TERM", 16: "STKFLT", 17: "CHLD", 18: "CONT", 19: "STOP", 20: "TSTP", 21: "TTIN", 22: "TTOU",
+    23: "URG", 24: "XCPU", 25: "XFSZ", 26: "VTALRM", 27: "PROF", 28: "WINCH", 29: "IO", 30: "PWR", 31: "SYS",
+}
 REQUEST_OPS = {0: "R", 1: "W", 2: "FLUSH", 3: "DISCARD"}
 
 

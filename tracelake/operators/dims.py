@@ -46,3 +46,11 @@ def container_stats(tasks: DataFrame, containers: DataFrame, io: DataFrame | Non
     else:
         c = c.withColumns({"ios": F.lit(0), "kb": F.lit(0.0)})
     return c.groupBy("hostname", "container").agg(F.count("*").alias("tasks"), F.sum("run_ns").alias("run_ns"), F.sum("runq_ns").alias("runq_ns"), F.sum("sys_ns").alias("sys_ns"), F.sum(F.coalesce("rss", F.lit(0))).alias("rss"), F.sum(F.coalesce("ios", F.lit(0))).alias("ios"), F.sum(F.coalesce("kb", F.lit(0.0))).alias("kb"))
+
+
+def with_call_names(calls: DataFrame, names: DataFrame, archs: tuple[str, str] = ("x86_64", "i386")) -> DataFrame:
+    """Calls with ``call``, the name of their number on their architecture: the first of ``archs`` for calls of 64 bits, the second for those of 32. A number without a name stands for itself."""
+    arch = F.when(F.coalesce(F.col("is32bit"), F.lit(0)) == 0, archs[0]).otherwise(archs[1])
+    n = names.select(F.col("arch").alias("_arch"), F.col("syscallno").alias("_no"), F.col("name").alias("_name"))
+    out = calls.withColumn("_a", arch).join(n, (F.col("_a") == F.col("_arch")) & (F.col("syscallno") == F.col("_no")), "left")
+    return out.withColumn("call", F.coalesce("_name", F.col("syscallno").cast("string"))).drop("_a", "_arch", "_no", "_name")

@@ -133,3 +133,16 @@ def read_thread_names(spark: SparkSession, path: str) -> DataFrame:
 def read_host_facts(spark: SparkSession, path: str) -> DataFrame:
     """Small facts of a host as (host, kind, key, value): lines ``kind key = value``."""
     return _fields(_lines(spark, path), r"^(\w+)\s+(\S+)\s*=\s*(.*?)\s*$", {"kind": "string", "key": "string", "value": "string"})
+
+
+def read_call_names(spark: SparkSession, path: str) -> DataFrame:
+    """arch, syscallno, name of system calls, from a directory ``arch=...`` for each architecture.
+
+    Lines are those of a header ("#define __NR_read 0", "#define __NR3264_fcntl 25"), of a kernel table ("0 common read sys_read") or of
+    a plain listing ("0 read"); others are passed over. Of several names of a number the first by letters stays.
+    """
+    line = F.trim(F.col("value"))
+    header, listed = r"^#\s*define\s+__NR(?:3264)?_(\w+)\s+(\d+)\b", r"^(\d+)\s+(?:(?:common|64|x32|i386)\s+)?([A-Za-z_]\w*)"
+    take = lambda at, number: F.nullif(F.regexp_extract(line, *at), F.lit("")).cast("int" if number else "string")
+    t = spark.read.text(path).select("arch", F.coalesce(take((header, 2), True), take((listed, 1), True)).alias("syscallno"), F.coalesce(take((header, 1), False), take((listed, 2), False)).alias("name"))
+    return t.where("syscallno is not null and name is not null").groupBy("arch", "syscallno").agg(F.min("name").alias("name"))
