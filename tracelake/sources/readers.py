@@ -22,7 +22,8 @@ def read_cluster(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def write_trace(df: DataFrame, path: str) -> None:
-    as_trace(df).repartition("hostname", "capture_id").sortWithinPartitions("hostname", "capture_id", *ORDER).write.partitionBy("hostname", "capture_id").parquet(path)
+    """Each capture in files of ranges of time, each of them in order: a capture may be larger than a task can hold."""
+    as_trace(df).repartitionByRange("hostname", "capture_id", *ORDER).sortWithinPartitions("hostname", "capture_id", *ORDER).write.partitionBy("hostname", "capture_id").parquet(path)
 
 
 def read_trace_text(spark: SparkSession, path: str, hostname: str = "localhost") -> DataFrame:
