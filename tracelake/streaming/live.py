@@ -1,15 +1,17 @@
 """Live analysis in Structured Streaming. Event time is hrtime as a timestamp; each host's CPUs may lag by the watermark's delay.
 
-Pairing and state accounting keep state per task or block with ``transformWithStateInPandas``; event-time timers evict what is never
+Pairing and state accounting keep state per share of a host's tasks or blocks with ``transformWithStateInPandas``; event-time timers evict what is never
 completed, as a gap does in batch. On complete input the results equal those of the batch operators.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -52,39 +54,87 @@ def live_stats(stream: DataFrame, every: str = EVERY, by: tuple[str, ...] = ("ho
 CALLS = "hostname string, pid long, syscallno int, enter long, exit long, elapsed long, ret long, arg0 long, dev long, inode long, laddr string, raddr string, exit_time timestamp"
 
 
+#: Blocks, tasks and CPUs of a host are dealt into so many keys: no device is a single task, and the number of keys, each of which costs a call of Python and
+#: looks into the state, grows with none of them.
+DEALT = 256
+
+
+def dealt(*columns: str) -> Column:
+    """The share of its host into which a block, task or CPU falls."""
+    return F.pmod(F.xxhash64(*columns), F.lit(DEALT)).cast("int").alias("share")
+
+
+def packed(table: np.ndarray) -> bytes:
+    """Rows of longs as one value of a state: one look gives all of a share."""
+    return np.ascontiguousarray(table, "int64").tobytes()
+
+
+def unpacked(value: bytes | None, width: int) -> np.ndarray:
+    return np.frombuffer(value or b"", "int64").reshape(-1, width)
+
+
+def ordered_rows(*columns: str) -> list[Column]:
+    """Columns of the order as longs that are never null; null comes last."""
+    return [F.coalesce(F.col(c).cast("long"), F.lit((1 << 63) - 1)).alias(c) for c in columns]
+
+
+#: What may be null of a call, each with a bit in ``nulls``: a column of longs with nulls would reach Python as doubles.
+MAYBE = ["syscallno", "arg0", "ret", "dev", "inode"]
+
+
 class PairSyscalls(StatefulProcessor):
-    """State of a task: its open call. Rows of one batch are put in order of time first."""
+    """State of a share of a host's tasks: their open calls. Rows of one batch are put in order of task and time first."""
+
+    HELD = ["pid", "hrtime", "syscallno", "arg0", "nulls"]
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "syscallno int, enter long, arg0 long")
+        self.open = handle.getValueState("open", "calls binary")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["hrtime", "cpu", "cpu_seqno"])
-        held = self.open.get() if self.open.exists() else None
-        out = []
-        whole = lambda x: None if pd.isna(x) else int(x)
-        for r in pdf.itertuples():
-            if r.event == "sys_enter":
-                held = (int(r.syscallno), int(r.hrtime), whole(r.arg0))
-            elif held is not None and int(r.syscallno) in (held[0], -1):
-                end = int(r.hrtime)
-                out.append((key[0], int(key[1]), held[0], held[1], end, end - held[1], whole(r.ret), held[2], whole(r.dev), whole(r.inode), r.laddr, r.raddr, pd.Timestamp(end // 1000, unit="us")))
-                held = None
-        if held is None:
+    def _load(self) -> pd.DataFrame:
+        held = self.open.get()
+        return pd.DataFrame(unpacked(held and held[0], len(self.HELD)), columns=self.HELD)
+
+    def _save(self, held: pd.DataFrame) -> None:
+        if held.empty:
             self.open.clear()
         else:
-            self.open.update(held)
-            self.handle.registerTimer(held[1] // 1_000_000 + self.keep_ms)
-        if out:
-            yield pd.DataFrame(out, columns=names_of(CALLS)).astype({c: "Int64" for c in ("ret", "arg0", "dev", "inode")})
+            self.open.update((packed(held[self.HELD].to_numpy()),))
+            self.handle.registerTimer(int(held["hrtime"].min()) // 1_000_000 + self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new, held = pd.concat(list(rows), ignore_index=True), self._load()
+        touched = held["pid"].isin(new["pid"])
+        # The open call of a task comes before all of its rows. Columns of longs stay longs if they have no gap.
+        rows = pd.concat([held[touched].assign(enter=True, cpu=0, cpu_seqno=0, ret=0, dev=0, inode=0, later=0), new.assign(later=1)], ignore_index=True)
+        rows = rows.iloc[np.lexsort([rows[c].to_numpy() for c in ("cpu_seqno", "cpu", "hrtime", "later", "pid")])]
+        pid, t, number, nulls, enter = (rows[c].to_numpy() for c in ("pid", "hrtime", "syscallno", "nulls", "enter"))
+        enter = enter.astype(bool)
+        place = np.arange(len(rows))
+        opened = np.maximum.accumulate(np.where(enter, place, -1))
+        mine = (opened >= 0) & (pid[opened] == pid)
+        unknown = (nulls & 1) > 0
+        ends = place[~enter & mine & ~unknown & ((number == -1) | ((number == number[opened]) & ~unknown[opened]))]
+        begins, first = np.unique(opened[ends], return_index=True)  # an exit that finds its call ended is dropped
+        ends = ends[first]
+        last = place[np.append(pid[1:] != pid[:-1], True)]
+        still = np.setdiff1d(opened[last[mine[last]]], begins)
+        self._save(pd.concat([held[~touched], rows.iloc[still]], ignore_index=True))
+        if len(ends):
+            a, b = rows.iloc[begins], rows.iloc[ends]
+            whole = lambda df, c: pd.arrays.IntegerArray(df[c].to_numpy().astype("int64"), (df["nulls"].to_numpy() & 1 << MAYBE.index(c)) > 0)
+            yield pd.DataFrame({
+                "hostname": key[0], "pid": pid[ends], "syscallno": whole(a, "syscallno"), "enter": t[begins], "exit": t[ends], "elapsed": t[ends] - t[begins], "ret": whole(b, "ret"), "arg0": whole(a, "arg0"),
+                "dev": whole(b, "dev"), "inode": whole(b, "inode"), "laddr": b["laddr"].to_numpy(), "raddr": b["raddr"].to_numpy(), "exit_time": pd.to_datetime(t[ends] // 1000, unit="us"),
+            })
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists() and self.open.get()[1] // 1_000_000 + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.open.clear()
+        held = self._load()
+        if not held.empty:
+            self._save(held[held["hrtime"] // 1_000_000 + self.keep_ms > timerValues.getCurrentWatermarkInMs()])
         return iter([])
 
     def close(self) -> None:
@@ -93,20 +143,18 @@ class PairSyscalls(StatefulProcessor):
 
 def stream_pair_syscalls(stream: DataFrame, keep_ms: int = 600_000) -> DataFrame:
     """Paired calls as they complete; a call that stays open for ``keep_ms`` of event time is given up."""
-    rows = chosen(stream, "event in ('sys_enter', 'sys_exit')").select(
-        "hostname", "pid", "hrtime", "cpu", "cpu_seqno", "event", "event_time", "sys.syscallno", "sys.ret", F.get("sys.args", F.lit(0)).alias("arg0"), "sys.dev", "sys.inode", "sys.laddr", "sys.raddr",
+    told = chosen(stream, "event in ('sys_enter', 'sys_exit')").select(
+        "hostname", "pid", "hrtime", *ordered_rows("cpu", "cpu_seqno"), (F.col("event") == "sys_enter").alias("enter"), "event_time", F.col("sys.syscallno").cast("long").alias("syscallno"), F.get("sys.args", F.lit(0)).alias("arg0"),
+        "sys.ret", F.col("sys.dev").cast("long").alias("dev"), F.col("sys.inode").cast("long").alias("inode"), "sys.laddr", "sys.raddr",
     )
-    return rows.groupBy("hostname", "pid").transformWithStateInPandas(PairSyscalls(keep_ms), CALLS, "Append", "EventTime", eventTimeColumnName="exit_time")
+    nulls = reduce(lambda a, b: a + b, [F.when(F.col(c).isNull(), 1 << k).otherwise(0) for k, c in enumerate(MAYBE)]).cast("long")
+    rows = told.withColumns({"share": dealt("pid"), "nulls": nulls}).withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in MAYBE})
+    return rows.groupBy("hostname", "share").transformWithStateInPandas(PairSyscalls(keep_ms), CALLS, "Append", "EventTime", eventTimeColumnName="exit_time")
 
 
 REQUESTS = "hostname string, dev long, sector long, insert_ts long, issue_ts long, complete_ts long, qtm long, svtm long, sectors long, complete_time timestamp"
 
 
-#: The blocks of all devices of a host are dealt into so many keys: no device is a single task, and the number of keys, each of which costs a call of Python and a
-#: look into the state, grows neither with devices nor with blocks.
-DEALT = 256
-
-
 class PairBlock(StatefulProcessor):
     """State of a share of a host's blocks: times of insert and issue of the open request of each, and the sizes that they told."""
 
@@ -173,7 +221,7 @@ class PairBlock(StatefulProcessor):
 def stream_pair_block(stream: DataFrame, keep_ms: int = 600_000) -> DataFrame:
     """Requests as they complete; one that stays open for ``keep_ms`` of event time after its last event is given up."""
     rows = chosen(stream, "event in ('block_rq_insert', 'block_rq_issue', 'block_rq_complete', 'block_rq_abort')").select(
-        "hostname", "blk.dev", F.pmod(F.xxhash64("blk.dev", "blk.sector"), F.lit(DEALT)).cast("int").alias("share"), "blk.sector", "hrtime", "cpu_seqno", "event", "event_time", F.col("blk.nr_sectors").alias("sectors"),
+        "hostname", "blk.dev", dealt("blk.dev", "blk.sector"), "blk.sector", "hrtime", "cpu_seqno", "event", "event_time", F.col("blk.nr_sectors").alias("sectors"),
     )
     return rows.groupBy("hostname", "share").transformWithStateInPandas(PairBlock(keep_ms), REQUESTS, "Append", "EventTime", eventTimeColumnName="complete_time")
 
@@ -224,78 +272,107 @@ TIMED = ("RUNNING", "RUNQ", "SWTCH", "IDLE")
 
 
 class Stretches(StatefulProcessor):
-    """State of a task (or CPU): what it does, since when, and the times of its windows that are still open.
+    """State of a share of a host's tasks (or CPUs): what each does, since when, and the times of its windows that are still open.
 
     An open stretch is split at the end of every window; when the watermark passes that end, the sums of the window are final and leave, so a window
-    is emitted once. The stretch itself lives on.
+    is emitted once. The stretch itself lives on. A state is its place in TIMED, or -1.
     """
 
+    #: Columns of what is held: id, state, label, whether it has a label, since; and of sums: start of the window, id, state, label, whether it has one, n, ns.
+    HELD, SUMS = 5, 7
+
     def __init__(self, every_ns: int):
         self.every = every_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "state string, label long, since long, starts array<bigint>, states array<string>, labels array<bigint>, counts array<bigint>, times array<bigint>")
-
-    def _load(self) -> tuple:
-        if not self.now.exists():
-            return None, None, None, {}
-        state, label, since, *sums = self.now.get()
-        return state, label, since, {(w, s, k): [n, t] for w, s, k, n, t in zip(*sums, strict=True)}
-
-    def _save(self, state, label, since, sums: dict) -> None:
-        self.now.update((state, label, since, *(list(x) for x in zip(*((*k, *v) for k, v in sums.items()), strict=True)), *([[]] * 5 if not sums else [])))
-        ends = [w + self.every for w, _, _ in sums]
-        if state in TIMED:
-            ends.append((since // self.every + 1) * self.every)
-        if ends:
-            self.handle.registerTimer(min(ends) // 1_000_000)
+        self.now = handle.getValueState("now", "held binary, sums binary")
+
+    def _load(self) -> tuple[np.ndarray, np.ndarray]:
+        held, sums = self.now.get() or (None, None)
+        return unpacked(held, self.HELD), unpacked(sums, self.SUMS)
 
-    def _charge(self, sums: dict, state, label, start: int, end: int, first: bool = True) -> None:
-        if state in TIMED:
-            if first:
-                sums.setdefault((start // self.every * self.every, state, label), [0, 0])[0] += 1
-            while start < end:
-                stop = min(end, (start // self.every + 1) * self.every)
-                sums.setdefault((start // self.every * self.every, state, label), [0, 0])[1] += stop - start
-                start = stop
+    def _save(self, held: np.ndarray, sums: np.ndarray) -> None:
+        self.now.update((packed(held), packed(sums)))
+        ends = [x.min() for x in (sums[:, 0] + self.every, (held[held[:, 1] >= 0, 4] // self.every + 1) * self.every) if len(x)]
+        if ends:
+            self.handle.registerTimer(int(min(ends)) // 1_000_000)
+
+    def _pieces(self, what: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Rows of sums for stretches (id, state, label, whether it has one), cut at the ends of windows."""
+        some = (what[:, 1] >= 0) & (end > start)
+        what, start, end = what[some], start[some], end[some]
+        first = start // self.every
+        n = (end - 1) // self.every - first + 1
+        k = np.repeat(np.arange(len(n)), n)
+        window = (first[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)) * self.every
+        ns = np.minimum(end[k], window + self.every) - np.maximum(start[k], window)
+        return np.column_stack([window, what[k], np.zeros(len(k), "int64"), ns])
+
+    @staticmethod
+    def _summed(*tables: np.ndarray) -> np.ndarray:
+        by = [0, 1, 2, 3, 4]
+        return pd.DataFrame(np.concatenate(tables)).groupby(by, sort=False).sum().reset_index().to_numpy()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["hrtime", "cpu", "cpu_seqno"])
-        state, label, since, sums = self._load()
-        for r in pdf.itertuples():
-            t = int(r.hrtime)
-            if isinstance(r.unless, str) and r.unless == state:
-                continue
-            if since is not None:
-                self._charge(sums, state, label, since, max(t, since), False)
-            state, label, since = r.state, None if pd.isna(r.label) else int(r.label), t
-            self._charge(sums, state, label, t, t)
-        self._save(state, label, since, sums)
+        new = np.concatenate([x[["id", "state", "label", "labelled", "hrtime", "unless", "cpu", "cpu_seqno"]].to_numpy("int64") for x in rows])
+        held, sums = self._load()
+        touched = np.isin(held[:, 0], new[:, 0])
+        was = held[touched]
+        # What a task does now comes before all of its rows; it is counted already.
+        table = np.concatenate([np.column_stack([was, np.full(len(was), -1), np.zeros((len(was), 2), "int64")]), new])
+        fresh = np.arange(len(table)) >= len(was)
+        order = np.lexsort([table[:, 7], table[:, 6], table[:, 4], fresh, table[:, 0]])
+        table, fresh = table[order], fresh[order]
+        sets = table[:, 5] < 0
+        base = np.maximum.accumulate(np.where(sets, np.arange(len(table)), -1))
+        same = (base >= 0) & (table[base, 0] == table[:, 0]) & (table[base, 1] == table[:, 5])
+        some = sets | ~same
+        table, fresh = table[some], fresh[some]
+        what, t = table[:, :4], table[:, 4]
+        more = np.append(what[1:, 0] == what[:-1, 0], False)[: len(t)]
+        begun = what[fresh & (what[:, 1] >= 0)]
+        at = t[fresh & (what[:, 1] >= 0)] // self.every * self.every
+        counts = np.column_stack([at, begun, np.ones(len(at), "int64"), np.zeros(len(at), "int64")])
+        nexts = np.append(t[1:], 0)[: len(t)]
+        sums = self._summed(sums, counts, self._pieces(what[more], t[more], nexts[more]))
+        self._save(np.concatenate([held[~touched], table[~more, : self.HELD]]), sums)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, label, since, sums = self._load()
+        held, sums = self._load()
         passed = timerValues.getCurrentWatermarkInMs() * 1_000_000 // self.every * self.every
-        if state in TIMED and since < passed:
-            self._charge(sums, state, label, since, passed, False)
-            since = passed
-        done = sorted((k for k in sums if k[0] + self.every <= passed), key=str)
-        out = [(key[0], int(key[1]), pd.Timestamp(w, unit="ns"), s, k, *sums.pop((w, s, k)), pd.Timestamp((w + self.every) // 1_000_000 - 1, unit="ms")) for w, s, k in done]
-        self._save(state, label, since, sums)
-        if out:
-            yield pd.DataFrame(out, columns=names_of(STRETCHES)).astype({"label": "Int64"})
+        late = (held[:, 1] >= 0) & (held[:, 4] < passed)
+        if late.any():
+            sums = self._summed(sums, self._pieces(held[late, :4], held[late, 4], np.full(late.sum(), passed)))
+            held = held.copy()
+            held[late, 4] = passed
+        done = sums[:, 0] + self.every <= passed
+        self._save(held, sums[~done])
+        window, ids, state, label, labelled, n, ns = sums[done].T
+        if len(window):
+            yield pd.DataFrame({
+                "hostname": key[0], "id": ids, "start": pd.to_datetime(window, unit="ns"), "state": np.array(TIMED, object)[state], "label": pd.arrays.IntegerArray(label.copy(), labelled == 0),
+                "n": n, "ns": ns, "closed": pd.to_datetime((window + self.every) // 1_000_000 - 1, unit="ms"),
+            })
 
     def close(self) -> None:
         pass
 
 
 def stretches(points: DataFrame, every_ns: int) -> DataFrame:
-    """hostname, id, start, state, label, n, ns: how often and how long an id is in each state, window by window. ``points`` set a state, unless it is ``unless``."""
+    """hostname, id, start, state, label, n, ns: how often and how long an id is in each state, window by window.
+
+    ``points`` set a state, unless what was set last without a condition is ``unless``, a state of TIMED; a point with a condition sets no state that another one's condition names.
+    """
     if every_ns % 1_000_000:
         raise ValueError("windows are whole milliseconds")
-    rows = points.select("hostname", "id", "hrtime", "cpu", "cpu_seqno", "state", "unless", "label", "event_time")
-    return rows.groupBy("hostname", "id").transformWithStateInPandas(Stretches(every_ns), STRETCHES, "Append", "EventTime", eventTimeColumnName="closed")
+    place = lambda c: F.array_position(F.array(*[F.lit(x) for x in TIMED]), F.col(c)).cast("long") - 1
+    rows = points.select(
+        "hostname", dealt("id"), "id", "hrtime", *ordered_rows("cpu", "cpu_seqno"), F.coalesce(place("state"), F.lit(-1).cast("long")).alias("state"), F.coalesce(place("unless"), F.lit(-1).cast("long")).alias("unless"),
+        F.coalesce("label", F.lit(0).cast("long")).alias("label"), F.col("label").isNotNull().cast("long").alias("labelled"), "event_time",
+    )
+    return rows.groupBy("hostname", "share").transformWithStateInPandas(Stretches(every_ns), STRETCHES, "Append", "EventTime", eventTimeColumnName="closed")
 
 
 def stream_task_states(stream: DataFrame, every_ns: int = 5_000_000_000) -> DataFrame:
