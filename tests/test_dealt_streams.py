@@ -6,7 +6,9 @@ from types import SimpleNamespace
 
 import pandas as pd
 
-from tracelake.streaming import live
+from tracelake import adapters as ad
+from tracelake.schema import TRACE
+from tracelake.streaming import live, views
 
 TASKS, EVERY = 40, 1_000_000_000
 
@@ -103,3 +105,9 @@ def test_stretches_of_many_tasks_share_a_key():
     assert len(dict(told)) == len(told)  # a window leaves once
     assert dict(told) == dict(want) and len(told) > 500
     assert min(t for t in timers if t * 1_000_000 > end) == (end + EVERY) // 1_000_000
+
+
+def test_one_view_makes_one_source(spark, tmp_path):
+    stream = live.with_event_time(spark.readStream.schema(TRACE).parquet(str(tmp_path)))
+    sources = lambda *a: views.measures(stream, 24 * ad.HOUR, None, 1 << 40, *a)._jdf.queryExecution().analyzed().toString().count("TransformWithStateInPySpark")
+    assert (sources(["futex"]), sources(["disk"]), sources(["profile"]), sources()) == (1, 1, 0, 5)
