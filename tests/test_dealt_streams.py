@@ -8,7 +8,7 @@ import pandas as pd
 
 from tracelake import adapters as ad
 from tracelake.schema import TRACE
-from tracelake.streaming import live, views
+from tracelake.streaming import drive, live, views
 
 TASKS, EVERY = 40, 1_000_000_000
 
@@ -111,3 +111,39 @@ def test_one_view_makes_one_source(spark, tmp_path):
     stream = live.with_event_time(spark.readStream.schema(TRACE).parquet(str(tmp_path)))
     sources = lambda *a: views.measures(stream, 24 * ad.HOUR, None, 1 << 40, *a)._jdf.queryExecution().analyzed().toString().count("TransformWithStateInPySpark")
     assert (sources(["futex"]), sources(["disk"]), sources(["profile"]), sources()) == (1, 1, 0, 5)
+
+
+def test_interrupts_of_a_cpu_are_paired_in_parts():
+    r = random.Random(2)
+    rows = [dict(hrtime=t * 1000, cpu_seqno=t, hard=r.random() < 0.5, entry=r.random() < 0.6, irq=r.choice([1, 2, None]), name=r.choice(["a", None])) for t in range(1500)]
+    want, last, spent, before = [], {}, 0, 0
+    for x in rows:
+        e = last.get(x["hard"])
+        if e and e["entry"] and not x["entry"]:
+            took = x["hrtime"] - e["hrtime"]
+            spent += took if x["hard"] else 0
+            want.append(("hard" if x["hard"] else "soft", e["irq"], e["name"], e["hrtime"], x["hrtime"], took - (0 if x["hard"] else spent - before)))
+        before = before if x["hard"] else spent
+        last[x["hard"]] = x
+    p, state, _ = held(live.PairIrq())
+    got = [o for part in [*parted(rows[:2], 6, 2), *parted(rows[2:], 6)] for o in p.handleInputRows(("h0", 1), (x for x in part if len(x)), None)]
+    told = [(x.kind, None if pd.isna(x.irq) else int(x.irq), x.name, x.start, x.end, x.time) for df in got for x in df.itertuples(index=False)]
+    assert sorted(map(str, told)) == sorted(map(str, want)) and len(want) > 300
+    assert state.value[-2:] == (spent, before)
+
+
+def test_state_has_partitions_by_cores(spark, tmp_path):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        ad.task_trace(spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "in"))
+        q = live.live_top(live.stream_trace(spark, str(tmp_path / "in")), "syscall", 3, lambda df, k: df.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={k}"), checkpoint=str(tmp_path / "state"))
+        try:
+            q.processAllAvailable()
+            used = [o["numShufflePartitions"] for o in q.lastProgress["stateOperators"]]
+        finally:
+            q.stop()
+        assert used == [drive.PER_CORE * spark.sparkContext.defaultParallelism]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "100"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)

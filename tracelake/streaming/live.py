@@ -19,7 +19,7 @@ from ..operators import topn
 from ..operators.power import ENTRY, EXIT
 from ..operators.syscalls import is_err, moved_bytes
 from ..schema import TRACE
-from .drive import folder
+from .drive import folder, stateful
 
 EVERY = "5 seconds"
 
@@ -237,23 +237,33 @@ class PairIrq(StatefulProcessor):
         self.seen = handle.getValueState("seen", f"{kind.format('hard')}, {kind.format('soft')}, hard_ns long, hard_before long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["hrtime", "cpu_seqno"])
-        held = list(self.seen.get()) if self.seen.exists() else [None] * 8 + [0, 0]
-        last = {"hard": held[:4], "soft": held[4:8]}
-        hard, before, out = held[8], held[9], []
-        for r in pdf.itertuples():
-            entry, t, irq, name = last[r.kind]
-            now = int(r.hrtime)
-            if not r.entry and entry:
-                if r.kind == "hard":
-                    hard += now - t
-                out.append((key[0], int(key[1]), r.kind, irq, name, t, now, now - t - (hard - before if r.kind == "soft" else 0), pd.Timestamp(now // 1000, unit="us")))
-            if r.kind == "soft":
-                before = hard
-            last[r.kind] = [bool(r.entry), now, None if pd.isna(r.irq) else int(r.irq), r.name]
-        self.seen.update((*last["hard"], *last["soft"], hard, before))
-        if out:
-            yield pd.DataFrame(out, columns=names_of(IRQS)).astype({"irq": "Int32"})
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["hrtime", "cpu_seqno"]).astype({"irq": "Int32"})
+        held = list(self.seen.get() or [None] * 8 + [0, 0])
+        # The last event of each kind comes before all rows; its time is counted already.
+        was = [(hard, *last) for hard, last in ((True, held[:4]), (False, held[4:8])) if last[0] is not None]
+        columns = ["hard", "entry", "hrtime", "irq", "name"]
+        pdf = pd.concat([pd.DataFrame(was, columns=columns).astype({"irq": "Int32"}), new[columns]], ignore_index=True) if was else new[columns].reset_index(drop=True)
+        hard, entry, t = pdf["hard"].to_numpy(bool), pdf["entry"].to_numpy(bool), pdf["hrtime"].to_numpy("int64")
+        place = np.arange(len(pdf))
+        hards, softs = place[hard], place[~hard]
+        before = np.full(len(pdf), -1)  # the last event of the same kind
+        before[hards[1:]], before[softs[1:]] = hards[:-1], softs[:-1]
+        ends = place[~entry & (before >= 0) & entry[before]]
+        begins = before[ends]
+        spent = np.zeros(len(pdf), "int64")
+        spent[ends] = t[ends] - t[begins]
+        so_far = held[8] + np.cumsum(np.where(hard, spent, 0))  # of hard interrupts
+        fresh = softs[softs >= len(was)]
+        taken = np.zeros(len(pdf), "int64")
+        taken[fresh] = np.diff(so_far[fresh], prepend=held[9])
+        last = [[bool(entry[k]), int(t[k]), None if pd.isna(pdf["irq"][k]) else int(pdf["irq"][k]), pdf["name"][k]] if k >= 0 else [None] * 4 for k in (int(max(x, default=-1)) for x in (hards[-1:], softs[-1:]))]
+        self.seen.update((*last[0], *last[1], int(so_far[-1]), int(so_far[fresh[-1]]) if len(fresh) else held[9]))
+        if len(ends):
+            told = pdf.iloc[begins]
+            yield pd.DataFrame({
+                "hostname": key[0], "cpu": int(key[1]), "kind": np.where(hard[ends], "hard", "soft"), "irq": told["irq"].array, "name": told["name"].to_numpy(), "start": t[begins], "end": t[ends],
+                "time": spent[ends] - taken[ends], "end_time": pd.to_datetime(t[ends] // 1000, unit="us"),
+            })
 
     def close(self) -> None:
         pass
@@ -261,8 +271,7 @@ class PairIrq(StatefulProcessor):
 
 def stream_pair_irq(stream: DataFrame) -> DataFrame:
     """Paired interrupts as they end, with the rules of the batch operator."""
-    kind = F.when(F.col("event").isin("irq_handler_entry", "irq_handler_exit"), "hard").otherwise("soft")
-    rows = chosen(stream, F.col("event").isin(ENTRY + EXIT)).select("hostname", "cpu", "hrtime", "cpu_seqno", "event_time", kind.alias("kind"), F.col("event").isin(ENTRY).alias("entry"), "irq.irq", F.col("irq.name").alias("name"))
+    rows = chosen(stream, F.col("event").isin(ENTRY + EXIT)).select("hostname", "cpu", "hrtime", "cpu_seqno", "event_time", F.col("event").isin("irq_handler_entry", "irq_handler_exit").alias("hard"), F.col("event").isin(ENTRY).alias("entry"), "irq.irq", F.col("irq.name").alias("name"))
     return rows.groupBy("hostname", "cpu").transformWithStateInPandas(PairIrq(), IRQS, "Append", "EventTime", eventTimeColumnName="end_time")
 
 
@@ -436,4 +445,5 @@ def live_top(stream: DataFrame, view: str, n: int, sink: Callable[[DataFrame, in
     checkpoint = checkpoint or folder(stream.sparkSession, "live-top-state")
     keys = list(VIEWS[view][1])
     counts = view_rows(stream, view, entity).groupBy(F.window("event_time", every), "hostname", *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "hostname", *keys, "n")
-    return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, k: sink(topn.top_n_per(df, ["start", "hostname"], "n", n, keys), k)).start()
+    with stateful(stream.sparkSession):
+        return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, k: sink(topn.top_n_per(df, ["start", "hostname"], "n", n, keys), k)).start()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import topn
 from ..operators.syscalls import FUTEX, is_err, moved_bytes
 from . import live
-from .drive import ROCKS
+from .drive import stateful
 
 MEASURES = "start timestamp, hostname string, view string, entity string, key string, n long, ns long, max_ns long, bytes long, errs long"
 VIEWS = ["task", "cpu", "disk", "file", "net", "futex", "irq", "wait", "profile", "container", "syscall", "task.syscall", "task.wait", "task.file"]
@@ -104,13 +104,9 @@ def start(measured: DataFrame, out: str, checkpoint: str, n: int, every_ns: int,
     def write(df: DataFrame, batch: int) -> None:
         ranked(df, n, every_ns).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    try:
+    with stateful(spark):
         writer = measured.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
         return (writer.trigger(availableNow=True) if once else writer).start()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
 
 
 def written(spark, out: str) -> DataFrame:
