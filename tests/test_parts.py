@@ -1,5 +1,7 @@
 """A trace of many sources that tells the parts of its events: whoever needs some of them reads no other source."""
 
+from pyspark.sql import functions as F
+
 from tracelake import adapters as ad
 from tracelake import catalog
 from tracelake.operators import power, states
@@ -35,3 +37,12 @@ def test_parts_lose_no_event(spark):
     assert rows(plain.edges) == rows(told.edges)
     plain.release()
     told.release()
+
+
+def test_edges_tell_the_calls_that_wakers_are_in(spark):
+    t = ad.task_trace(spark, SF).withColumn("pid", F.expr("if(event = 'sched_wakeup', pid + 1, pid)"))  # a task of the same host wakes
+    plain, told = reports.Shared(t, ad.topology(spark)), reports.Shared(t.withColumn("part", reports.part_of(F.col("event"))), ad.topology(spark))
+    edges = [sorted(map(str, s.edges.collect())) for s in (plain, told)]
+    assert edges[0] == edges[1] and told.edges.where("w_scall >= 0").count() > 0
+    plain.release()
+    told.release()
